@@ -34,7 +34,7 @@ MAGIC = b"TFTOK001"
 #: Bytes of ids in a shard, and rows of text in a Spark partition.
 SHARD_BYTES, PARTITION_ROWS = 32 << 20, 8192
 #: Words whose ids a worker keeps: about 150 bytes each.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, min_id long, max_id long"
 BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
