@@ -30,6 +30,8 @@ from tallyforge.llm.shared import in_arrow, utf8
 #: Bytes of a window; filter widths; filters of each width; size of a byte's embedding.
 LENGTH, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 8, 8
 ROWS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1500, 2
+#: Batches that training takes.
+STEPS = 1500
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
@@ -125,13 +127,13 @@ class Net:
         return np.concatenate(out)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, size: int = 64, rate: float = 0.005) -> Net:
-    """Adam over shuffled batches from a fixed seed."""
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = STEPS, size: int = 64, rate: float = 0.005) -> Net:
+    """Adam over shuffled batches from a fixed seed; as many steps whatever the sample's size."""
     rng = np.random.default_rng(7)
     net = Net.new(languages, rng)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     t = 0
-    for _ in range(epochs):
+    while t < steps:
         order = rng.permutation(len(x))
         for start in range(0, len(x), size):
             rows, t = order[start : start + size], t + 1
