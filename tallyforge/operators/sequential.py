@@ -16,7 +16,7 @@ class Params:
     """alpha of the gate, the margin of a hold, and the most lost tasks (-1: no count gate)."""
 
     alpha: float = 0.05
-    margin: float = 0.3
+    margin: float = 0.15
     most_lost: int = -1
 
 

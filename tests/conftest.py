@@ -1,4 +1,7 @@
 import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: more threads only get in each other's way
+
 import sys
 from pathlib import Path
 
