@@ -33,6 +33,8 @@ from tallyforge.llm.shared import shared_dir, stash, utf8
 MAGIC = b"TFTOK001"
 #: Bytes of ids in a shard, and rows of text in a Spark partition.
 SHARD_BYTES, PARTITION_ROWS = 32 << 20, 8192
+#: Characters of text that are split into words at once.
+PIECE = 2 << 20
 #: Words whose ids a worker keeps: about 150 bytes each.
 KEPT_WORDS = 600_000
 MANIFEST = "part long, shard long, path string, n_docs long, n_ids long, min_id long, max_id long"
@@ -80,7 +82,19 @@ class Encoder:
         new |= {w: stem(w[:-1]) + stem(w[-1:]) for w in words if w not in new}
         return new
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text in turn, worked on in pieces of PIECE characters or one text."""
+        piece: list[str | None] = []
+        held = 0
+        for text in texts:
+            piece.append(text)
+            held += len(text or "")
+            if held >= PIECE:
+                yield from self.encode_piece(piece)
+                piece, held = [], 0
+        yield from self.encode_piece(piece)
+
+    def encode_piece(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | list[bytes]] = []
         missing: set[bytes] = set()
         for text in texts:
@@ -91,14 +105,15 @@ class Encoder:
                 out.append(words)
             else:
                 out.append(self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids))
-        known = self.known
+        known, new = self.known, {}
         if missing:
             new = self.learn(missing)
-            if len(known) + len(new) <= self.kept:
-                known.update(new)
-            else:
-                known = known | new
-        return [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in out]
+            known.update(new)
+        packed = [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in out]
+        if len(known) > self.kept:
+            for word in new:
+                del known[word]
+        return packed
 
 
 _ENCODERS: dict[str, Encoder] = {}
