@@ -20,6 +20,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,9 @@ class Encoder:
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words: of plain ASCII letters, one pre-token, by the library's model; of others by one call over all of them, told apart by their offsets."""
+        known = self.known
         stems = {w[:-1] if w[-1:] in b".," and w[:-1].isalpha() else w for w in words} | {b".", b","}
-        stems -= self.known.keys()
+        stems = {w for w in stems if w not in known}  # looks up the few new words, not the many known ones
         model, plain = self.tokenizer.model.tokenize, [w for w in stems if w.isalpha()]
         new = {w: self.pack([t.id for t in model(w.decode())]) for w in plain}
         need = sorted(stems - new.keys())
@@ -78,7 +80,7 @@ class Encoder:
         edges = np.searchsorted(np.array([a for a, _ in got.offsets], np.int64), starts) * ids.itemsize
         raw = ids.tobytes()
         new |= {w: raw[a:b] for w, a, b in zip(need, edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
-        stem = lambda w: new[w] if w in new else self.known[w]
+        stem = lambda w: new[w] if w in new else known[w]
         new |= {w: stem(w[:-1]) + stem(w[-1:]) for w in words if w not in new}
         return new
 
@@ -95,25 +97,29 @@ class Encoder:
         yield from self.encode_piece(piece)
 
     def encode_piece(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | list[bytes]] = []
-        missing: set[bytes] = set()
+        """Each word is looked up once; texts with new words are finished when those have been learnt together."""
+        known, out, missing = self.known, [], set()
+        open_texts: list[tuple[int, list[bytes], list[bytes | None]]] = []
         for text in texts:
             raw = utf8(text).lower()
             if self.by_word and not any(s in raw for s in self.special):
                 words = raw.split()
-                missing |= set(words).difference(self.known)
-                out.append(words)
+                packed = list(map(known.get, words))
+                if None in packed:
+                    missing.update(w for w, ids in zip(words, packed, strict=True) if ids is None)
+                    open_texts.append((len(out), words, packed))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(packed))
             else:
                 out.append(self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids))
-        known, new = self.known, {}
         if missing:
             new = self.learn(missing)
-            known.update(new)
-        packed = [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in out]
-        if len(known) > self.kept:
-            for word in new:
-                del known[word]
-        return packed
+            for place, words, packed in open_texts:
+                out[place] = b"".join([new[w] if ids is None else ids for w, ids in zip(words, packed, strict=True)])
+            if len(known) < self.kept:
+                known.update(islice(new.items(), self.kept - len(known)))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
