@@ -55,30 +55,37 @@ def bounds(n: int, threshold: float) -> tuple[float, float]:
     return n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9
 
 
-def scan_columns(text: Column, threshold: float, templates=TEMPLATES) -> dict[str, Column]:
-    rows = template_rows(templates)
-    least = min(bounds(len(p), threshold)[0] for _, p in rows)
-    most = max(bounds(len(p), threshold)[1] for _, p in rows)
+def words_by_line(text: Column) -> Column:
+    """Normal words of each line: runs of ASCII letters and digits, lower-cased."""
     clean = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9\n]+", " "))
-    lines = F.split(clean, "\n")
-    units = F.concat(F.array(F.translate(clean, "\n", " ")), lines)
-    trimmed = F.transform(units, lambda x, i: F.struct(i.cast("long").alias("line"), F.trim(x).alias("t")))
-    size = lambda u: F.length(u["t"]) - F.length(F.replace(u["t"], F.lit(" "), F.lit("")))  # noqa: E731  bigrams of single-spaced words
-    near = F.filter(trimmed, lambda u: size(u).between(F.lit(least), F.lit(most)))
+    return F.transform(F.split(clean, "\n"), lambda line: F.array_remove(F.split(line, " "), ""))
+
+
+def hits(lines: Column, threshold: float, templates=TEMPLATES) -> Column:
+    """score, license and line of every unit and template that reach the threshold. lines: words_by_line."""
+    rows = template_rows(templates)
+    spans = [bounds(len(p), threshold) for _, p in rows]
+    least, most = min(a for a, _ in spans), max(b for _, b in spans)
+    known = F.array(*(
+        F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, p)).alias("bigrams"), F.lit(a).alias("least"), F.lit(b).alias("most"))
+        for (n, p), (a, b) in zip(rows, spans, strict=True)
+    ))
+    some_bigram = F.array(*map(F.lit, sorted({x for _, p in rows for x in p})))
+    units = F.transform(F.concat(F.array(F.flatten(lines)), lines), lambda w, i: F.struct(i.cast("long").alias("line"), w.alias("words")))
+    near = F.filter(units, lambda u: (F.size(u["words"]) > F.lit(least + 1)) & (F.size(u["words"]) < F.lit(most + 1)))
 
     def with_pairs(u: Column) -> Column:
-        words = F.filter(F.split(u["t"], " +"), lambda w: w != "")
-        return F.struct(
-            u["line"].alias("line"),
-            F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))).alias("pairs"),
-        )
+        n = F.size(u["words"]) - 1
+        pairs = F.zip_with(F.slice(u["words"], F.lit(1), n), F.slice(u["words"], F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.struct(u["line"].alias("line"), pairs.alias("pairs"))
 
-    units2 = F.transform(near, with_pairs)
-    known = F.array(*(F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, p)).alias("bigrams")) for n, p in rows))
+    # without a bigram in common the value is 0, whatever the template
+    touched = F.filter(F.transform(near, with_pairs), lambda u: F.arrays_overlap(u["pairs"], some_bigram))
 
     def against(u: Column) -> Column:
+        fitting = F.filter(known, lambda t: (F.size(u["pairs"]) >= t["least"]) & (F.size(u["pairs"]) <= t["most"]))
         scored = F.transform(
-            known,
+            fitting,
             lambda t: F.struct(
                 F.round(2.0 * F.size(F.array_intersect(u["pairs"], t["bigrams"])) / (F.size(u["pairs"]) + F.size(t["bigrams"])), 9).alias("score"),
                 t["license"].alias("license"),
@@ -87,12 +94,14 @@ def scan_columns(text: Column, threshold: float, templates=TEMPLATES) -> dict[st
         )
         return F.filter(scored, lambda x: x["score"] >= threshold)
 
-    return {"n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long"), "hits": F.flatten(F.transform(units2, against))}
+    return F.flatten(F.transform(touched, against))
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_lines, n_hits (units that reach the threshold, by license), best license, score and line, and all licenses."""
-    found = docs.select("doc_id", *(c.alias(k) for k, c in scan_columns(F.col("text"), threshold, templates).items()))
+    split = docs.select("doc_id", (F.coalesce("text", F.lit("")) == "").alias("empty"), words_by_line(F.col("text")).alias("lines"))
+    n_lines = F.when(F.col("empty"), 0).otherwise(F.size("lines")).cast("long").alias("n_lines")
+    found = split.select("doc_id", n_lines, hits(F.col("lines"), threshold, templates).alias("hits"))
     order = F.transform(F.col("hits"), lambda h: F.struct((-h["score"]).alias("s"), h["license"].alias("license"), h["line"].alias("line")))
     best = F.array_min(order)
     return found.select(

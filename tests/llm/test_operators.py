@@ -33,6 +33,10 @@ def test_matches_duckdb(spark, name):
 def test_license_edges(spark, edge_docs):
     got = {r.doc_id: r for r in license_scan.license_scan(edge_docs).collect()}
     assert got[10].license == "Apache-2.0" and got[10].score == 1.0 and got[3].license is None and got[3].n_lines == 0
+    spread = spark.createDataFrame([(1, "Licensed under the Apache" + "\n" * 40 + "License, Version 2.0."), (2, "\n\n")], "doc_id long, text string")
+    over_lines = {r.doc_id: r for r in license_scan.license_scan(spread).collect()}  # blank lines add no words to the whole text
+    assert (over_lines[1].license, over_lines[1].score, over_lines[1].line, over_lines[1].n_lines) == ("Apache-2.0", 1.0, 0, 41)
+    assert over_lines[2].license is None and over_lines[2].n_lines == 3 and license_scan.license_scan(spread.limit(0)).count() == 0
 
 
 # op1
