@@ -71,3 +71,17 @@ def tree_digest(path: Column, sha: Column) -> Column:
 def subset_of(values: Column, allowed: list[str]) -> Column:
     """ST-04: false where the list is absent, true where it is empty."""
     return F.coalesce(F.size(F.array_except(values, F.array(*map(F.lit, allowed)))) == 0, F.lit(False))
+
+
+def component(path: Column) -> Column:
+    """PRJ-14: the surface that a harness path belongs to; 'refused' for paths that are not clean or have no place."""
+    unclean = path.startswith("/") | path.contains("\\") | path.rlike(r"(^|/)(\.{0,2})(/|$)")
+    return (
+        F.when(unclean, "refused").when(path == "system-prompt.md", "system-prompt").when(path.rlike(r"^memory/[A-Za-z0-9][A-Za-z0-9._-]*\.md$"), "memory")
+        .when(path.rlike(r"^skills/[a-z0-9][a-z0-9._-]{0,63}/SKILL\.md$"), "skill").otherwise("refused")
+    )
+
+
+def subset_digest(fields: dict[str, Column]) -> Column:
+    """SC-17: SHA-256 of the named fields as JSON, keys in order, absent fields left out."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)

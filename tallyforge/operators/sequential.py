@@ -62,6 +62,14 @@ def running(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
     return pairs.where("outcome is not null").select("split", order, "outcome", hit(1).alias("cum_b"), hit(-1).alias("cum_c"), hit(0).alias("cum_ties"), F.count("*").over(w).alias("n"))
 
 
+def running_lost(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
+    """WN-02: tasks lost so far after each pair: a task counts at its last pair, if all its pairs were lost."""
+    task = Window.partitionBy("split", "task_id")
+    lost = (F.count_if(F.col("outcome") == -1).over(task) == F.count("*").over(task)) & (F.col(order) == F.max(order).over(task))
+    so_far = Window.partitionBy("split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return pairs.withColumn("_lost", lost).select("split", order, F.count_if("_lost").over(so_far).alias("lost_tasks"))
+
+
 def stop_at(pairs: DataFrame, p: Params = Params(), batch: int = 10) -> DataFrame:
     """WN-03: the first batch end at which a split's e-value decides, null where none does."""
     e = log_e(F.col("cum_b"), F.col("cum_c"))

@@ -35,6 +35,34 @@ def speed(items: DataFrame) -> DataFrame:
     return m.withColumn("gain", 1 - F.try_divide("candidate_mean", "base_mean"))
 
 
+# Least change in points and largest time ratio of each kind of card.
+THRESHOLDS = {"speed": (-2.0, 0.90), "quality": (3.0, 1.05), "output-fix": (0.0, 0.0)}
+
+
+def suggestions(items: DataFrame) -> DataFrame:
+    """AG-34: the decision for each set under both stages (A advances, later ones name a finalist) and each kind of card.
+
+    At stage A two more newly wrong than newly right drop a change before quality is read; then unmeasured quality, an output
+    fix by quality alone, time that cannot be compared, and both axes together."""
+    both = F.col("base").isNotNull() & F.col("candidate").isNotNull()
+    diff = F.when(both, F.col("candidate") - F.col("base"))
+    timed = F.col("base_s").isNotNull() & F.col("candidate_s").isNotNull()
+    q = items.groupBy("set").agg(
+        F.count(diff).alias("n"), (100 * F.avg(diff)).alias("points"), (F.count_if(diff < 0) - F.count_if(diff > 0)).alias("worse"),
+        F.try_divide(F.avg(F.when(timed, F.col("candidate_s"))), F.avg(F.when(timed, F.col("base_s")))).alias("ratio"),
+    )
+    cards = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(a).alias("advance"), F.lit(k).alias("kind"), F.lit(p).alias("least"), F.lit(t).alias("most"))
+                      for s, a in (("A", "advance"), ("B", "finalist")) for k, (p, t) in THRESHOLDS.items()))
+    rows = q.select("*", F.explode(cards).alias("c")).select("*", "c.*")
+    good, fast = F.col("points") >= F.col("least"), F.col("ratio") <= F.col("most")
+    decision = (
+        F.when((F.col("stage") == "A") & (F.col("worse") >= 2), "drop").when(F.col("n") == 0, "inconclusive")
+        .when(F.col("kind") == "output-fix", F.when(good, F.col("advance")).otherwise("drop")).when(F.col("ratio").isNull(), "inconclusive")
+        .when(good & fast, F.col("advance")).when(~good & ~fast, "drop").otherwise("inconclusive")
+    )
+    return rows.select("set", "stage", "kind", decision.alias("decision"))
+
+
 def cluster_means(items: DataFrame, value: str, cluster: str, by: str, lower: float, upper: float, alpha: float = 0.05) -> DataFrame:
     """AG-07, AG-35: empirical Bernstein over means of clusters whose items all have a value."""
     c = items.groupBy(by, cluster).agg(F.avg(value).alias("m"), F.bool_and(F.col(value).isNotNull()).alias("complete")).where("complete")

@@ -15,20 +15,28 @@ def outcome(status: Column) -> Column:
 
 
 def doctor_summary(runs: DataFrame, kill_rate_min: float = 0.8) -> DataFrame:
-    """AG-27, AG-28: counts by task, kill rate (null without settled mutants) and verdict."""
+    """AG-27, AG-28: counts by task, kill rate (null without settled mutants), whether it means anything, and the verdict.
+
+    A rate means something if no reference failed and some reference passed. A mutant written by hand (origin = 'hand')
+    that was to be killed and survived is unhealthy whatever the rate."""
     ref, mutant = F.col("kind") == "reference", (F.col("kind") == "mutant") & (F.col("expect") != "equivalent")
+    equivalent = (F.col("kind") == "mutant") & (F.col("expect") == "equivalent")
     done = outcome(F.col("status"))
+    by_hand = (F.col("origin") == "hand") if "origin" in runs.columns else F.lit(False)
     out = runs.groupBy("task").agg(
         F.count_if(ref).alias("references"), F.count_if(ref & (F.col("status") == "fail")).alias("failed_references"),
         F.count_if(ref & ~F.col("status").isin("fail", "pass")).alias("unsettled_references"),
         *(F.count_if(mutant & (done == k)).alias(k) for k in ("killed", "survived", "inconclusive")),
-        F.count_if((F.col("kind") == "mutant") & (F.col("expect") == "equivalent")).alias("equivalent"),
+        F.count_if(equivalent).alias("equivalent"), F.count_if(equivalent & (done == "inconclusive")).alias("unsettled_equivalent"),
+        F.count_if(mutant & by_hand & (F.col("expect") == "killed") & (done == "survived")).alias("hand_survivors"),
     ).withColumn("kill_rate", F.try_divide(F.col("killed"), F.col("killed") + F.col("survived")))
+    means = (F.col("failed_references") == 0) & (F.col("unsettled_references") < F.col("references"))
+    unsettled = F.col("kill_rate").isNull() | (F.col("unsettled_references") + F.col("inconclusive") + F.col("unsettled_equivalent") > 0)
     v = (
-        F.when(F.col("failed_references") > 0, "false-positives").when((F.col("references") == 0) | (F.col("unsettled_references") > 0), "inconclusive")
-        .when(F.col("kill_rate").isNull(), "no-mutants").when(F.col("kill_rate") < kill_rate_min, "weak").otherwise("healthy")
+        F.when((F.col("failed_references") > 0) | (F.col("hand_survivors") > 0), "unhealthy").when(~means, "inconclusive")
+        .when(F.col("kill_rate") < kill_rate_min, "unhealthy").when(unsettled, "inconclusive").otherwise("healthy")
     )
-    return out.withColumn("verdict", v)
+    return out.withColumns({"meaningful": means, "verdict": v})
 
 
 def beyond_reference(runs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.operators import agreement as ag
 from tallyforge.operators import graph, mining, pairwise, sequential, trials, verifiers
+from tallyforge.plans import records  # noqa: F401 - registers its queries
+from tallyforge.plans.registry import REGISTRY, View, query, rounded
 from tallyforge.plans.views import load, oracle
 
 FLAGSHIP = "AG02_agreement"
@@ -18,23 +20,6 @@ Z = repr(NormalDist().inv_cdf(0.975))
 KINDS = ["click", "error", "purchase", "signup", "view"]
 DAY = "1996-06-01"
 SHARES = {"clear": 0.4, "close": 0.3, "rest": 0.3}
-REGISTRY: dict[str, tuple[Callable, str | None]] = {}
-View = Callable[[str], DataFrame]
-
-
-def query(sql: str | None = None):
-    """Registers a function of the view loader under its name, with DuckDB SQL over the views."""
-
-    def add(fn: Callable[[View], DataFrame]):
-        REGISTRY[fn.__name__] = (fn, sql)
-        return fn
-
-    return add
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
 
 KAPPA = f"""
 WITH c AS (SELECT cluster, count(*) n, count(*) FILTER (first = second) same, count(*) FILTER (first = 'no') f0, count(*) FILTER (first = 'yes') f1,
@@ -141,12 +126,13 @@ def AG23_bands(v: View) -> DataFrame:
     return verifiers.derive_bands(v("band_rows"), "invariant")
 
 
-@query("""WITH c AS (SELECT task, count(*) FILTER (kind = 'reference') r, count(*) FILTER (kind = 'reference' AND status = 'fail') fr,
-count(*) FILTER (kind = 'reference' AND status NOT IN ('fail', 'pass')) ur, count(*) FILTER (kind = 'mutant' AND expect <> 'equivalent' AND status = 'fail') k,
-count(*) FILTER (kind = 'mutant' AND expect <> 'equivalent' AND status = 'pass') s, count(*) FILTER (kind = 'mutant' AND expect <> 'equivalent' AND status NOT IN ('fail', 'pass')) i,
-count(*) FILTER (kind = 'mutant' AND expect = 'equivalent') e FROM doctor_runs GROUP BY task), q AS (SELECT *, k::DOUBLE / nullif(k + s, 0) kr FROM c)
-SELECT task, r AS "references", fr AS failed_references, ur AS unsettled_references, k AS killed, s AS survived, i AS inconclusive, e AS equivalent, round(kr, 6) AS kill_rate,
-CASE WHEN fr > 0 THEN 'false-positives' WHEN r = 0 OR ur > 0 THEN 'inconclusive' WHEN kr IS NULL THEN 'no-mutants' WHEN kr < 0.8 THEN 'weak' ELSE 'healthy' END AS verdict FROM q""")
+@query("""WITH d AS (SELECT *, CASE status WHEN 'fail' THEN 'killed' WHEN 'pass' THEN 'survived' ELSE 'inconclusive' END o, kind = 'mutant' AND expect = 'equivalent' eq,
+kind = 'mutant' AND expect <> 'equivalent' mu FROM doctor_runs), c AS (SELECT task, count(*) FILTER (kind = 'reference') r, count(*) FILTER (kind = 'reference' AND status = 'fail') fr,
+count(*) FILTER (kind = 'reference' AND status NOT IN ('fail', 'pass')) ur, count(*) FILTER (mu AND o = 'killed') k, count(*) FILTER (mu AND o = 'survived') s, count(*) FILTER (mu AND o = 'inconclusive') i,
+count(*) FILTER (eq) e, count(*) FILTER (eq AND o = 'inconclusive') ue, count(*) FILTER (mu AND origin = 'hand' AND o = 'survived') h FROM d GROUP BY task), q AS (SELECT *, k::DOUBLE / nullif(k + s, 0) kr FROM c)
+SELECT task, r AS "references", fr AS failed_references, ur AS unsettled_references, k AS killed, s AS survived, i AS inconclusive, e AS equivalent, ue AS unsettled_equivalent, h AS hand_survivors,
+round(kr, 6) AS kill_rate, fr = 0 AND ur < r AS meaningful, CASE WHEN fr > 0 OR h > 0 THEN 'unhealthy' WHEN ur >= r THEN 'inconclusive' WHEN kr < 0.8 THEN 'unhealthy'
+WHEN kr IS NULL OR ur + i + ue > 0 THEN 'inconclusive' ELSE 'healthy' END AS verdict FROM q""")
 def AG27_doctor(v: View) -> DataFrame:
     return verifiers.doctor_summary(v("doctor_runs"))
 

@@ -25,7 +25,7 @@ VIEWS = {
     "doctor_runs": """SELECT p_brand AS task, CASE WHEN p_size % 4 = 0 THEN 'reference' ELSE 'mutant' END AS kind,
         CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 97 = 0 THEN 'fail' ELSE 'pass' END
              WHEN p_partkey % 5 = 0 THEN 'pass' WHEN p_partkey % 11 = 1 THEN 'timeout' ELSE 'fail' END AS status,
-        CASE WHEN p_partkey % 13 = 0 THEN 'equivalent' ELSE 'killed' END AS expect, p_size % 7 AS band FROM {part}""",
+        CASE WHEN p_partkey % 13 = 0 THEN 'equivalent' ELSE 'killed' END AS expect, CASE WHEN p_partkey % 60 = 5 THEN 'hand' ELSE 'generated' END AS origin, p_size % 7 AS band FROM {part}""",
     "band_rows": """SELECT o_custkey AS invariant, o_totalprice AS value, o_totalprice * 0.02 AS ci_half FROM {orders}""",
     "candidates": """SELECT concat('r', CAST(floor(event_id / 3) AS VARCHAR(20))) AS run_id, event_id % 3 AS proposer_id, user_id % 12 AS task_id,
         CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'no_diff' ELSE 'timeout' END
@@ -53,6 +53,33 @@ VIEWS = {
     "edges": """SELECT concat('n', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('n', CAST(1 + (l_partkey * 7 + l_suppkey) % 1000 AS VARCHAR(20))) AS dst,
         CASE l_partkey % 9 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'enforces' WHEN 2 THEN 'premise' WHEN 3 THEN 'deviates-from' WHEN 4 THEN 'counterexample'
              WHEN 5 THEN 'interop' WHEN 6 THEN 'predicts' WHEN 7 THEN 'validates' ELSE 'about' END AS name FROM {lineitem}""",
+    "judged": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, event_id % 3 AS seed,
+        CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'no_candidate' ELSE 'selected' END AS outcome,
+        CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN user_id % 3 = 0 THEN 'a' WHEN user_id % 3 = 1 THEN 'b' ELSE 'c' END AS candidate,
+        CASE WHEN event_type = 'signup' THEN CASE user_id % 4 WHEN 0 THEN 'invalid_output' WHEN 1 THEN NULL ELSE 'all_draws' END
+             WHEN user_id % 5 = 1 THEN 'condorcet winner' WHEN user_id % 5 = 2 THEN 'copeland score' ELSE NULL END AS reason,
+        CASE WHEN user_id % 7 = 0 THEN 'unanimous' ELSE NULL END AS consensus, CASE WHEN user_id % 4 = 3 THEN 'shorter' ELSE NULL END AS tie_break,
+        CAST(floor(value * 10) AS BIGINT) AS latency_ms FROM {events}""",
+    "judged_again": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, event_id % 3 AS seed,
+        CASE event_type WHEN 'signup' THEN 'no_candidate' ELSE 'selected' END AS outcome,
+        CASE WHEN event_type = 'signup' THEN NULL WHEN user_id % 3 = 0 OR value > 90 THEN 'a' WHEN user_id % 3 = 1 THEN 'b' ELSE 'c' END AS candidate
+        FROM {events} WHERE value > 5""",
+    "human_labels": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, concat('h', CAST(user_id % 5 AS VARCHAR(9))) AS labeler,
+        CASE user_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'tie' END AS choice FROM {events} WHERE event_type IN ('view', 'click')""",
+    "gold": """SELECT o_orderkey AS item, CASE o_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'tie' END AS gold,
+        CASE o_custkey % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'clear' ELSE NULL END AS margin_stratum, CASE WHEN o_custkey % 5 = 0 THEN 'task' ELSE NULL END AS task_stratum FROM {orders}""",
+    "orders_judged": """SELECT o_custkey AS item, o_orderkey AS pair_id, l_linenumber AS ord, CASE WHEN l_linenumber = 1 THEN 'a' ELSE 'b' END AS first,
+        CASE WHEN l_linenumber = 1 THEN 'b' ELSE 'a' END AS second, CASE CAST(l_quantity AS BIGINT) % 5 WHEN 0 THEN 'tie' WHEN 1 THEN 'first' WHEN 2 THEN 'first' ELSE 'second' END AS choice,
+        CASE WHEN o_custkey % 3 = 0 THEN 'disagree' ELSE NULL END AS draw_reason FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber <= 2""",
+    "calibrations": """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS window_to, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000000 END AS human_kappa,
+        CASE WHEN o_custkey % 3 = 0 THEN 'unmeasured' WHEN o_totalprice > 200000 THEN 'yes' ELSE 'no' END AS verdict FROM {orders}""",
+    "saved_runs": """SELECT p_partkey AS run, p_brand AS model, p_type AS suite, p_size % 5 AS seeds FROM {part} WHERE p_size > 3""",
+    "wanted_runs": """SELECT p_partkey AS run, CASE WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS model, p_type AS suite, p_size % 10 AS seeds FROM {part}""",
+    "band_obs": """SELECT CAST(s_nationkey % 3 AS VARCHAR(9)) AS task, s_nationkey AS run_id, concat('i', CAST(s_suppkey % 4 AS VARCHAR(9))) AS invariant,
+        CASE WHEN s_nationkey % 3 = 1 AND s_suppkey % 5 = 0 THEN 'r2' ELSE 'r1' END AS rev FROM {supplier}""",
+    "user_sets": """SELECT user_id, event_type, CASE WHEN value > 20 THEN 'left' ELSE 'right' END AS side FROM {events}""",
+    "errors": """SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN '  status 413:   payload  ' WHEN 2 THEN 'HTTP 400: maximum context length'
+        WHEN 3 THEN 'HTTP 401' WHEN 4 THEN 'read: connection reset' ELSE concat('HTTP 418 ', props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props) END AS error FROM {events}""",
 }
 
 
