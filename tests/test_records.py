@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import matching, trials, validity, verifiers
+from tallyforge.operators import matching, pairwise, trials, validity, verifiers
 from tallyforge.sources import readers, writers
 
 JUDGED = "outcome string, consensus string, reason string, tie_break string"
@@ -92,3 +92,18 @@ def test_report_and_documents(spark, tmp_path):
     back = readers.frontmatter(spark, str(tmp_path / "d" / "kind=edit")).first()
     assert back.attrs["id"] == "he-1" and back.list_attrs["touches"] == ["x", "y"] and back.body.strip() == "Body | text"
     assert writers.markdown_table(df.select("id", "body")).first().line == "| he-1 | Body \\| text |"
+
+
+def test_bradley_terry_is_where_wins_are_as_expected(spark):
+    """At the fit, each system's expected wins equal its wins (with half a win each way on every pair, met or not)."""
+    rows = [("g", "a", "b", 5, 1, 2, 1), ("g", "b", "c", 3, 2, 0, 1), ("g", "a", "d", 1, 4, 1, 1)]
+    t = spark.createDataFrame(rows, "grp string, low string, high string, low_wins long, high_wins long, ties long, labelers long")
+    s = {r.system: r.strength for r in pairwise.bradley_terry(t, rounds=2000).collect()}
+    wins = {(x, y): 0.5 for x in "abcd" for y in "abcd" if x != y}
+    for _, low, high, w, l, ties, _ in rows:
+        wins[low, high] += w + ties / 2
+        wins[high, low] += l + ties / 2
+    for x in "abcd":
+        expected = sum((wins[x, y] + wins[y, x]) * s[x] / (s[x] + s[y]) for y in "abcd" if y != x)
+        assert expected == pytest.approx(sum(wins[x, y] for y in "abcd" if y != x), abs=1e-6)
+    assert s["a"] * s["b"] * s["c"] * s["d"] == pytest.approx(1)
