@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import matching, pairwise, trials, validity, verifiers
+from tallyforge.operators import matching, pairwise, sequential, trials, validity, verifiers
 from tallyforge.sources import readers, writers
 
 JUDGED = "outcome string, consensus string, reason string, tie_break string"
@@ -107,3 +107,9 @@ def test_bradley_terry_is_where_wins_are_as_expected(spark):
         expected = sum((wins[x, y] + wins[y, x]) * s[x] / (s[x] + s[y]) for y in "abcd" if y != x)
         assert expected == pytest.approx(sum(wins[x, y] for y in "abcd" if y != x), abs=1e-6)
     assert s["a"] * s["b"] * s["c"] * s["d"] == pytest.approx(1)
+
+
+def test_promote_needs_both_splits_and_one_improvement(spark):
+    for held_in, held_out, want in (("improve", "hold", True), ("hold", "improve", True), ("hold", "hold", False), ("improve", "regress", False), ("improve", None, False)):
+        rows = [(s, v) for s, v in (("held-in", held_in), ("held-out", held_out)) if v]
+        assert sequential.promote(spark.createDataFrame(rows, "split string, verdict string")).first().promote is want, (held_in, held_out)
