@@ -46,7 +46,9 @@ class PieceCounter(dict):
         if "\n" in self.rank:
             raise ValueError("line feeds are expected to fall back to bytes")
         self.stops = "".join(c for c in ".,!|" if not any(b == c and a.isalpha() for a, b in joined))
-        self.before_stop = re.compile(rf"(?<=[^\W\d_])([{re.escape(self.stops)}])") if self.stops else None
+        # the cut's class also has numerics that are no letters (superscripts, fractions); those that stand before a stop in a piece are left out
+        joins = re.escape("".join(sorted({a for a, b in joined if b in self.stops and re.match(r"[^\W\d_]", a)})))
+        self.before_stop = re.compile(rf"(?<=[^\W\d_{joins}])([{re.escape(self.stops)}])") if self.stops else None
 
     def __missing__(self, part: str) -> int:
         n = self.merged(part)
