@@ -23,6 +23,8 @@ DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.8}
 #: Rakes over all dimensions; rounds between written tables; expected share of all tokens that is drawn.
 ROUNDS, WRITE_EVERY, SHARE, SEED = 12, 4, 0.5, "mix"
+#: The largest miss of a target share at which raking to a residual ends, and its rounds at the most.
+TOLERANCE, MOST_ROUNDS = 0.001, 48
 #: Cells up to this number are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_CELLS = 50_000
 NONE = "(none)"
@@ -47,8 +49,16 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def rake(cells: DataFrame, where: str, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """cells: DIMS and tokens. Adds weight, whose sums by each dimension approach the targets; they sum to 1."""
+def residual(cells: DataFrame) -> float:
+    """The largest difference of a category's weight from its target; the last dimension raked has none."""
+    worst = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("off")).select("off") for d in DIMS[:-1]]
+    return worst[0].union(worst[1]).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, where: str, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """cells: DIMS and tokens. Adds weight, whose sums by each dimension approach the targets; they sum to 1.
+
+    A tolerance adds rounds, up to MOST_ROUNDS, until each sum is that near to its target."""
     total = F.sum("tokens").over(Window.partitionBy())
     targets = {}
     for d in DIMS:
@@ -59,17 +69,34 @@ def rake(cells: DataFrame, where: str, temper: dict[str, float] = TEMPER, rounds
     for d in DIMS:
         out = out.join(targets[d], d)
     out = stash(out, f"{where}/cells-0")
-    for k in range(1, rounds + 1):
+    for k in range(1, (rounds if tolerance is None else max(rounds, MOST_ROUNDS)) + 1):
         for d in DIMS:
             out = out.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
         if k % WRITE_EVERY == 0 or k == rounds:
             out = stash(out, f"{where}/cells-{k}")
+        if tolerance is not None and k >= rounds and k % WRITE_EVERY == 0 and residual(out) <= tolerance:
+            break
     return out
 
 
+def marginals(drawn: DataFrame, temper: dict[str, float] = TEMPER) -> DataFrame:
+    """dimension, category, target and reached (its part of the tokens drawn). drawn: DIMS, n_tokens and copies, as of mix()."""
+    parts = []
+    for d in DIMS:
+        sums = drawn.where("n_tokens > 0").groupBy(F.col(d).alias("category")).agg(F.sum("n_tokens").alias("s"), F.sum(F.col("n_tokens") * F.col("copies")).alias("c"))
+        powered, whole = F.pow(F.col("s").cast("double"), F.lit(temper[d])), Window.partitionBy()
+        parts.append(sums.select(F.lit(d).alias("dimension"), "category", (powered / F.sum(powered).over(whole)).alias("target"), (F.col("c") / F.sum("c").over(whole)).alias("reached")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, share: float = SHARE, seed: str = SEED,
-        temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, source, lang, topic, n_tokens, p and kept of every document."""
+        temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",), copies: bool = False) -> DataFrame:
+    """The columns of keep, source, lang, topic, n_tokens, p and kept of every document.
+
+    With copies, p may pass 1 and a column copies says how often a document is drawn: as often as p is whole, and
+    once more with the probability that is left, so that the marginals raked are those drawn; raking goes on until
+    they are within TOLERANCE. Without it, p is cut at 1 and the marginals drawn miss the targets by what is cut
+    (op6_mixing has that cut, as its SQL does)."""
     where = shared_dir(docs.sparkSession)
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     text = F.col("text")
@@ -78,17 +105,19 @@ def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = No
         named(default_topic(text) if topic is None else topic).alias("_topic"), (estimated_tokens(text) if tokens is None else tokens).alias("n_tokens"),
     )
     sums = rows.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
-    cells = rake(stash(sums, f"{where}/sums"), where, temper, rounds)
+    cells = rake(stash(sums, f"{where}/sums"), where, temper, rounds, TOLERANCE if copies else None)
     whole = F.sum("tokens").over(Window.partitionBy())
-    rates = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("weight") * F.lit(share) * whole / F.col("tokens")).alias("rate"))
+    rate = F.col("weight") * F.lit(share) * whole / F.col("tokens")
+    rates = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), (rate if copies else F.least(F.lit(1.0), rate)).alias("rate"))
     rates = stash(rates, f"{where}/rates")
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
     joined = rows.join(rates, [f"_{d}" for d in DIMS], "left").withColumn("_p", p)
+    drawn = uniform(F.col("_id"), seed) < F.col("_p")
+    times = F.floor("_p") + (uniform(F.col("_id"), seed) < F.col("_p") - F.floor("_p")).cast("long")
     return joined.select(
-        *keep, *(F.col(f"_{d}").alias(d) for d in DIMS if d not in keep), "n_tokens", F.round("_p", 6).alias("p"),
-        (uniform(F.col("_id"), seed) < F.col("_p")).alias("kept"),
+        *keep, *(F.col(f"_{d}").alias(d) for d in DIMS if d not in keep), "n_tokens", F.round("_p", 6).alias("p"), drawn.alias("kept"), *([times.alias("copies")] if copies else []),
     )
 
 
