@@ -5,9 +5,10 @@ sorted by that index (range partitions, never one task), and the order is cut in
 count: the `rows` law. Neighbours on the curve are near in every dimension, so a shard's ranges are
 narrow in all of them and files can be passed over by any. Only numbers are shuffled, not texts.
 
-Defined cases: a null text has size 1 and checksum 0 as an empty one; null metadata fall in cell 0;
-equal texts with equal metadata stay adjacent; ties go by checksum, then doc_id; repeated rows each
-give a row; an empty table gives an empty result; extra columns are ignored unless asked for.
+Defined cases: a null text has size 1 and checksum 0 as an empty one; a very long text counts whole;
+null metadata fall in cell 0; equal texts with equal metadata stay adjacent; ties go by checksum, then
+doc_id; repeated rows each give a row; an empty table gives an empty result; extra columns are ignored
+unless asked for, and in written shards a column named like one of theirs gets the prefix doc__.
 """
 
 from __future__ import annotations
@@ -93,7 +94,11 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, keep: tuple[str, ...] = ("do
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes whole documents by shard in curve order; each file then holds a narrow range of every dimension."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
+    """Writes whole documents by shard, in slot order within each file. Texts are shuffled once, into curve order, so
+    that a file holds a run of the curve and thereby a narrow range of every dimension."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")
+    placed = shards(docs.select("doc_id", "text", "lang", "source", whole), n_shards, keep=("doc_id", "__doc"))
+    own = ("shard", "slot", "curve_index")
+    rows = placed.select(*own, *(F.col(f"__doc.`{c}`").alias(f"doc__{c}" if c in own else c) for c in docs.columns))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

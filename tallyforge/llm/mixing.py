@@ -1,34 +1,43 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed into cells of source, language and topic. The cells' weights are raked to the
-target share of each dimension in turn until `rounds` have passed, and every document of a cell is
-then drawn with the cell's calibrated probability, against a uniform number from its doc_id's MD5.
-Only the cell table is iterated on, never the documents.
+Tokens are summed into cells of source, language and topic. Each dimension has a factor for each of
+its categories; a cell's weight is its share of all tokens times its three factors. In turn a
+dimension's factors are set so that its categories' weights are their targets, for `rounds` rounds:
+grouped sums over the cell table, whose partial sums are taken before the shuffle, so neither a large
+category nor a long list of sources meets in one task. Every document of a cell is then drawn with the
+cell's calibrated rate: as many whole copies as the rate has, and one more with the probability that is
+left, against a uniform number from its doc_id's MD5. So the targets are met where a cell holds less
+than is asked of it, too. Only the cell table is iterated on, never the documents.
 
 Defined cases: null source, language or topic are categories of their own, `(none)`; null and empty
-texts have no tokens, are left out of the fit and never drawn; repeated rows are drawn alike;
-targets are renewed over the categories that have tokens; an empty table gives an empty result;
-extra columns pass through where keep names them.
+texts have no tokens, are left out of the fit and never drawn; very long texts count whole; repeated rows
+are drawn alike; targets are renewed over the categories that have tokens, and a category that given
+targets do not name is not drawn; an empty table gives an empty result; extra columns pass through where
+keep names them, and none of them may be named like the result's own columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import shared_dir, stash
 
 DIMS = ("source", "lang", "topic")
-#: A dimension's target shares are its token shares to this power, scaled to 1: under 1, large categories give way.
+#: A dimension's default target shares are its token shares to this power, scaled to 1: under 1, large categories give way.
 TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.8}
-#: Rakes over all dimensions; rounds between written tables; expected share of all tokens that is drawn.
-ROUNDS, WRITE_EVERY, SHARE, SEED = 12, 4, 0.5, "mix"
-#: The largest miss of a target share at which raking to a residual ends, and its rounds at the most.
-TOLERANCE, MOST_ROUNDS = 0.001, 48
-#: Cells up to this number are broadcast (about 100 bytes each); more are joined by shuffle.
+#: Rakes over all dimensions (a round takes the largest miss of a target to about a tenth; marginals() tells what is left);
+#: expected share of all tokens that is drawn.
+ROUNDS, SHARE, SEED = 5, 0.5, "mix"
+#: Cells, or categories of a dimension, up to this number are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_CELLS = 50_000
 NONE = "(none)"
 
+#: Target weights of a dimension: by category, or a table of category and weight.
+Targets = Mapping[str, float] | DataFrame
+
 
 def default_topic(text: Column) -> Column:
     """A coarse kind of text: tables, marked-up junk, capitals, license notices, or prose."""
@@ -49,54 +58,60 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def residual(cells: DataFrame) -> float:
-    """The largest difference of a category's weight from its target; the last dimension raked has none."""
-    worst = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.first(f"target_{d}")).alias("off")).select("off") for d in DIMS[:-1]]
-    return worst[0].union(worst[1]).agg(F.max("off")).first()[0] or 0.0
+def target_shares(cells: DataFrame, d: str, temper: float, given: Targets | None) -> DataFrame:
+    """d and its target, over the categories that have tokens; the targets sum to 1."""
+    sums = cells.groupBy(d).agg(F.sum("tokens").alias("s"))
+    if given is None:
+        rated = sums.select(d, F.pow(F.col("s").cast("double"), F.lit(temper)).alias("asked"))
+    else:
+        asked = given.toDF("category", "asked") if isinstance(given, DataFrame) else cells.sparkSession.createDataFrame([*given.items()], "category string, asked double")
+        rated = sums.join(asked, F.col(d) == F.col("category"), "left").select(d, F.coalesce(F.col("asked").cast("double"), F.lit(0.0)).alias("asked"))
+    whole = rated.agg(F.sum("asked")).first()[0] or 1.0
+    return rated.select(d, (F.col("asked") / F.lit(whole)).alias("target"))
 
 
-def rake(cells: DataFrame, where: str, temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
-    """cells: DIMS and tokens. Adds weight, whose sums by each dimension approach the targets; they sum to 1.
-
-    A tolerance adds rounds, up to MOST_ROUNDS, until each sum is that near to its target."""
-    total = F.sum("tokens").over(Window.partitionBy())
-    targets = {}
-    for d in DIMS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("s"))
-        powered = F.pow(F.col("s").cast("double"), F.lit(temper[d]))
-        targets[d] = sums.select(d, (powered / F.sum(powered).over(Window.partitionBy())).alias(f"target_{d}"))
-    out = cells.withColumn("weight", F.col("tokens") / total)
+def rake(cells: DataFrame, where: str, temper: Mapping[str, float] = TEMPER, targets: Mapping[str, Targets] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """cells: DIMS and tokens. Adds weight, whose sums by each dimension approach the targets."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    asked, few = {}, {}
     for d in DIMS:
-        out = out.join(targets[d], d)
-    out = stash(out, f"{where}/cells-0")
-    for k in range(1, (rounds if tolerance is None else max(rounds, MOST_ROUNDS)) + 1):
+        asked[d] = stash(target_shares(cells, d, temper[d], (targets or {}).get(d)), f"{where}/target-{d}")
+        few[d] = asked[d].count() <= BROADCAST_CELLS
+    factors = {d: asked[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMS}
+    small = lambda d, df: F.broadcast(df) if few[d] else df
+
+    def weighted(dims: tuple[str, ...]) -> DataFrame:
+        out, weight = cells, F.col("tokens") / F.lit(total)
+        for d in dims:
+            out, weight = out.join(small(d, factors[d]), d), weight * F.col(f"f_{d}")
+        return out.select(*DIMS, "tokens", weight.alias("weight"))
+
+    for k in range(rounds):
         for d in DIMS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-        if k % WRITE_EVERY == 0 or k == rounds:
-            out = stash(out, f"{where}/cells-{k}")
-        if tolerance is not None and k >= rounds and k % WRITE_EVERY == 0 and residual(out) <= tolerance:
-            break
-    return out
+            held = weighted(tuple(x for x in DIMS if x != d)).groupBy(d).agg(F.sum("weight").alias("held"))
+            factor = F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0)
+            factors[d] = stash(held.join(small(d, asked[d]), d).select(d, factor.alias(f"f_{d}")), f"{where}/factor-{k}-{d}")
+    return weighted(DIMS)
 
 
-def marginals(drawn: DataFrame, temper: dict[str, float] = TEMPER) -> DataFrame:
-    """dimension, category, target and reached (its part of the tokens drawn). drawn: DIMS, n_tokens and copies, as of mix()."""
-    parts = []
+def marginals(drawn: DataFrame, temper: Mapping[str, float] = TEMPER, targets: Mapping[str, Targets] | None = None) -> DataFrame:
+    """dimension, category, target, expected and reached: parts of the tokens drawn, by rate and in fact. drawn: as of mix()."""
+    parts = None
+    rows = drawn.where("n_tokens > 0").withColumn("tokens", F.col("n_tokens"))
     for d in DIMS:
-        sums = drawn.where("n_tokens > 0").groupBy(F.col(d).alias("category")).agg(F.sum("n_tokens").alias("s"), F.sum(F.col("n_tokens") * F.col("copies")).alias("c"))
-        powered, whole = F.pow(F.col("s").cast("double"), F.lit(temper[d])), Window.partitionBy()
-        parts.append(sums.select(F.lit(d).alias("dimension"), "category", (powered / F.sum(powered).over(whole)).alias("target"), (F.col("c") / F.sum("c").over(whole)).alias("reached")))
-    return parts[0].union(parts[1]).union(parts[2])
+        sums = rows.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("e"), F.sum(F.col("tokens") * F.col("copies")).alias("c"))
+        e, c = sums.agg(F.sum("e"), F.sum("c")).first()
+        got = target_shares(rows, d, temper[d], (targets or {}).get(d)).join(sums, d)
+        part = got.select(F.lit(d).alias("dimension"), F.col(d).alias("category"), "target", (F.col("e") / F.lit(e or 1)).alias("expected"), (F.col("c") / F.lit(c or 1)).alias("reached"))
+        parts = part if parts is None else parts.union(part)
+    return parts
 
 
-def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, share: float = SHARE, seed: str = SEED,
-        temper: dict[str, float] = TEMPER, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",), copies: bool = False) -> DataFrame:
-    """The columns of keep, source, lang, topic, n_tokens, p and kept of every document.
+def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, share: float = SHARE, seed: str = SEED, temper: Mapping[str, float] = TEMPER,
+        targets: Mapping[str, Targets] | None = None, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, source, lang, topic, n_tokens, p (the rate), copies and kept of every document.
 
-    With copies, p may pass 1 and a column copies says how often a document is drawn: as often as p is whole, and
-    once more with the probability that is left, so that the marginals raked are those drawn; raking goes on until
-    they are within TOLERANCE. Without it, p is cut at 1 and the marginals drawn miss the targets by what is cut
-    (op6_mixing has that cut, as its SQL does)."""
+    targets gives the weights of a dimension's categories; a dimension without any takes its token shares, tempered."""
     where = shared_dir(docs.sparkSession)
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     text = F.col("text")
@@ -105,24 +120,22 @@ def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = No
         named(default_topic(text) if topic is None else topic).alias("_topic"), (estimated_tokens(text) if tokens is None else tokens).alias("n_tokens"),
     )
     sums = rows.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
-    cells = rake(stash(sums, f"{where}/sums"), where, temper, rounds, TOLERANCE if copies else None)
-    whole = F.sum("tokens").over(Window.partitionBy())
-    rate = F.col("weight") * F.lit(share) * whole / F.col("tokens")
-    rates = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), (rate if copies else F.least(F.lit(1.0), rate)).alias("rate"))
-    rates = stash(rates, f"{where}/rates")
+    cells = stash(sums, f"{where}/cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    rate = (F.col("weight") * F.lit(share) * F.lit(total) / F.col("tokens")).alias("rate")
+    rates = stash(rake(cells, where, temper, targets, rounds).select(*(F.col(d).alias(f"_{d}") for d in DIMS), rate), f"{where}/rates")
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
     joined = rows.join(rates, [f"_{d}" for d in DIMS], "left").withColumn("_p", p)
-    drawn = uniform(F.col("_id"), seed) < F.col("_p")
-    times = F.floor("_p") + (uniform(F.col("_id"), seed) < F.col("_p") - F.floor("_p")).cast("long")
+    copies = (F.floor("_p") + (uniform(F.col("_id"), seed) < F.col("_p") - F.floor("_p")).cast("long")).cast("long")
     return joined.select(
-        *keep, *(F.col(f"_{d}").alias(d) for d in DIMS if d not in keep), "n_tokens", F.round("_p", 6).alias("p"), drawn.alias("kept"), *([times.alias("copies")] if copies else []),
+        *keep, *(F.col(f"_{d}").alias(d) for d in DIMS if d not in keep), "n_tokens", F.round("_p", 6).alias("p"), copies.alias("copies"), (copies > 0).alias("kept"),
     )
 
 
 def oracle_sql() -> str:
-    """mix() with its defaults over the view documents, for DuckDB."""
+    """mix() with its defaults over the view documents, for DuckDB: weights are raked as they stand, without factors."""
     named = lambda x: f"coalesce({x}, '{NONE}')"
     topic = (
         "CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '###') OR contains(text, '***') THEN 'marked' "
@@ -145,7 +158,7 @@ c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens F
 c0 AS MATERIALIZED (SELECT c.*, tokens / sum(tokens) OVER () AS weight, target_source, target_lang, target_topic
     FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
 {", ".join(steps)},
-rates AS (SELECT source, lang, topic, least(1.0, weight * {SHARE} * (sum(tokens) OVER ())::DOUBLE / tokens) AS rate FROM {last}),
-j AS (SELECT r.*, CASE WHEN n_tokens > 0 THEN coalesce(rate, 0.0) ELSE 0.0 END AS q FROM r LEFT JOIN rates USING (source, lang, topic))
-SELECT doc_id, source, lang, topic, n_tokens, round(q, 6) AS p,
-    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < q AS kept FROM j"""
+rates AS (SELECT source, lang, topic, weight * {SHARE} * (sum(tokens) OVER ())::DOUBLE / tokens AS rate FROM {last}),
+j AS (SELECT r.*, CASE WHEN n_tokens > 0 THEN coalesce(rate, 0.0) ELSE 0.0 END AS q FROM r LEFT JOIN rates USING (source, lang, topic)),
+k AS (SELECT *, floor(q)::BIGINT + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < q - floor(q) THEN 1 ELSE 0 END AS copies FROM j)
+SELECT doc_id, source, lang, topic, n_tokens, round(q, 6) AS p, copies::BIGINT AS copies, copies > 0 AS kept FROM k"""

@@ -1,11 +1,12 @@
 """Quality rules: a decision list learned by sequential covering from labelled statistics.
 
 Statistics of every whole text are taken in one pass and written as a small table. The rules are
-grown and pruned on a bounded, hash-ordered sample of its labelled rows, and are applied to all
-rows as one ordered Spark conditional expression.
+grown and pruned on a bounded sample of its labelled rows, those whose hashes lie below a threshold
+that follows from their number, and are applied to all rows as one ordered Spark conditional expression.
 
-Defined cases: a null text has no words (all statistics 0, base_failed); repeated rows and doc_ids
-each give a row; a doc_id whose labels contradict each other, or are null, is not learned from;
+Defined cases: a null text has no words (all statistics 0, base_failed); very long texts are judged whole;
+repeated rows and doc_ids each give a row, and equal ones are learned from once; a doc_id whose labels
+contradict each other, or are null, is not learned from; ties of gain go to the first feature and threshold;
 with no labels (or one class only) the list is empty and every document that passes the base
 checks is kept; an empty table gives an empty result; extra columns are ignored.
 """
@@ -26,7 +27,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 STATS_SCHEMA = "doc_id long, " + ", ".join(f"{x} long" for x in STATS)
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
-#: Most labelled rows that rules are learned from.
+#: Labelled rows that rules are learned from (expected number; by binomial spread at most a few per cent more).
 SAMPLE_ROWS = 100_000
 #: Ratios that conditions test, each from the statistics by the same expression in Spark and numpy.
 FEATURES = {
@@ -199,18 +200,18 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learns from at most sample_rows labelled rows: those whose hashes of doc_id are least."""
+    """Learns from about sample_rows labelled rows: those whose hashes lie in the lowest share of that size.
+
+    The share is applied on the executors, so that the driver receives the sample and no more."""
     agreed = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"))
     )
-    rows = (
-        stats.join(agreed.where("q = q2"), "doc_id")
-        .select(*STATS, "q", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", *STATS)
-        .limit(sample_rows)
-        .toPandas()
-    )
-    return learn({x: rows[x].to_numpy() for x in STATS}, (rows["q"] == 0).to_numpy())
+    rows = stats.join(agreed.where("q = q2"), "doc_id").select(*STATS, "q", "doc_id").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", *STATS), 11) / F.lit(float(2**53))
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    sample = rows.where(place < share).toPandas().sort_values(["doc_id", *STATS], ignore_index=True)
+    sample = sample.sample(frac=1, random_state=0)  # the rows held apart for pruning are then no pattern of doc_ids
+    return learn({x: sample[x].to_numpy() for x in STATS}, (sample["q"] == 0).to_numpy())
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
