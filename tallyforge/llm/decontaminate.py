@@ -3,15 +3,20 @@
 The index holds (term, document row, position) of every training token that some benchmark item
 uses, written in segments: each scan task sorts its own postings by term, so that readers of a few
 terms pass over most row groups, and nothing is shuffled to build it. A document's end is a posting
-of term 0, whose position is the number of words. A phrase search starts at the rarest terms: each
-window of an item lists its two rarest, their postings less the terms' offsets are the places where
-the item may stand, places met by two such terms are intersected with the postings of all the item's
-other terms, and runs of matched offsets as long as a window are exact hits.
-
-Defined cases: null texts have no words; items without words match nothing; rows are judged one by
-one, so repeated rows and doc_ids each give a row; items of one item_id count once, and a null
-item_id reads as an empty string; empty documents or benchmark give empty or all-clean results; extra
-columns are ignored.
+of term 0, whose position is the number of words. Searches start at the rarest terms.
+
+Phrases: each window of an item lists its two rarest places, their postings less the terms' offsets are
+where the item may stand, places met by two such terms are intersected with the postings of all the
+item's other terms, and runs of matched offsets as long as a window are exact hits.
+
+Proximity: a window's terms, in any order, within SPAN consecutive words. Postings of its two rarest
+terms that are nearer than that are found by blocks of SPAN words, and only there are the postings of
+its other terms read; so a frequent term is never paired with others.
+
+Defined cases: null texts have no words; very long texts are searched whole; items without words match
+nothing; rows are judged one by one, so repeated rows and doc_ids each give a row; items of one item_id
+count once, and a null item_id reads as an empty string; equally rare terms are taken by place, or by
+number; empty documents or benchmark give empty or all-clean results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import ascii_lower, shared_dir, stash
 
 WINDOW = 13
+#: Consecutive words that hold all terms of a window in a proximity match.
+SPAN = 20
+#: Parts into which the postings of a term are dealt where its other side is too large to broadcast.
+SALTS = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of a side that is broadcast, by a count taken first (at most about 50 bytes each); larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -36,17 +45,25 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def join_terms(index: DataFrame, side: DataFrame) -> DataFrame:
+    """index joined with side on term; a side that is not broadcast is laid out SALTS times, so that no term's postings meet in one task."""
+    if side.count() <= BROADCAST_ROWS:
+        return index.join(F.broadcast(side), "term")
+    dealt = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return index.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"]).drop("salt")
+
+
 class Items:
     """The benchmark's terms: item (a number), offset and term number; as many rows as the benchmark has words."""
 
     def __init__(self, benchmark: DataFrame, where: str) -> None:
         texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("words"))
         texts = texts.where(F.size("words") > 0).distinct()
-        self.items = stash(texts.withColumn("item", F.row_number().over(Window.orderBy("item_id", "words"))), f"{where}/items")
+        self.items = stash(texts.withColumn("item", F.monotonically_increasing_id()), f"{where}/items")
         flat = self.items.select("item", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
         terms = flat.select("word").distinct()
-        numbered = terms.withColumn("term", F.row_number().over(Window.orderBy("word")))
-        end = flat.sparkSession.createDataFrame([("", 0)], "word string, term int")
+        numbered = terms.withColumn("term", F.monotonically_increasing_id() + 1)
+        end = flat.sparkSession.createDataFrame([("", 0)], "word string, term long")
         self.vocabulary = stash(numbered.union(end), f"{where}/vocabulary")
         self.terms = stash(flat.join(self.vocabulary, "word").select("item", "len", "off", "term"), f"{where}/terms")
 
@@ -59,21 +76,25 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, where: str) -> DataFrame
     return stash(found.sortWithinPartitions("term", "row", "pos"), f"{where}/index")
 
 
-def rare_offsets(terms: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of each window that can occur, its two rarest offsets: item, off, term, need."""
+def window_terms(terms: DataFrame, index: DataFrame, where: str, window: int = WINDOW) -> DataFrame:
+    """item, start, len, off, term and often (its postings) of every window of every item."""
     often = index.where("term > 0").groupBy("term").agg(F.count("*").alias("often"))
     rated = terms.join(often, "term", "left").withColumn("often", F.coalesce("often", F.lit(0)))
     starts = F.sequence(F.greatest(F.lit(0), F.col("off") - (window - 1)), F.least(F.col("off"), F.greatest(F.lit(0), F.col("len") - window)))
-    spread = rated.withColumn("start", F.explode(starts))
+    return stash(rated.withColumn("start", F.explode(starts)), f"{where}/windows")
+
+
+def rare_offsets(windows: DataFrame) -> DataFrame:
+    """Of each window that can occur, its two rarest offsets: item, off, term, need."""
     w = Window.partitionBy("item", "start")
-    ranked = spread.withColumn("rank", F.row_number().over(w.orderBy("often", "off"))).withColumn("least", F.min("often").over(w))
+    ranked = windows.withColumn("rank", F.row_number().over(w.orderBy("often", "off"))).withColumn("least", F.min("often").over(w))
     return ranked.where("rank <= 2 and least > 0").select("item", "off", "term", F.least(F.lit(2), F.col("len")).alias("need")).distinct()
 
 
-def phrase_hits(items: Items, index: DataFrame, where: str, window: int = WINDOW) -> DataFrame:
+def phrase_hits(items: Items, windows: DataFrame, index: DataFrame, where: str, window: int = WINDOW) -> DataFrame:
     """Exact hits: row, item_id, start and n_words of every longest run of an item's words that holds a window."""
-    rare = stash(rare_offsets(items.terms, index, window), f"{where}/rare")
-    at = index.where("term > 0").join(sized(rare), "term").select("row", "item", (F.col("pos") - F.col("off")).alias("shift"), "off", "need")
+    rare = stash(rare_offsets(windows), f"{where}/rare")
+    at = join_terms(index.where("term > 0"), rare).select("row", "item", (F.col("pos") - F.col("off")).alias("shift"), "off", "need")
     met = at.groupBy("row", "item", "shift").agg(F.array_sort(F.collect_set("off")).alias("offs"), F.max("need").alias("need"))
     close = F.exists(
         F.sequence(F.lit(1), F.size("offs")),
@@ -89,23 +110,41 @@ def phrase_hits(items: Items, index: DataFrame, where: str, window: int = WINDOW
     return stash(hits.join(sized(items.items.select("item", "item_id")), "item").drop("item"), f"{where}/hits")
 
 
-def proximity_matches(items: Items, index: DataFrame, span: int = 30, share: float = 0.8) -> DataFrame:
-    """row, item_id, start and terms: places where at least `share` of an item's distinct terms stand within `span` words."""
-    distinct = items.terms.select("item", "term").distinct()
-    need = distinct.groupBy("item").agg(F.count("*").alias("terms_of_item"))
-    at = index.where("term > 0").join(sized(distinct), "term").select("row", "item", "term", "pos")
-    ahead = Window.partitionBy("row", "item").orderBy("pos").rangeBetween(0, span - 1)
-    seen = at.withColumn("terms", F.size(F.collect_set("term").over(ahead)))
-    good = seen.join(sized(need), "item").where(F.col("terms") >= F.ceil(F.col("terms_of_item") * F.lit(share)))
-    return good.join(sized(items.items.select("item", "item_id")), "item").select("row", "item_id", F.col("pos").alias("start"), "terms")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+def proximity_matches(items: Items, windows: DataFrame, index: DataFrame, where: str, span: int = SPAN) -> DataFrame:
+    """row and item_id of every item that has a window whose terms all stand, in any order, within `span` words of the document."""
+    block = lambda pos: F.floor(pos / span)
+    around = lambda pos: F.explode(F.sequence(block(pos) - 1, block(pos) + 1))
+    wanted = windows.select("item", "start", "term", "often").distinct()
+    w = Window.partitionBy("item", "start")
+    ranked = wanted.withColumn("rank", F.row_number().over(w.orderBy("often", "term"))).withColumn("least", F.min("often").over(w)).where("least > 0")
+    first, second = (F.max(F.when(F.col("rank") == k, F.col("term"))) for k in (1, 2))
+    rarest = stash(ranked.groupBy("item", "start").agg(first.alias("t1"), F.coalesce(second, F.lit(0)).alias("t2"), F.count("*").alias("need")), f"{where}/rarest")
+    pairs = stash(rarest.select("t1", "t2").distinct(), f"{where}/pairs")
+    postings = index.where("term > 0").select("row", "pos", "term")
+    at = join_terms(postings, pairs.withColumnRenamed("t1", "term")).select("row", "pos", F.col("term").alias("t1"), "t2")
+    other = join_terms(postings, pairs.where("t2 > 0").select(F.col("t2").alias("term")).distinct()).select("row", F.col("term").alias("t2"), F.col("pos").alias("pos2"), around(F.col("pos")).alias("block"))
+    close = at.where("t2 > 0").withColumn("block", block(F.col("pos"))).join(other, ["row", "t2", "block"]).where(F.abs(F.col("pos") - F.col("pos2")) < span)
+    met = stash(close.select("row", "pos", "t1", "t2").union(at.where("t2 = 0").select("row", "pos", "t1", "t2")).distinct(), f"{where}/met")
+    places = stash(met.join(sized(rarest), ["t1", "t2"]).select("row", "item", "start", "need", "pos"), f"{where}/near-places")
+    near = postings.join(sized(places.select("row").distinct()), "row", "left_semi").select("row", "term", F.col("pos").alias("at"), around(F.col("pos")).alias("block"))
+    asked = places.join(sized(stash(wanted, f"{where}/wanted")), ["item", "start"]).withColumn("block", block(F.col("pos")))
+    found = asked.join(near, ["row", "term", "block"]).where(F.abs(F.col("pos") - F.col("at")) < span)
+    # at most 2 span - 1 words lie around a place
+    seen = found.groupBy("row", "item", "start", "pos").agg(F.max("need").alias("need"), F.collect_set(F.struct("at", "term")).alias("seen"))
+    within = lambda x: F.filter("seen", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + span))
+    full = F.exists("seen", lambda x: F.size(F.array_distinct(F.transform(within(x), lambda y: y["term"]))) >= F.col("need"))
+    good = seen.where(full).select("row", "item").distinct()
+    return good.join(sized(items.items.select("item", "item_id")), "item").select("row", "item_id").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = SPAN) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, and n_near, the items with a
+    proximity match (without span, no proximity is searched and n_near is null)."""
     where = shared_dir(docs.sparkSession)
     items = Items(benchmark, where)
     index = build_index(docs, items.vocabulary, where)
-    hits = phrase_hits(items, index, where, window)
+    windows = window_terms(items.terms, index, where, window)
+    hits = phrase_hits(items, windows, index, where, window)
     # words under several hits count once: each hit adds what lies beyond the furthest end before it
     before = Window.partitionBy("row").orderBy("start", "n_words").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("row", "start", "n_words").distinct()
@@ -114,9 +153,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     n_hit = added.groupBy("row").agg(F.sum("added").alias("n_hit"))
     by_item = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = n_hit.join(by_item, "row")
+    if span is not None:
+        near = proximity_matches(items, windows, index, where, span).groupBy("row").agg(F.count("*").alias("n_near"))
+        found = found.join(near, "row", "full")
     ends = index.where("term = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
+    n_near = F.lit(None).cast("long") if span is None else F.coalesce("n_near", F.lit(0)).cast("long")
     return ends.join(found, "row", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), n_near.alias("n_near"),
     )

@@ -180,17 +180,20 @@ def brute_contamination(docs, items):
     lower = lambda t: SPLIT.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
     out = []
     for doc_id, text in docs:
-        w, hit, found = lower(text), set(), set()
+        w, hit, found, near = lower(text), set(), set(), set()
+        held = [set(w[i : i + decontaminate.SPAN]) for i in range(len(w))]
         for item_id, item in items:
             v = lower(item)
             n = min(13, len(v))
             for k in range(len(v) - n + 1 if n else 0):
+                if any(h.issuperset(v[k : k + n]) for h in held):
+                    near.add("" if item_id is None else str(item_id))
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == v[k : k + n]:
                         hit |= set(range(i, i + n))
                         found.add("" if item_id is None else str(item_id))
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w), len(near)))
     return sorted(out, key=lambda r: tuple((x is not None, x) for x in r))
 
 
@@ -200,19 +203,36 @@ def test_decontamination(spark):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, text(rng.choice([1, 2, 5, 13, 14, 30]))) for i in range(12)] + [(3, text(20)), (None, text(13)), (50, None), (51, "--")]
     pairs = [(i, (text(rng.randint(0, 60)) + ". " + (rng.choice(items)[1] or "")).upper()) for i in range(40)] + [(7, text(9)), (None, text(30)), (90, None), (91, "")]
+    pairs.append((92, text(6_000)))
     docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert rows(decontaminate.contamination(docs, bench)) == brute_contamination(pairs, items)
-    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    clash = [docs.withColumns({c: F.lit("clash") for c in ("row", "term", "pos", "words", "item", "n_hit")}), bench.withColumns({c: F.lit("clash") for c in ("item", "words", "off", "len")})]
+    assert rows(decontaminate.contamination(*clash)) == rows(decontaminate.contamination(docs, bench))
+    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0 or n_near > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_proximity(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "x red y green z blue"), (2, "red x x x x x x x x x x blue")], "doc_id long, text string")
-    items = decontaminate.Items(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"), f"file://{tmp_path}")
-    index = decontaminate.build_index(docs, items.vocabulary, f"file://{tmp_path}")
-    got = decontaminate.proximity_matches(items, index, span=6, share=1.0).collect()
-    assert len(got) == 1 and got[0].terms == 3 and got[0].start == 1
+def test_proximity(spark):
+    """Shuffled passages of many words, of which few other documents have any."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 13, 16])))) for i in range(30)]
+    loose = lambda t: " ".join(x for w in rng.sample(t.split(), len(t.split())) for x in ([w] if rng.random() < 0.6 else [w, rng.choice(vocabulary)]))
+    pairs = [(i, " ".join(rng.choices(vocabulary, k=30)) + " " + loose(rng.choice(items)[1]) + " and " + " ".join(rng.choices(vocabulary, k=30))) for i in range(120)]
+    got = rows(decontaminate.contamination(spark.createDataFrame(pairs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute_contamination(pairs, items) and sum(r[6] for r in got) > 30 and sum(r[6] for r in got) > sum(r[3] for r in got)
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_decontamination_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = decontaminate.contamination(docs, bench)
+    pairs = [tuple(r) for r in docs.select("doc_id", "text").collect() if len(r.text or "") < 3000]
+    known = {r[0] for r in pairs}
+    want = brute_contamination(pairs, [tuple(r) for r in bench.select("item_id", "text").collect()])
+    assert [r for r in rows(got) if r[0] in known] == want
 
 
 # op8
