@@ -9,9 +9,13 @@ leave whole files; the manifest, a Parquet table, lists the shards that count.
 Words repeat, and white space always ends a pre-token of the vocabularies used here, so each worker
 asks the tokenizers library for a word's ids once and keeps them (up to a fixed number).
 
-Defined cases: a null text is as an empty one and has the end id alone; rows of one doc_id stay side
-by side in text order, and a key then finds all of them; null doc_ids come first in the files and
-are not in the index; extra columns are ignored; an empty table writes no shard.
+Keyed access asks the shards' least and greatest doc_ids for the shards that may hold a key, the index of
+each for the record, and reads that record's bytes alone.
+
+Defined cases: a null text is as an empty one and has the end id alone; a very long text is one record,
+and alone fills a shard if need be; rows of one doc_id stay side by side, by the beginnings of their texts,
+and may fill several partitions and shards; a key then finds all of them; null doc_ids come first in the
+files and are not in the index; extra columns are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -32,8 +36,10 @@ from tallyforge.llm.perfect_hash import PerfectHash
 from tallyforge.llm.shared import shared_dir, stash, utf8
 
 MAGIC = b"TFTOK001"
-#: Bytes of ids in a shard, and rows of text in a Spark partition.
-SHARD_BYTES, PARTITION_ROWS = 32 << 20, 8192
+#: Bytes of ids and documents in a shard, and bytes of text in a Spark partition.
+SHARD_BYTES, SHARD_DOCS, PARTITION_BYTES = 32 << 20, 1 << 20, 64 << 20
+#: Shards whose bounds are broadcast to look keys up (32 bytes each); of more, the keys in their indexes are joined instead.
+BROADCAST_SHARDS = 1_000_000
 #: Characters of text that are split into words at once.
 PIECE = 2 << 20
 #: Words whose ids a worker keeps: about 150 bytes each.
@@ -143,9 +149,9 @@ def index_bytes(keys: np.ndarray, nulls: int, edges: np.ndarray, dtype: str) ->
 
 
 class Shard:
-    """A shard read back: keys in file order, and keyed access in constant time."""
+    """A shard read back: keys in file order, and keyed access in constant time. read gives n bytes of the payload from a place."""
 
-    def __init__(self, payload: bytes, index: bytes) -> None:
+    def __init__(self, index: bytes, read: Callable[[int, int], bytes]) -> None:
         if index[:8] != MAGIC:
             raise ValueError("not an index of token shards")
         (size,) = struct.unpack("<I", index[8:12])
@@ -153,10 +159,15 @@ class Shard:
         for n, kind in zip(head["sizes"], head["types"], strict=True):
             arrays.append(np.frombuffer(index, kind, n, at))
             at += arrays[-1].nbytes
-        self.nulls, self.ids = head["nulls"], np.frombuffer(payload, head["dtype"])
+        self.nulls, self.dtype, self.read = head["nulls"], np.dtype(head["dtype"]), read
         self.keys, self.edges, sizes, words, fingerprints, by_slot = arrays
         self.hash, self.by_slot = PerfectHash(sizes, words, fingerprints), by_slot.reshape(-1, 2)
 
+    @classmethod
+    def whole(cls, path: str) -> Shard:
+        payload = memoryview(read_bytes(f"{path}.bin"))
+        return cls(read_bytes(f"{path}.idx"), lambda at, n: payload[at : at + n])
+
     def records(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First record and number of records of each key; -1 and 0 for absent keys."""
         slots = self.hash.find(keys)
@@ -166,7 +177,8 @@ class Shard:
         return first, count
 
     def record_ids(self, record: int) -> np.ndarray:
-        return self.ids[int(self.edges[record]) : int(self.edges[record + 1])]
+        a, b = int(self.edges[record]), int(self.edges[record + 1])
+        return np.frombuffer(self.read(a * self.dtype.itemsize, (b - a) * self.dtype.itemsize), self.dtype)
 
 
 def file_system(path: str):
@@ -195,7 +207,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, where: str, end_id: int,
     spark = docs.sparkSession
     system, name = file_system(where)
     system.create_dir(name)
-    n_parts = max(1, -(-docs.count() // PARTITION_ROWS))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -222,13 +235,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, where: str, end_id: int,
                 keys.append(key)
                 payload.append(packed + end)
                 held += len(packed) + width
-                if held >= shard_bytes:
+                if held >= shard_bytes or len(keys) >= SHARD_DOCS:
                     yield flush()
         if keys:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stash(ordered.mapInArrow(run, MANIFEST), f"{where}/manifest")
+    # a doc_id of very many rows is cut by the texts' beginnings, and by place where those are equal too
+    begun = docs.select(F.col("doc_id").cast("long"), "text", F.substring("text", 1, 32).alias("begin"), F.monotonically_increasing_id().alias("place"))
+    ordered = begun.repartitionByRange(n_parts, "doc_id", "begin", "place").sortWithinPartitions("doc_id", "text")
+    manifest = stash(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), f"{where}/manifest")
     # running sums over partitions (as many as tasks), then within each
     totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = totals.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
@@ -242,7 +257,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                shard = Shard(read_bytes(f"{path}.bin"), read_bytes(f"{path}.idx"))
+                shard = Shard.whole(path)
                 distinct = np.unique(shard.keys)
                 first, count = shard.records(distinct)
                 records = np.concatenate([np.arange(shard.nulls), np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())])
@@ -261,25 +276,54 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "start").repartition(int(spread)).mapInArrow(run, BACK)
 
 
+def near_shards(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and path of every shard between whose least and greatest doc_id a key lies. Shards are sorted by doc_id."""
+    known = manifest.where("min_id is not null")
+    if known.count() > BROADCAST_SHARDS:  # then by the keys of the indexes; payloads are not read
+
+        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path in batch.column("path").to_pylist():
+                    keys = np.unique(Shard(read_bytes(f"{path}.idx"), lambda at, n: b"").keys)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys), "path": pa.array([path] * len(keys), pa.string())})
+
+        return known.select("path").mapInArrow(keys_of, "doc_id long, path string").join(asked, "doc_id")
+    bounds = known.orderBy("part", "shard").select("part", "shard", "min_id", "max_id").toPandas()
+    folder = (known.select("path").first() or [""])[0].rpartition("/")[0]
+    shared = manifest.sparkSession.sparkContext.broadcast({c: bounds[c].to_numpy(np.int64) for c in bounds})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for batch in batches:
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            first, stop = np.searchsorted(at["max_id"], keys, "left"), np.searchsorted(at["min_id"], keys, "right")
+            n = np.maximum(stop - first, 0)
+            which = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            paths = [f"{folder}/shard-{p:06d}-{s:04d}" for p, s in zip(at["part"][which].tolist(), at["shard"][which].tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.repeat(keys, n)), "path": pa.array(paths, pa.string())})
+
+    return asked.mapInArrow(place, "doc_id long, path string")
+
+
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keyed access: keys (column doc_id) meet the shards whose range holds them, then each shard's index.
+    """Keyed access: keys (column doc_id) go to the shards that may hold them, and there through the index to their bytes.
 
-    Returns doc_id and ids, a row for each record of a key; absent keys give none."""
+    Returns doc_id and ids, a row for each record of a key; absent keys give none. A shard's keys are at most SHARD_DOCS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, wanted in zip(batch.column("path").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                shard = Shard(read_bytes(f"{path}.bin"), read_bytes(f"{path}.idx"))
-                asked = np.array(wanted, np.int64)
-                first, count = shard.records(asked)
-                at = [(k, r) for k, f, n in zip(asked.tolist(), first.tolist(), count.tolist(), strict=True) for r in range(f, f + n)]
-                ids = [shard.record_ids(r).astype(np.int64).tolist() for _, r in at]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k, _ in at], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
-
-    near = keys.where("doc_id is not null").select("doc_id").distinct().join(manifest, F.col("doc_id").between(F.col("min_id"), F.col("max_id")))
-    # a shard's keys go to it in bounded handfuls
-    handful = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.col("n_docs").cast("long") / 1000).cast("long") + 1)
-    return near.groupBy("path", handful.alias("handful")).agg(F.collect_list("doc_id").alias("wanted")).select("path", "wanted").mapInArrow(run, "doc_id long, ids array<long>")
+                system, name = file_system(f"{path}.bin")
+                with system.open_input_file(name) as f:
+                    shard = Shard(read_bytes(f"{path}.idx"), lambda at, n, f=f: f.read_at(n, at))
+                    asked = np.array(sorted(wanted), np.int64)
+                    first, count = shard.records(asked)
+                    for k, start, n in zip(asked.tolist(), first.tolist(), count.tolist(), strict=True):
+                        for r in range(start, start + n):
+                            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([k], pa.int64()), "ids": pa.array([shard.record_ids(r).astype(np.int64)], pa.list_(pa.int64()))})
+
+    near = near_shards(manifest, keys.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
+    return near.groupBy("path").agg(F.collect_set("doc_id").alias("wanted")).select("path", "wanted").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

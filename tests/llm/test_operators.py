@@ -64,10 +64,26 @@ def test_tokens_edges(spark, edge_docs):
     assert token_store.token_ids(edge_docs.limit(0), path).count() == 0
 
 
-def test_tokens_lookup(spark, docs, tmp_path):
-    manifest = token_store.write_tokens(docs, tokenizer("word_bpe_49k.json"), f"file://{tmp_path}/t", 2, shard_bytes=1 << 16)
-    got = token_store.lookup(manifest, spark.createDataFrame([(3,), (77,), (10**9,)], "doc_id long")).collect()
-    assert manifest.count() > 1 and sorted(r.doc_id for r in got) == [3, 77] and all(r.ids[-1] == 2 for r in got)
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_tokens_lookup(spark, docs, tmp_path, monkeypatch, limit):
+    """Against a scan: one doc_id fills several shards, some have several rows, null and absent ones give none."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "BROADCAST_SHARDS", limit)
+    path, hot = tokenizer("word_bpe_49k.json"), F.when(F.col("doc_id") % 3 == 0, 30).when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") - F.col("doc_id") % 2)
+    many = docs.withColumn("doc_id", hot)
+    manifest = token_store.write_tokens(many, path, f"file://{tmp_path}/t", 2, shard_bytes=1 << 14)
+    asked = [30, 76, 82, 100, 10**9, -5]
+    got = token_store.lookup(manifest, spark.createDataFrame([(k,) for k in [*asked, None, 30]], "doc_id long"))
+    library = Tokenizer.from_file(path)
+    want = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows(many, "doc_id", "text") if i in asked]
+    assert manifest.where("min_id = 30 and max_id = 30").count() > 1 and sorted((r.doc_id, r.ids) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
+def test_a_hot_doc_id_is_cut(spark, docs, tmp_path):
+    one = docs.withColumn("doc_id", F.lit(7)).withColumn("text", F.lit("the same text for all"))
+    manifest = token_store.write_tokens(one, tokenizer("word_bpe_49k.json"), f"file://{tmp_path}/t", 2)
+    assert manifest.select("part").distinct().count() > 1 and manifest.agg(F.sum("n_docs")).first()[0] == docs.count()
 
 
 @settings(max_examples=200, deadline=None)
@@ -251,6 +267,35 @@ def test_hilbert(spark, docs, edge_docs):
     assert hilbert.shards(docs.limit(0)).count() == 0
 
 
+def test_shards_are_runs_of_the_sorted_curve(docs, edge_docs):
+    """Against a sorted list cut into runs of equal count."""
+    for df in (docs, edge_docs):
+        got = hilbert.shards(df).toPandas()
+        place = {tuple(r[:3]): r[3] for r in hilbert.curve(df.sparkSession, 3).collect()}
+        cell = lambda v: zlib.crc32(v.encode()) % 16 if v is not None else 0
+        raw = [(i, (t or "").encode(), lang, source) for i, t, lang, source in rows(df, "doc_id", "text", "lang", "source")]
+        keys = sorted((place[cell(lang), cell(source), min(15, (len(t) + 1).bit_length() - 1)], zlib.crc32(t), i is not None, i or 0) for i, t, lang, source in raw)
+        n, more = divmod(len(keys), 16)
+        cuts = [(k, s) for k in range(16) for s in range(n + (k < more))]
+        want = [(*at, c, crc, i if has else None) for at, (c, crc, has, i) in zip(cuts, keys, strict=True)]
+        assert sorted(got[["shard", "slot"]].itertuples(index=False, name=None)) == cuts
+        mine = got.sort_values(["shard", "slot"])
+        assert [(*r[:4], None if r[4] != r[4] else r[4]) for r in mine[["shard", "slot", "curve_index", "text_crc32", "doc_id"]].itertuples(index=False, name=None)] == want
+
+
+def test_written_shards_prune(spark, edge_docs, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hilbert.write_shards(docs, f"file://{tmp_path}/s")
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert rows(back, *docs.columns) == rows(docs) and back.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    held = back.select("shard", "lang", "source", F.floor(F.log2(F.octet_length("text") + 1)).alias("size")).distinct().toPandas()
+    for by in (["lang"], ["source"], ["lang", "source"], ["size"]):  # files that a search for one value must read, of 16
+        assert held.groupby(by)["shard"].nunique().mean() < {"lang": 9, "source": 12, "size": 16}[by[0]] - 5 * (len(by) - 1)
+    hilbert.write_shards(edge_docs, f"file://{tmp_path}/e")
+    edge = spark.read.parquet(f"file://{tmp_path}/e")
+    assert edge.count() == edge_docs.count() and edge.where("doc__shard = 'clash' and rank = 'clash' and text is null").count() == 1
+
+
 # op9
 
 
