@@ -49,7 +49,7 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup.digests(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,32 +18,37 @@ first divided into buckets by content, and only buckets that two documents share
 Anchors of very many places, and starts whose window has two places of the least hash (periodic
 text), are sent start by start under the hash of their own 50 bytes, after equal ones of a batch were
 merged; so a passage that a third of all documents share is a row a batch, and its various surroundings
-spread over tasks. Every decision compares bytes, never hashes alone.
+spread over tasks. Starts are worked on some hundred thousand at a time, of periodic text too. Every
+decision compares bytes, never hashes alone.
 
-Defined cases: a null text has no bytes; documents under 50 bytes lose nothing; repeats inside one
-document, and rows of one doc_id, do not count against each other; rows of null doc_id are left whole
-and own nothing; repeated rows each give a row; an empty table gives an empty result; extra columns
-are ignored.
+A batch is some megabytes of text. The texts are shuffled once, into a table bucketed by batch in the
+shared folder, from which the three passes read them in place; only what is sent between batches and
+buckets is shuffled then.
+
+Defined cases: a null text has no bytes; documents under 50 bytes lose nothing; a very long text is one
+batch's, and takes some tens of bytes of memory a byte; repeats inside one document, and rows of one
+doc_id, do not count against each other; rows of null doc_id are left whole and own nothing; repeated
+rows each give a row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import shared_dir, stash, utf8
+from tallyforge.llm.shared import freed_shuffles, shared_dir, stash
 
 U = np.uint64
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # places an anchor can have in a string
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two members
 STRIDE = 80  # bytes of a unit (at most SPAN + LENGTH - 1), padded
-#: Documents of a batch; bytes hashed at once; places from which an anchor is sent start by start; starts sorted at once.
-BATCH_DOCS, BLOCK, HOT, SLICE = 2000, 1 << 20, 4096, 400_000
+#: Bytes of text of a batch, on average; bytes hashed at once; places from which an anchor is sent start by start; starts sorted, and units merged, at once.
+BATCH_BYTES, BLOCK, HOT, SLICE, STEP = 6 << 20, 1 << 20, 4096, 400_000, 1 << 18
 AHEAD = np.array([min(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 
 
@@ -125,7 +130,7 @@ class Batch:
     """Documents of a group in a settled order, and their cells."""
 
     def __init__(self, table: pa.Table) -> None:
-        ids, texts = table.column("doc_id").to_pylist(), [utf8(t) for t in table.column("text").to_pylist()]
+        ids, texts = table.column("doc_id").to_pylist(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.cells = Cells(self.texts, np.array([i is None for i in self.ids], bool))
@@ -152,12 +157,13 @@ def as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 BACK = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 UNITS = pa.schema([("bucket", pa.int32()), ("batch", pa.int32())] + [(x, pa.binary()) for x in ("group", "owner", "unit", "lead", "size", "text")])
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", SPANS)])
 SHARED, STARTS = 0, 1  # kinds of what goes back to a batch
 
 
 def ddl(schema: pa.Schema) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", SPANS: "array<struct<start: long, end: long>>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -198,7 +204,8 @@ def shared_anchors(most: int):
 
 
 class Units:
-    """Texts under a batch's shared cells, and for equal ones the first of the least doc_id."""
+    """Texts under a batch's shared cells: whole cells, and single starts. Equal ones have one representative, the first of
+    the least doc_id; only representatives (start, count, owner, lead, group) are held, and the number of each unit's own."""
 
     def __init__(self, batch: Batch, back: pa.Table) -> None:
         kind = back.column("kind").to_numpy()
@@ -208,36 +215,73 @@ class Units:
         h, hot, c = h[order], hot[order], batch.cells
         at = np.minimum(np.searchsorted(h, c.hash), max(0, len(h) - 1))
         known = np.flatnonzero(h[at] == c.hash) if len(h) and len(c.hash) else np.zeros(0, np.int64)
-        very = np.zeros(len(c.hash), bool)
-        very[known] = hot[at[known]] > 0
-        alone = very[known] | c.tied[known]
-        whole, apart = known[~alone], known[alone]
-        n = c.count[apart]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        cell = np.concatenate([whole, np.repeat(apart, n)])
-        self.start = np.concatenate([c.first[whole], np.repeat(c.first[apart], n) + step])
-        by_own = np.arange(len(cell)) >= len(whole)  # grouped by their own bytes: starts of hot anchors, or with two places for their anchor
-        maybe = np.flatnonzero(by_own & ~very[cell])
-        by_own[maybe] = c.two_places(self.start[maybe], c.anchor[cell[maybe]])
-        self.count = np.concatenate([c.count[whole], np.ones(len(step), np.int64)])
-        self.owner, size = batch.owner[cell], self.count + LENGTH - 1
-        x = np.append(batch.cells.bytes, np.zeros(STRIDE, np.uint8))
-        self.text = np.lib.stride_tricks.sliding_window_view(x, STRIDE)[self.start]
-        self.text[np.arange(STRIDE) >= size[:, None]] = 0
-        words = self.text.view("<u8")
-        own = size.astype(U)
-        for k in range(words.shape[1]):
-            own = (own ^ words[:, k]) * U(0x9E3779B97F4A7C15)
+        very = hot[at[known]] > 0 if len(known) else np.zeros(0, bool)
+        apart = very | c.tied[known]
+        self.batch, self.whole, self.single, self.very = batch, known[~apart], known[apart], very[apart]
+        self.bytes = np.append(c.bytes, np.zeros(STRIDE, np.uint8))
+        held, self.number, n = [], [], 0
+        for cell, start, count, very in self.steps():
+            found, number = self.merge(cell, start, count, very)
+            held.append(found)
+            self.number.append(number + n)
+            n += len(found[0])
+        names = (np.int64, np.int64, np.int64, np.int64, U, U)
+        self.start, self.count, self.owner, self.lead, self.group, own = (np.concatenate([x[i] for x in held] or [np.zeros(0, t)]) for i, t in enumerate(names))
+        order = np.lexsort((np.arange(n), self.owner, own, self.group))
+        self.chosen = np.empty(n, np.int64)
+        self.chosen[order] = order[self.heads(order)] if n else order
+
+    def steps(self):
+        """Cell, start, number of starts, and whether its anchor has very many places, of at most about STEP units at a time."""
+        c = self.batch.cells
+        for a in range(0, len(self.whole), STEP):
+            cell = self.whole[a : a + STEP]
+            yield cell, c.first[cell], c.count[cell], None
+        ends, a = np.cumsum(c.count[self.single]), 0
+        while a < len(self.single):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
+            cells, n = self.single[a:b], c.count[self.single[a:b]]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(cells, n), np.repeat(c.first[cells], n) + step, np.ones(len(step), np.int64), np.repeat(self.very[a:b], n)
+            a = b
+
+    def text(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The units' bytes, padded."""
+        out = np.lib.stride_tricks.sliding_window_view(self.bytes, STRIDE)[start]
+        out[np.arange(STRIDE) >= (count + LENGTH - 1)[:, None]] = 0
+        return out
+
+    def merge(self, cell: np.ndarray, start: np.ndarray, count: np.ndarray, very: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Representatives of some units, and for each unit the number of its own."""
+        c, text = self.batch.cells, self.text(start, count)
+        own = (count + LENGTH - 1).astype(U)
+        for word in text.view("<u8").T:
+            own = (own ^ word) * U(0x9E3779B97F4A7C15)
             own ^= own >> U(29)
-        self.lead = np.where(by_own, 0, c.anchor[cell] - self.start)
-        self.group = np.where(by_own, own, c.hash[cell])
-        order = np.lexsort((np.arange(len(own)), self.owner, own, self.group))
+        by_own = np.zeros(len(cell), bool)
+        if very is not None:  # grouped by their own bytes: starts of hot anchors, or with two places for their anchor
+            by_own = very.copy()
+            maybe = np.flatnonzero(~very)
+            by_own[maybe] = c.two_places(start[maybe], c.anchor[cell[maybe]])
+        lead, group, owner = np.where(by_own, 0, c.anchor[cell] - start), np.where(by_own, own, c.hash[cell]), self.batch.owner[cell]
+        order = np.lexsort((np.arange(len(own)), owner, own, group))
+        new = np.ones(len(order), bool)
+        a, b = order[1:], order[:-1]
+        new[1:] = (group[a] != group[b]) | (count[a] != count[b]) | (lead[a] != lead[b]) | (text[a] != text[b]).any(1)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        return [start[first], count[first], owner[first], lead[first], group[first], own[first]], number
+
+    def heads(self, order: np.ndarray) -> np.ndarray:
+        """In that order, the place of the first of each run of equal representatives."""
         same = np.zeros(len(order), bool)
-        if len(order):
-            a, b = order[1:], order[:-1]
-            same[1:] = (self.group[a] == self.group[b]) & (size[a] == size[b]) & (self.lead[a] == self.lead[b]) & (self.text[a] == self.text[b]).all(1)
-        self.chosen = np.empty(len(order), np.int64)
-        self.chosen[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+        a, b = order[1:], order[:-1]
+        maybe = np.flatnonzero((self.group[a] == self.group[b]) & (self.count[a] == self.count[b]) & (self.lead[a] == self.lead[b]))
+        for lo in range(0, len(maybe), STEP):
+            k = maybe[lo : lo + STEP]
+            same[k + 1] = (self.text(self.start[a[k]], self.count[a[k]]) == self.text(self.start[b[k]], self.count[b[k]])).all(1)
+        return np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
 
 
 def send_units(n_buckets: int):
@@ -246,9 +290,14 @@ def send_units(n_buckets: int):
             return as_table([], UNITS)
         u, number = Units(Batch(docs.select(["doc_id", "text"])), back), docs.column("batch")[0].as_py()
         pick = np.unique(u.chosen)
-        arrays = [u.group[pick], u.owner[pick], pick.astype("<i4"), u.lead[pick].astype(np.uint8), u.count[pick].astype(np.uint8), u.text[pick]]
-        rows = split_rows((u.group[pick] >> U(20)).astype(np.int64) % n_buckets, arrays)
-        return as_table([(k, number, *blobs(*v[:5]), pa.compress(v[5].tobytes(), "zstd", asbytes=True)) for k, v in rows], UNITS)
+        bucket = (u.group[pick] >> U(20)).astype(np.int64) % n_buckets
+        pick, rows = pick[np.argsort(bucket, kind="stable")], []
+        for lo in range(0, len(pick), STEP):
+            p = pick[lo : lo + STEP]
+            arrays = [u.group[p], u.owner[p], p.astype("<i4"), u.lead[p].astype(np.uint8), u.count[p].astype(np.uint8), u.text(u.start[p], u.count[p])]
+            parts = split_rows((u.group[p] >> U(20)).astype(np.int64) % n_buckets, arrays)
+            rows += [(k, number, *blobs(*v[:5]), pa.compress(v[5].tobytes(), "zstd", asbytes=True)) for k, v in parts]
+        return as_table(rows, UNITS)
 
     return run
 
@@ -339,44 +388,70 @@ def sort_buckets(table: pa.Table) -> pa.Table:
 
 
 def settle(docs: pa.Table, back: pa.Table) -> pa.Table:
-    """Digest of every document of a batch, from the starts that came back and those settled inside the batch."""
+    """Kept bytes and removed spans of every document of a batch, from the starts that came back and those settled inside the batch."""
     if not docs.num_rows:
         return as_table([], RESULT)
     batch = Batch(docs.select(["doc_id", "text"]))
     n = len(batch.cells.bytes)
-    edges = np.zeros(n + 1, np.int64)
+    edges = np.zeros(n + 1, np.int32)
     if back.num_rows:
         u = Units(batch, back)
         lost = np.zeros(len(u.start), U)
         for kind, a, b in zip(*(back.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
             if kind == STARTS:
                 lost[np.frombuffer(a, "<i4")] = np.frombuffer(b, "<u8")
-        whole = (U(1) << u.count.astype(U)) - U(1)
-        lost = np.where(u.owner > u.owner[u.chosen], whole, lost[u.chosen])
-        for k in range(SPAN):
-            at = u.start[(lost >> U(k)) & U(1) > 0] + k
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + LENGTH, -1)
-    covered = np.cumsum(edges[:-1]) > 0
+        for (cell, start, count, _), number in zip(u.steps(), u.number, strict=True):
+            own = u.chosen[number]
+            gone = np.where(batch.owner[cell] > u.owner[own], (U(1) << count.astype(U)) - U(1), lost[own])
+            for k in range(int(count.max())):
+                at = start[(gone >> U(k)) & U(1) > 0] + k
+                np.add.at(edges, at, 1)
+                np.add.at(edges, at + LENGTH, -1)
+    covered = np.cumsum(edges[:-1], dtype=np.int32) > 0
     ends = batch.cells.ends
-    begin = ends - batch.cells.sizes
-    rise = covered & ~np.append(False, covered[:-1])[:n]
-    rise[begin[begin < n]] = covered[begin[begin < n]]
-    total, rises = np.append(0, np.cumsum(covered)), np.append(0, np.cumsum(rise))
-    digest = [hashlib.sha256(batch.cells.bytes[a:b][~covered[a:b]].tobytes()).hexdigest() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-    columns = [pa.array(batch.ids, pa.int64()), pa.array(batch.cells.sizes), pa.array(total[ends] - total[begin]), pa.array(rises[ends] - rises[begin])]
-    return pa.Table.from_arrays([*columns, pa.array(digest, pa.string())], schema=RESULT)
-
-
-def suffix_dedup(docs: DataFrame, batch_docs: int = BATCH_DOCS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    kept, first, last, offsets = [], [], [], [0]
+    for a, b in zip((ends - batch.cells.sizes).tolist(), ends.tolist(), strict=True):
+        cut = covered[a:b]
+        turns = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0))
+        first.append(turns[::2])
+        last.append(turns[1::2])
+        offsets.append(offsets[-1] + len(turns) // 2)
+        kept.append(batch.cells.bytes[a:b][~cut].tobytes() if len(turns) else batch.cells.bytes[a:b].tobytes())
+    spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (first, last)], ["start", "end"])
+    removed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+    columns = [pa.array(batch.ids, pa.int64()), pa.array(batch.cells.sizes), pa.array(kept, pa.binary()), removed]
+    return pa.Table.from_arrays(columns, names=RESULT.names)
+
+
+def in_batches(docs: DataFrame, where: str, batch_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id, text and batch in a table bucketed by batch, and the number of batches. Rows go to batches by a hash of
+    their own, so neither one doc_id nor null ones fill a batch."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches = max(1, -(-n_bytes // batch_bytes))
+    n_files = min(n_batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes >> 27))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_batches)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", number.alias("batch")).repartition(n_files, "batch")
+    name = f"tallyforge_texts_{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        rows.write.options(path=f"{where}/texts", compression="zstd").bucketBy(n_files, "batch").saveAsTable(name, format="parquet")
+    return spark.table(name), n_batches
+
+
+def suffix_dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, kept (bytes) and removed (spans of bytes) of every document."""
     where = shared_dir(docs.sparkSession)
-    n_batches = max(1, -(-docs.count() // batch_docs))
+    rows, n_batches = in_batches(docs, where, batch_bytes)
     n_buckets = max(4, n_batches // 2)
-    number = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_batches)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", number.alias("batch"))
     sent = rows.groupBy("batch").applyInArrow(send_anchors(n_buckets), ddl(SENT))
     shared = stash(sent.groupBy("bucket").applyInArrow(shared_anchors(hot), ddl(BACK)), f"{where}/shared")
     units = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send_units(n_buckets), ddl(UNITS))
     starts = stash(units.groupBy("bucket").applyInArrow(sort_buckets, ddl(BACK)), f"{where}/starts")
     return rows.groupBy("batch").cogroup(shared.union(starts).groupBy("batch")).applyInArrow(settle, ddl(RESULT))
+
+
+def digests(cut: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what suffix_dedup returns."""
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

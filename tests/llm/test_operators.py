@@ -316,23 +316,59 @@ def brute_dedup(pairs):
     return sorted(out, key=lambda r: tuple((x is not None, x) for x in r))
 
 
-@pytest.mark.parametrize(("batch_docs", "hot"), [(2000, 4096), (5, 4096), (5, 2)])
-def test_suffix_dedup(spark, batch_docs, hot):
+@pytest.mark.parametrize(("batch_bytes", "hot", "step"), [(6 << 20, 4096, 1 << 18), (3000, 4096, 1 << 18), (3000, 2, 64)])
+def test_suffix_dedup(spark, monkeypatch, batch_bytes, hot, step):
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     rng = random.Random(3)
     pieces = ["".join(rng.choice("abcde ") for _ in range(rng.randint(30, 200))) for _ in range(12)]
     pieces += ["ab" * 60, "x" * 120, "abcabcabd" * 15, "ab" * 20, "abcdefghijklm" * 3 + "Z", "abcdefghijklm" * 5, "mno" * 9, "é" * 20, ""]
     pairs = [(None if i % 17 == 3 else i, None if i % 11 == 4 else "".join(rng.choice(pieces)[rng.randint(0, 30) :] for _ in range(rng.randint(0, 6)))) for i in range(120)]
     pairs += pairs[:5]
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
-    assert rows(suffix_dedup.suffix_dedup(df, batch_docs, hot)) == brute_dedup(pairs)
+    got = suffix_dedup.suffix_dedup(df, batch_bytes, hot)
+    assert rows(suffix_dedup.digests(got)) == brute_dedup(pairs)
+    for r in got.join(df, "doc_id").where("text is not null").collect():  # kept bytes and removed spans make up a text
+        if sum(i == r.doc_id for i, _ in pairs) == 1:
+            raw, spans = r.text.encode(), [tuple(x) for x in r.removed]
+            assert bytes(r.kept) == b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True))
 
 
 def test_suffix_dedup_edges(spark, edge_docs):
-    small = edge_docs.where("doc_id is null or doc_id <> 8")
-    assert rows(suffix_dedup.suffix_dedup(small)) == brute_dedup(rows(small, "doc_id", "text"))
+    assert rows(suffix_dedup.digests(suffix_dedup.suffix_dedup(edge_docs))) == brute_dedup(rows(edge_docs, "doc_id", "text"))
     assert suffix_dedup.suffix_dedup(edge_docs.limit(0)).count() == 0
 
 
+def test_texts_are_shuffled_once(spark, docs):
+    plan = suffix_dedup.suffix_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(batch") == 1 and "Bucketed: true" in plan  # what came back, not the texts
+
+
+PERIODIC = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+from tallyforge.llm import suffix_dedup as s
+docs = pa.table({{"doc_id": [1, 2], "text": ["ab" * (5 << 20), "xy" + "ab" * 1000], "batch": pa.array([0, 0], pa.int32())}})
+sent = s.send_anchors(4)(docs)
+groups = lambda t, by: [t.filter(pa.compute.equal(t[by], k)) for k in pa.compute.unique(t[by]).to_pylist()]
+shared = pa.concat_tables([s.shared_anchors(4096)(g) for g in groups(sent, "bucket")])
+units = s.send_units(4)(docs, shared)
+back = pa.concat_tables([shared, *[s.sort_buckets(g) for g in groups(units, "bucket")]])
+out = s.settle(docs, back).to_pylist()
+assert [len(r["kept"]) for r in out] == [10 << 20, 2] and out[1]["removed"] == [{{"start": 2, "end": 2002}}], [len(r["kept"]) for r in out]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_periodic_text_is_bounded():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", "import pyarrow.compute\n" + PERIODIC.format(root=str(Path(__file__).parents[2]))], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 1000  # MB at its most, for 10 MB of text
+
+
 # op10
 
 
