@@ -58,4 +58,4 @@ def test_planted_near_copies(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
-    assert word_copies.one_of_each(docs.selectExpr("doc_id row", "doc_id", "text")).count() == 0
+    assert word_copies.repeats(docs.selectExpr("doc_id row", "doc_id", "text")).count() == 0
