@@ -17,17 +17,22 @@ def tidy(s: Column, most: int = 160) -> Column:
     return F.when(F.octet_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit(" […]"))).otherwise(flat)
 
 
+# How an error tells its status, and the texts of a refusal over the size of the prompt.
+HTTP_STATUS = r"HTTP (\d{3})"
+CONTEXT_OVERFLOW = "(?i)n_ctx|context length|context_length|context window|maximum context|too many tokens|max_tokens|prompt is too long|exceeds"
+
+
 def http_status(s: Column) -> Column:
-    """SC-04: the status in an error text; 0 if there is none."""
-    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(s, r"\b([1-5][0-9][0-9])\b", 1), F.lit("")), F.lit("999")).cast("int"), F.lit(0))
+    """SC-04: the status in an error text; 0 if there is none, as in transport errors."""
+    return F.coalesce(F.nullif(F.regexp_extract(s, HTTP_STATUS, 1), F.lit("")).cast("int"), F.lit(0))
 
 
 def http_reason(s: Column) -> Column:
     """SC-04: why a request was refused (4xx), null for other errors."""
     code = http_status(s)
     return (
-        F.when(~code.between(400, 499), None).when(s.rlike("(?i)context.?length|maximum context"), "context-length").when(code == 413, "too-large")
-        .when(code == 429, "rate-limited").when(code.isin(401, 403), "unauthorised").otherwise(F.concat(F.lit("http-"), code.cast("string")))
+        F.when(~code.between(400, 499), None).when(s.rlike(CONTEXT_OVERFLOW), "context-length").when(code == 413, "payload-too-large")
+        .when(code == 429, "rate-limited").when(code.isin(401, 403), "not-authorised").otherwise(F.concat(F.lit("http-"), code.cast("string")))
     )
 
 
@@ -51,7 +56,7 @@ def listed(values: Column, most: int = 4) -> Column:
 
 def run_id_parts(s: Column) -> Column:
     """SC-12: edit, day, model, side and sequence of a run's identifier; null where it is not one."""
-    pattern = r"^run/(he-\d{4})@(\d{4}-\d{2}-\d{2})-(.+)-(in|out)(?:-(\d+))?$"
+    pattern = r"^run/(he-\d{4})@(\d{4}-\d{2}-\d{2})-([a-z0-9.]+(?:-[a-z0-9.]+)*)-(in|out)(?:-(\d+))?$"
     part = lambda k: F.regexp_extract(s, pattern, k)
     fields = F.struct(part(1).alias("edit"), part(2).cast("date").alias("day"), part(3).alias("model"), part(4).alias("side"), F.nullif(part(5), F.lit("")).cast("int").alias("seq"))
     return F.when(s.rlike(pattern), fields)

@@ -150,6 +150,49 @@ def not_leaves(edges: DataFrame, name: str, along: str = "supersedes") -> DataFr
     return edges.where(F.col("name") == name).join(over, F.col("dst") == F.col("id"), "left_semi").select("src", "dst")
 
 
+POSITIVE, NEGATIVE = ["MUST", "SHOULD", "MAY"], ["MUST_NOT", "SHOULD_NOT"]
+
+
+def modality_conflicts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GS-10: topic, id and how many accepted clauses of the topic have the opposed modality without an `excepts` between them.
+
+    Counted, not paired: the opposed clauses of a topic less those that an `excepts` joins to the clause."""
+    sign = F.when(F.col("modality").isin(POSITIVE), 1).when(F.col("modality").isin(NEGATIVE), -1)
+    clauses = nodes.where((F.col("kind") == "clause") & (F.col("status") == "accepted")).select("id", sign.alias("sign")).where("sign is not null")
+    about = edges.where(F.col("name") == "about").select(F.col("src").alias("id"), F.col("dst").alias("topic")).distinct()
+    rows = clauses.join(about, "id")
+    counts = rows.groupBy("topic", (-F.col("sign")).alias("sign")).agg(F.count("*").alias("against"))
+    links = edges.where(F.col("name") == "excepts").select("src", "dst")
+    both = links.union(links.select("dst", "src")).distinct()
+    x, y = rows.alias("x"), rows.alias("y")
+    excused = both.join(x, F.col("src") == F.col("x.id")).join(y, (F.col("dst") == F.col("y.id")) & (F.col("x.topic") == F.col("y.topic")) & (F.col("x.sign") == -F.col("y.sign")))
+    excused = excused.groupBy(F.col("x.id").alias("id"), F.col("x.topic").alias("topic")).agg(F.count("*").alias("excused"))
+    left = rows.join(counts, ["topic", "sign"]).join(excused, ["id", "topic"], "left")
+    return left.select("topic", "id", (F.col("against") - F.coalesce("excused", F.lit(0))).alias("opposed")).where("opposed > 0")
+
+
+def strict_exceptions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GS-11: `excepts` edges that point at a strict clause."""
+    strict = nodes.where(F.col("modality").isin(STRICT)).select(F.col("id").alias("dst"), "modality")
+    return edges.where(F.col("name") == "excepts").join(strict, "dst").select("src", "dst", "modality")
+
+
+def field_faults(nodes: DataFrame, ids: dict[str, str], required: dict[str, list[str]], one_of: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """GS-01, GS-02: id and field of ids that do not match their kind's whole pattern, required fields that are null, and values outside a closed list."""
+    kind = F.col("kind")
+    faults = [F.when((kind == k) & ~F.col("id").rlike(f"^(?:{p})$"), F.lit("id")) for k, p in ids.items()]
+    faults += [F.when((kind == k) & F.col(f).isNull(), F.lit(f)) for k, fields in required.items() for f in fields]
+    faults += [F.when((kind == k) & ~F.col(f).isin(values), F.lit(f)) for k, fields in one_of.items() for f, values in fields.items()]
+    return nodes.select("id", F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("field"))
+
+
+def endpoint_faults(nodes: DataFrame, edges: DataFrame, kinds: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """GS-03: edges whose source or target is of a kind that their name does not allow. kinds: name to source and target kinds."""
+    end = lambda side: nodes.select(F.col("id").alias(side), F.col("kind").alias(f"{side}_kind"))
+    wrong = reduce(lambda a, b: a | b, ((F.col("name") == n) & ~(F.col("src_kind").isin(s) & F.col("dst_kind").isin(d)) for n, (s, d) in kinds.items()))
+    return edges.where(F.col("name").isin([*kinds])).join(end("src"), "src").join(end("dst"), "dst").where(wrong).select("src", "dst", "name", "src_kind", "dst_kind")
+
+
 def cycles(edges: DataFrame, name: str) -> DataFrame:
     """GS-04: nodes on or between cycles of a named edge: what is left once nodes without a way in or out are peeled off.
 

@@ -10,40 +10,65 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import http_reason
 
 
+# Messages of git apply, read in this order, one reading a failure; words that ask for tests; files of tests.
+DRIFT, HUNK, SCOPE = "patch does not apply", "corrupt patch at line", "already exists|No such file or directory|new file"
+ASKS_FOR_TESTS, TEST_FILE = r"(?i)\btests?\b|_test\.go", r"_test\.go$"
+# What each rule's pattern is called, its category, the surface that an edit would touch, and whether buckets keep to one task.
+PATTERNS = {
+    "R1": ("no-diff-emitted", "not-provided", "system-prompt", False),
+    "R2": ("non-completion-response", "not-provided", "tool-description", False),
+    "R3": ("context-lines-drift", "unsafe-provided", "memory", True),
+    "R4": ("malformed-hunk", "unsafe-provided", "memory", True),
+    "R5": ("out-of-scope-path", "unsafe-provided", "memory", True),
+    "R6": ("task-specific-knowledge-gap", "unsafe-provided", "memory", True),
+    "R7": ("instruction-underspecified", "not-provided", "memory", True),
+    "R8": ("proposer-budget-exceeded", "wrong-duration", "middleware", False),
+    "R9": ("verify-budget-exceeded", "wrong-duration", "middleware", True),
+    "R10": ("completion-truncated", "wrong-duration", "system-prompt", False),
+    "R11": ("edits-unlisted-file", "unsafe-provided", "system-prompt", True),
+    "R12": ("edits-the-tests", "unsafe-provided", "system-prompt", True),
+    "R13": ("single-proposer-dependence", "not-provided", "subagent-config", True),
+    "R14": ("persistent-band-breach", "wrong-timing", "middleware", True),
+    "R16": ("request-rejected-by-server", "unsafe-provided", "system-prompt", False),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """id, slug of the pattern, whether buckets keep to one task, the fewest proposers of the run, condition and bucket key."""
+    """id, condition, bucket key and the fewest proposers of the run."""
 
     id: str
-    slug: str
     fires: Column
-    task_scoped: bool = False
     min_pool: int = 1
     key: Column | None = None
 
+    def described(self) -> list[Column]:
+        names = ("slug", "category", "component", "scoped")
+        return [F.lit(self.id).alias("rule"), *(F.lit(x).alias(n) for x, n in zip(PATTERNS[self.id], names, strict=True))]
+
 
 def registry() -> list[Rule]:
     """R1 to R16; R15 is counted apart. Columns are those of joined()."""
     s, v, message = F.col("status"), F.col("verify_status"), F.coalesce("apply_error", F.lit(""))
     failed = v == "apply_failed"
-    drift, hunk = message.rlike("patch does not apply|context"), message.rlike("corrupt patch|malformed hunk")
+    drift, hunk = message.rlike(DRIFT), message.rlike(HUNK)
     reason = http_reason(F.col("error"))
     return [
-        Rule("R1", "no-diff-emitted", s == "no_diff"),
-        Rule("R2", "non-completion-response", s == "malformed"),
-        Rule("R3", "context-lines-drift", failed & drift, task_scoped=True),
-        Rule("R4", "malformed-hunk", failed & ~drift & hunk, task_scoped=True),
-        Rule("R5", "out-of-scope-path", failed & ~drift & ~hunk & message.rlike("outside|No such file"), task_scoped=True),
-        Rule("R6", "failed-where-another-passed", (v == "fail") & (F.coalesce("exit_code", F.lit(0)) != 0) & F.col("run_passed"), min_pool=2),
-        Rule("R7", "no-candidate-survived", (F.col("run_ok") > 0) & (F.col("run_failed") == F.col("run_ok")) & (s == "ok"), min_pool=2),
-        Rule("R8", "proposer-budget-exceeded", s == "timeout"),
-        Rule("R9", "verify-budget-exceeded", v == "timeout", task_scoped=True),
-        Rule("R10", "completion-truncated", (s == "ok") & (F.col("finish_reason") == "length")),
-        Rule("R11", "unlisted-file-touched", (F.size("task_files") > 0) & (F.size(F.array_except("diff_files", "task_files")) > 0)),
-        Rule("R12", "test-file-touched", F.exists("diff_files", lambda f: f.endswith("_test.go")) & ~F.coalesce(F.col("instruction").rlike(r"(?i)\btests?\b"), F.lit(True))),
-        Rule("R13", "single-survivor", (F.col("selected") == F.col("proposer_id")) & (F.size("also_passed") == 0), min_pool=2),
-        Rule("R14", "band-left", F.size("band_failed") > 0, key=F.explode("band_failed")),
-        Rule("R16", "request-refused", (s == "http_error") & reason.isNotNull(), key=reason),
+        Rule("R1", s == "no_diff"),
+        Rule("R2", s == "malformed"),
+        Rule("R3", failed & drift),
+        Rule("R4", failed & ~drift & hunk),
+        Rule("R5", failed & ~drift & ~hunk & message.rlike(SCOPE)),
+        Rule("R6", (v == "fail") & (F.coalesce("exit_code", F.lit(0)) != 0) & F.col("run_passed"), min_pool=2),
+        Rule("R7", (F.col("run_ok") > 0) & (F.col("run_failed") == F.col("run_ok")) & (s == "ok") & F.col("selected").isNull(), min_pool=2),
+        Rule("R8", s == "timeout"),
+        Rule("R9", v == "timeout"),
+        Rule("R10", (s == "ok") & (F.col("finish_reason") == "length")),
+        Rule("R11", (F.size("task_files") > 0) & (F.size(F.array_except("diff_files", "task_files")) > 0)),
+        Rule("R12", F.exists("diff_files", lambda f: f.rlike(TEST_FILE)) & ~F.coalesce(F.col("instruction").rlike(ASKS_FOR_TESTS), F.lit(True))),
+        Rule("R13", (F.col("selected") == F.col("proposer_id")) & (F.size("also_passed") == 0), min_pool=2),
+        Rule("R14", F.size("band_failed") > 0, key=F.explode(F.array_distinct("band_failed"))),
+        Rule("R16", (s == "http_error") & reason.isNotNull(), key=reason),
     ]
 
 
@@ -65,24 +90,20 @@ def joined(candidates: DataFrame, verifies: DataFrame, runs: DataFrame, selectio
 
 
 def observations(rows: DataFrame) -> DataFrame:
-    """One row for each rule that fires on a candidate: rule, slug, task (of task-scoped rules), key, run and proposer."""
-    base, plain, keyed = ["run_id", "proposer_id", "task_id"], [], []
+    """One row for each rule that fires on a candidate: rule, slug, category, component, task (of task-scoped rules), key, run and proposer."""
+    base, plain, keyed = ["run_id", "proposer_id", "task_id", "pool"], [], []
     for r in registry():
         (keyed if r.key is not None else plain).append(r)
-    fired = [
-        F.when(F.coalesce(r.fires, F.lit(False)) & (F.col("pool") >= r.min_pool), F.struct(F.lit(r.id).alias("rule"), F.lit(r.slug).alias("slug"), F.lit(r.task_scoped).alias("scoped")))
-        for r in plain
-    ]
-    out = rows.select(*base, "pool", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("r"))
-    out = out.select(*base, "pool", "r.rule", "r.slug", F.when(F.col("r.scoped"), F.col("task_id")).alias("task"), F.lit("").alias("key"))
+    fired = [F.when(F.coalesce(r.fires, F.lit(False)) & (F.col("pool") >= r.min_pool), F.struct(*r.described())) for r in plain]
+    out = rows.select(*base, F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("r")).select(*base, "r.*", F.lit("").alias("key"))
     for r in keyed:
-        out = out.union(rows.where(F.coalesce(r.fires, F.lit(False))).select(*base, "pool", F.lit(r.id), F.lit(r.slug), F.lit(None).cast("string"), r.key))
-    return out
+        out = out.union(rows.where(F.coalesce(r.fires, F.lit(False))).select(*base, *r.described(), r.key))
+    return out.withColumn("task", F.when(F.col("scoped"), F.col("task_id"))).drop("task_id", "scoped")
 
 
 def buckets(obs: DataFrame, min_runs: int = 2, min_proposers: int = 1) -> DataFrame:
     """AG-37: buckets by signature that reach the thresholds."""
-    out = obs.groupBy("rule", "slug", "task", "key").agg(
+    out = obs.groupBy("rule", "slug", "category", "component", "task", "key").agg(
         F.countDistinct("run_id").alias("runs"), F.countDistinct("proposer_id").alias("proposers"), F.count("*").alias("n"), F.min("pool").alias("min_pool")
     )
     return out.where((F.col("runs") >= min_runs) & (F.col("proposers") >= min_proposers))
@@ -97,13 +118,15 @@ def not_mined(rows: DataFrame, most: int = 8, length: int = 160) -> DataFrame:
 
 
 def plan_upsert(mined: DataFrame, existing: DataFrame) -> DataFrame:
-    """SNK-03: what becomes of each pattern: create, append, unchanged or skip-closed; and the evidence it then has.
+    """SNK-03: what becomes of each pattern: create, append, unchanged, skip-closed or, where its document does not tell its
+    status, unreadable; known patterns that were not mined are absent. And the evidence it then has.
 
     mined: slug, evidence; existing: slug, status, evidence."""
-    j = mined.alias("m").join(existing.alias("e"), "slug", "left")
-    both = F.array_sort(F.array_distinct(F.array_union(F.coalesce("e.evidence", F.array().cast("array<string>")), F.col("m.evidence"))))
+    j = mined.withColumn("is_mined", F.lit(True)).alias("m").join(existing.withColumn("is_known", F.lit(True)).alias("e"), "slug", "full")
+    none = F.array().cast("array<string>")
+    old, new = F.coalesce("e.evidence", none), F.coalesce("m.evidence", none)
     action = (
-        F.when(F.col("e.status").isNull(), "create").when(F.col("e.status").isin("resolved", "withdrawn"), "skip-closed")
-        .when(F.size(F.array_except("m.evidence", "e.evidence")) == 0, "unchanged").otherwise("append")
+        F.when(F.col("is_known").isNull(), "create").when(F.col("e.status").isNull(), "unreadable").when(F.col("is_mined").isNull(), "absent")
+        .when(F.col("e.status").isin("resolved", "withdrawn"), "skip-closed").when(F.size(F.array_except(new, old)) == 0, "unchanged").otherwise("append")
     )
-    return j.select("slug", action.alias("action"), both.alias("evidence"))
+    return j.select("slug", action.alias("action"), F.array_sort(F.array_distinct(F.array_union(old, new))).alias("evidence"))

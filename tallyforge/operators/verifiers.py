@@ -59,18 +59,42 @@ def outward(x: Column, up: bool, places: int = 4) -> Column:
     return (F.ceil(x * 10**places) if up else F.floor(x * 10**places)) / F.lit(float(10**places))
 
 
-def derive_bands(obs: DataFrame, by: str, ci_factor: float = 1.0, relative: float = 0.01) -> DataFrame:
-    """AG-22, AG-23, AG-25: centre, half width (the first of the largest terms binds), outward bounds and a self check.
-
-    Only groups of 5 to 12 runs have a tolerance factor."""
-    k2 = F.element_at(F.create_map(*(F.lit(x) for kv in TOLERANCE.items() for x in kv)), F.col("n").cast("int"))
-    ci = obs.groupBy(by).agg(F.median("ci_half").alias("ci"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
-    s = spread(obs, by).where(F.col("n").between(5, 12)).join(ci, by).withColumn("tolerance", k2 * F.col("sd"))
-    terms = {"spread": F.col("tolerance"), "ci": F.col("ci") * ci_factor, "relative": F.abs("median") * relative}
-    half = F.greatest(*terms.values())
+def derive_bands(obs: DataFrame, by: str, ci_factor: float = 0.0, relative: float = 0.02, floor_us: float = 0.1, floor_ms: float = 0.005,
+                 k: float | None = None, keep: tuple[str, ...] = (), lower: str = "derive") -> DataFrame:
+    """AG-22, AG-23, AG-25: one row an invariant, with why its band is what it is.
+
+    obs: the invariant's name, value, ci_half, and band_lo and band_hi, the band it was judged against. In this order: bands
+    named in keep stay (declared), bands that hold every value stay (in-band), whole values against a band of whole
+    numbers are refused (quantised), as are numbers of runs without a tolerance factor (no-factor; k stands for it) and
+    widths of zero (no-width). Other bands are derived: the centre, and the widest of the terms on each side (the first of
+    equal ones binds), rounded outward. lower: derive, zero (not below 0 if the band was not) or keep (the band's own if the centre is above it)."""
+    factor = F.lit(k) if k is not None else F.element_at(F.create_map(*(F.lit(x) for kv in TOLERANCE.items() for x in kv)), F.col("n").cast("int"))
+    whole = lambda c: F.col(c) == F.col(c).cast("long")
+    held = obs.groupBy(by).agg(
+        F.median("ci_half").alias("ci"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.min("band_lo").alias("was_lo"), F.max("band_hi").alias("was_hi"),
+        F.bool_and(F.col("value").between(F.col("band_lo"), F.col("band_hi"))).alias("inside"), F.bool_and(whole("value") & whole("band_lo") & whole("band_hi")).alias("units"),
+    )
+    name = F.col(by).cast("string")
+    unit = F.when(name.endswith("_us"), F.lit(floor_us)).when(name.endswith("_ms"), F.lit(floor_ms)).otherwise(F.lit(0.0))
+    s = spread(obs, by).join(held, by).withColumns({
+        "t_spread": factor * F.col("sd"), "t_ci": F.coalesce(F.col("ci"), F.lit(0.0)) * F.lit(float(ci_factor)), "t_relative": F.abs("median") * F.lit(float(relative)), "t_floor": unit})
+    terms = {"k*stddev": "t_spread", "ci_half": "t_ci", "relative": "t_relative", "floor": "t_floor"}
+    s = s.withColumn("half", F.greatest(*terms.values()))
+    why = (
+        F.when(name.isin([*keep]), "declared").when(F.col("inside"), "in-band").when(F.col("units"), "quantised").when(F.col("t_spread").isNull(), "no-factor")
+        .when(F.col("half") == 0, "no-width").otherwise("derived")
+    )
     binding = None
-    for name, term in terms.items():
-        binding = F.when(term == half, name) if binding is None else binding.when(term == half, name)
-    lo, hi = outward(F.col("median") - half, False), outward(F.col("median") + half, True)
-    return s.select(by, "n", F.col("median").alias("centre"), half.alias("half_width"), binding.alias("binding"), lo.alias("lo"), hi.alias("hi"),
-                    ((F.col("lowest") >= lo) & (F.col("highest") <= hi)).alias("holds_own"))
+    for term, column in terms.items():
+        binding = F.when(F.col(column) == F.col("half"), term) if binding is None else binding.when(F.col(column) == F.col("half"), term)
+    low = F.col("median") - F.col("half")
+    applies = {"derive": F.lit(False), "zero": F.col("was_lo") >= 0, "keep": F.col("median") > F.col("was_lo")}[lower]
+    bounded = F.when(applies, F.greatest(low, F.lit(0.0)) if lower == "zero" else F.col("was_lo")).otherwise(low)
+    s = s.withColumns({"why": why, "new_lo": outward(bounded, False), "new_hi": outward(F.col("median") + F.col("half"), True)})
+    derived, stays = F.col("why") == "derived", F.col("why").isin("declared", "in-band")
+    return s.select(
+        by, "n", F.col("median").alias("centre"), "why", F.when(derived, F.col("half")).alias("half_width"), F.when(derived, binding).alias("binding"),
+        F.when(derived, F.when(applies, lower).otherwise("derive")).alias("lower_policy"),
+        F.when(derived, F.col("new_lo")).when(stays, F.col("was_lo")).alias("lo"), F.when(derived, F.col("new_hi")).when(stays, F.col("was_hi")).alias("hi"),
+        F.when(derived, (F.col("lowest") >= F.col("new_lo")) & (F.col("highest") <= F.col("new_hi"))).alias("holds_own"),
+    )

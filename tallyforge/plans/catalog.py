@@ -117,13 +117,20 @@ def AG21_spread(v: View) -> DataFrame:
 
 
 @query("""WITH k(n, k2) AS (VALUES (5, 4.164), (6, 3.730), (7, 3.464), (8, 3.268), (9, 3.128), (10, 3.021), (11, 2.935), (12, 2.865)),
-m AS (SELECT invariant, count(*) n, median(value) md, stddev_samp(value) sd, median(ci_half) ci, min(value) a, max(value) z FROM band_rows GROUP BY invariant),
-t AS (SELECT m.*, k2::DOUBLE * sd tol, abs(md) * 0.01 rel FROM m JOIN k ON m.n = k.n), h AS (SELECT *, greatest(tol, ci, rel) half FROM t),
-o AS (SELECT *, floor((md - half) * 10000) / 10000 lo, ceil((md + half) * 10000) / 10000 hi FROM h)
-SELECT invariant, n, round(md, 6) AS centre, round(half, 6) AS half_width, CASE half WHEN tol THEN 'spread' WHEN ci THEN 'ci' ELSE 'relative' END AS binding,
-round(lo, 6) AS lo, round(hi, 6) AS hi, a >= lo AND z <= hi AS holds_own FROM o""")
+m AS (SELECT invariant, count(*) n, median(value) md, stddev_samp(value) sd, median(ci_half) ci, min(value) a, max(value) z, min(band_lo) b0, max(band_hi) b1,
+  bool_and(value BETWEEN band_lo AND band_hi) inside, bool_and(value = trunc(value) AND band_lo = trunc(band_lo) AND band_hi = trunc(band_hi)) units FROM band_rows GROUP BY invariant),
+t AS (SELECT m.*, k2::DOUBLE * sd tol, ci * 1.0 ci1, abs(md) * 0.02 rel, CASE WHEN invariant LIKE '%\\_us' ESCAPE '\\' THEN 9000.0 WHEN invariant LIKE '%\\_ms' ESCAPE '\\' THEN 50000.0 ELSE 0 END flo FROM m LEFT JOIN k ON m.n = k.n),
+h AS (SELECT *, CASE WHEN invariant IN ('7', '14_us') THEN 'declared' WHEN inside THEN 'in-band' WHEN units THEN 'quantised' WHEN tol IS NULL THEN 'no-factor'
+  WHEN greatest(tol, ci1, rel, flo) = 0 THEN 'no-width' ELSE 'derived' END why, greatest(tol, ci1, rel, flo) half FROM t),
+o AS (SELECT *, CASE WHEN b0 >= 0 THEN greatest(md - half, 0) ELSE md - half END low FROM h),
+r AS (SELECT *, floor(low * 10000) / 10000 lo1, ceil((md + half) * 10000) / 10000 hi1 FROM o)
+SELECT invariant, n, round(md, 6) AS centre, why, round(CASE WHEN why = 'derived' THEN half END, 6) AS half_width,
+CASE WHEN why = 'derived' THEN CASE half WHEN tol THEN 'k*stddev' WHEN ci1 THEN 'ci_half' WHEN rel THEN 'relative' ELSE 'floor' END END AS binding,
+CASE WHEN why = 'derived' THEN CASE WHEN b0 >= 0 THEN 'zero' ELSE 'derive' END END AS lower_policy,
+round(CASE why WHEN 'derived' THEN lo1 WHEN 'declared' THEN b0 WHEN 'in-band' THEN b0 END, 6) AS lo, round(CASE why WHEN 'derived' THEN hi1 WHEN 'declared' THEN b1 WHEN 'in-band' THEN b1 END, 6) AS hi,
+CASE WHEN why = 'derived' THEN a >= lo1 AND z <= hi1 END AS holds_own FROM r""")
 def AG23_bands(v: View) -> DataFrame:
-    return verifiers.derive_bands(v("band_rows"), "invariant")
+    return verifiers.derive_bands(v("band_rows"), "invariant", ci_factor=1.0, floor_us=9000.0, floor_ms=50000.0, keep=("7", "14_us"), lower="zero")
 
 
 @query("""WITH d AS (SELECT *, CASE status WHEN 'fail' THEN 'killed' WHEN 'pass' THEN 'survived' ELSE 'inconclusive' END o, kind = 'mutant' AND expect = 'equivalent' eq,
@@ -181,31 +188,32 @@ def _mined(v: View) -> DataFrame:
     return mining.joined(cand, ver, runs, sel)
 
 
+# Names, categories and surfaces are written here as the reference states them, not taken from the operators.
 PLAIN = " UNION ALL ".join(
-    f"SELECT '{r}' AS rule, '{s}' AS slug, {t} AS task, {k} AS key, run_id, proposer_id, pool FROM c WHERE {w}"
-    for r, s, t, k, w in (
-        ("R1", "no-diff-emitted", "NULL", "''", "status = 'no_diff'"),
-        ("R2", "non-completion-response", "NULL", "''", "status = 'malformed'"),
-        ("R3", "context-lines-drift", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE '%does not apply%'"),
-        ("R4", "malformed-hunk", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE 'corrupt patch%'"),
-        ("R5", "out-of-scope-path", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE '%outside%'"),
-        ("R6", "failed-where-another-passed", "NULL", "''", "verify_status = 'fail' AND passed > 0 AND pool >= 2"),
-        ("R7", "no-candidate-survived", "NULL", "''", "status = 'ok' AND ok > 0 AND failed = ok AND pool >= 2"),
-        ("R8", "proposer-budget-exceeded", "NULL", "''", "status = 'timeout'"),
-        ("R9", "verify-budget-exceeded", "task_id::VARCHAR", "''", "verify_status = 'timeout'"),
-        ("R10", "completion-truncated", "NULL", "''", "status = 'ok' AND finish_reason = 'length'"),
-        ("R11", "unlisted-file-touched", "NULL", "''", "status = 'ok' AND task_id % 5 = 0"),
-        ("R12", "test-file-touched", "NULL", "''", "status = 'ok' AND task_id % 5 = 0"),
-        ("R13", "single-survivor", "NULL", "''", "verify_status = 'pass' AND passed = 1 AND pool >= 2"),
-        ("R14", "band-left", "NULL", "concat('band-', task_id)", "verify_status = 'fail'"),
-        ("R16", "request-refused", "NULL", "CASE WHEN error LIKE '%429%' THEN 'rate-limited' ELSE 'context-length' END", "error LIKE '%429%' OR error LIKE '%400%'"),
+    f"SELECT '{r}' AS rule, '{s}' AS slug, '{g}' AS category, '{h}' AS component, {t} AS task, {k} AS key, run_id, proposer_id, pool FROM c WHERE {w}"
+    for r, s, g, h, t, k, w in (
+        ("R1", "no-diff-emitted", "not-provided", "system-prompt", "NULL", "''", "status = 'no_diff'"),
+        ("R2", "non-completion-response", "not-provided", "tool-description", "NULL", "''", "status = 'malformed'"),
+        ("R3", "context-lines-drift", "unsafe-provided", "memory", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE '%patch does not apply%'"),
+        ("R4", "malformed-hunk", "unsafe-provided", "memory", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE '%corrupt patch at line%'"),
+        ("R5", "out-of-scope-path", "unsafe-provided", "memory", "task_id::VARCHAR", "''", "verify_status = 'apply_failed' AND apply_error LIKE '%already exists%'"),
+        ("R6", "task-specific-knowledge-gap", "unsafe-provided", "memory", "task_id::VARCHAR", "''", "verify_status = 'fail' AND passed > 0 AND pool >= 2"),
+        ("R7", "instruction-underspecified", "not-provided", "memory", "task_id::VARCHAR", "''", "status = 'ok' AND ok > 0 AND failed = ok AND pool >= 2"),
+        ("R8", "proposer-budget-exceeded", "wrong-duration", "middleware", "NULL", "''", "status = 'timeout'"),
+        ("R9", "verify-budget-exceeded", "wrong-duration", "middleware", "task_id::VARCHAR", "''", "verify_status = 'timeout'"),
+        ("R10", "completion-truncated", "wrong-duration", "system-prompt", "NULL", "''", "status = 'ok' AND finish_reason = 'length'"),
+        ("R11", "edits-unlisted-file", "unsafe-provided", "system-prompt", "task_id::VARCHAR", "''", "status = 'ok' AND task_id % 5 = 0"),
+        ("R12", "edits-the-tests", "unsafe-provided", "system-prompt", "task_id::VARCHAR", "''", "status = 'ok' AND task_id % 5 = 0"),
+        ("R13", "single-proposer-dependence", "not-provided", "subagent-config", "task_id::VARCHAR", "''", "verify_status = 'pass' AND passed = 1 AND pool >= 2"),
+        ("R14", "persistent-band-breach", "wrong-timing", "middleware", "task_id::VARCHAR", "concat('band-', task_id)", "verify_status = 'fail'"),
+        ("R16", "request-rejected-by-server", "unsafe-provided", "system-prompt", "NULL", "CASE WHEN error LIKE '%429%' THEN 'rate-limited' ELSE 'context-length' END", "error LIKE '%429%' OR error LIKE '%400%'"),
     )
 )
 
 
 @query(f"""WITH c AS (SELECT *, count(*) OVER w pool, count(*) FILTER (verify_status = 'pass') OVER w passed, count(*) FILTER (status = 'ok') OVER w ok,
 count(*) FILTER (status = 'ok' AND verify_status = 'fail') OVER w failed FROM candidates WINDOW w AS (PARTITION BY run_id)), o AS ({PLAIN})
-SELECT rule, slug, task, key, count(DISTINCT run_id) AS runs, count(DISTINCT proposer_id) AS proposers, count(*) AS n, min(pool) AS min_pool FROM o GROUP BY ALL
+SELECT rule, slug, category, component, task, key, count(DISTINCT run_id) AS runs, count(DISTINCT proposer_id) AS proposers, count(*) AS n, min(pool) AS min_pool FROM o GROUP BY ALL
 HAVING count(DISTINCT run_id) >= 2""")
 def AG37_mined_patterns(v: View) -> DataFrame:
     return mining.buckets(mining.observations(_mined(v)))
@@ -437,6 +445,34 @@ def GS04_cycles(v: View) -> DataFrame:
     return graph.cycles(v("edges"), "supersedes")
 
 
+@query(f"""WITH c AS (SELECT e.dst AS topic, n.id, coalesce(modality, 'MUST_NOT') m FROM nodes n JOIN (SELECT DISTINCT src, dst FROM edges WHERE name = 'about') e ON n.id = e.src WHERE kind = 'clause' AND status = 'accepted' AND {FORCE}),
+x AS (SELECT DISTINCT src, dst FROM edges WHERE name = 'interop')
+SELECT a.topic, a.id, count(*) AS opposed FROM c a JOIN c b ON a.topic = b.topic AND (a.m IN ('MUST', 'SHOULD', 'MAY')) <> (b.m IN ('MUST', 'SHOULD', 'MAY'))
+WHERE NOT EXISTS (SELECT 1 FROM x WHERE (src = a.id AND dst = b.id) OR (src = b.id AND dst = a.id)) GROUP BY ALL""")
+def GS10_modality_conflicts(v: View) -> DataFrame:
+    nodes, edges = _graph(v)
+    nodes = nodes.withColumn("modality", F.coalesce("modality", F.lit("MUST_NOT"))).where(FORCE)
+    return graph.modality_conflicts(nodes, edges.withColumn("name", F.when(F.col("name") == "interop", "excepts").otherwise(F.col("name"))))
+
+
+@query("SELECT src, dst, modality FROM edges JOIN nodes ON dst = id WHERE name = 'interop' AND modality IN ('MUST', 'MUST_NOT')")
+def GS11_strict_exceptions(v: View) -> DataFrame:
+    nodes, edges = _graph(v)
+    return graph.strict_exceptions(nodes, edges.withColumn("name", F.when(F.col("name") == "interop", "excepts").otherwise(F.col("name"))))
+
+
+@query("""SELECT id, 'id' AS field FROM nodes WHERE kind = 'run' AND NOT regexp_full_match(id, 'n[0-9]*[02468]') UNION ALL SELECT id, 'modality' FROM nodes WHERE kind = 'clause' AND modality IS NULL
+UNION ALL SELECT id, 'status' FROM nodes WHERE kind = 'edit' AND status NOT IN ('proposed', 'accepted', 'superseded')""")
+def GS01_GS02_field_faults(v: View) -> DataFrame:
+    return graph.field_faults(v("nodes"), ids={"run": "n[0-9]*[02468]"}, required={"clause": ["modality"]}, one_of={"edit": {"status": ["proposed", "accepted", "superseded"]}})
+
+
+@query("""SELECT src, dst, name, s.kind AS src_kind, d.kind AS dst_kind FROM edges JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst
+WHERE (name = 'enforces' AND NOT (s.kind = 'conform' AND d.kind = 'clause')) OR (name = 'premise' AND NOT (s.kind IN ('clause', 'edit') AND d.kind = 'pattern'))""")
+def GS03_endpoint_faults(v: View) -> DataFrame:
+    return graph.endpoint_faults(v("nodes"), v("edges"), {"enforces": (["conform"], ["clause"]), "premise": (["clause", "edit"], ["pattern"])})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
     return {name: (lambda spark, sf_dir, fn=fn: rounded(fn(lambda view: load(spark, sf_dir, view)))) for name, (fn, _) in REGISTRY.items()}

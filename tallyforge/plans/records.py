@@ -333,9 +333,9 @@ def SC02_tidied(v: View) -> DataFrame:
     return v("errors").select("event_id", text.tidy(F.col("error")).alias("tidy"))
 
 
-@query("""WITH t AS (SELECT event_id, error, coalesce(try_cast(nullif(regexp_extract(error, '\\b([1-5][0-9][0-9])\\b', 1), '') AS INT), 0) s FROM errors)
-SELECT event_id, s AS status, CASE WHEN s NOT BETWEEN 400 AND 499 THEN NULL WHEN error LIKE '%maximum context%' THEN 'context-length' WHEN s = 413 THEN 'too-large' WHEN s = 429 THEN 'rate-limited'
-WHEN s IN (401, 403) THEN 'unauthorised' ELSE 'http-' || s END AS reason FROM t""")
+@query("""WITH t AS (SELECT event_id, error, coalesce(try_cast(nullif(regexp_extract(error, 'HTTP ([0-9][0-9][0-9])', 1), '') AS INT), 0) s FROM errors)
+SELECT event_id, s AS status, CASE WHEN s NOT BETWEEN 400 AND 499 THEN NULL WHEN error LIKE '%maximum context%' THEN 'context-length' WHEN s = 413 THEN 'payload-too-large' WHEN s = 429 THEN 'rate-limited'
+WHEN s IN (401, 403) THEN 'not-authorised' ELSE 'http-' || s END AS reason FROM t""")
 def SC03_SC04_requests(v: View) -> DataFrame:
     return v("errors").select("event_id", text.http_status(F.col("error")).alias("status"), text.http_reason(F.col("error")).alias("reason"))
 
@@ -370,13 +370,14 @@ def SRC14_votes(v: View) -> DataFrame:
     return v("events").select(F.format_string("%03d-t%d", F.col("user_id") % 200, F.col("event_id") % 2 + 1).alias("grp"), "event_id", win.alias("winner"))
 
 
-@query("""WITH m AS (SELECT 'u' || user_id AS slug, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events GROUP BY user_id),
-x AS (SELECT 'u' || user_id AS slug, CASE WHEN user_id % 5 = 0 THEN 'resolved' ELSE 'open' END status, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events WHERE user_id % 3 = 0 AND value > 5 GROUP BY user_id)
-SELECT m.slug, CASE WHEN x.slug IS NULL THEN 'create' WHEN status = 'resolved' THEN 'skip-closed' WHEN list_has_all(x.ev, m.ev) THEN 'unchanged' ELSE 'append' END AS action,
-array_to_string(list_sort(list_distinct(coalesce(x.ev, []) || m.ev)), ',') AS evidence FROM m LEFT JOIN x ON m.slug = x.slug""")
+@query("""WITH m AS (SELECT 'u' || user_id AS slug, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events WHERE user_id % 4 > 0 GROUP BY user_id),
+x AS (SELECT 'u' || user_id AS slug, CASE user_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN NULL ELSE 'open' END status, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events WHERE user_id % 3 = 0 AND value > 5 GROUP BY user_id)
+SELECT coalesce(m.slug, x.slug) AS slug, CASE WHEN x.slug IS NULL THEN 'create' WHEN status IS NULL THEN 'unreadable' WHEN m.slug IS NULL THEN 'absent' WHEN status = 'resolved' THEN 'skip-closed'
+WHEN list_has_all(x.ev, m.ev) THEN 'unchanged' ELSE 'append' END AS action,
+array_to_string(list_sort(list_distinct(coalesce(x.ev, []) || coalesce(m.ev, []))), ',') AS evidence FROM m FULL JOIN x ON m.slug = x.slug""")
 def SNK03_upserts(v: View) -> DataFrame:
     slug, ev = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.array_sort(F.collect_set(F.concat(F.lit("e"), "event_type"))).alias("evidence")
-    status = F.when(F.col("user_id") % 5 == 0, "resolved").otherwise("open").alias("status")
-    mined = v("events").groupBy("user_id").agg(ev).select(slug, "evidence")
+    status = F.when(F.col("user_id") % 5 == 0, "resolved").when(F.col("user_id") % 5 != 1, "open").alias("status")
+    mined = v("events").where("user_id % 4 > 0").groupBy("user_id").agg(ev).select(slug, "evidence")
     known = v("events").where("user_id % 3 = 0 and value > 5").groupBy("user_id").agg(ev).select(slug, status, "evidence")
     return mining.plan_upsert(mined, known).withColumn("evidence", F.array_join("evidence", ","))

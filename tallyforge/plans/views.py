@@ -26,7 +26,9 @@ VIEWS = {
         CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 97 = 0 THEN 'fail' ELSE 'pass' END
              WHEN p_partkey % 5 = 0 THEN 'pass' WHEN p_partkey % 11 = 1 THEN 'timeout' ELSE 'fail' END AS status,
         CASE WHEN p_partkey % 13 = 0 THEN 'equivalent' ELSE 'killed' END AS expect, CASE WHEN p_partkey % 60 = 5 THEN 'hand' ELSE 'generated' END AS origin, p_size % 7 AS band FROM {part}""",
-    "band_rows": """SELECT o_custkey AS invariant, o_totalprice AS value, o_totalprice * 0.02 AS ci_half FROM {orders}""",
+    "band_rows": """SELECT concat(CAST(o_custkey AS VARCHAR(20)), CASE o_custkey % 5 WHEN 0 THEN '_us' WHEN 1 THEN '_ms' ELSE '' END) AS invariant,
+        CASE WHEN o_custkey % 7 = 1 THEN CAST(floor(o_totalprice) AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) END AS value, CAST(o_totalprice AS DOUBLE) * 0.02 AS ci_half,
+        CAST(CASE WHEN o_custkey % 4 = 0 THEN -1000 ELSE 0 END AS DOUBLE) AS band_lo, CAST(CASE WHEN o_custkey % 3 = 0 THEN 1000000 ELSE 200000 END AS DOUBLE) AS band_hi FROM {orders}""",
     "candidates": """SELECT concat('r', CAST(floor(event_id / 3) AS VARCHAR(20))) AS run_id, event_id % 3 AS proposer_id, user_id % 12 AS task_id,
         CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'no_diff' ELSE 'timeout' END
              WHEN 'signup' THEN 'malformed' ELSE 'http_error' END AS status,
@@ -35,7 +37,7 @@ VIEWS = {
         CASE WHEN value > 80 THEN 'length' ELSE 'stop' END AS finish_reason,
         CASE WHEN event_type NOT IN ('purchase', 'click') THEN NULL WHEN event_id % 7 = 0 THEN 'apply_failed' WHEN event_id % 7 = 1 THEN 'timeout'
              WHEN event_id % 7 < 4 THEN 'pass' ELSE 'fail' END AS verify_status, 1 AS exit_code,
-        CASE WHEN user_id % 3 = 0 THEN 'error: patch does not apply' WHEN user_id % 3 = 1 THEN 'corrupt patch at line 3' ELSE 'path outside the tree' END AS apply_error
+        CASE WHEN user_id % 3 = 0 THEN 'error: patch does not apply' WHEN user_id % 3 = 1 THEN 'corrupt patch at line 3' ELSE 'error: a.go: already exists in working directory' END AS apply_error
         FROM {events}""",
     "trial_items": """SELECT l.doc_id AS item, CASE l.doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' ELSE 'H' END AS set_name, d.lang AS stratum, d.source AS cluster,
         CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE CAST(l.quality AS DOUBLE) END AS base, CASE WHEN l.doc_id % 19 = 0 THEN NULL ELSE CAST(1 - l.toxic AS DOUBLE) END AS candidate,
