@@ -60,7 +60,7 @@ def registry() -> list[Rule]:
         Rule("R4", failed & ~drift & hunk),
         Rule("R5", failed & ~drift & ~hunk & message.rlike(SCOPE)),
         Rule("R6", (v == "fail") & (F.coalesce("exit_code", F.lit(0)) != 0) & F.col("run_passed"), min_pool=2),
-        Rule("R7", (F.col("run_ok") > 0) & (F.col("run_failed") == F.col("run_ok")) & (s == "ok") & F.col("selected").isNull(), min_pool=2),
+        Rule("R7", (F.col("run_ok") > 0) & (F.col("run_failed") == F.col("run_ok")) & (s == "ok") & F.col("no_candidate"), min_pool=2),
         Rule("R8", s == "timeout"),
         Rule("R9", v == "timeout"),
         Rule("R10", (s == "ok") & (F.col("finish_reason") == "length")),
@@ -73,7 +73,14 @@ def registry() -> list[Rule]:
 
 
 def joined(candidates: DataFrame, verifies: DataFrame, runs: DataFrame, selections: DataFrame) -> DataFrame:
-    """JN-01: candidates with their verification, run and selection, and what holds over the run."""
+    """JN-01: candidates with their verification, run and selection, and what holds over the run.
+
+    A run has no candidate if its selection's kind says so; where selections have no kind, if it has no selected one."""
+    if "kind" in selections.columns:
+        selections = selections.withColumn("no_candidate", F.col("kind") == "no_candidate").drop("kind")
+    else:
+        selections = selections.withColumn("no_candidate", F.col("selected").isNull())
+        selections = runs.select("run_id").distinct().join(selections, "run_id", "left").withColumn("no_candidate", F.coalesce("no_candidate", F.lit(True)))
     w = Window.partitionBy("run_id")
     rows = (
         candidates.join(verifies, ["run_id", "proposer_id"], "left").join(runs, "run_id").join(selections, "run_id", "left")
@@ -81,6 +88,7 @@ def joined(candidates: DataFrame, verifies: DataFrame, runs: DataFrame, selectio
     )
     return rows.withColumns(
         {
+            "no_candidate": F.coalesce("no_candidate", F.lit(False)),
             "run_passed": F.coalesce(F.max((F.col("verify_status") == "pass").cast("int")).over(w), F.lit(0)) == 1,
             "run_ok": F.count_if(F.col("status") == "ok").over(w),
             "run_failed": F.count_if((F.col("status") == "ok") & (F.col("verify_status") == "fail")).over(w),

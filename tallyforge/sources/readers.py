@@ -53,6 +53,52 @@ def trace_runs(spark: SparkSession, roots: list[str], schema: str) -> DataFrame:
     return out.withColumn("_rn", rn).where("_rn = 1").drop("_rn", "_root")
 
 
+BAND_ROW = "struct<invariant: string, value: double, ci_half: double, band_lo: double, band_hi: double, verdict: string>"
+CANDIDATE = "proposer_id string, model string, status string, error string, finish_reason string, usage struct<prompt_tokens: int, completion_tokens: int>, diff struct<files: array<string>>"
+VERIFY = f"candidate_id string, status string, exit_code int, apply_error string, error string, band struct<failed: array<string>, rows: array<{BAND_ROW}>>"
+SELECTION = "selection struct<kind: string, candidate_id: string>, also_passed array<string>"
+TRACE_RUN = (
+    "schema_version int, run_id string, prompt_version string, task struct<id: string, dir: string, files: array<string>>, proposers array<struct<id: string, model: string>>, "
+    "config struct<proposers: array<struct<id: string, timeout_seconds: int>>, verify: struct<timeout_seconds: int>>"
+)
+
+
+def _of_runs(spark: SparkSession, root: str, schema: str, below: str) -> DataFrame:
+    """Files at `below` (a pattern with groups) in run directories under root, with run_id and the named group `part` of each."""
+    read = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    pattern = rf"/({RUN_ID})/{below}$"
+    path = F.col("_metadata.file_path")
+    part = F.regexp_extract(path, pattern, 2) if "(" in below else F.lit("")
+    return read.withColumns({"run_id": F.regexp_extract(path, pattern, 1), "part": part}).where("run_id <> ''")
+
+
+def candidates(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-04: candidates/<id>.json of every run; an empty proposer_id is the file's name."""
+    rows = _of_runs(spark, root, CANDIDATE, r"candidates/([^/]+)\.json")
+    return rows.select(
+        "run_id", F.coalesce(F.nullif("proposer_id", F.lit("")), "part").alias("proposer_id"), "model", "status", "error", "finish_reason",
+        F.coalesce("usage.prompt_tokens", F.lit(0)).alias("prompt_tokens"), F.coalesce("usage.completion_tokens", F.lit(0)).alias("completion_tokens"),
+        F.coalesce("diff.files", F.array().cast("array<string>")).alias("diff_files"),
+    )
+
+
+def verifies(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-05: verify/<id>/result.json of every run; the directory's name tells the proposer, and an absent candidate_id."""
+    rows = _of_runs(spark, root, VERIFY, r"verify/([^/]+)/result\.json")
+    return rows.select(
+        "run_id", F.col("part").alias("proposer_id"), F.coalesce(F.nullif("candidate_id", F.lit("")), "part").alias("candidate_id"), F.col("status").alias("verify_status"),
+        F.coalesce("exit_code", F.lit(0)).alias("exit_code"), "apply_error", "error", F.col("band.failed").alias("band_failed"), F.col("band.rows").alias("band_rows"),
+    )
+
+
+def selections(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-06: select.json of every run that has one; selected is null where no candidate was."""
+    kind = F.col("selection.kind")
+    return _of_runs(spark, root, SELECTION, r"select\.json").select(
+        "run_id", kind.alias("kind"), F.when(kind == "selected", F.col("selection.candidate_id")).alias("selected"), F.coalesce("also_passed", F.array().cast("array<string>")).alias("also_passed")
+    )
+
+
 def labels(spark: SparkSession, path: str, choices: list[str]) -> DataFrame:
     """SRC-10: labels whose choice is in the vocabulary; another raises."""
     df = jsonl(spark, path, "item string, labeler string, presented array<string>, choice string, at timestamp, duration_ms bigint, note string", strict=True)
