@@ -39,6 +39,31 @@ def test_license_edges(spark, edge_docs):
     assert over_lines[2].license is None and over_lines[2].n_lines == 3 and license_scan.license_scan(spread.limit(0)).count() == 0
 
 
+WRAPPED = " * Permission is hereby granted, free of charge,\n * to any person obtaining a copy of this\n * software and associated documentation files"
+
+
+def test_license_passages(spark):
+    """Notices wrapped over lines, inside longer lines, cut at the end and repeated, against all runs of words by brute force."""
+    filler = " ".join(f"w{i}" for i in range(60))
+    notices = [" ".join(license_scan.normal_words(t)) for _, t in license_scan.TEMPLATES]
+    texts = [f"{filler}\n{WRAPPED}\n{filler}", f"{filler} {notices[1]} {filler}", f"{filler} Use of this source code is governed by a BSD-style license that can be", None, "", "License"]
+    texts += [(n.replace(" of ", " of\n") + "\n" + filler + "\n") * 3 for n in notices] + [f"{filler} " + n.replace(" license ", " licence ") for n in notices]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert (got[0].license, got[0].line, got[0].n_hits) == ("MIT", 2, 1) and got[1].score == 1.0 and got[2].license == "BSD-3-Clause"
+    rows = license_scan.template_rows()
+    for doc_id, text in enumerate(texts):
+        lines = [license_scan.normal_words(line) for line in (text or "").split("\n")]
+        words = [w for line in lines for w in line]
+        pairs, best = list(zip(words, words[1:])), {}
+        for name, known in rows:
+            known = {tuple(k.split(" ")) for k in known}
+            units = [pairs[i : i + len(known)] for i in range(len(pairs))] + [pairs] + [list(zip(line, line[1:])) for line in lines]
+            best[name] = max([best.get(name, 0), *(2 * len(set(u) & known) / (len(u) + len(known)) for u in units)])
+        assert got[doc_id].licenses == ",".join(sorted(n for n, s in best.items() if round(s, 9) >= license_scan.THRESHOLD)), doc_id
+        assert abs((got[doc_id].score or 0) - max([s for s in best.values() if round(s, 9) >= license_scan.THRESHOLD], default=0)) < 1e-8
+
+
 # op1
 
 
