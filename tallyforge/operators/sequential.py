@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import delta_cs, log_e
 
+#: Ranges of the order into which running sums are dealt.
+BLOCKS = 200
+
 
 @dataclass(frozen=True)
 class Params:
@@ -55,19 +58,41 @@ def readings(ev: DataFrame, p: Params = Params()) -> DataFrame:
     return ev.select("*", log_e(F.col("b"), F.col("c")).alias("log_e"), d["lo"].alias("delta_lo"), d["hi"].alias("delta_hi"), v.alias("verdict"))
 
 
+def in_blocks(pairs: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+    """pairs with _block, the place of each in about equal ranges of its split's order (a number; null first).
+
+    The quantiles are one row for each of the gate's two splits. Whatever they are, sums over blocks are exact."""
+    shares = [i / blocks for i in range(1, blocks)]
+    bounds = pairs.groupBy(F.col("split").alias("_split")).agg(F.percentile_approx(order, shares, 10 * blocks).alias("_bounds"))
+    placed = pairs.join(F.broadcast(bounds), F.col("split").eqNullSafe(F.col("_split")))
+    return placed.withColumn("_block", F.size(F.filter(F.coalesce("_bounds", F.array()), lambda x: x < F.col(order)))).drop("_split", "_bounds")
+
+
+def running_sums(pairs: DataFrame, order: str, sums: dict[str, Column], blocks: int = BLOCKS) -> DataFrame:
+    """pairs with the sums of a split's pairs up to each: windows within blocks, plus the totals of the blocks before."""
+    rows = in_blocks(pairs, order, blocks).withColumns({f"_v_{k}": c.cast("long") for k, c in sums.items()})
+    inside = Window.partitionBy("split", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col("split").alias("_split"), F.col("_block").alias("_at")).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
+    offsets = totals.select("_split", "_at", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))  # a row for each block
+    local = rows.withColumns({k: F.sum(f"_v_{k}").over(inside) for k in sums})
+    joined = local.join(F.broadcast(offsets), F.col("split").eqNullSafe(F.col("_split")) & (F.col("_block") == F.col("_at")))
+    return joined.select(*pairs.columns, *((F.col(k) + F.col(f"_o_{k}")).alias(k) for k in sums))
+
+
 def running(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
     """WN-01: evidence after each answered pair of a split."""
-    w = Window.partitionBy("split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    hit = lambda k: F.sum((F.col("outcome") == k).cast("long")).over(w)
-    return pairs.where("outcome is not null").select("split", order, "outcome", hit(1).alias("cum_b"), hit(-1).alias("cum_c"), hit(0).alias("cum_ties"), F.count("*").over(w).alias("n"))
+    hit = lambda k: F.col("outcome") == k
+    answered = pairs.where("outcome is not null").select("split", order, "outcome")
+    return running_sums(answered, order, {"cum_b": hit(1), "cum_c": hit(-1), "cum_ties": hit(0), "n": F.lit(1)})
 
 
 def running_lost(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
     """WN-02: tasks lost so far after each pair: a task counts at its last pair, if all its pairs were lost."""
-    task = Window.partitionBy("split", "task_id")
-    lost = (F.count_if(F.col("outcome") == -1).over(task) == F.count("*").over(task)) & (F.col(order) == F.max(order).over(task))
-    so_far = Window.partitionBy("split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.withColumn("_lost", lost).select("split", order, F.count_if("_lost").over(so_far).alias("lost_tasks"))
+    tasks = pairs.groupBy("split", "task_id").agg((F.count_if(F.col("outcome") == -1) == F.count("*")).alias("lost"), F.max(order).alias(order))
+    ends = tasks.where("lost").groupBy("split", order).agg(F.count("*").alias("_ends"))
+    marked = pairs.select("split", order).join(ends, ["split", order], "left").withColumn("_ends", F.coalesce("_ends", F.lit(0)))
+    return running_sums(marked, order, {"lost_tasks": F.col("_ends")}).select("split", order, "lost_tasks")
 
 
 def stop_at(pairs: DataFrame, p: Params = Params(), batch: int = 10) -> DataFrame:
@@ -80,9 +105,8 @@ def stop_at(pairs: DataFrame, p: Params = Params(), batch: int = 10) -> DataFram
 
 def unanswered_runs(pairs: DataFrame, order: str = "pair_id", most: int = 5) -> DataFrame:
     """WN-04: the longest run of pairs without an answer in each split, and whether it aborts."""
-    w = Window.partitionBy("split").orderBy(order)
-    island = F.sum(F.col("outcome").isNotNull().cast("int")).over(w)
-    runs = pairs.withColumn("island", island).where("outcome is null").groupBy("split", "island").agg(F.count("*").alias("n"))
+    islands = running_sums(pairs.select("split", order, "outcome"), order, {"island": F.col("outcome").isNotNull()})
+    runs = islands.where("outcome is null").groupBy("split", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("split").agg(F.max("n").alias("longest"), (F.max("n") >= most).alias("aborts"))
 
 
@@ -98,6 +122,7 @@ def promote(read: DataFrame) -> DataFrame:
 def discordance(pairs: DataFrame, most: int = 30, warn: float = 0.4) -> DataFrame:
     """AG-44, WN-13: share of unlike pairs among the first `most`, taken round-robin over splits."""
     turn = F.row_number().over(Window.partitionBy("split").orderBy("pair_id"))
-    first = pairs.where("outcome is not null").withColumn("turn", turn).orderBy("turn", "split").limit(most)
+    heads = pairs.where("outcome is not null").withColumn("turn", turn).where(F.col("turn") <= most)  # cut in each task before the shuffle
+    first = heads.orderBy("turn", "split").limit(most)
     rate = F.try_divide(F.count_if(F.col("outcome") != 0), F.count("*"))
     return first.agg(F.count("*").alias("n"), rate.alias("rate"), (rate > warn).alias("warned"))

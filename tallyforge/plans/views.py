@@ -14,14 +14,14 @@ VIEWS = {
         CASE WHEN l.toxic = 0 THEN 'yes' ELSE 'no' END AS second FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "rater_pairs": """SELECT user_id, event_id, first, second FROM (SELECT user_id, event_id, event_type AS first,
         lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second FROM {events}) x WHERE second IS NOT NULL""",
-    "ratings": """SELECT user_id % 40 AS rater, event_id % 97 AS item, min(event_type) AS choice FROM {events} GROUP BY 1, 2""",
+    "ratings": """SELECT user_id % 40 AS rater, CAST(floor(event_id / 20) AS BIGINT) AS item, min(event_type) AS choice FROM {events} GROUP BY 1, 2""",
     "votes": """SELECT user_id % 50 AS grp, first, second, CASE WHEN abs(v - w) < 5 THEN 'tie' WHEN v > w THEN 'first' ELSE 'second' END AS winner, user_id AS labeler
         FROM (SELECT user_id, event_type AS first, value AS v, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second,
               lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM {events}) x WHERE second IS NOT NULL AND first <> second""",
-    "trials": """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'held-in' ELSE 'held-out' END AS split, o_orderkey AS pair_id, o_custkey % 40 AS task_id,
-        CASE WHEN l_linenumber = 1 THEN 'base' ELSE 'edit' END AS arm, l_quantity >= CASE WHEN l_linenumber = 1 THEN 30 ELSE 24 END AS pass,
+    "trials": """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'held-in' ELSE 'held-out' END AS split, o_orderkey * 4 + CAST(floor((l_linenumber - 1) / 2) AS BIGINT) AS pair_id, o_custkey AS task_id,
+        CASE WHEN l_linenumber % 2 = 1 THEN 'base' ELSE 'edit' END AS arm, l_quantity >= CASE WHEN l_linenumber % 2 = 1 THEN 30 ELSE 24 END AS pass,
         CASE WHEN l_quantity > 48 THEN 'timeout' ELSE 'none' END AS error_class
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 AND o_custkey % 3 < 2""",
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
     "doctor_runs": """SELECT p_brand AS task, CASE WHEN p_size % 4 = 0 THEN 'reference' ELSE 'mutant' END AS kind,
         CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 97 = 0 THEN 'fail' ELSE 'pass' END
              WHEN p_partkey % 5 = 0 THEN 'pass' WHEN p_partkey % 11 = 1 THEN 'timeout' ELSE 'fail' END AS status,
@@ -42,8 +42,8 @@ VIEWS = {
     "trial_items": """SELECT l.doc_id AS item, CASE l.doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' ELSE 'H' END AS set_name, d.lang AS stratum, d.source AS cluster,
         CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE CAST(l.quality AS DOUBLE) END AS base, CASE WHEN l.doc_id % 19 = 0 THEN NULL ELSE CAST(1 - l.toxic AS DOUBLE) END AS candidate,
         CAST(d.n_chars AS DOUBLE) / 100 AS base_s, CAST(d.n_chars AS DOUBLE) / 120 AS candidate_s FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
-    "annotations": """SELECT p_partkey % 300 AS item, p_size % 3 AS annotator, CASE WHEN p_partkey % 300 < 150 THEN 'a' ELSE p_type END AS value FROM {part}""",
-    "adjudications": """SELECT p_partkey AS item, 'judged' AS value FROM {part} WHERE p_partkey < 300 AND p_partkey % 4 = 0""",
+    "annotations": """SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS item, p_size % 3 AS annotator, CASE WHEN CAST(floor(p_partkey / 3) AS BIGINT) % 2 = 0 THEN 'a' ELSE p_type END AS value FROM {part}""",
+    "adjudications": """SELECT CAST(s_suppkey AS BIGINT) AS item, 'judged' AS value FROM {supplier}""",
     "nodes": """SELECT concat('n', CAST(o_orderkey AS VARCHAR(20))) AS id,
         CASE o_orderkey % 6 WHEN 0 THEN 'edit' WHEN 1 THEN 'clause' WHEN 2 THEN 'run' WHEN 3 THEN 'pattern' WHEN 4 THEN 'conform' ELSE 'edit' END AS kind,
         CASE o_custkey % 5 WHEN 0 THEN 'proposed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'accepted' WHEN 3 THEN 'superseded' ELSE CASE WHEN o_orderkey % 6 = 3 THEN 'resolved' ELSE 'rejected' END END AS status,
@@ -62,12 +62,12 @@ VIEWS = {
              WHEN user_id % 5 = 1 THEN 'condorcet winner' WHEN user_id % 5 = 2 THEN 'copeland score' ELSE NULL END AS reason,
         CASE WHEN user_id % 7 = 0 THEN 'unanimous' ELSE NULL END AS consensus, CASE WHEN user_id % 4 = 3 THEN 'shorter' ELSE NULL END AS tie_break,
         CAST(floor(value * 10) AS BIGINT) AS latency_ms FROM {events}""",
-    "judged_again": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, event_id % 3 AS seed,
+    "judged_again": """SELECT CASE WHEN value > 5 THEN CAST(floor(event_id / 3) AS BIGINT) ELSE -1 - event_id END AS item, event_id % 3 AS seed,
         CASE event_type WHEN 'signup' THEN 'no_candidate' ELSE 'selected' END AS outcome,
         CASE WHEN event_type = 'signup' THEN NULL WHEN user_id % 3 = 0 OR value > 90 THEN 'a' WHEN user_id % 3 = 1 THEN 'b' ELSE 'c' END AS candidate
-        FROM {events} WHERE value > 5""",
+        FROM {events}""",
     "human_labels": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, concat('h', CAST(user_id % 5 AS VARCHAR(9))) AS labeler,
-        CASE user_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'tie' END AS choice FROM {events} WHERE event_type IN ('view', 'click')""",
+        CASE user_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'tie' END AS choice FROM {events}""",
     "gold": """SELECT o_orderkey AS item, CASE o_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'tie' END AS gold,
         CASE o_custkey % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'clear' ELSE NULL END AS margin_stratum, CASE WHEN o_custkey % 5 = 0 THEN 'task' ELSE NULL END AS task_stratum FROM {orders}""",
     "orders_judged": """SELECT o_custkey AS item, o_orderkey AS pair_id, l_linenumber AS ord, CASE WHEN l_linenumber = 1 THEN 'a' ELSE 'b' END AS first,
@@ -75,8 +75,8 @@ VIEWS = {
         CASE WHEN o_custkey % 3 = 0 THEN 'disagree' ELSE NULL END AS draw_reason FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber <= 2""",
     "calibrations": """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS window_to, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000000 END AS human_kappa,
         CASE WHEN o_custkey % 3 = 0 THEN 'unmeasured' WHEN o_totalprice > 200000 THEN 'yes' ELSE 'no' END AS verdict FROM {orders}""",
-    "saved_runs": """SELECT p_partkey AS run, p_brand AS model, p_type AS suite, p_size % 5 AS seeds FROM {part} WHERE p_size > 3""",
-    "wanted_runs": """SELECT p_partkey AS run, CASE WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS model, p_type AS suite, p_size % 10 AS seeds FROM {part}""",
+    "saved_runs": """SELECT p_partkey AS run, p_brand AS model, p_type AS suite, p_size % 5 AS seeds FROM {part}""",
+    "wanted_runs": """SELECT CASE WHEN p_size > 3 THEN p_partkey ELSE -p_partkey END AS run, CASE WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS model, p_type AS suite, p_size % 10 AS seeds FROM {part}""",
     "band_obs": """SELECT CAST(s_nationkey % 3 AS VARCHAR(9)) AS task, s_nationkey AS run_id, concat('i', CAST(s_suppkey % 4 AS VARCHAR(9))) AS invariant,
         CASE WHEN s_nationkey % 3 = 1 AND s_suppkey % 5 = 0 THEN 'r2' ELSE 'r1' END AS rev FROM {supplier}""",
     "user_sets": """SELECT user_id, event_type, CASE WHEN value > 20 THEN 'left' ELSE 'right' END AS side FROM {events}""",
