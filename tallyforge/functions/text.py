@@ -54,12 +54,86 @@ def listed(values: Column, most: int = 4) -> Column:
     return F.when(more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(head)
 
 
+# The shapes of identifiers.
+RUN_SHAPE = r"^run/(he-\d{4})@(\d{4}-\d{2}-\d{2})-([a-z0-9.]+(?:-[a-z0-9.]+)*)-(in|out)(?:-(\d+))?$"
+VERIFIER_SHAPE = r"^verifier/([a-z0-9][a-z0-9-]{0,63})@(\d{4}-\d{2}-\d{2})(?:-(\d+))?$"
+CALIBRATION_SHAPE = r"^calibration/([a-z0-9.]+(?:-[a-z0-9.]+)*)@(\d{4}-\d{2}-\d{2})(?:-(\d+))?$"
+EDIT_SHAPE, PATTERN_SHAPE = r"^he-(\d{4})$", r"^fp/([a-z0-9-]+)$"
+TASK_SHAPE, TRACE_SHAPE = r"^[a-z0-9][a-z0-9-]{0,63}$", r"^[0-9]{8}T[0-9]{6}Z-[0-9a-f]{8}$"
+
+
+def _id_parts(s: Column, shape: str, **places: int) -> Column:
+    """The named groups of an identifier, day as a date and seq as a number; null where it has not that shape or no such day."""
+    part = lambda name: F.nullif(F.regexp_extract(s, shape, places[name]), F.lit(""))
+    typed = {"day": lambda c: c.try_cast("date"), "seq": lambda c: c.try_cast("int")}
+    fields = F.struct(*(typed.get(name, lambda c: c)(part(name)).alias(name) for name in places))
+    fine = s.rlike(shape) & (fields["day"].isNotNull() if "day" in places else F.lit(True))
+    return F.when(fine, fields)
+
+
 def run_id_parts(s: Column) -> Column:
-    """SC-12: edit, day, model, side and sequence of a run's identifier; null where it is not one."""
-    pattern = r"^run/(he-\d{4})@(\d{4}-\d{2}-\d{2})-([a-z0-9.]+(?:-[a-z0-9.]+)*)-(in|out)(?:-(\d+))?$"
-    part = lambda k: F.regexp_extract(s, pattern, k)
-    fields = F.struct(part(1).alias("edit"), part(2).cast("date").alias("day"), part(3).alias("model"), part(4).alias("side"), F.nullif(part(5), F.lit("")).cast("int").alias("seq"))
-    return F.when(s.rlike(pattern), fields)
+    """SC-12: edit, day, model, side and sequence of a run's identifier."""
+    return _id_parts(s, RUN_SHAPE, edit=1, day=2, model=3, side=4, seq=5)
+
+
+def verifier_id_parts(s: Column) -> Column:
+    """SC-12: task, day and sequence of a verifier's identifier."""
+    return _id_parts(s, VERIFIER_SHAPE, task=1, day=2, seq=3)
+
+
+def calibration_id_parts(s: Column) -> Column:
+    """SC-12: judge, day and sequence of a calibration's identifier."""
+    return _id_parts(s, CALIBRATION_SHAPE, judge=1, day=2, seq=3)
+
+
+def edit_number(s: Column) -> Column:
+    """SC-12: the number of an edit's identifier; null where it is not one."""
+    return F.nullif(F.regexp_extract(s, EDIT_SHAPE, 1), F.lit("")).cast("int")
+
+
+def pattern_slug(s: Column) -> Column:
+    """SC-12: the slug of a pattern's identifier; null where it is not one."""
+    return F.nullif(F.regexp_extract(s, PATTERN_SHAPE, 1), F.lit(""))
+
+
+def document_id(kind: str, name: Column, day: Column, seq: Column) -> Column:
+    """SC-12: the identifier of a verifier or a calibration; a sequence number is shown from 2 on."""
+    tail = F.when(F.coalesce(seq, F.lit(0)) > 1, F.concat(F.lit("-"), seq.cast("string"))).otherwise("")
+    return F.concat(F.lit(f"{kind}/"), name, F.lit("@"), F.date_format(day, "yyyy-MM-dd"), tail)
+
+
+def scrub(s: Column, bases: list[str], home: str = "") -> Column:
+    """SC-11: a text without the bases (absolute folders) before its paths, and ~ for the home folder; the root is neither."""
+    for base in (b.rstrip("/") for b in bases):
+        s = F.replace(s, F.lit(f"{base}/"), F.lit("")) if base else s
+    return F.replace(s, F.lit(home.rstrip("/")), F.lit("~")) if home.rstrip("/") else s
+
+
+def record_path(path: Column, bases: list[str]) -> Column:
+    """SC-11: a clean absolute path relative to the first base that it lies under, else its last name; never absolute."""
+    out = F.when(path == "", "")
+    for base in (b.rstrip("/") for b in bases if b):
+        out = out.when(path == (base or "/"), ".").when(path.startswith(f"{base}/"), F.substring(path, F.lit(len(base) + 2), F.length(path)))
+    return out.otherwise(F.regexp_extract(path, "([^/]+)/*$", 1))
+
+
+def fnv_seed(task: Column, repeat: Column) -> Column:
+    """SC-08: FNV-1a of 64 bits over the task's UTF-8 bytes, a zero byte and the repeat's decimal digits, without the top bit.
+
+    The hash is kept as two halves of 32 bits, so no product overflows: the prime is 2^40 + 435."""
+    coded = F.concat(F.hex(F.encode(task, "utf-8")), F.lit("00"), F.hex(F.encode(repeat.cast("string"), "utf-8")))
+    places = F.sequence(F.lit(1), F.length(coded) - 1, F.lit(2))
+    octets = F.transform(places, lambda i: F.conv(F.substr(coded, i, F.lit(2)), 16, 10).cast("long"))
+    half = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, octet: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(octet)
+        low = lo * 435
+        high = h["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(lo, 8)
+        return F.struct(high.bitwiseAND(half).alias("hi"), low.bitwiseAND(half).alias("lo"))
+
+    start = F.struct(F.lit(0xCBF29CE4).alias("hi"), F.lit(0x84222325).alias("lo"))
+    return F.aggregate(octets, start, step, lambda h: F.shiftleft(h["hi"].bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(h["lo"]))
 
 
 def flatten_conversation(turns: Column) -> Column:

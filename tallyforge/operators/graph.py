@@ -208,3 +208,8 @@ def cycles(edges: DataFrame, name: str) -> DataFrame:
             break
         left, n = kept, m
     return left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
+
+
+def missing_heads(documents: DataFrame) -> DataFrame:
+    """GS-08: paths of documents without a head. documents: as readers.frontmatter gives them."""
+    return documents.where(~F.coalesce("has_frontmatter", F.lit(False))).select("path")

@@ -353,6 +353,32 @@ def SC06_SC10_ages(v: View) -> DataFrame:
                                     F.when(F.col("human_kappa").isNull(), "unmeasured").otherwise(shown).alias("shown"))
 
 
+@query("""SELECT p_partkey, CAST(list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(1, length(p_name) + 1), lambda i: ord(substr(p_name, i, 1))::HUGEINT), [0::HUGEINT],
+list_transform(range(1, length(p_size::VARCHAR) + 1), lambda i: ord(substr(p_size::VARCHAR, i, 1))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) % 9223372036854775808 AS BIGINT) AS seed FROM part""")
+def SC08_seeds(v: View) -> DataFrame:
+    return v("part").select("p_partkey", text.fnv_seed(F.col("p_name"), F.col("p_size")).alias("seed"))
+
+
+@query("""WITH t AS (SELECT p_partkey, '/srv/' || p_brand || '/' || p_partkey AS d FROM part)
+SELECT p_partkey, CASE WHEN starts_with(d, '/srv/Brand#11/') THEN substr(d, 15) WHEN starts_with(d, '/srv/Brand#2') OR starts_with(d, '/srv/Brand#3') THEN substr(d, 6) ELSE substr(d, 6) END AS rel,
+CASE WHEN starts_with(d, '/srv/Brand#11/') THEN 'at ' || substr(d, 15) ELSE 'at ~' || substr(d, 5) END AS said FROM t""")
+def SC11_paths(v: View) -> DataFrame:
+    d = F.concat(F.lit("/srv/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
+    return v("part").select("p_partkey", text.record_path(d, ["/srv/Brand#11", "/srv"]).alias("rel"), text.scrub(F.concat(F.lit("at "), d), ["/srv/Brand#11"], "/srv").alias("said"))
+
+
+@query("""SELECT o_orderkey, o_custkey % 3 AS kind, CASE o_custkey % 3 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'c' || o_custkey END AS name,
+CASE WHEN o_custkey % 3 < 2 THEN o_orderdate::DATE END AS day, CASE WHEN o_custkey % 3 < 2 AND o_orderkey % 4 > 1 THEN (o_orderkey % 4)::INT END AS seq FROM orders""")
+def SC12_identifiers(v: View) -> DataFrame:
+    name, seq = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), (F.col("o_orderkey") % 4).cast("int")
+    kind, day = F.col("o_custkey") % 3, F.col("o_orderdate").cast("date")
+    of = lambda k: text.document_id(k, name, day, seq)
+    rows = v("orders").select("o_orderkey", kind.alias("kind"), F.when(kind == 0, of("verifier")).when(kind == 1, of("calibration")).otherwise("verifier/C@2024-01-01").alias("id"))
+    ver, cal = text.verifier_id_parts(F.col("id")), text.calibration_id_parts(F.col("id"))
+    pick = lambda a, b: F.coalesce(ver[a], cal[b])
+    return rows.select("o_orderkey", "kind", pick("task", "judge").alias("name"), pick("day", "day").alias("day"), pick("seq", "seq").alias("seq"))
+
+
 @query("SELECT p_partkey, substr(regexp_replace(regexp_replace(lower('_' || p_name || '/' || p_type), '[^a-z0-9_-]', '-', 'g'), '^[-_]+', ''), 1, 64) AS label FROM part")
 def SC13_labels(v: View) -> DataFrame:
     return v("part").select("p_partkey", text.label(F.concat(F.lit("_"), "p_name", F.lit("/"), "p_type")).alias("label"))
@@ -370,14 +396,15 @@ def SRC14_votes(v: View) -> DataFrame:
     return v("events").select(F.format_string("%03d-t%d", F.col("user_id") % 200, F.col("event_id") % 2 + 1).alias("grp"), "event_id", win.alias("winner"))
 
 
-@query("""WITH m AS (SELECT 'u' || user_id AS slug, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events WHERE user_id % 4 > 0 GROUP BY user_id),
-x AS (SELECT 'u' || user_id AS slug, CASE user_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN NULL ELSE 'open' END status, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events WHERE user_id % 3 = 0 AND value > 5 GROUP BY user_id)
+@query("""WITH m AS (SELECT CASE WHEN user_id % 4 > 0 THEN 'u' ELSE 'm' END || user_id AS slug, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events GROUP BY ALL),
+x AS (SELECT CASE WHEN user_id % 3 = 0 AND value > 5 THEN 'u' ELSE 'k' END || user_id AS slug, CASE user_id % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN NULL ELSE 'open' END status, list_sort(list(DISTINCT 'e' || event_type)) ev FROM events GROUP BY slug, user_id)
 SELECT coalesce(m.slug, x.slug) AS slug, CASE WHEN x.slug IS NULL THEN 'create' WHEN status IS NULL THEN 'unreadable' WHEN m.slug IS NULL THEN 'absent' WHEN status = 'resolved' THEN 'skip-closed'
 WHEN list_has_all(x.ev, m.ev) THEN 'unchanged' ELSE 'append' END AS action,
 array_to_string(list_sort(list_distinct(coalesce(x.ev, []) || coalesce(m.ev, []))), ',') AS evidence FROM m FULL JOIN x ON m.slug = x.slug""")
 def SNK03_upserts(v: View) -> DataFrame:
-    slug, ev = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.array_sort(F.collect_set(F.concat(F.lit("e"), "event_type"))).alias("evidence")
+    slug = lambda same, other: F.concat(F.when(F.expr(same), "u").otherwise(other), F.col("user_id").cast("string")).alias("slug")
+    ev = F.array_sort(F.collect_set(F.concat(F.lit("e"), "event_type"))).alias("evidence")
     status = F.when(F.col("user_id") % 5 == 0, "resolved").when(F.col("user_id") % 5 != 1, "open").alias("status")
-    mined = v("events").where("user_id % 4 > 0").groupBy("user_id").agg(ev).select(slug, "evidence")
-    known = v("events").where("user_id % 3 = 0 and value > 5").groupBy("user_id").agg(ev).select(slug, status, "evidence")
+    mined = v("events").groupBy(slug("user_id % 4 > 0", "m")).agg(ev)
+    known = v("events").groupBy(slug("user_id % 3 = 0 and value > 5", "k"), "user_id").agg(ev).select("slug", status, "evidence")
     return mining.plan_upsert(mined, known).withColumn("evidence", F.array_join("evidence", ","))

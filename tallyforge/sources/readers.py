@@ -99,6 +99,84 @@ def selections(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def checked(df: DataFrame, fine: Column, said: str) -> DataFrame:
+    """df, which raises with the name of its file where a record is not fine (or the check is null)."""
+    return df.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.concat(F.lit(f"{said}: "), F.col("_metadata.file_path"))).isNull())
+
+
+SUITE = "schema_version int, id string, face string, split string, source string, license string, tasks array<struct<id: string, dir: string, stratum: string, gold: string>>"
+GOLD = "gold string, method string, margin_stratum string, bt_top string, hard boolean, models map<string, string>, judgments_used int, human_annotators int"
+ORDER = "struct<first: string, second: string, choice: string, choice_candidate: string, status: string, retries: int, latency_ms: bigint>"
+JUDGED = (
+    f"schema_version int, candidates array<string>, pairs array<struct<pair: array<string>, orders: array<{ORDER}>, verdict: string, draw_reason: string>>, "
+    "outcome struct<kind: string, candidate_id: string, reason: string>, consensus struct<agreement: string>, tie_break struct<key: string>, "
+    "swap_consistent_pairs int, invalid_output_retries int, latency_ms bigint"
+)
+BAND = f"struct<judged: int, failed: array<string>, skipped: array<string>, rows: array<{BAND_ROW}>>"
+RESULT = f"schema_version int, status string, exit_code int, apply_error string, error string, band {BAND}"
+DOCTOR_RUN = f"struct<label: string, kind: string, mutant_index: int, diff: string, expect: string, origin: string, operator: string, note: string, project_name: string, status: string, reused_from: string, band: {BAND}>"
+DOCTOR = f"schema_version int, run_id string, task string, rev string, verdict string, runs array<{DOCTOR_RUN}>, started_at string, finished_at string"
+# The states of a verification.
+STATUSES = ("pass", "fail", "apply_failed", "timeout", "runner_error")
+
+
+def suite_items(spark: SparkSession, manifest: str) -> DataFrame:
+    """SRC-11: a row for each item of a suite's manifest, with its gold file's label; null where the item has none.
+
+    Another version, a suite without id or items, and an item without id or named twice raise. An item's folder is
+    its id and its gold file gold.json where the manifest names none; both lie under the manifest's folder."""
+    fine = (F.col("schema_version") == 1) & (F.col("id") != "") & (F.size("tasks") > 0) & ~F.exists("tasks", lambda t: F.coalesce(t["id"], F.lit("")) == "")
+    once = F.size(F.array_distinct("tasks.id")) == F.size("tasks")
+    suite = checked(spark.read.schema(SUITE).option("multiLine", True).json(manifest), fine & once, "malformed suite")
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
+    items = suite.select(F.col("id").alias("suite"), "split", folder.alias("folder"), F.posexplode("tasks").alias("place", "t"))
+    given = lambda f, other: F.coalesce(F.nullif(F.col(f"t.{f}"), F.lit("")), other)
+    at = F.concat_ws("/", "folder", given("dir", F.col("t.id")), given("gold", F.lit("gold.json")))
+    items = items.select("suite", "split", "place", F.col("t.id").alias("item"), F.col("t.stratum").alias("stratum"), at.alias("gold_path"))
+    gold = spark.read.schema(GOLD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(manifest.rsplit("/", 1)[0])
+    return items.join(gold.select(F.col("_metadata.file_path").alias("gold_path"), F.struct(*gold.columns).alias("gold")), "gold_path", "left")
+
+
+def judge_runs(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-12: judge.json of every run directory under root. A record without an outcome, or with a pair of other than two, raises."""
+    read = spark.read.schema(JUDGED).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "judge.json").json(root)
+    pairs = F.coalesce("pairs", F.array().cast(dict(read.dtypes)["pairs"]))
+    fine = (F.coalesce("outcome.kind", F.lit("")) != "") & F.forall(pairs, lambda p: F.coalesce(F.size(p["pair"]), F.lit(0)) == 2)
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return checked(read, fine, "malformed judge record").select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/judge\.json$", 1).alias("run_id"), F.col("outcome.kind").alias("outcome"), F.col("outcome.candidate_id").alias("candidate"),
+        F.col("outcome.reason").alias("reason"), F.col("consensus.agreement").alias("consensus"), F.col("tie_break.key").alias("tie_break"),
+        none("swap_consistent_pairs"), none("invalid_output_retries"), none("latency_ms"), pairs.alias("pairs"),
+    )
+
+
+def judge_orders(runs: DataFrame) -> DataFrame:
+    """SRC-12: a row for each call of judge_runs: pair, order and answer."""
+    pairs = runs.select("run_id", F.posexplode("pairs").alias("pair_id", "p"))
+    orders = pairs.select("run_id", "pair_id", F.col("p.verdict").alias("verdict"), F.col("p.draw_reason").alias("draw_reason"), F.posexplode("p.orders").alias("ord", "o"))
+    return orders.select("run_id", "pair_id", "verdict", "draw_reason", "ord", "o.*")
+
+
+def doctor_runs(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-16: a row for each run of the doctor reports at path; another version, no run_id and no runs raise."""
+    read = spark.read.schema(DOCTOR).option("multiLine", True).json(path)
+    fine = (F.col("schema_version") == 1) & (F.col("run_id") != "") & (F.size("runs") > 0)
+    return checked(read, fine, "malformed report").select("run_id", F.col("task").alias("report_task"), "rev", "verdict", F.posexplode("runs").alias("place", "r")).select("run_id", "report_task", "rev", "verdict", "place", "r.*")
+
+
+def verify_result(printed: Column) -> Column:
+    """SRC-17: the struct that a verifier printed as JSON; nothing printed, another version or a state outside the vocabulary raise."""
+    r = F.from_json(printed, RESULT)
+    fine = (F.length(F.trim(printed)) > 0) & (r["schema_version"] == 1) & r["status"].isin(*STATUSES)
+    return F.when(F.assert_true(F.coalesce(fine, F.lit(False)), F.concat(F.lit("malformed verify result: "), F.coalesce(printed, F.lit("null")))).isNull(), r)
+
+
+def band_rows(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-18: a verifier's CSV block with its header; absent numbers are null, and other columns raise."""
+    fields = "invariant string, value double, ci_half double, band_lo double, band_hi double, verdict string"
+    return spark.read.schema(fields).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
+
+
 def labels(spark: SparkSession, path: str, choices: list[str]) -> DataFrame:
     """SRC-10: labels whose choice is in the vocabulary; another raises."""
     df = jsonl(spark, path, "item string, labeler string, presented array<string>, choice string, at timestamp, duration_ms bigint, note string", strict=True)
