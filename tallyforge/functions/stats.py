@@ -38,11 +38,11 @@ def empirical_bernstein(n: Column, mean: Column, variance: Column, lower: float,
 def log_gamma(x: Column) -> Column:
     """ln gamma(x), x > 0: Stirling's series at x + 10, less the ten factors between; good to about 1e-14 of its value."""
     x = x.cast("double")
-    y, factors = x + 10, F.lit(0.0)
-    for k in range(10):
-        factors = factors + F.ln(x + k)
+    y, factors = x + 10, x
+    for k in range(1, 10):
+        factors = factors * (x + k)
     series = sum(c / F.pow(y, F.lit(n)) for n, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680), (9, 1 / 1188)))
-    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - factors
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(factors)
 
 
 def log_beta(a: Column, b: Column) -> Column:
@@ -75,10 +75,10 @@ def theta_cs(b: Column, c: Column, alpha: float = 0.05, prior: float = 1, rounds
     def side(outer: float) -> Column:
         def step(s: Column, _: Column) -> Column:
             mid = (s["inside"] + s["outside"]) / 2
-            e = fixed - F.when(b > 0, b * F.ln(mid)).otherwise(0.0) - F.when(c > 0, c * F.ln(1 - mid)).otherwise(0.0)
-            return F.struct(F.when(e < bound, mid).otherwise(s["inside"]).alias("inside"), F.when(e < bound, s["outside"]).otherwise(mid).alias("outside"))
+            e = s["fixed"] - F.when(b > 0, b * F.ln(mid)).otherwise(0.0) - F.when(c > 0, c * F.ln(1 - mid)).otherwise(0.0)
+            return F.struct(F.when(e < bound, mid).otherwise(s["inside"]).alias("inside"), F.when(e < bound, s["outside"]).otherwise(mid).alias("outside"), s["fixed"].alias("fixed"))
 
-        first = F.struct(start.alias("inside"), F.lit(outer).alias("outside"))
+        first = F.struct(start.alias("inside"), F.lit(outer).alias("outside"), fixed.alias("fixed"))  # fixed is computed once, not in each step
         return F.aggregate(steps, first, step, lambda s: (s["inside"] + s["outside"]) / 2)
 
     lo = F.when(b > 0, side(0.0)).otherwise(0.0)
@@ -91,8 +91,12 @@ def delta_cs(b: Column, c: Column, pairs: Column, alpha: float = 0.05) -> Column
 
     d is the share of pairs that differ."""
     theta, d = theta_cs(b, c, alpha / 2), theta_cs(b + c, pairs - b - c, alpha / 2)
-    corners = [d[x] * (2 * theta[y] - 1) for x in ("lo", "hi") for y in ("lo", "hi")]
-    return interval(F.least(*corners), F.greatest(*corners))
+
+    def over_corners(v: Column) -> Column:
+        corners = [v["d"][x] * (2 * v["theta"][y] - 1) for x in ("lo", "hi") for y in ("lo", "hi")]
+        return interval(F.least(*corners), F.greatest(*corners))
+
+    return F.transform(F.array(F.struct(theta.alias("theta"), d.alias("d"))), over_corners)[0]  # each sequence stands once in the expression
 
 
 def kappa(p_o: Column, p_e: Column) -> Column:

@@ -42,20 +42,22 @@ def evidence(pairs: DataFrame, by: list[str]) -> DataFrame:
     return task.groupBy(*by).agg(F.sum("b").alias("b"), F.sum("c").alias("c"), F.sum("ties").alias("ties"), F.count_if("lost").alias("lost_tasks"))
 
 
-def verdict(b: Column, c: Column, ties: Column, lost: Column, p: Params) -> Column:
-    """AG-12: regress before improve before hold, else inconclusive."""
-    e = log_e(b, c)
+def verdict(b: Column, c: Column, ties: Column, lost: Column, p: Params, e: Column | None = None, delta: Column | None = None) -> Column:
+    """AG-12: regress before improve before hold, else inconclusive. e and delta: log_e and delta_cs where they are known."""
+    e = log_e(b, c) if e is None else e
+    delta = delta_cs(b, c, b + c + ties, p.alpha) if delta is None else delta
     harm = (c > b) & (e >= math.log(1 / p.alpha))
     gain = (b > c) & (e >= math.log(2 / p.alpha))
     over = F.lit(False) if p.most_lost < 0 else lost > p.most_lost
-    hold = (b + c + ties > 0) & (delta_cs(b, c, b + c + ties, p.alpha)["lo"] >= -p.margin)
+    hold = (b + c + ties > 0) & (delta["lo"] >= -p.margin)
     return F.when(harm | over, "regress").when(gain, "improve").when(hold, "hold").otherwise("inconclusive")
 
 
 def readings(ev: DataFrame, p: Params = Params()) -> DataFrame:
-    d = delta_cs(F.col("b"), F.col("c"), F.col("b") + F.col("c") + F.col("ties"), p.alpha)
-    v = verdict(F.col("b"), F.col("c"), F.col("ties"), F.col("lost_tasks"), p)
-    return ev.select("*", log_e(F.col("b"), F.col("c")).alias("log_e"), d["lo"].alias("delta_lo"), d["hi"].alias("delta_hi"), v.alias("verdict"))
+    b, c, ties = F.col("b"), F.col("c"), F.col("ties")
+    known = ev.select("*", log_e(b, c).alias("log_e"), delta_cs(b, c, b + c + ties, p.alpha).alias("_delta"))
+    v = verdict(b, c, ties, F.col("lost_tasks"), p, F.col("log_e"), F.col("_delta"))
+    return known.select("*", F.col("_delta.lo").alias("delta_lo"), F.col("_delta.hi").alias("delta_hi"), v.alias("verdict")).drop("_delta")
 
 
 def in_blocks(pairs: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
