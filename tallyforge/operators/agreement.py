@@ -59,6 +59,26 @@ def agreement(df: DataFrame, first: str, second: str, cluster: str, categories:
     return out
 
 
+def agreement_by(df: DataFrame, by: list[str], first: str, second: str, cluster: str, categories: list[str], alpha: float = 0.05) -> DataFrame:
+    """AG-02, AG-03 of every group: n, clusters, p_o, p_e, kappa and its interval. Rows of one group and cluster are summed
+    before anything is joined; the groups are few (tables of one report), the clusters need not be. Rows with a null side are left out."""
+    known = F.coalesce(F.col(first).isin(categories) & F.col(second).isin(categories), F.lit(True))  # nulls may be met before the filter
+    checked = df.where(F.assert_true(known, F.lit("a category is outside the vocabulary")).isNull()).where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    sums = checked.groupBy(*by, F.col(cluster).alias("_cluster")).agg(*_sums(first, second, categories))
+    names = ["n", "same", *(f"{side}{i}" for side in "fs" for i in range(len(categories)))]
+    cols = lambda p: (F.col(f"{p}n"), F.col(f"{p}same"), *([F.col(f"{p}{side}{i}") for i in range(len(categories))] for side in "fs"))
+    total = sums.groupBy(*by).agg(*(F.sum(x).alias(f"t_{x}") for x in names), F.count("*").alias("clusters"))
+    left = sums.join(total, by).select(*by, *((F.col(f"t_{x}") - F.col(x)).alias(x) for x in names))
+    spread = left.select(*by, _kappa_of(*cols(""))[2].alias("r")).groupBy(*by).agg(F.var_pop("r").alias("v"), F.count("r").alias("g_ok"))
+    p_o, p_e, kap = _kappa_of(*cols("t_"))
+    half = F.lit(z_for(alpha)) * F.sqrt(F.col("v") * (F.col("clusters") - 1))
+    ok = (F.col("clusters") >= 2) & (F.col("g_ok") == F.col("clusters"))
+    return total.join(spread, by).select(
+        *by, F.col("t_n").alias("n"), "clusters", p_o.alias("p_o"), p_e.alias("p_e"), kap.alias("kappa"),
+        F.when(ok, F.greatest(F.lit(-1.0), kap - half)).alias("kappa_lo"), F.when(ok, F.least(F.lit(1.0), kap + half)).alias("kappa_hi"),
+    )
+
+
 def clustered_proportion(df: DataFrame, hit: Column, cluster: str, alpha: float = 0.05) -> DataFrame:
     """AG-04: successes, trials, rate and the leave-one-cluster-out interval; null under two clusters."""
     by = df.groupBy(cluster).agg(F.count_if(hit).alias("s"), F.count(hit).alias("n")).where("n > 0")

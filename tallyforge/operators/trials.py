@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import empirical_bernstein, round_or_zero
@@ -71,6 +71,43 @@ def cluster_means(items: DataFrame, value: str, cluster: str, by: str, lower: fl
     return s.select(by, "clusters", "mean", b["lo"].alias("lo"), b["hi"].alias("hi"))
 
 
+def stop_reasons(runs: DataFrame, by: str, planned: Column) -> DataFrame:
+    """AG-34: why each trial ended: a broken run comes first, then planned items that were not completed. runs: error, reason, completed."""
+    broken = F.count_if(F.coalesce(F.nullif("error", F.lit("")).isNotNull() | (F.col("reason") == "invalid_output"), F.lit(False)))
+    g = runs.groupBy(by).agg(broken.alias("broken"), F.count_if("completed").alias("completed"), F.max(planned).alias("planned"))
+    reason = F.when(F.col("broken") > 0, "malfunction").when(F.col("completed") == 0, F.when(F.col("planned") > 0, "out_of_budget").otherwise("undetermined"))
+    return g.select(by, "broken", "completed", "planned", reason.when(F.col("completed") < F.col("planned"), "out_of_budget").otherwise("completed").alias("stop_reason"))
+
+
+def stopped(decision: Column, stop_reason: Column) -> Column:
+    """AG-34: what a stop leaves of a suggestion."""
+    return F.when(stop_reason == "malfunction", "drop").when(stop_reason == "out_of_budget", "inconclusive").otherwise(decision)
+
+
+def recommendations(items: DataFrame, by: str, margin: float, floor: float, least_clusters: int, most_regressions: int, alpha: float = 0.05) -> DataFrame:
+    """AG-35: adopt, reject or inconclusive for each assessment. items: cluster, base, candidate (null: unmeasured).
+
+    More items that went from right to wrong than allowed reject before anything else; then a missing score or too few clusters
+    leave it open; then the intervals of the clusters' mean difference and candidate quality, each at half of alpha."""
+    base, candidate = F.col("base"), F.col("candidate")
+    c = items.groupBy(by, "cluster").agg(
+        F.avg(candidate - base).alias("delta"), F.avg("candidate").alias("quality"), F.count_if(base.isNull() | candidate.isNull()).alias("missing"),
+        F.count_if((base == 1) & (candidate == 0)).alias("worse"),
+    )
+    whole = lambda x: F.when(F.col("missing") == 0, F.col(x))
+    s = c.groupBy(by).agg(
+        F.count(whole("delta")).alias("clusters"), F.sum("missing").alias("unmeasured"), F.sum("worse").alias("regressions"),
+        *(f(whole(x)).alias(f"{x}_{k}") for x in ("delta", "quality") for k, f in (("mean", F.avg), ("v", F.var_samp))),
+    )
+    d = empirical_bernstein(F.col("clusters"), F.col("delta_mean"), F.col("delta_v"), -1.0, 1.0, alpha / 2)
+    q = empirical_bernstein(F.col("clusters"), F.col("quality_mean"), F.col("quality_v"), 0.0, 1.0, alpha / 2)
+    word = (
+        F.when(F.col("regressions") > most_regressions, "reject").when((F.col("unmeasured") > 0) | (F.col("clusters") < least_clusters), "inconclusive")
+        .when((d["lo"] >= -margin) & (q["lo"] >= floor), "adopt").when((d["hi"] < -margin) | (q["hi"] < floor), "reject").otherwise("inconclusive")
+    )
+    return s.select(by, "clusters", "unmeasured", "regressions", d["lo"].alias("delta_lo"), d["hi"].alias("delta_hi"), q["lo"].alias("quality_lo"), q["hi"].alias("quality_hi"), word.alias("recommendation"))
+
+
 def interleave(items: DataFrame, key: str, d: str = "D", r: str = "R") -> DataFrame:
     """WN-09: R_i stands after D_round(i d / (r + 1)). items: set and key."""
     rn = F.row_number().over(Window.partitionBy("set").orderBy(key))

@@ -9,6 +9,8 @@ from tallyforge.functions.stats import kappa, z_for
 from tallyforge.operators import agreement
 
 ABSTAIN, UNSTATED = "abstain", "unstated"
+# How a table reads abstentions.
+WHOLE, DECIDED = "abstain-as-category", "decided-only"
 # Days for which a calibration holds, and the least kappa (to 3 places) that validates.
 VALIDITY_DAYS, LEAST_KAPPA = 30, 0.667
 
@@ -132,6 +134,43 @@ def calibration_verdict(by_group: DataFrame, least: float = LEAST_KAPPA) -> Data
     return by_group.withColumns({"kappa": k, "verdict": F.when(unknown, "unmeasured").when(k >= least, "yes").otherwise("no")})
 
 
+def first_runs(runs: DataFrame) -> DataFrame:
+    """The run of the least seed of every item. runs: item, seed, category, measured, calls."""
+    return runs.groupBy("item").agg(F.min_by(F.struct("seed", "category", "measured", "calls"), "seed").alias("r")).select("item", "r.*")
+
+
+def calibration_pairs(runs: DataFrame, labels: DataFrame, gold: DataFrame, called: DataFrame) -> DataFrame:
+    """AG-14: every comparison of a report: measure, handling, item, answer, other.
+
+    swap: the sides named in both orders of a pair; rerun: the first seed's category beside each later measured one; gold, labels,
+    human (the label, else the gold) and human_judge_decided (only items with judge calls): the first seed's category beside
+    theirs. An item whose first run is not measured is in none of the last five. Comparisons with people are read twice:
+    with abstention as a category, and over those where neither abstains."""
+    one = first_runs(runs).where("measured")
+    later = one.select("item", F.col("seed").alias("_seed"), F.col("category").alias("answer")).join(runs.where("measured"), "item").where("seed > _seed")
+    label = labels.groupBy("item").agg(F.min(F.struct("labeler", "choice"))["choice"].alias("label"))
+    said = one.join(label, "item", "left").join(gold.select("item", "gold"), "item", "left")
+    at = lambda name, c: F.struct(F.lit(name).alias("measure"), c.alias("other"))
+    human = folded(F.coalesce("label", "gold"))
+    four = F.array(at("gold", folded(F.col("gold"))), at("labels", folded(F.col("label"))), at("human", human), at("human_judge_decided", F.when(F.col("calls") > 0, human)))
+    people = said.select("item", F.col("category").alias("answer"), F.explode(four).alias("m")).select("item", "answer", "m.*").where("other is not null")
+    decided = (F.col("answer") != ABSTAIN) & (F.col("other") != ABSTAIN)
+    ways = F.when(decided, F.array(F.lit(WHOLE), F.lit(DECIDED))).otherwise(F.array(F.lit(WHOLE)))
+    plain = lambda df, name, a, b: df.select(F.lit(name).alias("measure"), F.lit(WHOLE).alias("handling"), "item", F.col(a).alias("answer"), F.col(b).alias("other"))
+    return (
+        plain(swaps(called), "swap", "side_1", "side_2").unionByName(plain(later, "rerun", "answer", "category"))
+        .unionByName(people.select("measure", F.explode(ways).alias("handling"), "item", "answer", "other"))
+    )
+
+
+def calibration(pairs: DataFrame, categories: list[str], over_budget: Column, alpha: float = 0.05) -> DataFrame:
+    """AG-14, AG-50: agreement of every measure and handling, and the verdict, which reads the human reference alone."""
+    rows = agreement.agreement_by(pairs, ["measure", "handling"], "answer", "other", "item", categories, alpha)
+    judged = calibration_verdict(rows.withColumn("over_budget", over_budget)).withColumnRenamed("kappa", "_printed")
+    binding = (F.col("measure") == "human") & (F.col("handling") == WHOLE)
+    return rows.join(judged.select("measure", "handling", "verdict"), ["measure", "handling"]).withColumn("verdict", F.when(binding, F.col("verdict")))
+
+
 def standing(calibrations: DataFrame, day: str) -> DataFrame:
     """JN-12, AG-49: what binds on a day, the last comparison with people, and whether to warn.
 

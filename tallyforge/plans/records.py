@@ -199,6 +199,42 @@ def AG14_validity_tables(v: View) -> DataFrame:
     return j.join(want, "item").groupBy("seed", "said", "want").agg(F.count("*").alias("n"))
 
 
+# A consensus settles a run without a call; else three pairs are judged in both orders.
+def _calibration_pairs(v: View) -> DataFrame:
+    called = F.when(F.col("consensus").isNull(), 6).otherwise(0)
+    runs = v("judged").select("item", "seed", va.category(F.col("outcome"), F.col("candidate")).alias("category"), va.measured(F.col("outcome")).alias("measured"), called.alias("calls"))
+    return va.calibration_pairs(runs, v("human_labels"), v("gold"), va.calls(v("orders_judged")))
+
+
+PAIRS = f"""{JUDGED}, {SWAPS}, {LABELLED.replace("ref AS", "ref0 AS")}, r1 AS (SELECT item, min(seed) seed FROM j GROUP BY item),
+one AS (SELECT j.item, j.seed, category, consensus IS NULL AS called FROM j JOIN r1 ON j.item = r1.item AND j.seed = r1.seed WHERE measured),
+fold AS (SELECT one.item, category AS answer, called, CASE WHEN f.choice IN ('tie', 'all_bad') THEN 'abstain' ELSE f.choice END AS label,
+ CASE WHEN g.gold IN ('tie', 'all_bad') THEN 'abstain' ELSE g.gold END AS gold FROM one LEFT JOIN f ON f.item = one.item LEFT JOIN gold g ON g.item = one.item),
+people AS (SELECT 'gold' AS measure, item, answer, gold AS other FROM fold UNION ALL SELECT 'labels', item, answer, label FROM fold
+ UNION ALL SELECT 'human', item, answer, coalesce(label, gold) FROM fold UNION ALL SELECT 'human_judge_decided', item, answer, coalesce(label, gold) FROM fold WHERE called),
+pairs AS (SELECT 'swap' AS measure, 'abstain-as-category' AS handling, item, s1 AS answer, s2 AS other FROM s
+ UNION ALL SELECT 'rerun', 'abstain-as-category', j.item, one.category, j.category FROM one JOIN j ON j.item = one.item AND j.seed > one.seed WHERE measured
+ UNION ALL SELECT measure, 'abstain-as-category', item, answer, other FROM people WHERE other IS NOT NULL
+ UNION ALL SELECT measure, 'decided-only', item, answer, other FROM people WHERE other <> 'abstain' AND answer <> 'abstain')"""
+_EXPECTED = " + ".join(f"(count(*) FILTER (answer = '{x}'))::DOUBLE * count(*) FILTER (other = '{x}')" for x in (*POSITIONS, va.ABSTAIN))
+_LEFT = " + ".join(f"((t.f{i} - c.f{i}) * (t.s{i} - c.s{i}))::DOUBLE" for i in range(4))
+_SIDES = ", ".join(f"count(*) FILTER (answer = '{x}') f{i}, count(*) FILTER (other = '{x}') s{i}" for i, x in enumerate((*POSITIONS, va.ABSTAIN)))
+_TOTALS = ", ".join(f"sum({side}{i}) {side}{i}" for side in "fs" for i in range(4))
+
+
+@query(f"""WITH {PAIRS}, by_item AS (SELECT measure, handling, item, count(*) n, count(*) FILTER (answer = other) same, {_SIDES} FROM pairs GROUP BY ALL),
+t AS (SELECT measure, handling, sum(n) n, sum(same) same, {_TOTALS}, count(*) g FROM by_item GROUP BY ALL),
+k AS (SELECT measure, handling, count(*)::BIGINT n, avg((answer = other)::INT) po, ({_EXPECTED}) / (count(*)::DOUBLE * count(*)) pe FROM pairs GROUP BY ALL),
+d AS (SELECT t.measure, t.handling, t.g, (t.same - c.same)::DOUBLE / nullif(t.n - c.n, 0) po, ({_LEFT}) / nullif((t.n - c.n)::DOUBLE * (t.n - c.n), 0) pe FROM by_item c JOIN t ON c.measure = t.measure AND c.handling = t.handling),
+e AS (SELECT measure, handling, max(g) g, var_pop(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END) v, count(CASE WHEN pe < 1 THEN 1 END) ok FROM d GROUP BY ALL),
+o AS (SELECT k.*, g, CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END kappa, CASE WHEN g >= 2 AND ok = g THEN {Z} * sqrt(v * (g - 1)) END half FROM k JOIN e ON k.measure = e.measure AND k.handling = e.handling)
+SELECT measure, handling, n, g AS clusters, round(po, 6) AS p_o, round(pe, 6) AS p_e, round(kappa, 6) AS kappa,
+CASE WHEN half IS NOT NULL THEN round(greatest(-1, kappa - half), 6) END AS kappa_lo, CASE WHEN half IS NOT NULL THEN round(least(1, kappa + half), 6) END AS kappa_hi,
+CASE WHEN measure = 'human' AND handling = 'abstain-as-category' THEN CASE WHEN kappa IS NULL THEN 'unmeasured' WHEN round(kappa, 3) >= 0.667 THEN 'yes' ELSE 'no' END END AS verdict FROM o""")
+def AG14_calibration(v: View) -> DataFrame:
+    return va.calibration(_calibration_pairs(v), [*POSITIONS, va.ABSTAIN], F.lit(False))
+
+
 @query(f"WITH {SWAPS} SELECT s1 AS first, s2 AS second, count(*) AS n FROM s GROUP BY ALL")
 def AG15_swap_table(v: View) -> DataFrame:
     return va.swap_table(va.calls(v("orders_judged")))
@@ -261,6 +297,27 @@ def AG34_suggestions(v: View) -> DataFrame:
     return trials.suggestions(v("trial_items").withColumnRenamed("set_name", "set"))
 
 
+@query("""WITH g AS (SELECT item, count(*) FILTER (outcome = 'failed' AND user_fault OR reason = 'invalid_output') broken, count(*) FILTER (outcome <> 'failed') completed FROM
+(SELECT *, latency_ms % 2 = 1 AS user_fault FROM judged) x GROUP BY item)
+SELECT item, broken, completed, 3 AS planned, CASE WHEN broken > 0 THEN 'malfunction' WHEN completed < 3 THEN 'out_of_budget' ELSE 'completed' END AS stop_reason,
+CASE WHEN broken > 0 THEN 'drop' WHEN completed < 3 THEN 'inconclusive' ELSE 'advance' END AS suggestion FROM g""")
+def AG34_stop_reasons(v: View) -> DataFrame:
+    failed = F.col("outcome") == "failed"
+    runs = v("judged").select("item", "reason", F.when(failed & (F.col("latency_ms") % 2 == 1), "exit 1").alias("error"), (~failed).alias("completed"))
+    ended = trials.stop_reasons(runs, "item", F.lit(3))
+    return ended.withColumn("suggestion", trials.stopped(F.lit("advance"), F.col("stop_reason")))
+
+
+@query("""WITH c AS (SELECT assessment, cluster, avg(candidate - base) d, avg(candidate) q, count(*) FILTER (base IS NULL OR candidate IS NULL) m, count(*) FILTER (base = 1 AND candidate = 0) w FROM assessed GROUP BY ALL),
+s AS (SELECT assessment, count(*) FILTER (m = 0) n, sum(m)::BIGINT m, sum(w)::BIGINT w, avg(d) FILTER (m = 0) dm, var_samp(d) FILTER (m = 0) dv, avg(q) FILTER (m = 0) qm, var_samp(q) FILTER (m = 0) qv FROM c GROUP BY assessment),
+h AS (SELECT *, sqrt(2 * dv * ln(160) / n) + 14 * ln(160) / (3 * (n - 1)) dh, sqrt(2 * qv * ln(160) / n) + 7 * ln(160) / (3 * (n - 1)) qh FROM s),
+b AS (SELECT *, greatest(-1, dm - dh) dl, least(1, dm + dh) du, greatest(0, qm - qh) ql, least(1, qm + qh) qu FROM h)
+SELECT assessment, n AS clusters, m AS unmeasured, w AS regressions, round(dl, 6) AS delta_lo, round(du, 6) AS delta_hi, round(ql, 6) AS quality_lo, round(qu, 6) AS quality_hi,
+CASE WHEN w > 5 THEN 'reject' WHEN m > 0 OR n < 20 THEN 'inconclusive' WHEN dl >= -0.4 AND ql >= 0.5 THEN 'adopt' WHEN du < -0.4 OR qu < 0.5 THEN 'reject' ELSE 'inconclusive' END AS recommendation FROM b""")
+def AG35_recommendations(v: View) -> DataFrame:
+    return trials.recommendations(v("assessed"), "assessment", 0.4, 0.5, 20, 5)
+
+
 OUTCOME = """p AS (SELECT split, pair_id, max(task_id) task_id, max(CASE WHEN arm = 'edit' AND error_class = 'none' THEN pass::INT END)
  - max(CASE WHEN arm = 'base' AND error_class = 'none' THEN pass::INT END) outcome FROM trials GROUP BY ALL)"""
 ROBIN = f"""{OUTCOME}, a AS (SELECT split, pair_id, outcome, row_number() OVER (PARTITION BY split ORDER BY pair_id) turn FROM p WHERE outcome IS NOT NULL), f AS (SELECT * FROM a ORDER BY turn, split LIMIT 30)"""

@@ -42,6 +42,9 @@ VIEWS = {
     "trial_items": """SELECT l.doc_id AS item, CASE l.doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' ELSE 'H' END AS set_name, d.lang AS stratum, d.source AS cluster,
         CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE CAST(l.quality AS DOUBLE) END AS base, CASE WHEN l.doc_id % 19 = 0 THEN NULL ELSE CAST(1 - l.toxic AS DOUBLE) END AS candidate,
         CAST(d.n_chars AS DOUBLE) / 100 AS base_s, CAST(d.n_chars AS DOUBLE) / 120 AS candidate_s FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
+    "assessed": """SELECT o_orderkey AS item, o_custkey AS cluster, CASE o_orderkey % 7 WHEN 0 THEN 'better' WHEN 1 THEN 'alike' WHEN 2 THEN 'worse' WHEN 3 THEN 'unread' WHEN 4 THEN 'poor' WHEN 5 THEN 'few' ELSE 'mixed' END AS assessment,
+        CASE WHEN o_orderkey % 7 IN (0, 4) THEN 0.0 WHEN o_orderkey % 7 IN (1, 2) THEN 1.0 WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END AS base,
+        CASE WHEN o_orderkey % 7 = 3 AND o_custkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 IN (0, 1) THEN 1.0 WHEN o_orderkey % 7 = 4 THEN 0.0 WHEN o_orderkey % 7 = 2 AND o_custkey % 3 = 0 THEN 0.0 ELSE 1.0 END AS candidate FROM {orders}""",
     "annotations": """SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS item, p_size % 3 AS annotator, CASE WHEN CAST(floor(p_partkey / 3) AS BIGINT) % 2 = 0 THEN 'a' ELSE p_type END AS value FROM {part}""",
     "adjudications": """SELECT CAST(s_suppkey AS BIGINT) AS item, 'judged' AS value FROM {supplier}""",
     "nodes": """SELECT concat('n', CAST(o_orderkey AS VARCHAR(20))) AS id,
