@@ -210,6 +210,20 @@ def cycles(edges: DataFrame, name: str) -> DataFrame:
     return left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
 
 
+# Kinds whose documents are only ever added.
+APPEND_ONLY = ["calibration", "conform", "edit", "measure", "pattern", "run", "verifier"]
+
+
+def history_faults(before: DataFrame, after: DataFrame, kinds: list[str] = APPEND_ONLY, movable: tuple[str, ...] = ("status",)) -> DataFrame:
+    """GS-09: documents of append-only kinds in an earlier state of the graph that a later one has no more ('gone'), or has with
+    another value in a field that is not movable ('changed'). Both states have id, kind and the same fields; ids are unique."""
+    fields = sorted(c for c in before.columns if c != "id" and c not in movable)
+    state = lambda df, name: df.select("id", F.struct(*fields).alias(name))
+    both = state(before.where(F.col("kind").isin(kinds)), "was").join(state(after, "is"), "id", "left")
+    fault = F.when(F.col("is").isNull(), "gone").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
+    return both.select("id", F.col("was.kind").alias("kind"), fault.alias("fault")).where("fault is not null")
+
+
 def missing_heads(documents: DataFrame) -> DataFrame:
     """GS-08: paths of documents without a head. documents: as readers.frontmatter gives them."""
     return documents.where(~F.coalesce("has_frontmatter", F.lit(False))).select("path")
