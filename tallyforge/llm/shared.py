@@ -50,6 +50,15 @@ def drop_tables(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of at most this many rows may be broadcast (about 100 bytes each).
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stashed table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
