@@ -11,10 +11,15 @@ def slugify(s: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+# The characters that count as white space in error texts.
+WHITE_SPACE = "[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
+
+
 def tidy(s: Column, most: int = 160) -> Column:
-    """SC-02: white space collapsed; over `most` bytes cut, with a mark."""
-    flat = F.regexp_replace(F.trim(s), r"\s+", " ")
-    return F.when(F.octet_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit(" […]"))).otherwise(flat)
+    """SC-02: white space collapsed and trimmed; over `most` bytes of UTF-8 cut there, trimmed and marked. A letter that the cut parts becomes U+FFFD."""
+    flat = F.btrim(F.regexp_replace(s, WHITE_SPACE, " "), F.lit(" "))
+    head = F.make_valid_utf8(F.substring(flat.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(flat) > most, F.concat(F.btrim(head, F.lit(" ")), F.lit(" […]"))).otherwise(flat)
 
 
 # How an error tells its status, and the texts of a refusal over the size of the prompt.
@@ -42,16 +47,30 @@ def label(s: Column) -> Column:
 
 
 def span(values: Column) -> Column:
-    """SC-05: 'low-high' of an array of numbers, or the one number."""
-    lo, hi = F.array_min(values).cast("string"), F.array_max(values).cast("string")
-    return F.when(lo == hi, lo).otherwise(F.concat(lo, F.lit("-"), hi))
+    """SC-05: 'low-high' of an array of whole numbers, or the one number; an array with anything else in it is listed."""
+    numbers = F.transform(values, lambda v: v.cast("string").try_cast("long"))
+    lo, hi = F.array_min(numbers).cast("string"), F.array_max(numbers).cast("string")
+    whole = (F.size(values) > 0) & F.forall(numbers, lambda n: n.isNotNull())
+    return F.when(whole & (lo == hi), lo).when(whole, F.concat(lo, F.lit("-"), hi)).otherwise(listed(values))
 
 
-def listed(values: Column, most: int = 4) -> Column:
-    """OR-04: the first names and how many more."""
+def capped(values: Column, most: int = 4) -> Column:
+    """OR-04: the first of an array, and how many more as its last element."""
     more = F.size(values) - most
-    head = F.array_join(F.slice(values, 1, most), ", ")
-    return F.when(more > 0, F.concat(head, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(head)
+    rest = F.concat(F.lit("and "), more.cast("string"), F.lit(" more"))
+    head = F.transform(F.slice(values, 1, most), lambda v: v.cast("string"))
+    return F.when(more > 0, F.array_append(head, rest)).otherwise(head)
+
+
+def listed(values: Column, most: int = 4) -> Column:
+    """OR-04: the first names and how many more; 'unknown' for none."""
+    return F.when(F.size(values) > 0, F.array_join(capped(values, most), ", ")).otherwise("unknown")
+
+
+def named(noun: str, values: Column, most: int = 4) -> Column:
+    """SC-05: names after their noun, in the plural where there are several."""
+    many = F.concat(F.lit(f"{noun}s "), F.array_join(capped(values, most), ", "))
+    return F.when(F.size(values) == 0, f"an unnamed {noun}").when(F.size(values) == 1, F.concat(F.lit(f"{noun} "), values[0].cast("string"))).otherwise(many)
 
 
 # The shapes of identifiers.

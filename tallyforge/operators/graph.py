@@ -17,8 +17,8 @@ from tallyforge.functions.text import subset_of
 
 STRICT = ["MUST", "MUST_NOT"]
 # The surfaces an edit may touch, and those that a person must approve.
-SURFACES = ["system-prompt", "tool-description", "tool-implementation", "middleware", "skill", "sub-agent", "memory"]
-HUMAN_APPROVED = ["tool-implementation", "middleware", "sub-agent", "memory"]
+SURFACES = ["system-prompt", "tool-description", "tool-implementation", "middleware", "skill", "subagent-config", "memory"]
+HUMAN_APPROVED = ["system-prompt", "tool-description", "middleware", "subagent-config"]
 ACCEPTED, IN_FORCE = {"attr": "status", "eq": "accepted"}, {"in_force": True}
 MODAL = {"attr": "modality", "in": STRICT}
 SUCCESSOR = {"projection": "has_inforce_successor"}

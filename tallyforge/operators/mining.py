@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import http_reason
+from tallyforge.functions.text import http_reason, tidy
 
 
 # Messages of git apply, read in this order, one reading a failure; words that ask for tests; files of tests.
@@ -118,11 +118,12 @@ def buckets(obs: DataFrame, min_runs: int = 2, min_proposers: int = 1) -> DataFr
 
 
 def not_mined(rows: DataFrame, most: int = 8, length: int = 160) -> DataFrame:
-    """R15, AG-38: http errors that are not refusals: how many, and their first distinct texts."""
-    tidy = F.substring(F.regexp_replace(F.trim("error"), r"\s+", " "), 1, length)
-    return rows.where((F.col("status") == "http_error") & http_reason(F.col("error")).isNull()).agg(
-        F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set(tidy)), 1, most), "; ").alias("texts")
-    )
+    """R15, AG-38: http errors that are not refusals: how many, their first distinct texts, tidied, and how many more there are."""
+    errors = rows.where((F.col("status") == "http_error") & http_reason(F.col("error")).isNull()).groupBy(tidy(F.col("error"), length).alias("text")).agg(F.count("*").alias("n"))
+    counts = errors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("text").alias("_texts"))
+    first = errors.where("text is not null").orderBy("text").limit(most).agg(F.array_sort(F.collect_list("text")).alias("_first"))  # at most `most` rows
+    more = F.when(F.col("_texts") > most, F.concat(F.lit("; and "), (F.col("_texts") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return counts.crossJoin(F.broadcast(first)).select("n", F.concat(F.array_join("_first", "; "), more).alias("texts"))  # two tables of one row
 
 
 def plan_upsert(mined: DataFrame, existing: DataFrame) -> DataFrame:

@@ -43,7 +43,9 @@ def evidence(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def verdict(b: Column, c: Column, ties: Column, lost: Column, p: Params, e: Column | None = None, delta: Column | None = None) -> Column:
-    """AG-12: regress before improve before hold, else inconclusive. e and delta: log_e and delta_cs where they are known."""
+    """AG-12: regress before improve before hold, else inconclusive. e and delta: log_e and delta_cs where they are known.
+
+    An improvement is never below the margin: at 2 / alpha its theta, and so its delta, cannot be under none."""
     e = log_e(b, c) if e is None else e
     delta = delta_cs(b, c, b + c + ties, p.alpha) if delta is None else delta
     harm = (c > b) & (e >= math.log(1 / p.alpha))
@@ -97,12 +99,23 @@ def running_lost(pairs: DataFrame, order: str = "pair_id") -> DataFrame:
     return running_sums(marked, order, {"lost_tasks": F.col("_ends")}).select("split", order, "lost_tasks")
 
 
-def stop_at(pairs: DataFrame, p: Params = Params(), batch: int = 10) -> DataFrame:
-    """WN-03: the first batch end at which a split's e-value decides, null where none does."""
+def stop_at(pairs: DataFrame, p: Params = Params(), batch: int = 10, order: str = "pair_id") -> DataFrame:
+    """WN-03: after how many scheduled pairs a split stops: the end of the first batch (or of the last, short one) at which it has
+    improved or regressed; null where none does. Pairs without an answer fill a batch like others; a breached count of lost tasks
+    is a regression."""
+    hit = lambda k: F.coalesce(F.col("outcome") == k, F.lit(False))
+    sums = {"cum_b": hit(1), "cum_c": hit(-1), "answered": F.col("outcome").isNotNull(), "n": F.lit(1)}
+    rows = running_sums(pairs.select("split", order, "outcome"), order, sums)
+    if p.most_lost >= 0:
+        rows = rows.join(running_lost(pairs, order), ["split", order])
+    total = pairs.groupBy(F.col("split").alias("_split")).agg(F.count("*").alias("pairs"))  # a row for each of the gate's two splits
+    ends = rows.join(F.broadcast(total), F.col("split").eqNullSafe(F.col("_split"))).where((F.col("n") % batch == 0) | (F.col("n") == F.col("pairs")))
     e = log_e(F.col("cum_b"), F.col("cum_c"))
-    decided = F.when(F.col("cum_b") > F.col("cum_c"), e >= math.log(2 / p.alpha)).otherwise(e >= math.log(1 / p.alpha))
-    ends = running(pairs).withColumn("decided", decided & (F.col("n") % batch == 0))
-    return ends.groupBy("split").agg(F.min(F.when(F.col("decided"), F.col("n"))).alias("stop_n"), F.max("n").alias("pairs"))
+    decided = F.when(F.col("cum_b") > F.col("cum_c"), e >= math.log(2 / p.alpha)).otherwise((F.col("cum_c") > F.col("cum_b")) & (e >= math.log(1 / p.alpha)))
+    if p.most_lost >= 0:
+        decided = decided | (F.col("lost_tasks") > p.most_lost)
+    first = F.min(F.when(decided, F.struct("n", "answered")))
+    return ends.groupBy("split").agg(first["n"].alias("stop_n"), first["answered"].alias("stop_answered"), F.max("pairs").alias("pairs"))
 
 
 def unanswered_runs(pairs: DataFrame, order: str = "pair_id", most: int = 5) -> DataFrame:
@@ -122,9 +135,9 @@ def promote(read: DataFrame) -> DataFrame:
 
 
 def discordance(pairs: DataFrame, most: int = 30, warn: float = 0.4) -> DataFrame:
-    """AG-44, WN-13: share of unlike pairs among the first `most`, taken round-robin over splits."""
+    """AG-44, WN-13: share of unlike pairs among those answered of the first `most` scheduled, taken round-robin over splits."""
     turn = F.row_number().over(Window.partitionBy("split").orderBy("pair_id"))
-    heads = pairs.where("outcome is not null").withColumn("turn", turn).where(F.col("turn") <= most)  # cut in each task before the shuffle
+    heads = pairs.withColumn("turn", turn).where(F.col("turn") <= most)  # cut in each task before the shuffle
     first = heads.orderBy("turn", "split").limit(most)
-    rate = F.try_divide(F.count_if(F.col("outcome") != 0), F.count("*"))
-    return first.agg(F.count("*").alias("n"), rate.alias("rate"), (rate > warn).alias("warned"))
+    rate = F.coalesce(F.try_divide(F.count_if(F.col("outcome") != 0), F.count("outcome")), F.lit(0.0))
+    return first.agg(F.count("outcome").alias("n"), rate.alias("rate"), (rate > warn).alias("warned"))

@@ -200,15 +200,24 @@ def rescored(recorded: DataFrame, again: DataFrame) -> DataFrame:
 
 
 def conditions(runs: DataFrame, by: str) -> DataFrame:
-    """AG-30: runs, measured, selected and abstaining, share measured and latency of each condition."""
-    ok = measured(F.col("outcome"))
+    """AG-30: the steps of each condition by what came of them, coverage (selected over steps), seconds on the wall of the steps that
+    have them, the mean recorded latency, and steps settled by consensus. A step with an error is unmeasured whatever its outcome."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    which = lambda word: F.count_if(~failed & F.coalesce(F.col("outcome") == word, F.lit(False)))
+    selected, abstained = which("selected"), which("no_candidate")
     return runs.groupBy(by).agg(
-        F.count("*").alias("items"), F.count_if(ok).alias("measured"), F.count_if(F.col("outcome") == "selected").alias("selected"),
-        F.count_if(F.col("outcome") == "no_candidate").alias("no_candidate"), F.round(F.try_divide(F.count_if(ok), F.count("*")), 3).alias("coverage"),
-        F.median(F.when(ok, F.col("latency_ms"))).alias("median_ms"), F.sum("latency_ms").alias("total_ms"),
+        F.count("*").alias("steps"), selected.alias("selected"), abstained.alias("no_candidate"), (F.count("*") - selected - abstained).alias("unmeasured"), F.count_if(failed).alias("errors"),
+        F.round(F.try_divide(selected, F.count("*")), 3).alias("coverage"), F.round(F.avg("wall_seconds"), 3).alias("mean_wall_seconds"), F.round(F.median("wall_seconds"), 3).alias("median_wall_seconds"),
+        F.round(F.try_divide(F.sum(F.coalesce("latency_ms", F.lit(0))), F.count("*")), 3).alias("recorded_latency_ms_mean"), F.count_if(F.coalesce("consensus", F.lit("")) != "").alias("consensus_steps"),
     )
 
 
+def tie_breaks(runs: DataFrame, by: str) -> DataFrame:
+    """AG-30: steps that a key had to part, by condition, stage (consensus, or the score) and key."""
+    stage = F.when(F.coalesce("consensus", F.lit("")) != "", "consensus").otherwise("copeland")
+    return runs.where(F.coalesce("tie_break", F.lit("")) != "").groupBy(by, stage.alias("stage"), F.col("tie_break").alias("key")).agg(F.count("*").alias("steps"))
+
+
 def half_width(rate: Column, n: Column, alpha: float = 0.05) -> Column:
     """AG-06: the normal half width of a rate over n independent trials."""
     return F.lit(z_for(alpha)) * F.sqrt(rate * (1 - rate) / n)

@@ -219,8 +219,8 @@ def AG37_mined_patterns(v: View) -> DataFrame:
     return mining.buckets(mining.observations(_mined(v)))
 
 
-@query("""SELECT count(*) AS n, array_to_string(list_sort(list(DISTINCT regexp_replace(error, '\\s+', ' ', 'g'))), '; ') AS texts FROM candidates
-WHERE status = 'http_error' AND error NOT LIKE '%429%' AND error NOT LIKE '%400%'""")
+@query("""WITH e AS (SELECT trim(regexp_replace(error, '\\s+', ' ', 'g')) t FROM candidates WHERE status = 'http_error' AND error NOT LIKE '%429%' AND error NOT LIKE '%400%'),
+l AS (SELECT count(*) n, list_sort(list(DISTINCT t)) u FROM e) SELECT n, array_to_string(u[1:8], '; ') || CASE WHEN len(u) > 8 THEN '; and ' || (len(u) - 8) || ' more' ELSE '' END AS texts FROM l""")
 def AG38_not_mined(v: View) -> DataFrame:
     return mining.not_mined(_mined(v))
 
@@ -293,10 +293,10 @@ def WN01_running_evidence(v: View) -> DataFrame:
     return sequential.running(sequential.pair_outcomes(v("trials")))
 
 
-@query(f"""WITH {OUTCOME}, r AS (SELECT split, count(*) FILTER (outcome = 1) OVER w b, count(*) FILTER (outcome = -1) OVER w c, count(*) OVER w n
-FROM p WHERE outcome IS NOT NULL WINDOW w AS (PARTITION BY split ORDER BY pair_id)),
-e AS (SELECT *, lgamma(b + 1) + lgamma(c + 1) - lgamma(b + c + 2) + (b + c) * ln(2) e FROM r)
-SELECT split, min(CASE WHEN n % 10 = 0 AND e >= CASE WHEN b > c THEN ln(40) ELSE ln(20) END THEN n END) AS stop_n, max(n) AS pairs FROM e GROUP BY split""")
+@query(f"""WITH {OUTCOME}, r AS (SELECT split, count(*) FILTER (outcome = 1) OVER w b, count(*) FILTER (outcome = -1) OVER w c, count(*) OVER w n, count(outcome) OVER w a, count(*) OVER (PARTITION BY split) pairs
+FROM p WINDOW w AS (PARTITION BY split ORDER BY pair_id)),
+e AS (SELECT *, lgamma(b + 1) + lgamma(c + 1) - lgamma(b + c + 2) + (b + c) * ln(2) e FROM r), d AS (SELECT *, (n % 10 = 0 OR n = pairs) AND b <> c AND e >= CASE WHEN b > c THEN ln(40) ELSE ln(20) END d FROM e)
+SELECT split, min(n) FILTER (d) AS stop_n, arg_min(a, n) FILTER (d) AS stop_answered, max(pairs) AS pairs FROM d GROUP BY split""")
 def WN03_early_stop(v: View) -> DataFrame:
     return sequential.stop_at(sequential.pair_outcomes(v("trials")))
 
@@ -387,11 +387,11 @@ RULE_SQL = {
     "pending_successor": "status = 'accepted' AND sup > 0 AND NOT suc",
     "premature_superseded": "status = 'superseded' AND NOT suc",
     "accepted_unvalidated": "kind = 'edit' AND status = 'accepted' AND NOT (vin AND vout AND imp)",
-    "edit_touches_readonly": "kind = 'edit' AND coalesce(touched, 'verifier') <> 'skill'",
+    "edit_touches_readonly": "kind = 'edit' AND (touched IS NULL OR touched IN ('verifier', 'tracer', 'model-config'))",
     "edit_without_prediction": "kind = 'edit' AND f AND prd = 0",
     "rejected_without_run": "kind = 'edit' AND status = 'rejected' AND val = 0",
     "propose_only_accepted": "kind = 'edit' AND status = 'accepted' AND component = 'tool-implementation'",
-    "accepted_without_approver": "kind = 'edit' AND status = 'accepted' AND approval = 'auto' AND component = 'tool-implementation'",
+    "accepted_without_approver": "kind = 'edit' AND status = 'accepted' AND approval = 'auto' AND component IN ('system-prompt', 'tool-description', 'middleware', 'subagent-config')",
     "pattern_resolved_unfixed": "kind = 'pattern' AND status = 'resolved' AND NOT fixd",
     "predicts_withdrawn": "kind = 'edit' AND status IN ('proposed', 'accepted') AND wd",
     "edit_without_topic": "kind = 'edit' AND f AND abt = 0",

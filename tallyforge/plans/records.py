@@ -282,12 +282,19 @@ def AG26_ci_guide(v: View) -> DataFrame:
     return v("band_rows").groupBy("invariant").agg((3 * F.max("ci_half")).alias("guide"))
 
 
-@query(f"""WITH {JUDGED} SELECT seed, count(*) AS items, count(*) FILTER (measured) AS measured, count(*) FILTER (outcome = 'selected') AS selected, count(*) FILTER (outcome = 'no_candidate') AS no_candidate,
-round(count(*) FILTER (measured)::DOUBLE / count(*), 3) AS coverage, median(latency_ms) FILTER (measured) AS median_ms, sum(latency_ms)::BIGINT AS total_ms FROM j GROUP BY seed""")
+@query("""WITH s AS (SELECT *, coalesce(error, '') <> '' AS e FROM judged), c AS (SELECT seed, count(*) n, count(*) FILTER (e) e, count(*) FILTER (NOT e AND outcome = 'selected') s,
+count(*) FILTER (NOT e AND outcome = 'no_candidate') k, avg(wall_seconds) w, median(wall_seconds) m, sum(latency_ms) l, count(nullif(consensus, '')) u FROM s GROUP BY seed)
+SELECT seed, n AS steps, s AS selected, k AS no_candidate, n - s - k AS unmeasured, e AS errors, round(s / n, 3) AS coverage, round(w, 3) AS mean_wall_seconds, round(m, 3) AS median_wall_seconds,
+round(l / n, 3) AS recorded_latency_ms_mean, u AS consensus_steps FROM c""")
 def AG30_conditions(v: View) -> DataFrame:
     return va.conditions(v("judged"), "seed")
 
 
+@query("""SELECT seed, CASE WHEN coalesce(consensus, '') <> '' THEN 'consensus' ELSE 'copeland' END AS stage, tie_break AS key, count(*) AS steps FROM judged WHERE coalesce(tie_break, '') <> '' GROUP BY ALL""")
+def AG30_tie_breaks(v: View) -> DataFrame:
+    return va.tie_breaks(v("judged"), "seed")
+
+
 @query("""WITH q AS (SELECT set_name, count(*) FILTER (candidate IS NOT NULL AND base IS NOT NULL) n, 100 * avg(candidate - base) p, count(*) FILTER (candidate > base) r, count(*) FILTER (candidate < base) w,
 avg(candidate_s) / avg(base_s) t FROM trial_items GROUP BY set_name)
 SELECT set_name AS "set", stage, kind, CASE WHEN stage = 'A' AND w - r >= 2 THEN 'drop' WHEN n = 0 THEN 'inconclusive' WHEN kind = 'output-fix' THEN CASE WHEN p >= least_q THEN adv ELSE 'drop' END
@@ -320,10 +327,10 @@ def AG35_recommendations(v: View) -> DataFrame:
 
 OUTCOME = """p AS (SELECT split, pair_id, max(task_id) task_id, max(CASE WHEN arm = 'edit' AND error_class = 'none' THEN pass::INT END)
  - max(CASE WHEN arm = 'base' AND error_class = 'none' THEN pass::INT END) outcome FROM trials GROUP BY ALL)"""
-ROBIN = f"""{OUTCOME}, a AS (SELECT split, pair_id, outcome, row_number() OVER (PARTITION BY split ORDER BY pair_id) turn FROM p WHERE outcome IS NOT NULL), f AS (SELECT * FROM a ORDER BY turn, split LIMIT 30)"""
+ROBIN = f"""{OUTCOME}, a AS (SELECT split, pair_id, outcome, row_number() OVER (PARTITION BY split ORDER BY pair_id) turn FROM p), f AS (SELECT * FROM a ORDER BY turn, split LIMIT 30)"""
 
 
-@query(f"WITH {ROBIN} SELECT count(*) AS n, round(avg((outcome <> 0)::INT), 6) AS rate, avg((outcome <> 0)::INT) > 0.4 AS warned FROM f")
+@query(f"WITH {ROBIN} SELECT count(outcome) AS n, round(coalesce(avg((outcome <> 0)::INT), 0), 6) AS rate, coalesce(avg((outcome <> 0)::INT), 0) > 0.4 AS warned FROM f")
 def AG44_WN13_discordance(v: View) -> DataFrame:
     return sequential.discordance(sequential.pair_outcomes(v("trials")))
 
@@ -359,7 +366,7 @@ def WN14_numbered(v: View) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) t FROM part GROUP BY p_brand)
-SELECT p_brand, array_to_string(t[1:4], ', ') || CASE WHEN len(t) > 4 THEN ' and ' || (len(t) - 4) || ' more' ELSE '' END AS types FROM s""")
+SELECT p_brand, array_to_string(t[1:4], ', ') || CASE WHEN len(t) > 4 THEN ', and ' || (len(t) - 4) || ' more' ELSE '' END AS types FROM s""")
 def OR04_listed(v: View) -> DataFrame:
     return v("part").groupBy("p_brand").agg(text.listed(F.array_sort(F.collect_set("p_type"))).alias("types"))
 
@@ -385,7 +392,8 @@ def ST06_duplicates(v: View) -> DataFrame:
     return mt.duplicates(v("user_sets"), ["user_id", "event_type"])
 
 
-@query("""WITH t AS (SELECT event_id, regexp_replace(trim(error), '\\s+', ' ', 'g') f FROM errors) SELECT event_id, CASE WHEN strlen(f) > 160 THEN substr(f, 1, 160) || ' […]' ELSE f END AS tidy FROM t""")
+@query("""WITH t AS (SELECT event_id, trim(regexp_replace(error, '[\\t-\\r \\x{85}\\x{A0}]+', ' ', 'g')) f FROM errors), h AS (SELECT *, list_max(list_filter(range(1, 161), lambda i: strlen(left(f, i)) <= 160)) k FROM t)
+SELECT event_id, CASE WHEN strlen(f) > 160 THEN trim(left(f, k)) || ' […]' ELSE f END AS tidy FROM h""")
 def SC02_tidied(v: View) -> DataFrame:
     return v("errors").select("event_id", text.tidy(F.col("error")).alias("tidy"))
 

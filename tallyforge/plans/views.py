@@ -52,8 +52,10 @@ VIEWS = {
         CASE o_custkey % 5 WHEN 0 THEN 'proposed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'accepted' WHEN 3 THEN 'superseded' ELSE CASE WHEN o_orderkey % 6 = 3 THEN 'resolved' ELSE 'rejected' END END AS status,
         CASE o_custkey % 4 WHEN 0 THEN 'MUST' WHEN 1 THEN 'MAY' WHEN 2 THEN 'SHOULD' ELSE NULL END AS modality,
         CASE WHEN o_custkey % 2 = 0 THEN 'held-in' ELSE 'held-out' END AS split, CASE WHEN o_totalprice > 150000 THEN 'improve' ELSE 'hold' END AS verdict,
-        CASE WHEN o_custkey % 3 = 0 THEN 'tool-implementation' ELSE 'skill' END AS component, CASE WHEN o_custkey % 7 < 3 THEN 'auto' ELSE 'person' END AS approval,
-        CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 11 = 1 THEN 'verifier' ELSE 'skill' END AS touched,
+        CASE o_custkey % 10 WHEN 0 THEN 'tool-implementation' WHEN 1 THEN 'system-prompt' WHEN 2 THEN 'tool-description' WHEN 3 THEN 'middleware' WHEN 4 THEN 'subagent-config'
+             WHEN 5 THEN 'memory' WHEN 6 THEN 'verifier' ELSE 'skill' END AS component, CASE WHEN o_custkey % 7 < 3 THEN 'auto' ELSE 'person' END AS approval,
+        CASE o_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'verifier' WHEN 2 THEN 'tracer' WHEN 3 THEN 'model-config' WHEN 4 THEN 'system-prompt' WHEN 5 THEN 'tool-description' WHEN 6 THEN 'tool-implementation'
+             WHEN 7 THEN 'middleware' WHEN 8 THEN 'subagent-config' WHEN 9 THEN 'memory' ELSE 'skill' END AS touched,
         CAST(o_orderdate AS DATE) AS in_force_from, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL 700 DAY ELSE NULL END AS in_force_until FROM {orders}""",
     "edges": """SELECT concat('n', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('n', CAST(1 + (l_partkey * 7 + l_suppkey) % 1000 AS VARCHAR(20))) AS dst,
         CASE l_partkey % 9 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'enforces' WHEN 2 THEN 'premise' WHEN 3 THEN 'deviates-from' WHEN 4 THEN 'counterexample'
@@ -64,7 +66,8 @@ VIEWS = {
         CASE WHEN event_type = 'signup' THEN CASE user_id % 4 WHEN 0 THEN 'invalid_output' WHEN 1 THEN NULL ELSE 'all_draws' END
              WHEN user_id % 5 = 1 THEN 'condorcet winner' WHEN user_id % 5 = 2 THEN 'copeland score' ELSE NULL END AS reason,
         CASE WHEN user_id % 7 = 0 THEN 'unanimous' ELSE NULL END AS consensus, CASE WHEN user_id % 4 = 3 THEN 'shorter' ELSE NULL END AS tie_break,
-        CAST(floor(value * 10) AS BIGINT) AS latency_ms FROM {events}""",
+        CAST(floor(value * 10) AS BIGINT) AS latency_ms, CASE WHEN event_type = 'error' AND user_id % 2 = 0 OR user_id % 31 = 0 THEN 'exit 1' WHEN user_id % 2 = 1 THEN '' ELSE NULL END AS error,
+        CASE WHEN user_id % 6 = 0 THEN NULL ELSE CAST(floor(value * 8) AS DOUBLE) / 4 END AS wall_seconds FROM {events}""",
     "judged_again": """SELECT CASE WHEN value > 5 THEN CAST(floor(event_id / 3) AS BIGINT) ELSE -1 - event_id END AS item, event_id % 3 AS seed,
         CASE event_type WHEN 'signup' THEN 'no_candidate' ELSE 'selected' END AS outcome,
         CASE WHEN event_type = 'signup' THEN NULL WHEN user_id % 3 = 0 OR value > 90 THEN 'a' WHEN user_id % 3 = 1 THEN 'b' ELSE 'c' END AS candidate
@@ -83,8 +86,8 @@ VIEWS = {
     "band_obs": """SELECT CAST(s_nationkey % 3 AS VARCHAR(9)) AS task, s_nationkey AS run_id, concat('i', CAST(s_suppkey % 4 AS VARCHAR(9))) AS invariant,
         CASE WHEN s_nationkey % 3 = 1 AND s_suppkey % 5 = 0 THEN 'r2' ELSE 'r1' END AS rev FROM {supplier}""",
     "user_sets": """SELECT user_id, event_type, CASE WHEN value > 20 THEN 'left' ELSE 'right' END AS side FROM {events}""",
-    "errors": """SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN '  status 413:   payload  ' WHEN 2 THEN 'HTTP 400: maximum context length'
-        WHEN 3 THEN 'HTTP 401' WHEN 4 THEN 'read: connection reset' ELSE concat('HTTP 418 ', props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props) END AS error FROM {events}""",
+    "errors": """SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'HTTP 429 Too Many Requests' WHEN 1 THEN concat(chr(9), ' status 413:  ', chr(160), ' payload ', chr(10)) WHEN 2 THEN 'HTTP 400: maximum context length'
+        WHEN 3 THEN 'HTTP 401' WHEN 4 THEN concat('HTTP 500: ', repeat('é', CAST(event_id % 200 AS INT))) ELSE concat('HTTP 418 ', props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props) END AS error FROM {events}""",
 }
 
 

@@ -101,5 +101,5 @@ def test_graph_absent_attribute(spark):
 def test_text(spark):
     assert column(spark, text.slugify(F.lit(" Hello, World! "))) == "hello-world"
     assert column(spark, text.http_reason(F.lit("HTTP 429 Too Many"))) == "rate-limited" and column(spark, text.http_reason(F.lit("HTTP 503"))) is None
-    assert column(spark, text.listed(F.array(*map(F.lit, "abcdef")))) == "a, b, c, d and 2 more"
+    assert column(spark, text.listed(F.array(*map(F.lit, "abcdef")))) == "a, b, c, d, and 2 more"
     assert column(spark, text.run_id_parts(F.lit("run/he-0001@2026-01-02-m-x-in-3"))).seq == 3
