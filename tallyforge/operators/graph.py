@@ -2,18 +2,19 @@
 
 A condition is a dict: {"attr", "eq" | "not" | "in" | "subset_of"}, {"inbound" | "outbound", "min"},
 {"not_inbound" | "not_outbound"}, {"via" | "via_inbound", "where"}, {"any_of"}, {"not"}, {"projection"},
-{"in_force"}. A list means all of them. Each edge count and neighbour test is one grouped table joined
-to the nodes by id."""
+{"in_force"}. A list means all of them. All edge counts and neighbour tests of a set of conditions come
+from two grouped tables, edges by their source and by their target, joined to the nodes by id."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import subset_of
+from tallyforge.session import written
 
 STRICT = ["MUST", "MUST_NOT"]
 # The surfaces an edit may touch, and those that a person must approve.
@@ -65,30 +66,63 @@ RULES: dict[str, list] = {
 }
 
 
-class Graph:
-    """nodes: id, kind, status, in_force_from, in_force_until, touches (array) and attribute columns; edges: src, dst, name."""
+def edge_tests(condition: dict | Iterable) -> list[tuple[str, str, list | None]]:
+    """Every edge count (way, name, None) and neighbour test (way, name, where) of a condition, with those of the projections it names."""
+    if not isinstance(condition, dict):
+        return [t for c in condition for t in edge_tests(c)]
+    if "projection" in condition:
+        return edge_tests(PROJECTIONS[condition["projection"]])
+    if "any_of" in condition:
+        return [t for c in condition["any_of"] for t in edge_tests(c)]
+    if "not" in condition and "attr" not in condition:
+        return edge_tests(condition["not"])
+    for way in ("inbound", "outbound"):
+        for key in (way, f"not_{way}"):
+            if key in condition:
+                return [(way, condition[key], None)]
+    for way in ("via", "via_inbound"):
+        if way in condition:
+            return [(way, condition[way], condition["where"])]
+    return []
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, day: str) -> None:
-        self.edges, d = edges, F.to_date(F.lit(day))
-        force = (F.col("in_force_from") <= d) & (F.col("in_force_until").isNull() | (d < F.col("in_force_until")))
-        self.nodes = nodes.withColumn("in_force", F.coalesce(force, F.lit(False)))  # JN-11: half-open validity
-        self.made: dict[str, str] = {}
 
-    def attach(self, tag: str, ends: DataFrame) -> Column:
-        """Adds a count by id to the nodes once."""
-        if tag not in self.made:
-            self.made[tag] = f"_c{len(self.made)}"
-            self.nodes = self.nodes.join(ends.groupBy("id").agg(F.count("*").alias(self.made[tag])), "id", "left")
-        return F.coalesce(self.made[tag], F.lit(0))
+class Graph:
+    """nodes: id, kind, status, in_force_from, in_force_until, touches (array) and attribute columns; edges: src, dst, name.
 
-    def edge_count(self, way: str, name: str) -> Column:
-        end = "dst" if way == "inbound" else "src"
-        return self.attach(f"{way}:{name}", self.edges.where(F.col("name") == name).select(F.col(end).alias("id")))
+    Without a day every node is taken to be in force and none to have a successor in force: what is left does not change with time."""
 
-    def neighbours(self, way: str, name: str, where: list) -> Column:
-        near, far = ("src", "dst") if way == "via" else ("dst", "src")
-        ok = self.nodes.where(self.compile(where)).select(F.col("id").alias(far))
-        return self.attach(f"{way}:{name}:{where!r}", self.edges.where(F.col("name") == name).join(ok, far, "left_semi").select(F.col(near).alias("id"))) > 0
+    def __init__(self, nodes: DataFrame, edges: DataFrame, day: str | None, conditions: Iterable[dict | list] = ()) -> None:
+        d = F.to_date(F.lit(day))
+        force = (F.col("in_force_from") <= d) & (F.col("in_force_until").isNull() | (d < F.col("in_force_until")))
+        self.nodes = nodes.withColumn("in_force", F.coalesce(force, F.lit(False)) if day else F.lit(True))  # JN-11: half-open validity
+        self.edges, self.day = edges, day
+        self.made: dict[str, str] = {}
+        self.prepare([t for c in conditions for t in edge_tests(c)])
+
+    def prepare(self, tests: list[tuple[str, str, list | None]]) -> None:
+        """Adds all counts to the nodes: edges are joined with their far ends' flags and grouped by the near end once each way."""
+        tests = [t for i, t in enumerate(tests) if repr(t) not in self.made and repr(t) not in map(repr, tests[:i])]
+        if inner := [x for _, _, where in tests if where for x in edge_tests(where)]:
+            self.prepare(inner)
+        for near, far, counted, tested in (("dst", "src", "inbound", "via_inbound"), ("src", "dst", "outbound", "via")):
+            mine = [t for t in tests if t[0] in (counted, tested)]
+            if not mine:
+                continue
+            self.made |= {repr(t): f"_c{len(self.made) + i}" for i, t in enumerate(mine)}
+            flagged = [t for t in mine if t[2]]
+            rows = self.edges.where(F.col("name").isin(sorted({n for _, n, _ in mine})))
+            if flagged:
+                flag = {repr(t): f"_f{i}" for i, t in enumerate(flagged)}
+                ends = self.nodes.select(F.col("id").alias(far), *(self.compile(t[2]).alias(flag[repr(t)]) for t in flagged))
+                rows = rows.join(ends, far, "left")
+            hit = lambda t: (F.col("name") == t[1]) & (F.col(flag[repr(t)]) if t[2] else F.lit(True))
+            one = rows.groupBy(F.col(near).alias("id")).agg(*(F.count_if(hit(t)).alias(self.made[repr(t)]) for t in mine))
+            self.nodes = self.nodes.join(one, "id", "left")
+
+    def count(self, way: str, name: str, where: list | None = None) -> Column:
+        if repr((way, name, where)) not in self.made:
+            self.prepare([(way, name, where)])
+        return F.coalesce(self.made[repr((way, name, where))], F.lit(0))
 
     def compile(self, condition: dict | Iterable) -> Column:
         if not isinstance(condition, dict):
@@ -103,30 +137,30 @@ class Graph:
         if "in_force" in condition:
             return F.col("in_force")
         if "projection" in condition:
-            return self.compile(PROJECTIONS[condition["projection"]])
+            return F.lit(False) if condition == SUCCESSOR and not self.day else self.compile(PROJECTIONS[condition["projection"]])
         if "any_of" in condition:
             return reduce(lambda a, b: a | b, [self.compile(c) for c in condition["any_of"]])
         if "not" in condition:
             return ~self.compile(condition["not"])
         for way in ("inbound", "outbound"):
             if way in condition:
-                return self.edge_count(way, condition[way]) >= condition.get("min", 1)
+                return self.count(way, condition[way]) >= condition.get("min", 1)
             if f"not_{way}" in condition:
-                return self.edge_count(way, condition[f"not_{way}"]) == 0
+                return self.count(way, condition[f"not_{way}"]) == 0
         way = "via" if "via" in condition else "via_inbound"
-        return self.neighbours(way, condition[way], condition["where"])
+        return self.count(way, condition[way], condition["where"]) > 0
 
 
 def findings(nodes: DataFrame, edges: DataFrame, day: str, rules: dict[str, list] = RULES) -> DataFrame:
     """GR-01 to GR-19: id and rule of every finding; every rule is a column of one joined table."""
-    g = Graph(nodes, edges, day)
+    g = Graph(nodes, edges, day, rules.values())
     fires = [F.when(g.compile(c), F.lit(name)) for name, c in rules.items()]
     return g.nodes.select("id", F.explode(F.filter(F.array(*fires), lambda r: r.isNotNull())).alias("rule"))
 
 
 def projections(nodes: DataFrame, edges: DataFrame, day: str, which: dict[str, list] = PROJECTIONS) -> DataFrame:
     """GP-01 to GP-08 as boolean columns; `effective` is the binding set."""
-    g = Graph(nodes, edges, day)
+    g = Graph(nodes, edges, day, which.values())
     columns = [g.compile(c).alias(name) for name, c in which.items()]
     return g.nodes.select("id", *columns)
 
@@ -193,21 +227,102 @@ def endpoint_faults(nodes: DataFrame, edges: DataFrame, kinds: dict[str, tuple[l
     return edges.where(F.col("name").isin([*kinds])).join(end("src"), "src").join(end("dst"), "dst").where(wrong).select("src", "dst", "name", "src_kind", "dst_kind")
 
 
-def cycles(edges: DataFrame, name: str) -> DataFrame:
-    """GS-04: nodes on or between cycles of a named edge: what is left once nodes without a way in or out are peeled off.
-
-    A round keeps edges whose source is reached and whose target goes on; rounds end when none is lost.
-    Each is checkpointed where a checkpoint folder is set."""
-    left = edges.where(F.col("name") == name).select("src", "dst").distinct()
-    n = left.count()
+def trimmed(links: DataFrame) -> DataFrame:
+    """Links on or between cycles: those whose source is reached and whose target goes on, until none is lost."""
+    left, n = links, links.count()
     while n:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = kept.checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else kept.persist()
+        kept = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         m = kept.count()
         if m == n:
             break
         left, n = kept, m
-    return left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
+    return left
+
+
+def spread(links: DataFrame) -> DataFrame:
+    """id and the greatest id that reaches it (forward reachability of all nodes at once)."""
+    now = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().withColumn("colour", F.col("id")))
+    changed = 1
+    while changed:
+        met = links.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("met"))
+        after = now.join(met, "id", "left").select("id", F.greatest("colour", "met").alias("colour"), F.coalesce(F.col("met") > F.col("colour"), F.lit(False)).alias("changed"))
+        now = written(after)
+        changed = now.where("changed").limit(1).count()
+        now = now.drop("changed")
+    return now
+
+
+def gathered(links: DataFrame, coloured: DataFrame) -> DataFrame:
+    """Of each colour, the nodes that reach the node of its name along its own nodes (backward reachability): that node's component."""
+    side = lambda end: coloured.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
+    inside = written(links.join(side("src"), "src").join(side("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+    found = written(coloured.where("id = colour").select("id", "colour"))
+    new, n = found, 1
+    while n:
+        before = inside.join(new.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
+        new = written(before.join(found, ["id", "colour"], "left_anti"))
+        n = new.count()
+        found = written(found.union(new)) if n else found
+    return found
+
+
+def cycles(edges: DataFrame, names: list[str]) -> DataFrame:
+    """GS-04: name, component (its least node), id and size of every node on a cycle of edges of one name.
+
+    Strongly connected components: links between no cycles are trimmed off; every node takes the greatest id that reaches it;
+    of the nodes of one such id, those that also reach it are its component; and so on without these. A node alone is on a
+    cycle only if it has a link to itself. Every step ends in a table in the checkpoint folder. A step looks one link further
+    for all nodes at once, so jobs grow with the longest path and not with the graph."""
+    links = written(edges.where(F.col("name").isin(names)).select(F.concat_ws(" ", "name", "src").alias("src"), F.concat_ws(" ", "name", "dst").alias("dst")).distinct())
+    loops = written(links.where("src = dst").select(F.col("src").alias("id")))
+    parts: list[DataFrame] = []
+    while True:
+        links = trimmed(links)
+        if not links.limit(1).count():
+            break
+        found = gathered(links, spread(links))
+        parts.append(found)
+        gone = lambda end: found.select(F.col("id").alias(end))  # noqa: E731, B023
+        links = written(links.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti"))
+    every = reduce(DataFrame.union, parts) if parts else loops.select("id", F.col("id").alias("colour")).limit(0)
+    sized = every.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("size"))
+    on = every.join(sized, "colour").join(loops.withColumn("_loop", F.lit(True)), "id", "left").where("size > 1 or _loop")
+    cut = lambda c: F.substring(c, F.length("_name") + 2, F.length(c))
+    return on.withColumn("_name", F.substring_index("id", " ", 1)).select(F.col("_name").alias("name"), cut(F.col("component")).alias("component"), cut(F.col("id")).alias("id"), "size")
+
+
+FOREVER = "9999-12-31"
+
+
+def binding_periods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """JN-11, GP-05: id, kind, since and until (half-open) of every period in which a node binds: it is effective but for time, in
+    force, and no accepted successor is in force.
+
+    Successors count by the days on which they start, the longest of each: a node has at most a row for each day of the calendar."""
+    end = lambda c: F.coalesce(c, F.lit(FOREVER).cast("date"))
+    g = Graph(nodes, edges, None, [PROJECTIONS["effective"]])
+    own = g.nodes.where(g.compile(PROJECTIONS["effective"])).select("id", "kind", F.col("in_force_from").alias("lo"), end(F.col("in_force_until")).alias("hi")).where("lo < hi")
+    accepted = nodes.where("status = 'accepted' and in_force_from is not null").select(F.col("id").alias("src"), F.col("in_force_from").alias("c"), end(F.col("in_force_until")).alias("d"))
+    over = edges.where("name = 'supersedes'").select("src", F.col("dst").alias("id")).join(accepted, "src").groupBy("id", "c").agg(F.max("d").alias("d"))
+    closed = own.join(over, "id").where("c < hi and d > lo").select("id", "kind", "lo", "c", "d")
+    rows = closed.union(own.select("id", "kind", "lo", F.col("hi").alias("c"), F.col("hi").alias("d")))
+    before = F.max("d").over(Window.partitionBy("id").orderBy("c", "d").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = rows.withColumn("since", F.greatest("lo", F.coalesce(before, "lo"))).where("since < c")
+    return gaps.select("id", "kind", "since", F.col("c").alias("until"))
+
+
+def on_days(periods: DataFrame, days: DataFrame, width: int = 32) -> DataFrame:
+    """JN-11: id, kind and day of every period and day in it. days: day. An interval join: both sides are laid into bins of `width`
+    days, joined by bin, and compared exactly then; periods are first cut to the days asked for."""
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return periods.select("id", "kind", F.col("since").alias("day")).limit(0)
+    cell = lambda c: F.floor(F.unix_date(c) / width)
+    cut = periods.where((F.col("since") <= F.lit(last)) & (F.col("until") > F.lit(first)))
+    ends = F.sequence(cell(F.greatest("since", F.lit(first))), cell(F.least(F.date_sub("until", 1), F.lit(last))))
+    binned = cut.withColumn("bin", F.explode(ends))
+    asked = days.select("day").distinct().withColumn("bin", cell(F.col("day")))
+    return binned.join(asked, "bin").where("since <= day and day < until").select("id", "kind", "day")
 
 
 # Kinds whose documents are only ever added.

@@ -419,7 +419,7 @@ for _number, _name in enumerate(RULE_SQL, 1):
 (coalesce(modality = 'SHOULD', false) OR (coalesce(modality = 'MUST', false) AND enf = 0)) AND status = 'accepted' AND f AND NOT suc effective_should, vin validated_in, vout validated_out, imp improved,
 kind, status, modality, f, suc FROM x)
 SELECT id, enforced, has_inforce_successor, effective_must, effective_should, validated_in, validated_out, improved, effective_must OR effective_should
-OR (coalesce(modality = 'MAY', false) AND status = 'accepted' AND f AND NOT suc) OR (kind = 'edit' AND status = 'accepted' AND f AND validated_in AND validated_out AND improved AND NOT suc) AS effective FROM p""")
+OR (kind = 'calibration' AND f AND NOT suc) OR (coalesce(modality = 'MAY', false) AND status = 'accepted' AND f AND NOT suc) OR (kind = 'edit' AND status = 'accepted' AND f AND validated_in AND validated_out AND improved AND NOT suc) AS effective FROM p""")
 def GP_projections(v: View) -> DataFrame:
     return graph.projections(*_graph(v), DAY)
 
@@ -440,9 +440,26 @@ def GS05_not_leaves(v: View) -> DataFrame:
     return graph.not_leaves(v("edges"), "enforces")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT name, src, dst FROM links WHERE name IN ('supersedes', 'excepts')), r AS (SELECT name, src, dst FROM e UNION SELECT r.name, r.src, e.dst FROM r JOIN e ON r.name = e.name AND r.dst = e.src),
+c AS (SELECT a.name, a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.name = b.name AND a.src = b.dst AND a.dst = b.src GROUP BY ALL)
+SELECT name, component, id, count(*) OVER (PARTITION BY name, component) AS size FROM c""")
 def GS04_cycles(v: View) -> DataFrame:
-    return graph.cycles(v("edges"), "supersedes")
+    return graph.cycles(v("links"), ["supersedes", "excepts"])
+
+
+@query(f"""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), t AS (SELECT dst id, count(*) FILTER (name = 'enforces') enf FROM edges GROUP BY dst),
+v AS (SELECT dst id, bool_or(split = 'held-in' AND verdict IN ('improve', 'hold')) vin, bool_or(split = 'held-out' AND verdict IN ('improve', 'hold')) vout, bool_or(verdict = 'improve') imp
+  FROM edges JOIN nodes ON src = nodes.id WHERE name = 'validates' GROUP BY dst),
+s AS (SELECT n.id, kind, in_force_from a, coalesce(in_force_until, DATE '9999-12-31') b FROM nodes n LEFT JOIN t ON t.id = n.id LEFT JOIN v ON v.id = n.id WHERE kind = 'calibration' OR status = 'accepted'
+  AND (modality IN ('MUST', 'SHOULD', 'MAY') OR (kind = 'edit' AND vin AND vout AND imp))),
+u AS (SELECT dst id, in_force_from a, coalesce(in_force_until, DATE '9999-12-31') b FROM edges JOIN nodes ON src = nodes.id WHERE name = 'supersedes' AND status = 'accepted'),
+x AS (SELECT DISTINCT s.id, day FROM s JOIN u ON s.id = u.id JOIN days ON day >= greatest(s.a, u.a) AND day < least(s.b, u.b)),
+y AS (SELECT kind, day, count(*) n FROM s JOIN days ON day >= a AND day < b GROUP BY ALL), z AS (SELECT kind, day, count(*) n FROM x JOIN s ON x.id = s.id GROUP BY ALL)
+SELECT day, kind, y.n - coalesce(z.n, 0) AS binding FROM y LEFT JOIN z USING (kind, day) WHERE y.n > coalesce(z.n, 0)""")
+def JN11_GP05_binding_days(v: View) -> DataFrame:
+    periods = graph.binding_periods(*_graph(v))
+    days = v("orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    return graph.on_days(periods, days).groupBy("day", "kind").agg(F.count("*").alias("binding"))
 
 
 @query(f"""WITH c AS (SELECT e.dst AS topic, n.id, coalesce(modality, 'MUST_NOT') m FROM nodes n JOIN (SELECT DISTINCT src, dst FROM edges WHERE name = 'about') e ON n.id = e.src WHERE kind = 'clause' AND status = 'accepted' AND {FORCE}),

@@ -48,7 +48,7 @@ VIEWS = {
     "annotations": """SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS item, p_size % 3 AS annotator, CASE WHEN CAST(floor(p_partkey / 3) AS BIGINT) % 2 = 0 THEN 'a' ELSE p_type END AS value FROM {part}""",
     "adjudications": """SELECT CAST(s_suppkey AS BIGINT) AS item, 'judged' AS value FROM {supplier}""",
     "nodes": """SELECT concat('n', CAST(o_orderkey AS VARCHAR(20))) AS id,
-        CASE o_orderkey % 6 WHEN 0 THEN 'edit' WHEN 1 THEN 'clause' WHEN 2 THEN 'run' WHEN 3 THEN 'pattern' WHEN 4 THEN 'conform' ELSE 'edit' END AS kind,
+        CASE o_orderkey % 6 WHEN 0 THEN 'edit' WHEN 1 THEN 'clause' WHEN 2 THEN 'run' WHEN 3 THEN 'pattern' WHEN 4 THEN 'conform' ELSE CASE WHEN o_custkey % 4 = 0 THEN 'calibration' ELSE 'edit' END END AS kind,
         CASE o_custkey % 5 WHEN 0 THEN 'proposed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'accepted' WHEN 3 THEN 'superseded' ELSE CASE WHEN o_orderkey % 6 = 3 THEN 'resolved' ELSE 'rejected' END END AS status,
         CASE o_custkey % 4 WHEN 0 THEN 'MUST' WHEN 1 THEN 'MAY' WHEN 2 THEN 'SHOULD' ELSE NULL END AS modality,
         CASE WHEN o_custkey % 2 = 0 THEN 'held-in' ELSE 'held-out' END AS split, CASE WHEN o_totalprice > 150000 THEN 'improve' ELSE 'hold' END AS verdict,
@@ -60,6 +60,9 @@ VIEWS = {
     "edges": """SELECT concat('n', CAST(l_orderkey AS VARCHAR(20))) AS src, concat('n', CAST(1 + (l_partkey * 7 + l_suppkey) % 1000 AS VARCHAR(20))) AS dst,
         CASE l_partkey % 9 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'enforces' WHEN 2 THEN 'premise' WHEN 3 THEN 'deviates-from' WHEN 4 THEN 'counterexample'
              WHEN 5 THEN 'interop' WHEN 6 THEN 'predicts' WHEN 7 THEN 'validates' ELSE 'about' END AS name FROM {lineitem}""",
+    "links": """SELECT concat('u', CAST(user_id AS VARCHAR(20))) AS src, concat('u', CAST(next AS VARCHAR(20))) AS dst, CASE event_type WHEN 'click' THEN 'supersedes' WHEN 'view' THEN 'excepts' ELSE 'about' END AS name
+        FROM (SELECT user_id, event_type, value, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next FROM {events}) x
+        WHERE next IS NOT NULL AND CASE event_type WHEN 'click' THEN user_id % 5 < 2 AND value > 12 ELSE user_id % 7 < 4 AND value > 15 END""",
     "judged": """SELECT CAST(floor(event_id / 3) AS BIGINT) AS item, event_id % 3 AS seed,
         CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'no_candidate' ELSE 'selected' END AS outcome,
         CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN user_id % 3 = 0 THEN 'a' WHEN user_id % 3 = 1 THEN 'b' ELSE 'c' END AS candidate,
@@ -108,6 +111,6 @@ def oracle(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b(FROM|JOIN)\s+{v}\b", sql)]
     named = [f"{v} AS ({VIEWS[v].format(**{t: t for t in fields(VIEWS[v])})})" for v in used]
     head = ", ".join(named)
-    if sql.lstrip().upper().startswith("WITH "):
-        return f"WITH {head}, {sql.lstrip()[5:]}" if head else sql
+    if started := re.match(r"\s*WITH (RECURSIVE )?", sql):
+        return f"{started[0]}{head}, {sql[started.end():]}" if head else sql
     return f"WITH {head} {sql}" if head else sql

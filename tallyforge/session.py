@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, name: str = "tallyforge") -> SparkSession:
@@ -23,3 +25,20 @@ def local_session(cores: int | str | None = None, name: str = "tallyforge") -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir. Where that is unset: a temporary folder on a local master, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+    return f"{base.rstrip('/')}/tallyforge-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder: lineage ends there, and lost executors take nothing with them."""
+    where = checkpoint_folder(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

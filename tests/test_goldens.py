@@ -95,7 +95,11 @@ def test_graph_absent_attribute(spark):
     edges = spark.createDataFrame([], "src string, dst string, name string")
     assert graph.findings(nodes, edges, "2026-02-01", {"r": graph.RULES["edit_touches_readonly"]}).count() == 1
     loop = spark.createDataFrame([("a", "b", "supersedes"), ("b", "a", "supersedes"), ("b", "c", "supersedes")], "src string, dst string, name string")
-    assert sorted(r.id for r in graph.cycles(loop, "supersedes").collect()) == ["a", "b"]
+    assert sorted(r.id for r in graph.cycles(loop, ["supersedes"]).collect()) == ["a", "b"]
+    links = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c"), ("x", "x"), ("y", "a"), ("d", "z")]  # m and the tails are on no cycle
+    got = graph.cycles(spark.createDataFrame([(*e, "excepts") for e in links] + [("m", "b", "supersedes")], "src string, dst string, name string"), ["supersedes", "excepts"])
+    assert sorted((r.name, r.component, r.id, r.size) for r in got.collect()) == [("excepts", "a", "a", 2), ("excepts", "a", "b", 2), ("excepts", "c", "c", 2), ("excepts", "c", "d", 2), ("excepts", "x", "x", 1)]
+    assert graph.cycles(loop, ["about"]).count() == 0
 
 
 def test_text(spark):
