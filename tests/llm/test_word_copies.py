@@ -56,6 +56,27 @@ def test_planted_near_copies(spark):
     assert len(pairs) - len(within_two_bits) < 0.9 * found  # what op10's parameters alone would find
 
 
+def test_rare_links_between_frequent_texts(spark, monkeypatch):
+    """Texts made of passages that many share, at every similarity around the bound, with links that no leader sees; against all pairs."""
+    monkeypatch.setattr(word_copies, "HOT", 3)
+    monkeypatch.setattr(word_copies, "BIG_KEY", 2)
+    monkeypatch.setattr(word_copies, "BROADCAST_KEYS", 20)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(words, k=30) for _ in range(6)]
+    pairs = []
+    for k in range(160):
+        text = [w for p in rng.sample(passages, rng.randint(1, 5)) for w in p] + rng.choices(words, k=rng.choice((0, 3, 8, 20)))
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        pairs.append((k if k % 9 else None, " ".join(text)))
+    pairs += [(k, None) for k in range(4)] + [(900 + k, " ".join(passages[0] * 300)) for k in range(3)] + [(950, " ".join(passages[0] * 300 + ["end"]))]
+    docs = spark.createDataFrame([(i, *p, "clash", "clash") for i, p in enumerate(pairs)], "row long, doc_id long, text string, class string, name string").repartition(5)
+    gone = {r.row for r in word_copies.repeats(docs).collect()}
+    kept = sorted((pairs[i][0] is None, pairs[i][0] or 0) for i in range(len(pairs)) if i not in gone)
+    assert kept == brute_kept(pairs) and len(pairs) - len(kept) > 10
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert word_copies.repeats(docs.selectExpr("doc_id row", "doc_id", "text")).count() == 0
