@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import interval, kappa, wilson, z_for
+from tallyforge.session import written
 
 
 def contingency(df: DataFrame, first: str, second: str, categories: list[str], cluster: str | None = None) -> DataFrame:
@@ -97,14 +98,63 @@ def proportions(df: DataFrame, by: str, hit: Column, alpha: float = 0.05) -> Dat
     return out.select(by, "successes", "trials", (F.col("successes") / F.col("trials")).alias("rate"), w["lo"].alias("lo"), w["hi"].alias("hi"))
 
 
-def most_shared_pair(df: DataFrame, rater: str, item: str, choice: str) -> DataFrame:
-    """JN-06, OR-03: the two raters with most shared items, and how often they agree; first pair wins ties."""
-    a, b = df.alias("a"), df.alias("b")
-    pair = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{rater}") < F.col(f"b.{rater}")))
-    n = pair.groupBy(F.col(f"a.{rater}").alias("rater_a"), F.col(f"b.{rater}").alias("rater_b")).agg(
-        F.count("*").alias("shared"), F.count_if(F.col(f"a.{choice}") == F.col(f"b.{choice}")).alias("agreed")
-    )
-    return n.orderBy(F.desc("shared"), "rater_a", "rater_b").limit(1)
+#: Raters whose pairs are counted in one pass: each label of another rater on an item then meets at most so many.
+BLOCK = 256
+BROADCAST_ITEMS, SALTS = 20_000, 16
+
+
+def first_labels(labels: DataFrame, rater: str, item: str, choice: str, order: str) -> DataFrame:
+    """rater, item and choice of the first label of every rater and item."""
+    return labels.groupBy(F.col(rater).alias("rater"), F.col(item).alias("item")).agg(F.min_by(choice, order).alias("choice"))
+
+
+def with_items(rows: DataFrame, by_item: DataFrame) -> DataFrame:
+    """rows joined with a written table of items: broadcast if it is small (an item may take BLOCK names), else dealt over SALTS parts, so that
+    the rows of one item never meet in one task."""
+    if by_item.count() <= BROADCAST_ITEMS:
+        return rows.join(F.broadcast(by_item), "item")
+    dealt = by_item.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rater"), F.lit(SALTS)).cast("int")).join(dealt, ["item", "_salt"]).drop("_salt")
+
+
+def most_shared_pair(given: DataFrame, block: int = BLOCK) -> DataFrame:
+    """JN-06, OR-03: rater_a, rater_b (in order) and shared, of the two raters with most items in common; the first pair wins ties.
+
+    given: first_labels. A pair shares no more items than either rater has. So raters go by falling numbers of items in blocks: a
+    block's pairs, with its own raters and with all that come after, are counted in one pass, and the search ends at the first
+    rater with fewer items than the best pair shares. A pass joins the labels of raters that can still win with the block's
+    labels by item, so an item that most raters labelled gives at most `block` rows for each of its labels, not all its pairs."""
+    rows = written(given.select("rater", "item"))
+    sizes = written(rows.groupBy("rater").agg(F.count("*").alias("n")))
+    best, left = None, sizes
+    while True:
+        head = [tuple(r) for r in left.orderBy(F.desc("n"), "rater").limit(block).select("rater", "n").collect()]
+        if not head or (best is not None and head[0][1] < best[2]):
+            break
+        least = best[2] if best else 1
+        names = rows.sparkSession.createDataFrame([(r,) for r, _ in head], sizes.select("rater").schema)
+        mine = rows.join(F.broadcast(names), "rater").groupBy("item").agg(F.collect_list("rater").alias("heads"))  # at most `block` raters an item
+        others = rows.join(left.where(F.col("n") >= least).select("rater"), "rater", "left_semi")
+        met = with_items(others, written(mine)).select("rater", F.explode("heads").alias("head")).where("head <> rater")
+        counts = met.groupBy("rater", "head").agg(F.count("*").alias("shared")).select(F.least("rater", "head").alias("rater_a"), F.greatest("rater", "head").alias("rater_b"), "shared")
+        top = counts.orderBy(F.desc("shared"), "rater_a", "rater_b").limit(1).collect()
+        if top and (best is None or (-top[0][2], top[0][0], top[0][1]) < (-best[2], best[0], best[1])):
+            best = tuple(top[0])
+        last, n = head[-1]
+        left = left.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("rater") > F.lit(last))))
+    kind = sizes.schema["rater"].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([best] if best else [], f"rater_a {kind}, rater_b {kind}, shared long")
+
+
+def human_agreement(labels: DataFrame, rater: str, item: str, choice: str, order: str, categories: list[str], alpha: float = 0.05) -> DataFrame:
+    """JN-06: the pair of raters that share most items and their agreement over them: both names, and agreement() with items as clusters.
+    A rater's first label of an item counts. Without a pair there is no row."""
+    given = written(first_labels(labels, rater, item, choice, order))
+    pair = most_shared_pair(given)
+    side = lambda end, c: given.join(F.broadcast(pair.select(F.col(end).alias("rater"))), "rater").select("item", F.col("choice").alias(c))
+    both = side("rater_a", "first").join(side("rater_b", "second"), "item")
+    found = agreement(both, "first", "second", "item", categories, alpha)
+    return pair.select("rater_a", "rater_b").crossJoin(found)  # one row each
 
 
 def coverage(df: DataFrame, row: str, part: str, decided: Column) -> DataFrame:

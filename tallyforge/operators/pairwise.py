@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordering import ranked
+
 
 def tallies(votes: DataFrame) -> DataFrame:
     """JN-08, AG-39, AG-40: wins of the lower and the higher name of each pair, ties, labelers and the majority ('tie' if none)."""
@@ -77,18 +80,13 @@ def bradley_terry(t: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def stratify(df: DataFrame, margin: str, key: list[str], shares: dict[str, float]) -> DataFrame:
-    """WN-05: rows by falling margin cut into strata of round(share * n); the last takes the rest.
-
-    Ranks come from counts of equal margins and a row number inside each, so no task sorts all rows."""
-    per = df.groupBy(margin).agg(F.count("*").alias("_n"))
-    above = per.select(margin, "_n", (F.sum("_n").over(Window.orderBy(F.desc(margin))) - F.col("_n")).alias("_above"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    rank = F.col("_above") + F.row_number().over(Window.partitionBy(margin).orderBy(*key))
-    out, edge, names = df.join(above, margin).withColumn("_rank", rank), F.lit(0), list(shares)
-    stratum = None
+    """WN-05: rows by falling margin (null last), then key, cut into strata of round(share * n); the last takes the rest."""
+    placed, n = ranked(df, [], [F.desc_nulls_last(margin), *map(F.col, key)], place="_rank"), df.count()
+    names, edge, stratum = list(shares), 0, F.lit(None).cast("string")
     for name in names[:-1]:
-        edge = edge + F.round(F.col("_all") * shares[name])
-        stratum = F.when(F.col("_rank") <= edge, name) if stratum is None else stratum.when(F.col("_rank") <= edge, name)
-    return out.withColumn("stratum", F.lit(names[-1]) if stratum is None else stratum.otherwise(names[-1])).drop("_n", "_above", "_all", "_rank")
+        edge += floor(n * shares[name] + 0.5)
+        stratum = F.coalesce(stratum, F.when(F.col("_rank") <= edge, name))
+    return placed.withColumn("stratum", F.coalesce(stratum, F.lit(names[-1]))).drop("_rank")
 
 
 def sample(df: DataFrame, stratum: str, key: str, quotas: dict[str, int], seed: str = "1") -> DataFrame:

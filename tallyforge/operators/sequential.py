@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import delta_cs, log_e
-
-#: Ranges of the order into which running sums are dealt.
-BLOCKS = 200
+from tallyforge.operators.ordering import ranked
 
 
 @dataclass(frozen=True)
@@ -62,26 +60,9 @@ def readings(ev: DataFrame, p: Params = Params()) -> DataFrame:
     return known.select("*", F.col("_delta.lo").alias("delta_lo"), F.col("_delta.hi").alias("delta_hi"), v.alias("verdict")).drop("_delta")
 
 
-def in_blocks(pairs: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
-    """pairs with _block, the place of each in about equal ranges of its split's order (a number; null first).
-
-    The quantiles are one row for each of the gate's two splits. Whatever they are, sums over blocks are exact."""
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds = pairs.groupBy(F.col("split").alias("_split")).agg(F.percentile_approx(order, shares, 10 * blocks).alias("_bounds"))
-    placed = pairs.join(F.broadcast(bounds), F.col("split").eqNullSafe(F.col("_split")))
-    return placed.withColumn("_block", F.size(F.filter(F.coalesce("_bounds", F.array()), lambda x: x < F.col(order)))).drop("_split", "_bounds")
-
-
-def running_sums(pairs: DataFrame, order: str, sums: dict[str, Column], blocks: int = BLOCKS) -> DataFrame:
-    """pairs with the sums of a split's pairs up to each: windows within blocks, plus the totals of the blocks before."""
-    rows = in_blocks(pairs, order, blocks).withColumns({f"_v_{k}": c.cast("long") for k, c in sums.items()})
-    inside = Window.partitionBy("split", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(F.col("split").alias("_split"), F.col("_block").alias("_at")).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
-    offsets = totals.select("_split", "_at", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))  # a row for each block
-    local = rows.withColumns({k: F.sum(f"_v_{k}").over(inside) for k in sums})
-    joined = local.join(F.broadcast(offsets), F.col("split").eqNullSafe(F.col("_split")) & (F.col("_block") == F.col("_at")))
-    return joined.select(*pairs.columns, *((F.col(k) + F.col(f"_o_{k}")).alias(k) for k in sums))
+def running_sums(pairs: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
+    """pairs with the sums of a split's pairs up to each, by their order (null first)."""
+    return ranked(pairs, ["split"], [F.col(order)], sums, place="_place").drop("_place")
 
 
 def running(pairs: DataFrame, order: str = "pair_id") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.stats import empirical_bernstein, round_or_zero
+from tallyforge.operators.ordering import ranked
+from tallyforge.session import written
 
 
 def quality(items: DataFrame) -> DataFrame:
@@ -110,32 +112,34 @@ def recommendations(items: DataFrame, by: str, margin: float, floor: float, leas
 
 def interleave(items: DataFrame, key: str, d: str = "D", r: str = "R") -> DataFrame:
     """WN-09: R_i stands after D_round(i d / (r + 1)). items: set and key."""
-    rn = F.row_number().over(Window.partitionBy("set").orderBy(key))
-    ranked = items.where(F.col("set").isin(d, r)).withColumn("i", rn)
-    n = ranked.agg(F.count_if(F.col("set") == d).alias("d"), F.count_if(F.col("set") == r).alias("r"))
+    both = items.where(F.col("set").isin(d, r))
+    n = both.agg(F.count_if(F.col("set") == d).alias("d"), F.count_if(F.col("set") == r).alias("r"))
     after = F.floor((2 * F.col("i") * F.col("d") + F.col("r") + 1) / (2 * (F.col("r") + 1)))
-    placed = ranked.crossJoin(F.broadcast(n)).withColumn("after", F.when(F.col("set") == d, F.col("i")).otherwise(after).cast("long"))
+    placed = ranked(both, ["set"], [F.col(key)], place="i").crossJoin(F.broadcast(n)).withColumn("after", F.when(F.col("set") == d, F.col("i")).otherwise(after).cast("long"))
     return placed.select("set", key, "i", "after", (F.col("set") == r).cast("int").alias("second"))
 
 
 def blocks(items: DataFrame, key: str, size: int, conditions: tuple[str, str] = ("base", "candidate")) -> DataFrame:
     """WN-10: items by rank in blocks; odd blocks swap the order of conditions."""
-    block = F.floor((F.row_number().over(Window.partitionBy("set").orderBy(key)) - 1) / size)
+    block = F.floor((F.col("_place") - 1) / size)
     first, second = conditions
     order = F.when(block % 2 == 0, F.array(F.lit(first), F.lit(second))).otherwise(F.array(F.lit(second), F.lit(first)))
-    return items.select("set", key, block.alias("block"), order.alias("o")).select("set", key, "block", F.posexplode("o").alias("turn", "condition"))
+    placed = ranked(items.select("set", key), ["set"], [F.col(key)], place="_place")
+    return placed.select("set", key, block.alias("block"), order.alias("o")).select("set", key, "block", F.posexplode("o").alias("turn", "condition"))
 
 
 def switches(plan: DataFrame, key: str) -> DataFrame:
-    """WN-11: changes of condition along each set's plan."""
-    last = F.lag("condition").over(Window.partitionBy("set").orderBy("block", "turn", key))
-    return plan.withColumn("change", last.isNotNull() & (last != F.col("condition"))).groupBy("set").agg(F.count_if("change").alias("switches"))
+    """WN-11: changes of condition along each set's plan: every step is joined with the one before it by its place."""
+    steps = written(ranked(plan, ["set"], [F.col("block"), F.col("turn"), F.col(key)], place="_place").select("set", "_place", "condition"))
+    before = steps.select("set", (F.col("_place") + 1).alias("_place"), F.col("condition").alias("_last"))
+    joined = steps.join(before, ["set", "_place"], "left")
+    return joined.groupBy("set").agg(F.count_if(F.col("_last").isNotNull() & (F.col("_last") != F.col("condition"))).alias("switches"))
 
 
 def schedule(tasks: DataFrame, key: str, repeats: int, cap: int) -> DataFrame:
     """WN-12: repeat-major order of tasks, capped; and how often each task then runs."""
-    w = Window.partitionBy("split").orderBy("repeat", key)
-    rows = tasks.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
+    every = tasks.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = ranked(every, ["split"], [F.col("repeat"), F.col(key)]).where(F.col("place") <= cap)
     return rows.withColumn("task_repeats", F.count("*").over(Window.partitionBy("split", key)))
 
 

@@ -277,10 +277,21 @@ def AG48_resolved_labels(v: View) -> DataFrame:
     return trials.resolve_labels(v("annotations"), v("adjudications"))
 
 
-@query("""SELECT a.rater AS rater_a, b.rater AS rater_b, count(*) AS shared, count(*) FILTER (a.choice = b.choice) AS agreed FROM ratings a JOIN ratings b
-ON a.item = b.item AND a.rater < b.rater GROUP BY ALL ORDER BY shared DESC, rater_a, rater_b LIMIT 1""")
+EACH = ", ".join(f"count(*) FILTER (first = '{k}') f{i}, count(*) FILTER (second = '{k}') s{i}" for i, k in enumerate(KINDS))
+LESS = " + ".join(f"(f{i} - (first = '{k}')::INT) * (s{i} - (second = '{k}')::INT)" for i, k in enumerate(KINDS))
+CHANCE = " + ".join(f"f{i} * s{i}" for i in range(len(KINDS)))
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT rater, item, arg_min(choice, seq) AS choice FROM ratings GROUP BY ALL),
+top AS MATERIALIZED (SELECT a.rater AS rater_a, b.rater AS rater_b FROM g a JOIN g b ON a.item = b.item AND a.rater < b.rater GROUP BY ALL ORDER BY count(*) DESC, rater_a, rater_b LIMIT 1),
+p AS MATERIALIZED (SELECT a.item, a.choice AS first, b.choice AS second FROM top JOIN g a ON a.rater = rater_a JOIN g b ON b.rater = rater_b AND a.item = b.item),
+t AS (SELECT count(*) n, count(*) FILTER (first = second) same, {EACH} FROM p),
+r AS (SELECT (same - (first = second)::INT)::DOUBLE / (n - 1) po, ({LESS})::DOUBLE / ((n - 1) * (n - 1)) pe FROM p, t), v AS (SELECT var_pop((po - pe) / (1 - pe)) v FROM r),
+k AS (SELECT n, same::DOUBLE / n po, ({CHANCE})::DOUBLE / (n * n) pe FROM t), h AS (SELECT k.*, (po - pe) / (1 - pe) kap, {Z} * sqrt(v * (n - 1)) half FROM k, v)
+SELECT rater_a, rater_b, n::BIGINT AS n, n::BIGINT AS clusters, round(po, 6) AS p_o, round(pe, 6) AS p_e, round(kap, 6) AS kappa, round((5 * po - 1) / 4, 6) AS pabak,
+round(greatest(-1.0, kap - half), 6) AS kappa_lo, round(least(1.0, kap + half), 6) AS kappa_hi FROM h, top""")
 def JN06_most_shared_pair(v: View) -> DataFrame:
-    return ag.most_shared_pair(v("ratings"), "rater", "item", "choice")
+    return ag.human_agreement(v("ratings"), "rater", "item", "choice", "seq", KINDS)
 
 
 OUTCOME = """p AS (SELECT split, pair_id, max(CASE WHEN arm = 'edit' AND error_class = 'none' THEN pass::INT END)

@@ -14,7 +14,7 @@ VIEWS = {
         CASE WHEN l.toxic = 0 THEN 'yes' ELSE 'no' END AS second FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "rater_pairs": """SELECT user_id, event_id, first, second FROM (SELECT user_id, event_id, event_type AS first,
         lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second FROM {events}) x WHERE second IS NOT NULL""",
-    "ratings": """SELECT user_id % 40 AS rater, CAST(floor(event_id / 20) AS BIGINT) AS item, min(event_type) AS choice FROM {events} GROUP BY 1, 2""",
+    "ratings": """SELECT user_id AS rater, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(event_id / 400) AS BIGINT) END AS item, event_type AS choice, event_id AS seq FROM {events}""",
     "votes": """SELECT user_id % 50 AS grp, first, second, CASE WHEN abs(v - w) < 5 THEN 'tie' WHEN v > w THEN 'first' ELSE 'second' END AS winner, user_id AS labeler
         FROM (SELECT user_id, event_type AS first, value AS v, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second,
               lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM {events}) x WHERE second IS NOT NULL AND first <> second""",

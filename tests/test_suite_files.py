@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import graph, sequential
+from tallyforge.operators import graph, ordering, sequential
 from tallyforge.sources import readers
 
 
@@ -75,12 +75,13 @@ def test_identifiers_paths_and_seeds(spark):
     assert one(text.scrub(F.lit("no /w/s/a.go in /home/u/b"), ["/w/s/", "/"], "/home/u")) == "no a.go in ~/b"
 
 
-def test_running_sums_over_any_blocks(spark):
-    """One block, few and more than rows give the same; nulls and single rows too."""
+def test_running_sums_over_any_ranges(spark, monkeypatch):
+    """Few ranges and more than rows give the same; nulls and single rows too."""
     rows = [(s, i, None if i % 7 == 0 else (i * 5) % 3 - 1) for s in ("held-in", "held-out") for i in range(60)] + [("none", 1, None)]
     pairs = spark.createDataFrame(rows, "split string, pair_id int, outcome int")
     want = {(s, i): sum(o == 1 for t, k, o in rows if t == s and k <= i) for s, i, _ in rows}
-    for blocks in (2, 5, 100):
-        got = sequential.running_sums(pairs, "pair_id", {"b": F.coalesce(F.col("outcome") == 1, F.lit(False))}, blocks).collect()
+    for rows_per_task in (1, 40, 1000):
+        monkeypatch.setattr(ordering, "ROWS_PER_TASK", rows_per_task)
+        got = sequential.running_sums(pairs, "pair_id", {"b": F.coalesce(F.col("outcome") == 1, F.lit(False))}).collect()
         assert {(r.split, r.pair_id): r.b for r in got} == want and len(got) == len(rows)
     assert sequential.running(pairs.limit(0)).count() == 0
