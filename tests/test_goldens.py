@@ -77,19 +77,6 @@ def test_verdicts(spark):
         assert column(spark, sequential.verdict(F.lit(b), F.lit(c), F.lit(ties), F.lit(0), p)) == want, (b, c, ties)
 
 
-def test_stream_stops_where_the_batch_does(spark, tmp_path):
-    pairs = spark.createDataFrame([("s", i, 1 if i % 7 else -1) for i in range(60)] + [("t", i, 0) for i in range(20)], "split string, pair_id long, outcome int")
-    pairs.withColumn("k", F.col("pair_id") % 1).write.parquet(str(tmp_path / "in"))
-    stream = gate_stream(spark.readStream.schema(pairs.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("gate").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    decided = spark.table("gate").where("decided").collect()
-    stop = {r.split: r.stop_n for r in sequential.stop_at(pairs, batch=1).collect()}
-    assert [r.split for r in decided] == ["s"] and stop["t"] is None
-    assert decided[0].cum_b + decided[0].cum_c + decided[0].cum_ties == stop["s"]
-
-
 def test_graph_absent_attribute(spark):
     nodes = spark.sql("SELECT 'e1' id, 'edit' kind, 'proposed' status, NULL::string modality, date'2026-01-01' in_force_from, NULL::date in_force_until, NULL::array<string> touches, NULL::string component, NULL::string approval, NULL::string split, NULL::string verdict")
     edges = spark.createDataFrame([], "src string, dst string, name string")
