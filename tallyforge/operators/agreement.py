@@ -163,9 +163,30 @@ def coverage(df: DataFrame, row: str, part: str, decided: Column) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.sum("_hit").alias("decided"))
 
 
-def upper_median(value: str) -> Column:
-    """AG-20: the upper middle of the sorted values, an element that exists, as a double. Tasks pass on counts of values, not rows."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
+# How the coverage table names what a run was.
+AGREES, DIFFERS, UNSTATED = "selected_agrees", "selected_differs", "unstated"
+
+
+def coverage_table(runs: DataFrame, references: DataFrame, abstain: str = "abstain") -> DataFrame:
+    """AG-18: seed (null: all seeds), outcome, gold_decided and gold_tie: runs by what they were and what people said of their item; with
+    runs, ungolded (of items nobody judged; in no row) and abstained_on_decided of the whole table beside every row.
+
+    runs: item, seed, outcome, category, reason. references: item, category. A run that was measured agrees, differs, or has
+    no candidate for the reason it states; another is its outcome."""
+    gold = references.select("item", F.col("category").alias("gold"))
+    known = runs.join(gold, "item", "left")
+    stated = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(UNSTATED))
+    row = (
+        F.when(F.col("outcome") == "selected", F.when(F.col("category") == F.col("gold"), AGREES).otherwise(DIFFERS))
+        .when(F.col("outcome") == "no_candidate", stated(F.col("reason"))).otherwise(stated(F.col("outcome")))
+    )
+    lost = F.col("gold").isNotNull() & (F.col("gold") != abstain) & (F.col("outcome") == "no_candidate")
+    marked = known.select("seed", F.when(F.col("gold").isNotNull(), row).alias("row"), F.col("gold").isNull().cast("int").alias("none"), (F.col("gold") == abstain).alias("tie"), lost.alias("lost"))
+    both = marked.withColumn("table", F.explode(F.array(F.lit("all"), F.lit("seed")))).withColumn("seed", F.when(F.col("table") == "seed", F.col("seed")))
+    cells = both.where("row is not null").groupBy("table", "seed", F.col("row").alias("outcome")).agg(F.count_if(~F.col("tie")).alias("gold_decided"), F.count_if("tie").alias("gold_tie"))
+    totals = both.groupBy("table", "seed").agg(F.count_if(F.col("none") == 0).alias("runs"), F.count_if(F.col("none") == 1).alias("ungolded"), F.count_if("lost").alias("abstained_on_decided"))
+    joined = totals.alias("t").join(cells.alias("c"), (F.col("t.table") == F.col("c.table")) & F.col("t.seed").eqNullSafe(F.col("c.seed")), "left")
+    return joined.select("t.seed", "c.outcome", F.coalesce("c.gold_decided", F.lit(0)).alias("gold_decided"), F.coalesce("c.gold_tie", F.lit(0)).alias("gold_tie"), "t.runs", "t.ungolded", "t.abstained_on_decided")
 
 
 def repeats(df: DataFrame, item: str, order: list[str], value: str) -> DataFrame:

@@ -11,13 +11,54 @@ from tallyforge.session import written
 
 
 def quality(items: DataFrame) -> DataFrame:
-    """AG-31: by set: measured both ways, newly right and wrong, and the change in points. items: set, base, candidate scores (null: unmeasured)."""
-    both = F.col("base").isNotNull() & F.col("candidate").isNotNull()
-    diff = F.when(both, F.col("candidate") - F.col("base"))
+    """AG-31: by set: items with a reference that were measured both ways, items without a reference, unmeasured ones, newly right and wrong, both
+    means and the change in points. items: set, reference (null or empty: none), base, candidate scores (null: unmeasured)."""
+    known = F.coalesce("reference", F.lit("")) != ""
+    both = known & F.col("base").isNotNull() & F.col("candidate").isNotNull()
+    mean = lambda c: F.avg(F.when(both, F.col(c)))
     return items.groupBy("set").agg(
-        F.count_if(both).alias("evaluable"), F.count_if(~both).alias("unmeasured"), F.count_if(diff > 0).alias("newly_right"), F.count_if(diff < 0).alias("newly_wrong"),
-        round_or_zero(F.coalesce(100 * F.avg(diff), F.lit(0.0))).alias("points"),
+        F.count_if(both).alias("evaluable"), F.count_if(~known).alias("no_reference"), F.count_if(known & ~both).alias("unmeasured"),
+        F.count_if(both & (F.col("base") == 0) & (F.col("candidate") == 1)).alias("newly_right"), F.count_if(both & (F.col("base") == 1) & (F.col("candidate") == 0)).alias("newly_wrong"),
+        F.round(mean("base"), 3).alias("q_base"), F.round(mean("candidate"), 3).alias("q_new"), round_or_zero(F.coalesce(100 * (mean("candidate") - mean("base")), F.lit(0.0))).alias("points"),
+    )
+
+
+def card_suggestions(items: DataFrame, cards: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """AG-31, AG-34 for every card: card, basis, evaluable, measured, why_not, points, newly_wrong, newly_right, ratio and decision.
+
+    cards (a few settings of one trial): card, stage, kind, min_evaluable, min_per_stratum. items: set, stratum, reference, base,
+    candidate, base_s, candidate_s. weights: stratum and share of the population that D stands for. Quality is read on D, at
+    stage C on H; it is not measured where that set has no evaluable item, fewer than the card's floor, or, on D with weights, a
+    weighted stratum with fewer than the card's number; with weights it is their mean. The early cut of stage A counts D and R together and
+    comes before quality is read; then unmeasured quality, an output fix by quality alone, time that cannot be compared, both axes."""
+    sets = quality(items)
+    moved = sets.where(F.col("set").isin("D", "R")).agg(F.coalesce(F.sum("newly_wrong"), F.lit(0)).alias("newly_wrong"), F.coalesce(F.sum("newly_right"), F.lit(0)).alias("newly_right"))
+    timed = items.where("base_s is not null and candidate_s is not null").agg(F.try_divide(F.avg("candidate_s"), F.avg("base_s")).alias("ratio"))
+    basis = F.when(F.col("stage") == "C", "H").otherwise("D").alias("basis")
+    rows = cards.select("*", basis).join(sets.select(F.col("set").alias("basis"), "evaluable", F.col("points").alias("raw")), "basis", "left").crossJoin(F.broadcast(moved)).crossJoin(F.broadcast(timed))
+    if weights is not None:
+        both = (F.coalesce("reference", F.lit("")) != "") & F.col("base").isNotNull() & F.col("candidate").isNotNull() & (F.col("set") == "D")
+        by = items.where(both).groupBy("stratum").agg(F.count("*").alias("n"), F.avg("base").alias("b"), F.avg("candidate").alias("c"))
+        j = weights.select("stratum", F.col("share").cast("double").alias("share")).join(by, "stratum", "left")
+        value = 100 * (F.sum(F.col("share") * F.col("c")) - F.sum(F.col("share") * F.col("b"))) / F.sum("share")
+        whole = j.agg(F.count("*").alias("strata"), F.coalesce(F.min(F.coalesce("n", F.lit(0))), F.lit(0)).alias("fewest"), round_or_zero(value).alias("weighted"))
+    else:
+        whole = cards.sparkSession.createDataFrame([(0, 0, None)], "strata long, fewest long, weighted double")
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("evaluable", F.coalesce("evaluable", F.lit(0)))
+    by_weights = (F.col("strata") > 0) & (F.col("basis") == "D")
+    why_not = (
+        F.when(F.col("evaluable") == 0, "none-evaluable").when(F.col("evaluable") < F.col("min_evaluable"), "below-floor").when(by_weights & (F.col("fewest") < F.col("min_per_stratum")), "thin-stratum")
+    )
+    rows = rows.withColumn("why_not", why_not).withColumn("points", F.when(F.col("why_not").isNull(), F.when(by_weights, F.col("weighted")).otherwise(F.col("raw"))))
+    limit = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in THRESHOLDS.items() for x in (k, v[i]))), F.col("kind"))
+    good, fast = F.col("points") >= limit(0), F.col("ratio") <= limit(1)
+    advance = F.when(F.col("stage") == "A", "advance").otherwise("finalist")
+    decision = (
+        F.when((F.col("stage") == "A") & (F.col("newly_wrong") - F.col("newly_right") >= 2), "drop").when(F.col("why_not").isNotNull(), "inconclusive")
+        .when(F.col("kind") == "output-fix", F.when(good, advance).otherwise("drop")).when(F.col("ratio").isNull(), "inconclusive")
+        .when(good & fast, advance).when(~good & ~fast, "drop").otherwise("inconclusive")
     )
+    return rows.select("card", "basis", "evaluable", F.col("why_not").isNull().alias("measured"), "why_not", "points", "newly_wrong", "newly_right", "ratio", decision.alias("decision"))
 
 
 def weighted_quality(items: DataFrame, weights: DataFrame, least: int = 5) -> DataFrame:

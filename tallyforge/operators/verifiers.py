@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.selection import medians
+
 # Two-sided 95 % / 95 % normal tolerance factors for 5 to 12 runs.
 TOLERANCE = {5: 4.164, 6: 3.730, 7: 3.464, 8: 3.268, 9: 3.128, 10: 3.021, 11: 2.935, 12: 2.865}
 
@@ -48,10 +50,9 @@ def beyond_reference(runs: DataFrame) -> DataFrame:
 
 def spread(obs: DataFrame, by: str, value: str = "value") -> DataFrame:
     """AG-21: n, averaging median, mean, sample deviation (0 under two) and scaled median absolute deviation."""
-    mid = obs.groupBy(by).agg(
-        F.count("*").alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")
-    )
-    mad = obs.join(mid.select(by, "median"), by).groupBy(by).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
+    mid = medians(obs, by, value).join(obs.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")), by)
+    away = obs.join(mid.select(by, "median"), by).select(by, F.abs(F.col(value) - F.col("median")).alias("away"))
+    mad = medians(away, by, "away").select(by, (F.col("median") * 1.4826).alias("mad"))
     return mid.join(mad, by)
 
 
@@ -60,14 +61,15 @@ def outward(x: Column, up: bool, places: int = 4) -> Column:
 
 
 def derive_bands(obs: DataFrame, by: str, ci_factor: float = 0.0, relative: float = 0.02, floor_us: float = 0.1, floor_ms: float = 0.005,
-                 k: float | None = None, keep: tuple[str, ...] = (), lower: str = "derive") -> DataFrame:
+                 k: float | None = None, keep: tuple[str, ...] = (), lower: str = "derive",
+                 centre: str = "median", spread_by: str = "stdev") -> DataFrame:
     """AG-22, AG-23, AG-25: one row an invariant, with why its band is what it is.
 
     obs: the invariant's name, value, ci_half, and band_lo and band_hi, the band it was judged against. In this order: bands
     named in keep stay (declared), bands that hold every value stay (in-band), whole values against a band of whole
     numbers are refused (quantised), as are numbers of runs without a tolerance factor (no-factor; k stands for it) and
     widths of zero (no-width). Other bands are derived: the centre, and the widest of the terms on each side (the first of
-    equal ones binds), rounded outward. lower: derive, zero (not below 0 if the band was not) or keep (the band's own if the centre is above it)."""
+    equal ones binds), rounded outward. centre: median or mean; spread_by: stdev or mad (scaled), times the factor. lower: derive, zero (not below 0 if the band was not) or keep (the band's own if the centre is above it)."""
     factor = F.lit(k) if k is not None else F.element_at(F.create_map(*(F.lit(x) for kv in TOLERANCE.items() for x in kv)), F.col("n").cast("int"))
     whole = lambda c: F.col(c) == F.col(c).cast("long")
     held = obs.groupBy(by).agg(
@@ -77,8 +79,8 @@ def derive_bands(obs: DataFrame, by: str, ci_factor: float = 0.0, relative: floa
     name = F.col(by).cast("string")
     unit = F.when(name.endswith("_us"), F.lit(floor_us)).when(name.endswith("_ms"), F.lit(floor_ms)).otherwise(F.lit(0.0))
     s = spread(obs, by).join(held, by).withColumns({
-        "t_spread": factor * F.col("sd"), "t_ci": F.coalesce(F.col("ci"), F.lit(0.0)) * F.lit(float(ci_factor)), "t_relative": F.abs("median") * F.lit(float(relative)), "t_floor": unit})
-    terms = {"k*stddev": "t_spread", "ci_half": "t_ci", "relative": "t_relative", "floor": "t_floor"}
+        "middle": F.col(centre), "t_spread": factor * F.col({"stdev": "sd", "mad": "mad"}[spread_by]), "t_ci": F.coalesce(F.col("ci"), F.lit(0.0)) * F.lit(float(ci_factor)), "t_relative": F.abs(centre) * F.lit(float(relative)), "t_floor": unit})
+    terms = {"k*stddev" if spread_by == "stdev" else "k*mad": "t_spread", "ci_half": "t_ci", "relative": "t_relative", "floor": "t_floor"}
     s = s.withColumn("half", F.greatest(*terms.values()))
     why = (
         F.when(name.isin([*keep]), "declared").when(F.col("inside"), "in-band").when(F.col("units"), "quantised").when(F.col("t_spread").isNull(), "no-factor")
@@ -87,13 +89,13 @@ def derive_bands(obs: DataFrame, by: str, ci_factor: float = 0.0, relative: floa
     binding = None
     for term, column in terms.items():
         binding = F.when(F.col(column) == F.col("half"), term) if binding is None else binding.when(F.col(column) == F.col("half"), term)
-    low = F.col("median") - F.col("half")
-    applies = {"derive": F.lit(False), "zero": F.col("was_lo") >= 0, "keep": F.col("median") > F.col("was_lo")}[lower]
+    low = F.col("middle") - F.col("half")
+    applies = {"derive": F.lit(False), "zero": F.col("was_lo") >= 0, "keep": F.col("middle") > F.col("was_lo")}[lower]
     bounded = F.when(applies, F.greatest(low, F.lit(0.0)) if lower == "zero" else F.col("was_lo")).otherwise(low)
-    s = s.withColumns({"why": why, "new_lo": outward(bounded, False), "new_hi": outward(F.col("median") + F.col("half"), True)})
+    s = s.withColumns({"why": why, "new_lo": outward(bounded, False), "new_hi": outward(F.col("middle") + F.col("half"), True)})
     derived, stays = F.col("why") == "derived", F.col("why").isin("declared", "in-band")
     return s.select(
-        by, "n", F.col("median").alias("centre"), "why", F.when(derived, F.col("half")).alias("half_width"), F.when(derived, binding).alias("binding"),
+        by, "n", F.col("middle").alias("centre"), "why", F.when(derived, F.col("half")).alias("half_width"), F.when(derived, binding).alias("binding"),
         F.when(derived, F.when(applies, lower).otherwise("derive")).alias("lower_policy"),
         F.when(derived, F.col("new_lo")).when(stays, F.col("was_lo")).alias("lo"), F.when(derived, F.col("new_hi")).when(stays, F.col("was_hi")).alias("hi"),
         F.when(derived, (F.col("lowest") >= F.col("new_lo")) & (F.col("highest") <= F.col("new_hi"))).alias("holds_own"),

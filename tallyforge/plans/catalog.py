@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.operators import agreement as ag
-from tallyforge.operators import graph, mining, pairwise, sequential, trials, verifiers
-from tallyforge.plans import records  # noqa: F401 - registers its queries
+from tallyforge.operators import graph, mining, pairwise, selection, sequential, trials, verifiers
+from tallyforge.plans import records, works  # noqa: F401 - they register their queries
 from tallyforge.plans.registry import REGISTRY, View, query, rounded
 from tallyforge.plans.views import load, oracle
 
@@ -106,7 +106,7 @@ def AG18_coverage(v: View) -> DataFrame:
 
 @query("SELECT event_type, round(list_sort(list(value))[count(value) // 2 + 1], 6) AS upper_median, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY event_type")
 def AG20_latency(v: View) -> DataFrame:
-    return v("events").groupBy("event_type").agg(ag.upper_median("value").alias("upper_median"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return selection.upper_medians(v("events"), "event_type", "value").join(v("events").groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), "event_type")
 
 
 @query("""WITH m AS (SELECT invariant, count(*) n, median(value) md, avg(value) mean, coalesce(stddev_samp(value), 0) sd FROM band_rows GROUP BY invariant),
@@ -151,9 +151,9 @@ def AG29_beyond_reference(v: View) -> DataFrame:
     return verifiers.beyond_reference(v("doctor_runs").withColumn("band_failed", failed))
 
 
-@query("""WITH d AS (SELECT set_name, base, candidate, candidate - base x FROM trial_items)
-SELECT set_name AS "set", count(x) AS evaluable, count(*) - count(x) AS unmeasured, count(*) FILTER (x > 0) AS newly_right, count(*) FILTER (x < 0) AS newly_wrong,
-round(coalesce(100 * avg(x), 0), 3) AS points FROM d GROUP BY set_name""")
+@query("""WITH d AS (SELECT set_name, coalesce(reference, '') = '' AS none, base, candidate, CASE WHEN coalesce(reference, '') <> '' THEN candidate - base END x FROM trial_items)
+SELECT set_name AS "set", count(x) AS evaluable, count(*) FILTER (none) AS no_reference, count(*) FILTER (NOT none AND x IS NULL) AS unmeasured, count(*) FILTER (x = 1 AND base = 0) AS newly_right,
+count(*) FILTER (x = -1 AND base = 1) AS newly_wrong, round(avg(base) FILTER (x IS NOT NULL), 3) AS q_base, round(avg(candidate) FILTER (x IS NOT NULL), 3) AS q_new, round(coalesce(100 * avg(x), 0), 3) AS points FROM d GROUP BY set_name""")
 def AG31_quality(v: View) -> DataFrame:
     return trials.quality(v("trial_items").withColumnRenamed("set_name", "set"))
 

@@ -39,7 +39,7 @@ VIEWS = {
              WHEN event_id % 7 < 4 THEN 'pass' ELSE 'fail' END AS verify_status, 1 AS exit_code,
         CASE WHEN user_id % 3 = 0 THEN 'error: patch does not apply' WHEN user_id % 3 = 1 THEN 'corrupt patch at line 3' ELSE 'error: a.go: already exists in working directory' END AS apply_error
         FROM {events}""",
-    "trial_items": """SELECT l.doc_id AS item, CASE l.doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' ELSE 'H' END AS set_name, d.lang AS stratum, d.source AS cluster,
+    "trial_items": """SELECT l.doc_id AS item, CASE l.doc_id % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' ELSE 'H' END AS set_name, d.lang AS stratum, d.source AS cluster, CASE WHEN l.doc_id % 13 = 0 THEN NULL WHEN l.doc_id % 13 = 1 THEN '' ELSE 'a' END AS reference,
         CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE CAST(l.quality AS DOUBLE) END AS base, CASE WHEN l.doc_id % 19 = 0 THEN NULL ELSE CAST(1 - l.toxic AS DOUBLE) END AS candidate,
         CAST(d.n_chars AS DOUBLE) / 100 AS base_s, CAST(d.n_chars AS DOUBLE) / 120 AS candidate_s FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "assessed": """SELECT o_orderkey AS item, o_custkey AS cluster, CASE o_orderkey % 7 WHEN 0 THEN 'better' WHEN 1 THEN 'alike' WHEN 2 THEN 'worse' WHEN 3 THEN 'unread' WHEN 4 THEN 'poor' WHEN 5 THEN 'few' ELSE 'mixed' END AS assessment,
@@ -84,6 +84,10 @@ VIEWS = {
         CASE WHEN o_custkey % 3 = 0 THEN 'disagree' ELSE NULL END AS draw_reason FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber <= 2""",
     "calibrations": """SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS window_to, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice / 1000000 END AS human_kappa,
         CASE WHEN o_custkey % 3 = 0 THEN 'unmeasured' WHEN o_totalprice > 200000 THEN 'yes' ELSE 'no' END AS verdict FROM {orders}""",
+    "judge_settings": """SELECT o_orderkey AS run, concat('{{ "temperature" : ', CASE o_custkey % 3 WHEN 0 THEN '0.70' WHEN 1 THEN '1e0' ELSE '0' END, ',\n "model": "m<', CAST(o_custkey % 5 AS VARCHAR(9)), '> & co", "timeout_s": ', CAST(o_orderkey AS VARCHAR(20)),
+        ', "extra_body": {{"z": [1, 2 , {{"b": "x y", "a": null}}], "a": true}}', CASE WHEN o_custkey % 2 = 0 THEN ', "max_tokens":512' ELSE '' END, CASE WHEN o_custkey % 7 = 0 THEN '' ELSE '}}' END) AS settings FROM {orders}""",
+    "reuse_keys": """SELECT o_orderkey AS run, concat('t', CAST(o_custkey AS VARCHAR(20))) AS task, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'r<1>' END AS rubric, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE 'ref&' END AS reference,
+        o_orderstatus AS prompt_version, o_custkey % 2 = 0 AS allow_tie, o_orderkey % 3 AS seed, o_custkey AS k FROM {orders}""",
     "saved_runs": """SELECT p_partkey AS run, p_brand AS model, p_type AS suite, p_size % 5 AS seeds FROM {part}""",
     "wanted_runs": """SELECT CASE WHEN p_size > 3 THEN p_partkey ELSE -p_partkey END AS run, CASE WHEN p_partkey % 7 = 0 THEN 'other' ELSE p_brand END AS model, p_type AS suite, p_size % 10 AS seeds FROM {part}""",
     "band_obs": """SELECT CAST(s_nationkey % 3 AS VARCHAR(9)) AS task, s_nationkey AS run_id, concat('i', CAST(s_suppkey % 4 AS VARCHAR(9))) AS invariant,
