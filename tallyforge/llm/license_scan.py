@@ -5,12 +5,13 @@ size allows the asked Dice value: with A and B bigrams it is at most 2 min(A, B)
 units of B t / (2 - t) to B (2 - t) / t bigrams can reach t. Bigrams count as often as they stand;
 a template has none twice. All of it is one projection over the rows: nothing is shuffled.
 
-Notices wrapped over lines or standing inside longer ones, and full licence texts, are found as
-passages: runs of as many bigrams as a template has (fewer at the text's end), over the words of the
-whole text. A run that does not start with one of the template's bigrams shares no more than the one
-that starts at the next of them, so only those are scored. Such a run misses at most B (2 - 2t) / (2 - t)
-of the template's bigrams; of one more, its probes, it has one at least, and texts without any probe
-are passed over. A passage counts at the line on which it starts.
+Notices wrapped over lines or standing inside longer ones, cut, or with words put in, and full licence
+texts, are found as passages: runs of bigrams of every admissible size over the words of the whole text.
+A run that does not start and end with one of the template's bigrams shares no more than the shorter one
+that does, so only those are scored: from each such start, one fold over the places of the template's
+bigrams that follow, with the bigrams met so far as bits. A run that reaches t misses at most
+B (2 - 2t) / (2 - t) of the template's bigrams; of one more, its probes, it has one at least, and texts
+without any probe are passed over. A passage counts, with its best score, at the line on which it starts.
 
 Defined cases: a null or empty text has no hit; units of fewer than two words have no bigram; among
 equal scores the license that sorts first wins, then the earliest unit (the whole text is line 0);
@@ -63,8 +64,8 @@ def template_rows(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     for name, text in templates:
         words = normal_words(text)
         pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-        if len(set(pairs)) != len(pairs) or not pairs:
-            raise ValueError(f"template of {name} has no bigram, or one twice")
+        if len(set(pairs)) != len(pairs) or not 0 < len(pairs) < 64:
+            raise ValueError(f"template of {name} has no bigram, one twice, or over 63")
         out.append((name, pairs))
     return out
 
@@ -110,23 +111,32 @@ def passages(lines: Column, threshold: float, templates=TEMPLATES) -> Column:
     known, words = known_templates(rows, threshold), lambda xs: F.array(*map(F.lit, sorted(set(xs))))
     probe, some_bigram = words(x for _, p in rows for x in probes(p, threshold)), words(x for _, p in rows for x in p)
 
-    def of_template(t: Column, marked: Column, n: Column, line_of: Column) -> Column:
-        size = F.size(t["bigrams"])
+    bits = F.array(*(F.lit(1 << i).cast("long") for i in range(63)))
+
+    def of_template(t: Column, marked: Column, line_of: Column) -> Column:
+        size, most = F.size(t["bigrams"]), F.ceil(t["most"]).cast("int")
+
+        def best(m: Column, inside: Column) -> Column:  # of the runs from m on
+            def step(acc: Column, s: Column) -> Column:
+                seen = acc["seen"].bitwiseOR(s["bit"])
+                return F.struct(seen.alias("seen"), F.greatest(acc["best"], 2.0 * F.bit_count(seen) / (s["at"] - m["at"] + 1 + size)).alias("best"))
+
+            return F.aggregate(inside, F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("best")), step, lambda acc: F.round(acc["best"], 9))
 
         def scored(at: Column) -> Column:  # the template's bigrams of the text in order
-            inside = lambda m, j: F.filter(F.slice(at, j + 1, size), lambda s: s["at"] < m["at"] + size)
-            shared = lambda m, j: F.size(F.array_distinct(F.transform(inside(m, j), lambda s: s["pair"])))
+            inside = lambda m, j: F.filter(F.slice(at, j + 1, most), lambda s: s["at"] < m["at"] + most)
             return F.transform(at, lambda m, j: F.struct(
-                F.round(2.0 * shared(m, j) / (size + F.least(size, n - m["at"])), 9).alias("score"),
-                t["license"].alias("license"), F.get(line_of, m["at"]).cast("long").alias("line"),
+                best(m, inside(m, j)).alias("score"), t["license"].alias("license"), F.get(line_of, m["at"]).cast("long").alias("line"),
             ))
 
-        return F.filter(given(F.filter(marked, lambda s: F.array_contains(t["bigrams"], s["pair"])), scored), lambda x: x["score"] >= threshold)
+        place = lambda s: F.array_position(t["bigrams"], s["pair"]).cast("int")
+        mine = F.transform(F.filter(marked, lambda s: F.array_contains(t["bigrams"], s["pair"])), lambda s: F.struct(s["at"].alias("at"), F.element_at(bits, place(s)).alias("bit")))
+        return F.filter(given(mine, scored), lambda x: x["score"] >= threshold)
 
     def of_text(pairs: Column) -> Column:
         line_of = F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i + 1, F.size(w))))
         marked = F.filter(F.transform(pairs, lambda p, i: F.struct(i.alias("at"), p.alias("pair"))), lambda s: F.array_contains(some_bigram, s["pair"]))
-        found = given(F.struct(marked.alias("marked"), line_of.alias("line_of")), lambda v: F.transform(known, lambda t: of_template(t, v["marked"], F.size(pairs), v["line_of"])))
+        found = given(F.struct(marked.alias("marked"), line_of.alias("line_of")), lambda v: F.transform(known, lambda t: of_template(t, v["marked"], v["line_of"])))
         none = F.array().cast("array<struct<score: double, license: string, line: bigint>>")
         return F.when(F.arrays_overlap(pairs, probe), F.flatten(found)).otherwise(none)
 
@@ -195,12 +205,13 @@ p AS (SELECT rid, line, list_transform(range(1, len(words)), lambda i: words[i]
 h AS (SELECT rid, line, license, round(2.0 * len(list_intersect(list_distinct(pairs), bigrams)) / (len(pairs) + len(bigrams)), 9) AS score
       FROM p CROSS JOIN t),
 v AS (SELECT rid, line, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w WHERE line > 0),
-o AS (SELECT rid, line, row_number() OVER run AS pos, word || ' ' || lead(word) OVER run AS pair, count(*) OVER (PARTITION BY rid) - 1 AS n
-      FROM v WINDOW run AS (PARTITION BY rid ORDER BY line, k)),
-m AS (SELECT rid, tid, license, line, pos, pair, n, size FROM o JOIN (SELECT tid, license, len(bigrams) AS size, unnest(bigrams) AS pair FROM t) USING (pair)),
-r AS (SELECT a.rid, a.line, a.license, round(2.0 * count(DISTINCT b.pair) / (a.size + least(a.size, a.n - a.pos + 1)), 9) AS score
-      FROM m a JOIN m b ON a.rid = b.rid AND a.tid = b.tid AND b.pos BETWEEN a.pos AND a.pos + a.size - 1
-      GROUP BY a.rid, a.tid, a.pos, a.line, a.license, a.size, a.n),
+o AS (SELECT rid, line, row_number() OVER run AS pos, word || ' ' || lead(word) OVER run AS pair FROM v WINDOW run AS (PARTITION BY rid ORDER BY line, k)),
+m AS (SELECT rid, tid, license, line, pos, size, coalesce(lag(pos) OVER (PARTITION BY rid, tid, pair ORDER BY pos), 0) AS last
+      FROM o JOIN (SELECT tid, license, len(bigrams) AS size, unnest(bigrams) AS pair FROM t) USING (pair)),
+e AS (SELECT a.rid, a.line, a.license, b.pos - a.pos + 1 + a.size AS total,
+        count(*) FILTER (b.last < a.pos) OVER (PARTITION BY a.rid, a.tid, a.pos ORDER BY b.pos) AS shared
+      FROM m a JOIN m b ON a.rid = b.rid AND a.tid = b.tid AND b.pos BETWEEN a.pos AND a.pos + ceil(a.size * {(2 - threshold) / threshold}) - 1),
+r AS (SELECT rid, line, license, max(round(2.0 * shared / total, 9)) AS score FROM e GROUP BY ALL),
 g AS (SELECT rid, license, line, max(score) AS score FROM (SELECT rid, license, line, score FROM h UNION ALL SELECT rid, license, line, score FROM r) WHERE score >= {threshold} GROUP BY ALL),
 b AS (SELECT rid, count(*) AS n_hits, arg_min(license, (-score, license, line)) AS license, max(score) AS score,
        arg_min(line, (-score, license, line)) AS line, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM g GROUP BY rid)

@@ -2,25 +2,28 @@
 
 Tokens are summed into cells of source, language and topic. Each dimension has a factor for each of
 its categories; a cell's weight is its share of all tokens times its three factors. In turn a
-dimension's factors are set so that its categories' weights are their targets, for `rounds` rounds:
-grouped sums over the cell table, whose partial sums are taken before the shuffle, so neither a large
-category nor a long list of sources meets in one task. Every document of a cell is then drawn with the
-cell's calibrated rate: as many whole copies as the rate has, and one more with the probability that is
-left, against a uniform number from its doc_id's MD5. So the targets are met where a cell holds less
+dimension's factors are set so that its categories' weights are their targets, until the largest miss
+of a round is under MISS or ROUNDS are over (as where no weights of the cells can meet all targets; then
+marginals() tells what is missed). A cell table of at most BROADCAST_CELLS rows is raked in one task,
+RAKES rounds a job; a larger one by grouped sums, whose partial sums are taken before the shuffle, so
+neither a large category nor a long list of sources meets in one task. Every document of a cell is then
+drawn with the cell's calibrated rate: as many whole copies as the rate has, and one more with the
+probability that is left, against a uniform number from the MD5 of its doc_id and text. So the targets are met where a cell holds less
 than is asked of it, too. Only the cell table is iterated on, never the documents.
 
 Defined cases: null source, language or topic are categories of their own, `(none)`; null and empty
-texts have no tokens, are left out of the fit and never drawn; very long texts count whole; repeated rows
-are drawn alike; targets are renewed over the categories that have tokens, and a category that given
+texts have no tokens, are left out of the fit and never drawn; very long texts count whole; rows of one doc_id or
+of none are drawn by their texts, and repeated rows alike; targets are renewed over the categories that have tokens, and a category that given
 targets do not name is not drawn; an empty table gives an empty result; extra columns pass through where
 keep names them, and none of them may be named like the result's own columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import shared_dir, stash
@@ -28,9 +31,9 @@ from tallyforge.llm.shared import shared_dir, stash
 DIMS = ("source", "lang", "topic")
 #: A dimension's default target shares are its token shares to this power, scaled to 1: under 1, large categories give way.
 TEMPER = {"source": 0.5, "lang": 0.6, "topic": 0.8}
-#: Rakes over all dimensions (a round takes the largest miss of a target to about a tenth; marginals() tells what is left);
-#: expected share of all tokens that is drawn.
-ROUNDS, SHARE, SEED = 5, 0.5, "mix"
+#: Rounds over all dimensions in one job, and at most; the relative miss of a target at which they end (a round takes it to about a
+#: tenth); expected share of all tokens that is drawn.
+RAKES, ROUNDS, MISS, SHARE, SEED = 5, 40, 1e-12, 0.5, "mix"
 #: Cells, or categories of a dimension, up to this number are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_CELLS = 50_000
 NONE = "(none)"
@@ -52,9 +55,9 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor((F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 3) / 4).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 32 bits of the MD5 of seed and doc_id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from the first 32 bits of the MD5 of seed, doc_id and the text's MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
@@ -71,27 +74,38 @@ def target_shares(cells: DataFrame, d: str, temper: float, given: Targets | None
 
 
 def rake(cells: DataFrame, where: str, temper: Mapping[str, float] = TEMPER, targets: Mapping[str, Targets] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells: DIMS and tokens. Adds weight, whose sums by each dimension approach the targets."""
+    """cells: DIMS and tokens, in a table. Adds weight, whose sums by each dimension approach the targets."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    asked, few = {}, {}
+    asked = {d: stash(target_shares(cells, d, temper[d], (targets or {}).get(d)), f"{where}/target-{d}") for d in DIMS}
+    one_task = cells.count() <= BROADCAST_CELLS
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for d in DIMS:
-        asked[d] = stash(target_shares(cells, d, temper[d], (targets or {}).get(d)), f"{where}/target-{d}")
-        few[d] = asked[d].count() <= BROADCAST_CELLS
-    factors = {d: asked[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMS}
-    small = lambda d, df: F.broadcast(df) if few[d] else df
-
-    def weighted(dims: tuple[str, ...]) -> DataFrame:
-        out, weight = cells, F.col("tokens") / F.lit(total)
-        for d in dims:
-            out, weight = out.join(small(d, factors[d]), d), weight * F.col(f"f_{d}")
-        return out.select(*DIMS, "tokens", weight.alias("weight"))
-
-    for k in range(rounds):
-        for d in DIMS:
-            held = weighted(tuple(x for x in DIMS if x != d)).groupBy(d).agg(F.sum("weight").alias("held"))
-            factor = F.when(F.col("held") > 0, F.col("target") / F.col("held")).otherwise(0.0)
-            factors[d] = stash(held.join(small(d, asked[d]), d).select(d, factor.alias(f"f_{d}")), f"{where}/factor-{k}-{d}")
-    return weighted(DIMS)
+        small = asked[d].count() <= BROADCAST_CELLS
+        now = now.join((F.broadcast(asked[d]) if small else asked[d]).withColumnRenamed("target", f"target_{d}"), d)
+    now = stash(now.repartition(1) if one_task else now, f"{where}/raked")
+
+    def raked(rows: DataFrame, d: str) -> DataFrame:
+        """rows with the weights of one dimension set to its targets, and miss, the largest so far of the round."""
+        if one_task:
+            held = rows.withColumn("held", F.sum("weight").over(Window.partitionBy(d)))
+        else:
+            held = stash(rows, f"{where}/before-{d}-{uuid.uuid4().hex}")
+            sums = stash(held.groupBy(d).agg(F.sum("weight").alias("held")), f"{where}/held-{d}-{uuid.uuid4().hex}")
+            held = held.join(F.broadcast(sums) if sums.count() <= BROADCAST_CELLS else sums, d)
+        target = F.col(f"target_{d}")
+        miss = F.when(target > 0, F.abs(F.col("held") / target - 1)).otherwise(0.0)
+        return held.withColumns({"weight": F.when(F.col("held") > 0, F.col("weight") * target / F.col("held")).otherwise(0.0), "miss": F.greatest("miss", miss)}).drop("held")
+
+    for k in range(0, rounds, RAKES):
+        for _ in range(min(RAKES, rounds - k)):
+            now = now.withColumn("miss", F.lit(0.0))
+            for d in DIMS:
+                now = raked(now, d)
+        now = stash(now, f"{where}/raked-{k}")
+        if (now.agg(F.max("miss")).first()[0] or 0) < MISS:
+            break
+        now = now.repartition(1) if one_task else now
+    return now.select(*DIMS, "tokens", "weight")
 
 
 def marginals(drawn: DataFrame, temper: Mapping[str, float] = TEMPER, targets: Mapping[str, Targets] | None = None) -> DataFrame:
@@ -116,7 +130,7 @@ def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = No
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     text = F.col("text")
     rows = docs.select(
-        *keep, F.col("doc_id").alias("_id"), named(F.col("source")).alias("_source"), named(F.col("lang")).alias("_lang"),
+        *keep, uniform(F.col("doc_id"), text, seed).alias("_u"), named(F.col("source")).alias("_source"), named(F.col("lang")).alias("_lang"),
         named(default_topic(text) if topic is None else topic).alias("_topic"), (estimated_tokens(text) if tokens is None else tokens).alias("n_tokens"),
     )
     sums = rows.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
@@ -128,7 +142,7 @@ def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = No
         rates = F.broadcast(rates)
     p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
     joined = rows.join(rates, [f"_{d}" for d in DIMS], "left").withColumn("_p", p)
-    copies = (F.floor("_p") + (uniform(F.col("_id"), seed) < F.col("_p") - F.floor("_p")).cast("long")).cast("long")
+    copies = (F.floor("_p") + (F.col("_u") < F.col("_p") - F.floor("_p")).cast("long")).cast("long")
     return joined.select(
         *keep, *(F.col(f"_{d}").alias(d) for d in DIMS if d not in keep), "n_tokens", F.round("_p", 6).alias("p"), copies.alias("copies"), (copies > 0).alias("kept"),
     )
@@ -143,7 +157,7 @@ def oracle_sql() -> str:
     )
     steps = []
     last = "c0"
-    for k in range(ROUNDS):
+    for k in range(ROUNDS):  # rounds after the misses are under MISS change nothing
         for d in DIMS:
             name = f"r{k}_{d}"
             steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * target_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
@@ -153,12 +167,13 @@ def oracle_sql() -> str:
     )
     return f"""
 WITH r AS MATERIALIZED (SELECT doc_id, {named("source")} AS source, {named("lang")} AS lang, {named(topic)} AS topic,
-    ((coalesce(strlen(text), 0) + 3) // 4)::BIGINT AS n_tokens FROM documents),
+    ((coalesce(strlen(text), 0) + 3) // 4)::BIGINT AS n_tokens,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT / 4294967296.0 AS u FROM documents),
 c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM r WHERE n_tokens > 0 GROUP BY ALL), {targets},
 c0 AS MATERIALIZED (SELECT c.*, tokens / sum(tokens) OVER () AS weight, target_source, target_lang, target_topic
     FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
 {", ".join(steps)},
 rates AS (SELECT source, lang, topic, weight * {SHARE} * (sum(tokens) OVER ())::DOUBLE / tokens AS rate FROM {last}),
 j AS (SELECT r.*, CASE WHEN n_tokens > 0 THEN coalesce(rate, 0.0) ELSE 0.0 END AS q FROM r LEFT JOIN rates USING (source, lang, topic)),
-k AS (SELECT *, floor(q)::BIGINT + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < q - floor(q) THEN 1 ELSE 0 END AS copies FROM j)
+k AS (SELECT *, floor(q)::BIGINT + CASE WHEN u < q - floor(q) THEN 1 ELSE 0 END AS copies FROM j)
 SELECT doc_id, source, lang, topic, n_tokens, round(q, 6) AS p, copies::BIGINT AS copies, copies > 0 AS kept FROM k"""

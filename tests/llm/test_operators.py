@@ -47,6 +47,9 @@ def test_license_passages(spark):
     filler = " ".join(f"w{i}" for i in range(60))
     notices = [" ".join(license_scan.normal_words(t)) for _, t in license_scan.TEMPLATES]
     texts = [f"{filler}\n{WRAPPED}\n{filler}", f"{filler} {notices[1]} {filler}", f"{filler} Use of this source code is governed by a BSD-style license that can be", None, "", "License"]
+    cut = [" ".join(n.split()[: -(-3 * len(n.split()) // 4)]) for n in notices]  # three quarters of each notice, and each with words put in
+    put = [" ".join(w + (" extra word" if i % max(6, len(n.split()) // 3) == 5 else "") for i, w in enumerate(n.split())) for n in notices]
+    texts += [f"{filler} {x} {filler}" for x in [*cut, *put]]
     texts += [(n.replace(" of ", " of\n") + "\n" + filler + "\n") * 3 for n in notices] + [f"{filler} " + n.replace(" license ", " licence ") for n in notices]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
@@ -58,8 +61,13 @@ def test_license_passages(spark):
         pairs, best = list(zip(words, words[1:])), {}
         for name, known in rows:
             known = {tuple(k.split(" ")) for k in known}
-            units = [pairs[i : i + len(known)] for i in range(len(pairs))] + [pairs] + [list(zip(line, line[1:])) for line in lines]
+            units = [pairs] + [list(zip(line, line[1:])) for line in lines]
             best[name] = max([best.get(name, 0), *(2 * len(set(u) & known) / (len(u) + len(known)) for u in units)])
+            for i in range(len(pairs)):  # every run of every length
+                met = set()
+                for k in range(i, min(len(pairs), i + 2 * len(known))):
+                    met |= {pairs[k]} & known
+                    best[name] = max(best[name], 2 * len(met) / (k - i + 1 + len(known)))
         assert got[doc_id].licenses == ",".join(sorted(n for n, s in best.items() if round(s, 9) >= license_scan.THRESHOLD)), doc_id
         assert abs((got[doc_id].score or 0) - max([s for s in best.values() if round(s, 9) >= license_scan.THRESHOLD], default=0)) < 1e-8
 
