@@ -5,7 +5,10 @@ uses, written in segments: each scan task sorts its own postings by term, so tha
 terms pass over most row groups, and nothing is shuffled to build it. A document's end is a posting
 of term 0, whose position is the number of words. Searches start at the rarest terms.
 
-Phrases: each window of an item lists its two rarest places, their postings less the terms' offsets are
+Equal windows of many items (boilerplate) are searched once, as the window of the least item that has them;
+the items of a window are attached to its hits at the end.
+
+Phrases: each such window lists its two rarest places, their postings less the terms' offsets are
 where the item may stand, places met by two such terms are intersected with the postings of all the
 item's other terms, and runs of matched offsets as long as a window are exact hits.
 
@@ -84,6 +87,28 @@ def window_terms(terms: DataFrame, index: DataFrame, where: str, window: int = W
     return stash(rated.withColumn("start", F.explode(starts)), f"{where}/windows")
 
 
+def shared_windows(windows: DataFrame, ordered: bool, where: str) -> DataFrame:
+    """item, start, own_item and own_start: of the windows with the same terms, in order or as a set, the least one stands for all."""
+    terms = F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]) if ordered else F.array_sort(F.collect_set("term"))
+    keyed = stash(windows.groupBy("item", "start").agg(F.array_join(terms.cast("array<string>"), " ").alias("key")), f"{where}-keys")
+    own = keyed.groupBy("key").agg(F.min(F.struct("item", "start")).alias("own"))
+    return stash(keyed.join(own, "key").select("item", "start", F.col("own.item").alias("own_item"), F.col("own.start").alias("own_start")), where)
+
+
+def owners(same: DataFrame) -> DataFrame:
+    """The windows that stand for themselves: item and start."""
+    return same.where("item = own_item and start = own_start").select("item", "start")
+
+
+def items_of(found: DataFrame, same: DataFrame, items: DataFrame) -> DataFrame:
+    """row and item_id of row, item and start of found windows, whichever equal one was found."""
+    own = same.select("item", "start", "own_item", "own_start")
+    groups = found.join(sized(own), ["item", "start"]).select("row", "own_item", "own_start").distinct()
+    members = own.select("own_item", "own_start", F.col("item").alias("member")).distinct()
+    named = groups.join(sized(members), ["own_item", "own_start"]).select("row", F.col("member").alias("item")).distinct()
+    return named.join(sized(items), "item").select("row", "item_id").distinct()
+
+
 def rare_offsets(windows: DataFrame) -> DataFrame:
     """Of each window that can occur, its two rarest offsets: item, off, term, need."""
     w = Window.partitionBy("item", "start")
@@ -92,7 +117,8 @@ def rare_offsets(windows: DataFrame) -> DataFrame:
 
 
 def phrase_hits(items: Items, windows: DataFrame, index: DataFrame, where: str, window: int = WINDOW) -> DataFrame:
-    """Exact hits: row, item_id, start and n_words of every longest run of an item's words that holds a window."""
+    """Exact hits: row, item, first (the run's first word in the item), start, n_words and len of every longest run of an item's words that holds a
+    window, for the items whose windows stand for all equal ones."""
     rare = stash(rare_offsets(windows), f"{where}/rare")
     at = join_terms(index.where("term > 0"), rare).select("row", "item", (F.col("pos") - F.col("off")).alias("shift"), "off", "need")
     met = at.groupBy("row", "item", "shift").agg(F.array_sort(F.collect_set("off")).alias("offs"), F.max("need").alias("need"))
@@ -106,15 +132,16 @@ def phrase_hits(items: Items, windows: DataFrame, index: DataFrame, where: str,
     matched = wanted.join(near, ["row", "pos", "term"]).select("row", "item", "shift", "len", "off")
     run = F.col("off") - F.row_number().over(Window.partitionBy("row", "item", "shift").orderBy("off"))
     runs = matched.withColumn("run", run).groupBy("row", "item", "shift", "run").agg(F.min("off").alias("first"), F.count("*").alias("n"), F.max("len").alias("len"))
-    hits = runs.where(F.col("n") >= F.least(F.lit(window), F.col("len"))).select("row", "item", (F.col("shift") + F.col("first")).alias("start"), F.col("n").alias("n_words"))
-    return stash(hits.join(sized(items.items.select("item", "item_id")), "item").drop("item"), f"{where}/hits")
+    hits = runs.where(F.col("n") >= F.least(F.lit(window), F.col("len")))
+    return stash(hits.select("row", "item", "first", (F.col("shift") + F.col("first")).alias("start"), F.col("n").alias("n_words"), "len"), f"{where}/hits")
 
 
 def proximity_matches(items: Items, windows: DataFrame, index: DataFrame, where: str, span: int = SPAN) -> DataFrame:
     """row and item_id of every item that has a window whose terms all stand, in any order, within `span` words of the document."""
     block = lambda pos: F.floor(pos / span)
     around = lambda pos: F.explode(F.sequence(block(pos) - 1, block(pos) + 1))
-    wanted = windows.select("item", "start", "term", "often").distinct()
+    same = shared_windows(windows, False, f"{where}/same-sets")
+    wanted = windows.join(owners(same), ["item", "start"], "left_semi").select("item", "start", "term", "often").distinct()
     w = Window.partitionBy("item", "start")
     ranked = wanted.withColumn("rank", F.row_number().over(w.orderBy("often", "term"))).withColumn("least", F.min("often").over(w)).where("least > 0")
     first, second = (F.max(F.when(F.col("rank") == k, F.col("term"))) for k in (1, 2))
@@ -133,25 +160,28 @@ def proximity_matches(items: Items, windows: DataFrame, index: DataFrame, where:
     seen = found.groupBy("row", "item", "start", "pos").agg(F.max("need").alias("need"), F.collect_set(F.struct("at", "term")).alias("seen"))
     within = lambda x: F.filter("seen", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + span))
     full = F.exists("seen", lambda x: F.size(F.array_distinct(F.transform(within(x), lambda y: y["term"]))) >= F.col("need"))
-    good = seen.where(full).select("row", "item").distinct()
-    return good.join(sized(items.items.select("item", "item_id")), "item").select("row", "item_id").distinct()
+    good = stash(seen.where(full).select("row", "item", "start").distinct(), f"{where}/near-hits")
+    return items_of(good, same, items.items.select("item", "item_id"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = SPAN) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = SPAN, where: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, and n_near, the items with a
-    proximity match (without span, no proximity is searched and n_near is null)."""
-    where = shared_dir(docs.sparkSession)
+    proximity match (without span, no proximity is searched and n_near is null). where: a folder for the index and other tables, which the result reads."""
+    where = where or shared_dir(docs.sparkSession)
     items = Items(benchmark, where)
     index = build_index(docs, items.vocabulary, where)
     windows = window_terms(items.terms, index, where, window)
-    hits = phrase_hits(items, windows, index, where, window)
+    same = shared_windows(windows, True, f"{where}/same-windows")
+    hits = phrase_hits(items, windows.join(owners(same), ["item", "start"], "left_semi"), index, where, window)
     # words under several hits count once: each hit adds what lies beyond the furthest end before it
     before = Window.partitionBy("row").orderBy("start", "n_words").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("row", "start", "n_words").distinct()
     reach = F.coalesce(F.max(F.col("start") + F.col("n_words")).over(before), F.lit(0))
     added = spans.select("row", F.greatest(F.lit(0), F.col("start") + F.col("n_words") - F.greatest(F.col("start"), reach)).alias("added"))
     n_hit = added.groupBy("row").agg(F.sum("added").alias("n_hit"))
-    by_item = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    inside = F.sequence(F.col("first"), (F.col("first") + F.col("n_words") - F.least(F.lit(window), F.col("len"))).cast("int"))
+    held = hits.select("row", "item", F.explode(inside).alias("start"))
+    by_item = items_of(held, same, items.items.select("item", "item_id")).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = n_hit.join(by_item, "row")
     if span is not None:
         near = proximity_matches(items, windows, index, where, span).groupBy("row").agg(F.count("*").alias("n_near"))

@@ -223,9 +223,10 @@ def components(pairs: DataFrame, where: str, most_rounds: int = 60) -> DataFrame
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, and the component's rows of every document."""
-    where = shared_dir(docs.sparkSession)
+def near_duplicates(docs: DataFrame, tau: int = TAU, where: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, and the component's rows of every document. where: a folder for its tables, which
+    the result reads."""
+    where = where or shared_dir(docs.sparkSession)
     rows = stash(fingerprints(docs), f"{where}/rows")
     classes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), f"{where}/classes")
     plan = plan_for(classes, classes.count(), tau)

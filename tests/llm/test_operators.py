@@ -273,6 +273,21 @@ def test_proximity(spark):
     assert got == brute_contamination(pairs, items) and sum(r[6] for r in got) > 30 and sum(r[6] for r in got) > sum(r[3] for r in got)
 
 
+def test_items_that_share_passages(spark, monkeypatch):
+    """Boilerplate of many items: every item is found, whether a document has only the boilerplate or more; places do not multiply with the items."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    some = lambda n: rng.choices(vocabulary, k=n)
+    shared = some(18)
+    items = [(i, " ".join([*some(i % 4), *shared, *some(i % 5)])) for i in range(40)] + [(100 + i, " ".join(some(20))) for i in range(10)] + [(200, items[3][1]) for items in [[(0, " ".join(shared))] * 4]]
+    pairs = [(i, " ".join([*some(30), *(shared if i % 2 else shared[:12]), *some(20)])) for i in range(20)] + [(50 + i, " ".join([*some(10), items[i][1], *some(10)])) for i in range(0, 50, 5)]
+    written, real = {}, decontaminate.stash
+    monkeypatch.setattr(decontaminate, "stash", lambda df, where, **k: written.setdefault(where.rsplit("/", 1)[-1], real(df, where, **k)))
+    got = rows(decontaminate.contamination(spark.createDataFrame(pairs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == brute_contamination(pairs, items) and max(r[3] for r in got) >= 40
+    assert written["places"].count() < 20 * len(pairs)  # the items that share the passage are 40
+
+
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_decontamination_without_broadcast(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
