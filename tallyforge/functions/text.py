@@ -41,6 +41,12 @@ def http_reason(s: Column) -> Column:
     )
 
 
+def number(x: Column, places: int = 4) -> Column:
+    """SC-06: a number with at most so many decimals and at least one; 0.0 for zero."""
+    text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(x == 0, "0.0").when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit(".0")))
+
+
 def label(s: Column) -> Column:
     """SC-13: lower case, other characters to dashes, no dash or underscore first, 64 at most."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9_-]", "-"), "^[-_]+", ""), 1, 64)

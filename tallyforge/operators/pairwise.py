@@ -89,6 +89,22 @@ def stratify(df: DataFrame, margin: str, key: list[str], shares: dict[str, float
     return placed.withColumn("stratum", F.coalesce(stratum, F.lit(names[-1]))).drop("_rank")
 
 
+def stratified_sample(df: DataFrame, stratum: str, key: str, shares: dict[str, float], target: int, seed: str = "1") -> DataFrame:
+    """WN-06: about `target` rows by strata in the order of shares: round(share * target) of each, the last taking what is left of the target, never
+    more than there are; all rows where the target is none or not below their number. Within a stratum the rows of least sha2(seed | key)."""
+    sizes = {r[0]: r[1] for r in df.where(F.col(stratum).isin([*shares])).groupBy(stratum).count().collect()}  # a row a stratum
+    if target <= 0 or target >= sum(sizes.values()):
+        return df
+    quotas, taken = {}, 0
+    for i, (name, share) in enumerate(shares.items()):
+        want = target - taken if i == len(shares) - 1 else floor(share * target + 0.5)
+        quotas[name] = min(max(want, 0), sizes.get(name, 0))
+        taken += quotas[name]
+    place = F.sha2(F.concat(F.lit(seed + "|"), F.col(key).cast("string")), 256)
+    quota = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(stratum))
+    return ranked(df.where(F.col(stratum).isin([*shares])), [stratum], [place], place="_rank").where(F.col("_rank") <= quota).drop("_rank")
+
+
 def sample(df: DataFrame, stratum: str, key: str, quotas: dict[str, int], seed: str = "1") -> DataFrame:
     """WN-06: of each stratum the rows of least sha2(seed | key), up to its quota."""
     place = F.sha2(F.concat(F.lit(seed + "|"), F.col(key).cast("string")), 256)

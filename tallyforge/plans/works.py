@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions import canonical
+from tallyforge.functions import canonical, text
 from tallyforge.operators import agreement as ag
-from tallyforge.operators import diffs, packets, trials
+from tallyforge.operators import diffs, packets, pairwise, trials
 from tallyforge.operators import validity as va
 from tallyforge.plans.registry import View, query
 
@@ -36,8 +36,8 @@ CASE WHEN refusal IS NULL AND k <> 1 THEN sha256(trim(replace(after, chr(13) ||
 def CE01_candidate_edits(v: View) -> DataFrame:
     """Candidates whose diffs turn each document's text into the next one's: read, applied to the harness that holds the first, and made edits of."""
     whole = v("documents").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n = 1")
-    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
-    pairs = whole.select("doc_id", text.alias("before")).join(whole.select((F.col("doc_id") - 1).alias("doc_id"), text.alias("after")), "doc_id").withColumn("path", F.expr(PATH))
+    ended = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    pairs = whole.select("doc_id", ended.alias("before")).join(whole.select((F.col("doc_id") - 1).alias("doc_id"), ended.alias("after")), "doc_id").withColumn("path", F.expr(PATH))
     fresh = F.col("doc_id") % 6 == 4
     d = diffs.line_diffs(pairs.withColumn("before", F.when(~fresh, F.col("before"))), "before", "after")
     head = F.concat(F.lit("--- "), F.when(fresh, "/dev/null").otherwise(F.concat(F.lit("a/"), "path")), F.lit("\n+++ b/"), "path", F.lit("\n"))
@@ -133,6 +133,25 @@ def AG34_card_suggestions(v: View) -> DataFrame:
     return trials.card_suggestions(v("trial_items").withColumnRenamed("set_name", "set"), cards, weights)
 
 
+@query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) k, count(*) OVER () n FROM part), b AS (SELECT *, CASE WHEN k <= round(n * 0.4) THEN 'clear' WHEN k <= round(n * 0.4) + round(n * 0.3) THEN 'close' ELSE 'rest' END AS stratum FROM r),
+s AS (SELECT stratum, p_partkey, row_number() OVER (PARTITION BY stratum ORDER BY sha256('1|' || p_partkey)) AS i, n // 7 AS target FROM b),
+w AS (SELECT *, CASE stratum WHEN 'clear' THEN round(0.4 * target) WHEN 'close' THEN round(0.3 * target) ELSE target - round(0.4 * target) - round(0.3 * target) END AS want FROM s)
+SELECT stratum, p_partkey FROM w WHERE i <= want""")
+def WN06_stratified_sample(v: View) -> DataFrame:
+    """A seventh of all parts, by strata of size."""
+    shares = {"clear": 0.4, "close": 0.3, "rest": 0.3}
+    part = v("part")
+    banded = pairwise.stratify(part.select("p_partkey", "p_size"), "p_size", ["p_partkey"], shares)
+    return pairwise.stratified_sample(banded, "stratum", "p_partkey", shares, part.count() // 7).select("stratum", "p_partkey")
+
+
+@query("""WITH n AS (SELECT o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE (o_custkey % 2 * 2 - 1) * round(o_totalprice * 100)::BIGINT END AS cents FROM orders), t AS (SELECT *, rtrim(lpad((abs(cents) % 10000)::VARCHAR, 4, '0'), '0') AS f FROM n)
+SELECT o_orderkey, CASE WHEN cents < 0 THEN '-' ELSE '' END || (abs(cents) // 10000)::VARCHAR || '.' || CASE WHEN f = '' THEN '0' ELSE f END AS shown FROM t""")
+def SC06_numbers(v: View) -> DataFrame:
+    cents = F.when(F.col("o_custkey") % 9 == 0, 0).otherwise((F.col("o_custkey") % 2 * 2 - 1) * F.round(F.col("o_totalprice") * 100).cast("long"))
+    return v("orders").select("o_orderkey", text.number(cents.cast("double") / 10000).alias("shown"))
+
+
 MISMATCH = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in ("task", "rubric", "reference", "prompt_version", "allow_tie", "seed"))
 
 
