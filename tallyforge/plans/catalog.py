@@ -483,7 +483,7 @@ def GS10_modality_conflicts(v: View) -> DataFrame:
     return graph.modality_conflicts(nodes, edges.withColumn("name", F.when(F.col("name") == "interop", "excepts").otherwise(F.col("name"))))
 
 
-@query("""SELECT id, kind, CASE WHEN modality IS NULL AND touched IS NULL THEN 'gone' ELSE 'changed' END AS fault FROM nodes WHERE kind IN ('edit', 'run', 'pattern', 'conform')
+@query("""SELECT id, kind, CASE WHEN modality IS NULL AND touched IS NULL THEN 'gone' ELSE 'changed' END AS fault FROM nodes WHERE kind IN ('edit', 'run', 'pattern', 'conform', 'calibration')
 AND (modality IS NULL AND touched IS NULL OR component = 'skill' AND modality IS DISTINCT FROM 'MAY')""")
 def GS09_history_faults(v: View) -> DataFrame:
     after = v("nodes").where("not (modality is null and touched is null)").withColumns({
