@@ -41,6 +41,17 @@ def http_reason(s: Column) -> Column:
     )
 
 
+# How git apply names a file whose hunks do not fit.
+FAILED_FILE = r"(?m)^error: ([^:\n]+): patch does not apply$"
+
+
+def failed_files(apply_error: Column, diff_files: Column) -> Column:
+    """SC-03: the files that an apply failure names, in order and once each; those that the diff touches where it names none."""
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(F.coalesce(apply_error, F.lit("")), F.lit(FAILED_FILE), F.lit(1))
+    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.coalesce(diff_files, none))))
+
+
 def number(x: Column, places: int = 4) -> Column:
     """SC-06: a number with at most so many decimals and at least one; 0.0 for zero."""
     text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

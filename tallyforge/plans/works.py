@@ -152,6 +152,17 @@ def SC06_numbers(v: View) -> DataFrame:
     return v("orders").select("o_orderkey", text.number(cents.cast("double") / 10000).alias("shown"))
 
 
+FAILURE = """concat(CASE user_id % 3 WHEN 0 THEN '' ELSE concat('error: f', CAST(user_id % 7 AS VARCHAR(9)), '.go: patch does not apply', chr(10)) END, 'error: no such thing', chr(10),
+CASE WHEN user_id % 5 = 0 THEN 'error: a.go: patch does not apply' ELSE 'warning: b.go: patch does not apply' END)"""
+
+
+@query(f"""WITH e AS (SELECT event_id, regexp_extract_all({FAILURE}, '(?m)^error: ([^:\n]+): patch does not apply$', 1) AS f, event_type AS touched FROM events)
+SELECT event_id, array_to_string(list_sort(list_distinct(CASE WHEN len(f) > 0 THEN f ELSE [touched] END)), ',') AS files FROM e""")
+def SC03_failed_files(v: View) -> DataFrame:
+    e = v("events").select("event_id", F.expr(FAILURE).alias("error"), F.array("event_type").alias("touched"))
+    return e.select("event_id", F.array_join(text.failed_files(F.col("error"), F.col("touched")), ",").alias("files"))
+
+
 MISMATCH = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in ("task", "rubric", "reference", "prompt_version", "allow_tie", "seed"))
 
 
