@@ -52,6 +52,22 @@ def failed_files(apply_error: Column, diff_files: Column) -> Column:
     return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.coalesce(diff_files, none))))
 
 
+# Exit codes by which a harness refuses its settings, and the classes of failed calls.
+REFUSED_CODES = [2, 3]
+
+
+def error_class(failed: Column, cancelled: Column, exit_code: Column, verifier_error: Column) -> Column:
+    """PRJ-12: how a call ended: none, timeout, infra, harness_crash or verifier_error. Only none counts as an answer.
+
+    A call that was cancelled, or died of a signal (code -1), timed out, whatever its message says; the codes of a refusal are a
+    crash of the harness; other failures are infrastructure. A call that did not fail has a verifier that could not run, or no error."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~yes(failed), F.when(yes(verifier_error), "verifier_error").otherwise("none")).when(yes(cancelled), "timeout")
+        .when(exit_code.isin(REFUSED_CODES), "harness_crash").when(exit_code == -1, "timeout").otherwise("infra")
+    )
+
+
 def number(x: Column, places: int = 4) -> Column:
     """SC-06: a number with at most so many decimals and at least one; 0.0 for zero."""
     text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

@@ -152,6 +152,14 @@ def SC06_numbers(v: View) -> DataFrame:
     return v("orders").select("o_orderkey", text.number(cents.cast("double") / 10000).alias("shown"))
 
 
+@query("""SELECT event_id, CASE WHEN event_type NOT IN ('error', 'view') THEN CASE WHEN event_type = 'signup' THEN 'verifier_error' ELSE 'none' END WHEN user_id % 11 = 0 THEN 'timeout' WHEN user_id % 6 = 0 THEN 'infra'
+WHEN user_id % 6 - 2 IN (2, 3) THEN 'harness_crash' WHEN user_id % 6 - 2 = -1 THEN 'timeout' ELSE 'infra' END AS class FROM events""")
+def PRJ12_error_classes(v: View) -> DataFrame:
+    code = F.when(F.col("user_id") % 6 != 0, F.col("user_id") % 6 - 2)
+    c = text.error_class(F.col("event_type").isin("error", "view"), F.when(F.col("user_id") % 11 == 0, F.lit(True)), code, F.col("event_type") == "signup")
+    return v("events").select("event_id", c.alias("class"))
+
+
 FAILURE = """concat(CASE user_id % 3 WHEN 0 THEN '' ELSE concat('error: f', CAST(user_id % 7 AS VARCHAR(9)), '.go: patch does not apply', chr(10)) END, 'error: no such thing', chr(10),
 CASE WHEN user_id % 5 = 0 THEN 'error: a.go: patch does not apply' ELSE 'warning: b.go: patch does not apply' END)"""
 
