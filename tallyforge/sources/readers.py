@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.heads import head_json
+
 RUN_ID = r"\d{8}T\d{6}Z-[0-9a-f]{8}"
 
 
@@ -198,3 +200,13 @@ def frontmatter(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", head.alias("head"), body.alias("body")).select(
         "path", F.map_from_arrays(keys, values).alias("attrs"), F.map_from_arrays(list_keys, items).alias("list_attrs"), "body", (F.col("head") != "").alias("has_frontmatter")
     )
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-15: path, head (its nested values as JSON), body, and fault (no-head, malformed) of Markdown files with a head between --- lines."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    shape = r"(?s)\A---\n(.*?\n|)---(?:\n(.*))?\z"
+    has = F.col("value").rlike(shape)
+    cut = text.select("path", F.when(has, F.regexp_extract("value", shape, 1)).alias("written"), F.when(has, F.regexp_extract("value", shape, 2)).otherwise(F.col("value")).alias("body"))
+    read = cut.select("path", head_json(F.col("written")).alias("head"), "body", F.col("written").isNull().alias("none"))
+    return read.select("path", "head", "body", F.when(F.col("none"), "no-head").when(F.col("head").isNull(), "malformed").alias("fault"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.heads import head_text
+
 
 def append_journal(rows: DataFrame, path: str, key: list[str]) -> None:
     """SNK-01: appends the rows as JSON lines whose keys the journal does not hold yet, so that a repeated write adds nothing.
@@ -38,6 +40,11 @@ def document(attributes: dict[str, Column], lists: dict[str, Column], body: Colu
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), body)
 
 
+def nested_document(head: Column, body: Column) -> Column:
+    """SNK-07: a Markdown text whose head is a map of any depth, given as JSON; readers.heads gives the same JSON back."""
+    return F.concat(F.lit("---\n"), head_text(head), F.lit("---\n"), body)
+
+
 def write_documents(rows: DataFrame, path: str, kind: str, text: Column) -> None:
     """SNK-06, SNK-07: one folder for each kind; each row is one record. Refuses to overwrite."""
     rows.select(F.col(kind), text.alias("value")).write.mode("errorifexists").partitionBy(kind).option("lineSep", "\n").text(path)
