@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,15 @@ def error_class(failed: Column, cancelled: Column, exit_code: Column, verifier_e
     )
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A double with that many places, rounded by its exact binary value as C's printf does; format_string rounds its shortest decimal."""
+    shown = F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places))
+    half = float(f"5e-{places + 1}")  # under the last place DecimalFormat takes each half for a tie
+    up = (F.abs(x) >= half) if Decimal(half) > Decimal(f"5e-{places + 1}") else (F.abs(x) > half)
+    least = F.concat(F.when(x < 0, "-").otherwise(""), F.when(up, "0." + "0" * (places - 1) + "1").otherwise("0." + "0" * places))
+    return F.when((x != 0) & (F.abs(x) < float(f"1e-{places}")), least).otherwise(shown)
+
+
 def number(x: Column, places: int = 4) -> Column:
     """SC-06: a number with at most so many decimals and at least one; 0.0 for zero."""
     text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

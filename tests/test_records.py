@@ -113,3 +113,10 @@ def test_promote_needs_both_splits_and_one_improvement(spark):
     for held_in, held_out, want in (("improve", "hold", True), ("hold", "improve", True), ("hold", "hold", False), ("improve", "regress", False), ("improve", None, False)):
         rows = [(s, v) for s, v in (("held-in", held_in), ("held-out", held_out)) if v]
         assert sequential.promote(spark.createDataFrame(rows, "split string, verdict string")).first().promote is want, (held_in, held_out)
+
+
+def test_fixed_places_round_the_binary_value(spark):
+    """Halves in decimal that lie below or above in binary; exact halves go to even."""
+    numbers = [0.1125, 0.0005, 0.0015, 0.2345, 0.3335, 0.0625, 0.1875, 1.0005, 1234.5675, 0.0, -0.0025, 0.149500000001, 0.0004, 0.0009, -0.0005, -0.0001, *((1000 * k + 500) / 1e6 for k in range(600))]
+    got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(numbers)], "k long, v double").orderBy("k").select(text.fixed(F.col("v"), 3).alias("x")).collect()]
+    assert got == [f"{v:.3f}" for v in numbers]
