@@ -372,8 +372,8 @@ def SC01_slugs(v: View) -> DataFrame:
     return v("part").select("p_partkey", text.slugify(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-def _graph(v: View) -> tuple[DataFrame, DataFrame]:
-    return v("nodes").withColumn("touches", F.when(F.col("touched").isNotNull(), F.array("touched"))).withColumn("in_force_until", F.col("in_force_until").cast("date")), v("edges")
+def _graph(v: View, nodes: str = "nodes") -> tuple[DataFrame, DataFrame]:
+    return v(nodes).withColumn("touches", F.when(F.col("touched").isNotNull(), F.array("touched"))).withColumn("in_force_until", F.col("in_force_until").cast("date")), v("edges")
 
 
 FORCE = f"(in_force_from <= DATE '{DAY}' AND (in_force_until IS NULL OR DATE '{DAY}' < in_force_until))"
@@ -415,11 +415,13 @@ def GR_all_findings(v: View) -> DataFrame:
 
 
 def _one_rule(number: int, name: str) -> None:
+    nodes = "surface_nodes" if name == "propose_only_accepted" else "nodes"  # in nodes no accepted edit has that surface
+
     def run(v: View) -> DataFrame:
-        return graph.findings(*_graph(v), DAY, {name: graph.RULES[name]}).select("id")
+        return graph.findings(*_graph(v, nodes), DAY, {name: graph.RULES[name]}).select("id")
 
     run.__name__ = f"GR{number:02d}_{name}"
-    query(f"{GRAPH} SELECT id FROM x WHERE {RULE_SQL[name]}")(run)
+    query(f"{GRAPH.replace('FROM nodes', f'FROM {nodes}')} SELECT id FROM x WHERE {RULE_SQL[name]}")(run)
 
 
 for _number, _name in enumerate(RULE_SQL, 1):

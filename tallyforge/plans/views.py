@@ -97,6 +97,9 @@ VIEWS = {
         WHEN 3 THEN 'HTTP 401' WHEN 4 THEN concat('HTTP 500: ', repeat('é', CAST(event_id % 200 AS INT))) ELSE concat('HTTP 418 ', props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props, props) END AS error FROM {events}""",
 }
 
+#: Edits with surfaces that do not follow from their status: any kind of node may name the tool's implementation.
+VIEWS["surface_nodes"] = re.sub(r"CASE o_custkey % 10 WHEN 0 THEN 'tool-implementation'.*?END AS component", "CASE WHEN o_custkey % 3 = 0 THEN 'tool-implementation' ELSE 'skill' END AS component", VIEWS["nodes"], flags=re.DOTALL)
+
 
 def fields(sql: str) -> list[str]:
     return sorted({f for _, f, _, _ in Formatter().parse(sql) if f})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.operators import matching, pairwise, sequential, trials, validity, verifiers
+from tallyforge.plans import catalog
 from tallyforge.sources import readers, writers
 
 JUDGED = "outcome string, consensus string, reason string, tie_break string"
@@ -120,3 +121,12 @@ def test_fixed_places_round_the_binary_value(spark):
     numbers = [0.1125, 0.0005, 0.0015, 0.2345, 0.3335, 0.0625, 0.1875, 1.0005, 1234.5675, 0.0, -0.0025, 0.149500000001, 0.0004, 0.0009, -0.0005, -0.0001, *((1000 * k + 500) / 1e6 for k in range(600))]
     got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(numbers)], "k long, v double").orderBy("k").select(text.fixed(F.col("v"), 3).alias("x")).collect()]
     assert got == [f"{v:.3f}" for v in numbers]
+
+
+def test_accepted_edits_on_a_propose_only_surface(spark):
+    """The view of GR15 holds what the rule looks for: without it the rule passes over the whole table for nothing."""
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey % 3 = 0 and o_custkey % 5 in (1, 2)")
+    edits = orders.where("o_orderkey % 6 = 0 or o_orderkey % 6 = 5 and o_custkey % 4 <> 0").select(F.concat(F.lit("n"), "o_orderkey").alias("id"))
+    found = catalog.queries()["GR15_propose_only_accepted"](spark, sf)
+    assert 0 < found.count() == edits.count() and found.exceptAll(edits).count() == 0
