@@ -80,3 +80,30 @@ def test_rare_links_between_frequent_texts(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert word_copies.repeats(docs.selectExpr("doc_id row", "doc_id", "text")).count() == 0
+
+
+def counted(monkeypatch, name):
+    """The rows of every table that a function of word_copies made or, for compared, was given."""
+    made, real = [], getattr(word_copies, name)
+
+    def run(pairs, *rest):
+        out = real(pairs, *rest)
+        made.append((pairs if name == "compared" else out).distinct().count())
+        return out
+
+    monkeypatch.setattr(word_copies, name, run)
+    return made
+
+
+def test_pairs_of_a_common_passage(spark, monkeypatch):
+    """Texts of which a passage is most, but mostly not enough for the similarity: their pairs are not made."""
+    monkeypatch.setattr(word_copies, "HOT", 3)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(words, k=100)
+    pairs = [(k, " ".join([*passage, *rng.choices(words, k=3 + k % 17)])) for k in range(150)]
+    docs = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "row long, doc_id long, text string").repartition(5)
+    made = counted(monkeypatch, "apart")
+    gone = {r.row for r in word_copies.repeats(docs).collect()}
+    assert sorted((False, i) for i, _ in pairs if i not in gone) == brute_kept(pairs) and len(gone) > 20
+    assert sum(made) < len(pairs)
