@@ -107,3 +107,14 @@ def test_pairs_of_a_common_passage(spark, monkeypatch):
     gone = {r.row for r in word_copies.repeats(docs).collect()}
     assert sorted((False, i) for i, _ in pairs if i not in gone) == brute_kept(pairs) and len(gone) > 20
     assert sum(made) < len(pairs)
+
+
+def test_groups_of_fingerprints_spare_comparisons(spark, monkeypatch):
+    """Rows that a verified group has joined are not compared again; without groups they are, with the same rows kept."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(k, k, " ".join([*words, f"x{k}"])) for k in range(12)], "row long, doc_id long, text string").repartition(3)
+    groups = spark.createDataFrame([(k, 0) for k in range(1, 12)], "row long, head long")
+    made = counted(monkeypatch, "compared")
+    gone = [sorted(r.row for r in word_copies.repeats(docs, grouped=g).collect()) for g in (groups, None)]
+    assert gone == [list(range(1, 12))] * 2
+    assert made == [11, 0, 11]
