@@ -108,3 +108,24 @@ def test_binding_periods(spark):
     for day in ("2026-01-15", "2026-02-15", "2026-03-15"):
         at = {r.id for r in graph.projections(nodes, edges, day, {"effective": graph.PROJECTIONS["effective"]}).where("effective").collect()}
         assert at == {i for i, d in each if d == day}
+
+
+def test_pair_with_most_in_common_by_hot_items(spark, monkeypatch):
+    """Items that most raters have are bits of masks, not pairs; against all pairs, with ties, and where pairs share such items alone."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    monkeypatch.setattr(agreement, "HOT_ITEM", 10)
+    monkeypatch.setattr(agreement, "PAIRS_A_TASK", 50)
+    for seed, masked, density in ((1, 2, 0.15), (2, 12, 0.02), (3, 1, 0.0), (4, 3, 0.4)):
+        monkeypatch.setattr(agreement, "MASKED", masked)
+        rng = random.Random(seed)
+        rows = sorted({(f"r{rng.randrange(60):02d}", i) for i in range(5) for _ in range(40)} | {(f"r{r:02d}", 10 + i) for r in range(60) for i in range(40) if rng.random() < density})
+        held = {}
+        for rater, item in rows:
+            held.setdefault(item, set()).add(rater)
+        shared = Counter(p for raters in held.values() for p in combinations(sorted(raters), 2))
+        best = min(shared, key=lambda p: (-shared[p], p))
+        got = agreement.most_shared_pair(spark.createDataFrame(rows, "rater string, item long"), block=1).collect()
+        assert [tuple(r) for r in got] == [(*best, shared[best])]
