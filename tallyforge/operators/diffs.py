@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import component
 
 CONTEXT = 3
+#: Rows that are Python objects at once, in texts of this many bytes together (one row at least).
+PIECE_ROWS, PIECE_BYTES = 64, 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time: a batch of Spark's has up to 10 000, whatever their texts."""
+    for batch in batches:
+        rows = max(1, min(PIECE_ROWS, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -91,7 +101,7 @@ def line_diffs(df: DataFrame, before: str, after: str, context: int = CONTEXT) -
     inner = [c for c in df.columns if c not in (before, after)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             pairs = zip(batch.column(before).to_pylist(), batch.column(after).to_pylist(), strict=True)
             found = pa.array([diff_lines(a, b, context) for a, b in pairs], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "diff"])
@@ -191,7 +201,7 @@ def changed_files(candidates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("path", pa.string()), ("status", pa.string()), ("hunks", pa.list_(pa.struct([("old", pa.int32()), ("lines", pa.list_(pa.string()))])))]))
-        for batch in batches:
+        for batch in pieces(batches):
             files = pa.array([read_diff(x) for x in batch.column("diff").to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, files], [*batch.schema.names, "files"])
 
@@ -221,7 +231,7 @@ def edits(candidates: DataFrame, harness: DataFrame) -> DataFrame:
     files = changed_files(ok.select("id", "harness", "diff")).join(harness.select("harness", "path", "body", F.lit(True).alias("there")), ["harness", "path"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = batch.select(["status", "hunks", "body", "there"]).to_pylist()
             made = [None if (r["status"] == "A") == bool(r["there"]) else applied(r["body"], r["hunks"] or []) for r in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "path", "status", "body", "readable")), pa.array(made, pa.string())], ["id", "path", "status", "body", "readable", "made"])

@@ -100,3 +100,24 @@ def test_edits(made, i):
     if want is not None:
         assert (r.component, r.approval, r.paths, r.verb, r.body, r.diff_sha256 is not None) == want
     assert made[99].refusal == made[98].refusal == "not-ok" and len(made) == len(CASES) + 2
+
+
+def test_few_rows_are_python_objects_at_once():
+    """A batch of Spark's is taken in pieces, by rows and by bytes, none lost; an empty one gives none."""
+    import pyarrow as pa
+
+    def sizes(texts):
+        batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts)), pa.int64()), "t": pa.array(texts, pa.string())})
+        got = list(diffs.pieces(iter([batch, batch.slice(0, 0)])))
+        assert [k for b in got for k in b.column("k").to_pylist()] == list(range(len(texts)))
+        return [b.num_rows for b in got]
+
+    assert sizes(["a"] * 150) == [64, 64, 22] and sizes([]) == []
+    assert sizes(["a" * 300_000] * 7) == [3, 3, 1] and sizes(["a" * 3_000_000] * 2) == [1, 1]
+
+
+def test_diffs_beyond_a_piece(spark):
+    pairs = [(k, f"a\nb{k}\nc\n", f"a\nb{k + k % 2}\nc\n") for k in range(200)]
+    df = spark.createDataFrame(pairs, "k long, x string, y string").coalesce(1)
+    got = {r.k: r.diff for r in diffs.line_diffs(df, "x", "y").collect()}
+    assert got == {k: diffs.diff_lines(x, y) for k, x, y in pairs}
