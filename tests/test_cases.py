@@ -129,3 +129,18 @@ def test_pair_with_most_in_common_by_hot_items(spark, monkeypatch):
         best = min(shared, key=lambda p: (-shared[p], p))
         got = agreement.most_shared_pair(spark.createDataFrame(rows, "rater string, item long"), block=1).collect()
         assert [tuple(r) for r in got] == [(*best, shared[best])]
+
+
+def test_clusters_of_a_group_stay_apart(spark):
+    """The groups' totals go to the clusters: a group's clusters never meet in one task to be sorted."""
+    rows = [(g, c, "ab"[c % 2], "ab"[c % 3 % 2]) for g in "xy" for c in range(20)]
+    df = spark.createDataFrame(rows, "g string, c long, first string, second string")
+    df = df.unionByName(df.where("c < 0"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = agreement.agreement_by(df, ["g"], "first", "second", "c", ["a", "b"])
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and {(r.g, r.n, r.clusters) for r in found.collect()} == {("x", 20, 20), ("y", 20, 20)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
