@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import ascii_lower, shared_dir, stash
+from tallyforge.llm.shared import ascii_lower, n_rows, planned_once, shared_dir, stash, together
 
 WINDOW = 13
 #: Consecutive words that hold all terms of a window in a proximity match.
@@ -37,6 +37,8 @@ SALTS = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of a side that is broadcast, by a count taken first (at most about 50 bytes each); larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Words of all items up to which what is made of the benchmark alone (at most WINDOW rows a word) is made in one task.
+FEW_WORDS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -45,12 +47,12 @@ def words(text: Column) -> Column:
 
 def sized(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n_rows(df) <= BROADCAST_ROWS else df
 
 
 def join_terms(index: DataFrame, side: DataFrame) -> DataFrame:
     """index joined with side on term; a side that is not broadcast is laid out SALTS times, so that no term's postings meet in one task."""
-    if side.count() <= BROADCAST_ROWS:
+    if n_rows(side) <= BROADCAST_ROWS:
         return index.join(F.broadcast(side), "term")
     dealt = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return index.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"]).drop("salt")
@@ -63,12 +65,17 @@ class Items:
         texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("words"))
         texts = texts.where(F.size("words") > 0).distinct()
         self.items = stash(texts.withColumn("item", F.monotonically_increasing_id()), f"{where}/items")
-        flat = self.items.select("item", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
+        spark = benchmark.sparkSession
+        with planned_once(spark):
+            n = self.items.agg(F.sum(F.size("words"))).first()[0] or 0
+        self.few = n <= FEW_WORDS
+        flat = together(self.items, self.few).select("item", F.size("words").alias("len"), F.posexplode("words").alias("off", "word"))
         terms = flat.select("word").distinct()
         numbered = terms.withColumn("term", F.monotonically_increasing_id() + 1)
-        end = flat.sparkSession.createDataFrame([("", 0)], "word string, term long")
-        self.vocabulary = stash(numbered.union(end), f"{where}/vocabulary")
-        self.terms = stash(flat.join(self.vocabulary, "word").select("item", "len", "off", "term"), f"{where}/terms")
+        end = spark.createDataFrame([("", 0)], "word string, term long")
+        with planned_once(spark, self.few):
+            self.vocabulary = stash(together(numbered.union(end), self.few), f"{where}/vocabulary")
+            self.terms = stash(flat.join(self.vocabulary, "word").select("item", "len", "off", "term"), f"{where}/terms")
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, where: str) -> DataFrame:
@@ -87,12 +94,14 @@ def window_terms(terms: DataFrame, index: DataFrame, where: str, window: int = W
     return stash(rated.withColumn("start", F.explode(starts)), f"{where}/windows")
 
 
-def shared_windows(windows: DataFrame, ordered: bool, where: str) -> DataFrame:
+def shared_windows(windows: DataFrame, ordered: bool, where: str, few: bool) -> DataFrame:
     """item, start, own_item and own_start: of the windows with the same terms, in order or as a set, the least one stands for all."""
     terms = F.transform(F.array_sort(F.collect_list(F.struct("off", "term"))), lambda x: x["term"]) if ordered else F.array_sort(F.collect_set("term"))
-    keyed = stash(windows.groupBy("item", "start").agg(F.array_join(terms.cast("array<string>"), " ").alias("key")), f"{where}-keys")
-    own = keyed.groupBy("key").agg(F.min(F.struct("item", "start")).alias("own"))
-    return stash(keyed.join(own, "key").select("item", "start", F.col("own.item").alias("own_item"), F.col("own.start").alias("own_start")), where)
+    with planned_once(windows.sparkSession, few):
+        keyed = stash(together(windows, few).groupBy("item", "start").agg(F.array_join(terms.cast("array<string>"), " ").alias("key")), f"{where}-keys")
+        keyed = together(keyed, few)
+        own = keyed.groupBy("key").agg(F.min(F.struct("item", "start")).alias("own"))
+        return stash(keyed.join(own, "key").select("item", "start", F.col("own.item").alias("own_item"), F.col("own.start").alias("own_start")), where)
 
 
 def owners(same: DataFrame) -> DataFrame:
@@ -103,9 +112,10 @@ def owners(same: DataFrame) -> DataFrame:
 def items_of(found: DataFrame, same: DataFrame, items: DataFrame) -> DataFrame:
     """row and item_id of row, item and start of found windows, whichever equal one was found."""
     own = same.select("item", "start", "own_item", "own_start")
-    groups = found.join(sized(own), ["item", "start"]).select("row", "own_item", "own_start").distinct()
+    side = F.broadcast if n_rows(own) <= BROADCAST_ROWS else lambda df: df
+    groups = found.join(side(own), ["item", "start"]).select("row", "own_item", "own_start").distinct()
     members = own.select("own_item", "own_start", F.col("item").alias("member")).distinct()
-    named = groups.join(sized(members), ["own_item", "own_start"]).select("row", F.col("member").alias("item")).distinct()
+    named = groups.join(side(members), ["own_item", "own_start"]).select("row", F.col("member").alias("item")).distinct()
     return named.join(sized(items), "item").select("row", "item_id").distinct()
 
 
@@ -119,7 +129,8 @@ def rare_offsets(windows: DataFrame) -> DataFrame:
 def phrase_hits(items: Items, windows: DataFrame, index: DataFrame, where: str, window: int = WINDOW) -> DataFrame:
     """Exact hits: row, item, first (the run's first word in the item), start, n_words and len of every longest run of an item's words that holds a
     window, for the items whose windows stand for all equal ones."""
-    rare = stash(rare_offsets(windows), f"{where}/rare")
+    with planned_once(index.sparkSession, items.few):
+        rare = stash(rare_offsets(together(windows, items.few)), f"{where}/rare")
     at = join_terms(index.where("term > 0"), rare).select("row", "item", (F.col("pos") - F.col("off")).alias("shift"), "off", "need")
     met = at.groupBy("row", "item", "shift").agg(F.array_sort(F.collect_set("off")).alias("offs"), F.max("need").alias("need"))
     close = F.exists(
@@ -140,7 +151,7 @@ def proximity_matches(items: Items, windows: DataFrame, index: DataFrame, where:
     """row and item_id of every item that has a window whose terms all stand, in any order, within `span` words of the document."""
     block = lambda pos: F.floor(pos / span)
     around = lambda pos: F.explode(F.sequence(block(pos) - 1, block(pos) + 1))
-    same = shared_windows(windows, False, f"{where}/same-sets")
+    same = shared_windows(windows, False, f"{where}/same-sets", items.few)
     wanted = windows.join(owners(same), ["item", "start"], "left_semi").select("item", "start", "term", "often").distinct()
     w = Window.partitionBy("item", "start")
     ranked = wanted.withColumn("rank", F.row_number().over(w.orderBy("often", "term"))).withColumn("least", F.min("often").over(w)).where("least > 0")
@@ -171,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = Items(benchmark, where)
     index = build_index(docs, items.vocabulary, where)
     windows = window_terms(items.terms, index, where, window)
-    same = shared_windows(windows, True, f"{where}/same-windows")
+    same = shared_windows(windows, True, f"{where}/same-windows", items.few)
     hits = phrase_hits(items, windows.join(owners(same), ["item", "start"], "left_semi"), index, where, window)
     # words under several hits count once: each hit adds what lies beyond the furthest end before it
     before = Window.partitionBy("row").orderBy("start", "n_words").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,7 +26,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import shared_dir, stash
+from tallyforge.llm.shared import n_rows, planned_once, shared_dir, stash, together
 
 DIMS = ("source", "lang", "topic")
 #: A dimension's default target shares are its token shares to this power, scaled to 1: under 1, large categories give way.
@@ -75,14 +75,19 @@ def target_shares(cells: DataFrame, d: str, temper: float, given: Targets | None
 
 def rake(cells: DataFrame, where: str, temper: Mapping[str, float] = TEMPER, targets: Mapping[str, Targets] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells: DIMS and tokens, in a table. Adds weight, whose sums by each dimension approach the targets."""
+    one_task = n_rows(cells) <= BROADCAST_CELLS
+    with planned_once(cells.sparkSession, one_task):
+        return raked_cells(together(cells, one_task), where, one_task, temper, targets, rounds)
+
+
+def raked_cells(cells: DataFrame, where: str, one_task: bool, temper: Mapping[str, float], targets: Mapping[str, Targets] | None, rounds: int) -> DataFrame:
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     asked = {d: stash(target_shares(cells, d, temper[d], (targets or {}).get(d)), f"{where}/target-{d}") for d in DIMS}
-    one_task = cells.count() <= BROADCAST_CELLS
     now = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for d in DIMS:
-        small = asked[d].count() <= BROADCAST_CELLS
+        small = n_rows(asked[d]) <= BROADCAST_CELLS
         now = now.join((F.broadcast(asked[d]) if small else asked[d]).withColumnRenamed("target", f"target_{d}"), d)
-    now = stash(now.repartition(1) if one_task else now, f"{where}/raked")
+    now = stash(now, f"{where}/raked")
 
     def raked(rows: DataFrame, d: str) -> DataFrame:
         """rows with the weights of one dimension set to its targets, and miss, the largest so far of the round."""
@@ -91,12 +96,13 @@ def rake(cells: DataFrame, where: str, temper: Mapping[str, float] = TEMPER, tar
         else:
             held = stash(rows, f"{where}/before-{d}-{uuid.uuid4().hex}")
             sums = stash(held.groupBy(d).agg(F.sum("weight").alias("held")), f"{where}/held-{d}-{uuid.uuid4().hex}")
-            held = held.join(F.broadcast(sums) if sums.count() <= BROADCAST_CELLS else sums, d)
+            held = held.join(F.broadcast(sums) if n_rows(sums) <= BROADCAST_CELLS else sums, d)
         target = F.col(f"target_{d}")
         miss = F.when(target > 0, F.abs(F.col("held") / target - 1)).otherwise(0.0)
         return held.withColumns({"weight": F.when(F.col("held") > 0, F.col("weight") * target / F.col("held")).otherwise(0.0), "miss": F.greatest("miss", miss)}).drop("held")
 
     for k in range(0, rounds, RAKES):
+        now = together(now, one_task)
         for _ in range(min(RAKES, rounds - k)):
             now = now.withColumn("miss", F.lit(0.0))
             for d in DIMS:
@@ -104,7 +110,6 @@ def rake(cells: DataFrame, where: str, temper: Mapping[str, float] = TEMPER, tar
         now = stash(now, f"{where}/raked-{k}")
         if (now.agg(F.max("miss")).first()[0] or 0) < MISS:
             break
-        now = now.repartition(1) if one_task else now
     return now.select(*DIMS, "tokens", "weight")
 
 
@@ -135,10 +140,11 @@ def mix(docs: DataFrame, topic: Column | None = None, tokens: Column | None = No
     )
     sums = rows.where("n_tokens > 0").groupBy(*(F.col(f"_{d}").alias(d) for d in DIMS)).agg(F.sum("n_tokens").alias("tokens"))
     cells = stash(sums, f"{where}/cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    with planned_once(docs.sparkSession):
+        total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     rate = (F.col("weight") * F.lit(share) * F.lit(total) / F.col("tokens")).alias("rate")
     rates = stash(rake(cells, where, temper, targets, rounds).select(*(F.col(d).alias(f"_{d}") for d in DIMS), rate), f"{where}/rates")
-    if rates.count() <= BROADCAST_CELLS:
+    if n_rows(rates) <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
     joined = rows.join(rates, [f"_{d}" for d in DIMS], "left").withColumn("_p", p)

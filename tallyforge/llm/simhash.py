@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import in_arrow, shared_dir, stash, utf8
+from tallyforge.llm.shared import BROADCAST_ROWS, in_arrow, n_rows, planned_once, shared_dir, stash, together, utf8
 
 BITS, TAU, SEED, SHINGLE = 64, 2, 42, 3
 U = np.uint64
@@ -206,17 +206,20 @@ def components(pairs: DataFrame, where: str, most_rounds: int = 60) -> DataFrame
     """node and root (the least node reachable) of every node that has a link. pairs: a, b (longs), both ways.
 
     Alternates large-star (larger neighbours hang on the least one) and small-star (smaller neighbours
-    and the node itself do) until no edge changes; each round ends in a written table."""
-    edges = pairs.where("a > b")
+    and the node itself do) until no edge changes; each round starts from a written table. Rounds never add edges;
+    where these are few, a round is one task."""
+    edges = stash(pairs.where("a > b"), f"{where}/edges")
+    few = n_rows(edges) <= BROADCAST_ROWS
     last = None
     for k in range(most_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), few)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = both.join(least.hint("merge") if few else least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = stash(small, f"{where}/edges-{k}")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        small = large.join(down.hint("merge") if few else down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(down.select("a", F.col("m").alias("b")))
+        with planned_once(pairs.sparkSession, few):
+            edges = stash(together(small, few).distinct(), f"{where}/edges-{k}")
+            state = tuple(together(edges, few).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         last = state
@@ -229,7 +232,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, where: str | None = None) -
     where = where or shared_dir(docs.sparkSession)
     rows = stash(fingerprints(docs), f"{where}/rows")
     classes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), f"{where}/classes")
-    plan = plan_for(classes, classes.count(), tau)
+    plan = plan_for(classes, n_rows(classes), tau)
     found = components(links(classes, plan, where), where)
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("component_rows"))
