@@ -3,7 +3,7 @@
 Sorting a suffix for every byte of a corpus would shuffle several times its size, so suffixes are
 first divided into buckets by content, and only buckets that two documents share are sorted:
 
-1. Every start of a 50-byte string belongs to an anchor, the place of the least hash among the 24-byte
+1. Every start of a 50-byte string belongs to an anchor, the first place of the least hash among the 24-byte
    strings inside it. Equal strings have equal anchors at equal offsets, so the anchor's hash names the
    suffix bucket. A run of starts with one anchor is a cell. Each batch of documents sends its distinct
    anchor hashes; hashes that one document alone has are done with.
@@ -11,13 +11,12 @@ first divided into buckets by content, and only buckets that two documents share
    least doc_id. A bucket's task takes one slice of buckets at a time: equal units collapse to their
    least doc_id; for the rest, ranks of a difference-cover sample (period 16) are computed once and
    suffixes are sorted by their first 16 bytes, the rank of the sample suffix that the cover gives them,
-   and their last 16 bytes, which together decide 50 bytes, so ties however long need no further
-   reading. Neighbours that are equal in all are one string, owned by its least doc_id.
+   their place from the anchor and their last 16 bytes, which together decide 50 bytes, so ties
+   however long need no further reading. Neighbours that are equal in all are one string, owned by its least doc_id.
 3. The starts that another document owns go back to their batch, which marks and counts bytes.
 
-Anchors of very many places, and starts whose window has two places of the least hash (periodic
-text), are sent start by start under the hash of their own 50 bytes, after equal ones of a batch were
-merged; so a passage that a third of all documents share is a row a batch, and its various surroundings
+Starts of anchors of very many places are sent start by start under the hash of their own 50 bytes,
+after equal ones of a batch were merged; so a passage that a third of all documents share is a row a batch, and its various surroundings
 spread over tasks. Starts are worked on some hundred thousand at a time, of periodic text too. Every
 decision compares bytes, never hashes alone.
 
@@ -48,82 +47,80 @@ SPAN = LENGTH - GRAM + 1  # places an anchor can have in a string
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)  # every difference mod 16 is one of two members
 STRIDE = 80  # bytes of a unit (at most SPAN + LENGTH - 1), padded
 #: Bytes of text of a batch, on average; bytes hashed at once; places from which an anchor is sent start by start; starts sorted, and units merged, at once.
-BATCH_BYTES, BLOCK, HOT, SLICE, STEP = 6 << 20, 1 << 20, 4096, 400_000, 1 << 18
+BATCH_BYTES, BLOCK, HOT, SLICE, STEP = 6 << 20, 1 << 15, 4096, 400_000, 1 << 18
+PAD = (np.arange(STRIDE) < np.arange(LENGTH - 1, SPAN + LENGTH)[:, None]).astype(np.uint8)  # by count: which bytes are a unit's
 AHEAD = np.array([min(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """A hash of the 24 bytes at each place, its low 5 bits replaced by the place mod 32."""
-    h = (x.astype(U) + U(0x51)) * U(0x9E3779B97F4A7C15)
-    h ^= h >> U(32)
-    grown = {1: h}
-    for n in (1, 2, 4, 8):
-        a = grown[n]
-        grown[2 * n] = a[:-n] * U((0xBF58476D1CE4E5B9 * (2 * n + 1)) & (2**64 - 1)) + a[n:]
-    h = grown[16][: len(x) - GRAM + 1] * U(0xD6E8FEB86659FD93) + grown[8][16 : 16 + len(x) - GRAM + 1]
-    h ^= h >> U(32)
-    h *= U(0x94D049BB133111EB)
-    h ^= h >> U(29)
-    return (h & ~U(31)) | (np.arange(len(h), dtype=U) & U(31))
+    """A hash of the 24 bytes at each place."""
+    words = np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)).astype(U)  # the 8 bytes at each place
+    n = len(x) - GRAM + 1
+    h = words[:n] * U(0x9E3779B97F4A7C15)
+    shifted = h >> U(32)
+    h ^= shifted
+    for k, factor in ((8, 0xBF58476D1CE4E5B9), (16, 0x94D049BB133111EB)):
+        h += words[k : k + n]
+        h *= U(factor)
+        np.right_shift(h, U(29), out=shifted)
+        h ^= shifted
+    return h
 
 
 class Cells:
-    """Cells of a batch of texts: anchor place, hash, first start and number of starts, and document."""
+    """Cells of a batch of texts: first start, number of starts, place of the anchor from the first start, hash, and document.
+    A start's anchor is the first place of the least hash among its SPAN places, so equal strings have it at equal offsets,
+    in periodic text too. There, cells of one hash follow each other, each with as many starts as its anchor is far; they are held
+    as one, of more starts than that. Blocks are so short that their arrays stay in a core's cache."""
 
     def __init__(self, texts: list[bytes], skip: np.ndarray) -> None:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
-        parts, start = [], 0
-        begin = self.ends - self.sizes
-        while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(self.ends, begin[start] + BLOCK, "right")))
-            lo, hi = int(begin[start]), int(self.ends[min(stop, len(texts)) - 1])
-            if hi - lo >= LENGTH:
-                parts.append(self.block(lo, hi, begin[start:stop], self.ends[start:stop], start, skip[start:stop]))
-            start = stop
-        join = lambda i, kind: np.concatenate([p[i] for p in parts] or [np.zeros(0, kind)])
-        self.anchor, self.first, self.count, self.doc = (join(i, np.int64) for i in range(4))
-        self.hash, self.tied = join(4, U), join(5, bool)
-
-    def block(self, lo: int, hi: int, begin: np.ndarray, ends: np.ndarray, doc0: int, skip: np.ndarray) -> tuple:
-        h = gram_hashes(self.bytes[lo:hi])
-        least, n = h, 1
+        begin, n = self.ends - self.sizes, len(self.bytes) - LENGTH + 1
+        room = np.maximum(self.sizes - LENGTH + 1, 0) * ~skip
+        opens = begin[room > 0]
+        cuts = np.searchsorted(opens, np.arange(0, max(n, 0) + BLOCK, BLOCK))
+        parts = [self.block(lo, min(lo + BLOCK, n), opens[cuts[k] : cuts[k + 1]]) for k, lo in enumerate(range(0, n, BLOCK))]
+        first, self.lead, self.hash = (np.concatenate([p[i] for p in parts] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.uint8, U)))
+        del parts
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(first, self.ends), prepend=0))
+        count = np.minimum(np.append(first[1:], n)[: len(first)], (begin + room)[doc])
+        count -= first
+        inside = np.flatnonzero(count > 0)
+        self.first, self.count, self.doc = first[inside], count[inside], doc[inside]
+        self.lead, self.hash = self.lead[inside], self.hash[inside]
+
+    def repeats(self) -> np.ndarray:
+        """Number of anchors of each."""
+        return -(-self.count // (self.lead.astype(np.int64) + 1))
+
+    def block(self, lo: int, hi: int, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First starts of cells from lo to hi, as if the texts were one, and at `opens`; leads and hashes of their anchors."""
+        before = min(lo, 1)  # the start before them, to see whether its anchor goes on
+        h = gram_hashes(self.bytes[lo - before : hi + LENGTH - 1])
+        value = h.view("<u4")[1::2].copy()
+        least, n = value, 1
         while 2 * n <= SPAN:
             least, n = np.minimum(least[:-n], least[n:]), 2 * n
         least = np.minimum(least[: len(least) - (SPAN - n)], least[SPAN - n :])  # over SPAN places, one for each start
-        p = np.arange(len(least), dtype=np.int64)
-        anchor = p + ((least & U(31)).astype(np.int64) - p) % 32
-        room = np.maximum(ends - begin - LENGTH + 1, 0) * ~skip
-        valid = np.zeros(len(least) + 1, np.int8)
-        np.add.at(valid, begin[room > 0] - lo, 1)
-        np.add.at(valid, (begin + room)[room > 0] - lo, -1)
-        inside = np.cumsum(valid[:-1], dtype=np.int8) > 0
-        fresh = np.empty(len(least), bool)
-        fresh[0] = True
-        np.not_equal(anchor[1:], anchor[:-1], out=fresh[1:])
-        fresh[(begin - lo)[(begin - lo) < len(fresh)]] = True
-        at = np.flatnonzero(fresh & inside)
-        stop = np.flatnonzero(np.append(fresh[1:] | ~inside[1:], True) & inside) + 1
-        a, value = anchor[at], h >> U(5)
-        own, tied = value[a], np.zeros(len(at), bool)
-        for d in range(1, SPAN):  # another place of the same hash within reach
-            tied |= (value[np.minimum(a + d, len(value) - 1)] == own) & (a + d < len(value))
-            tied |= (value[np.maximum(a - d, 0)] == own) & (a >= d)
-        doc = doc0 + np.searchsorted(ends - lo, at, "right")
-        return a + lo, at + lo, stop - at, doc, own, tied
-
-
-    def two_places(self, start: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """Whether the anchor's 24 bytes stand at another place in the 50 bytes from each start too."""
-        out = np.zeros(len(start), bool)
-        grams = np.lib.stride_tricks.sliding_window_view(self.bytes, GRAM) if len(start) else None
-        for lo in range(0, len(start), 1 << 16):
-            p, a = start[lo : lo + (1 << 16)], anchor[lo : lo + (1 << 16)]
-            own = grams[a]
-            for d in range(SPAN):
-                out[lo : lo + len(p)] |= (p + d != a) & (grams[p + d] == own).all(1)
-        return out
+        fresh, less = np.ones(len(least), bool), np.zeros(len(least), bool)
+        np.less(least[1:], least[:-1], out=less[1:])
+        np.not_equal(least[1:], least[:-1], out=fresh[1:])
+        fresh[1:] |= value[: len(least) - 1] == least[:-1]  # the anchor is passed
+        fresh[opens - lo + before] = True
+        fresh[:before] = False
+        at = np.flatnonzero(fresh)
+        lead = np.full(len(at), SPAN - 1, np.uint8)  # a new least hash stands at the last place
+        search = np.flatnonzero(~less[at])
+        lead[search] = (np.lib.stride_tricks.sliding_window_view(value, SPAN)[at[search]] == least[at[search], None]).argmax(1)
+        own, opened = h[at + lead], np.zeros(len(least), bool)
+        opened[opens - lo + before] = True
+        goes_on = (own[1:] == own[:-1]) & (lead[1:] == lead[:-1]) & (np.diff(at) == lead[:-1] + 1) & ~opened[at[1:]]
+        if goes_on.any():
+            held = np.flatnonzero(np.append(True, ~goes_on))
+            at, lead, own = at[held], lead[held], own[held]
+        return at + (lo - before), lead, own
 
 
 class Batch:
@@ -170,12 +167,13 @@ def ddl(schema: pa.Schema) -> str:
 def send_anchors(n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         batch, number = Batch(table.select(["doc_id", "text"])), table.column("batch")[0].as_py()
-        order = np.lexsort((batch.owner, batch.cells.hash))
+        order = np.argsort(batch.cells.hash)
         h, owner = batch.cells.hash[order], batch.owner[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-        count = np.diff(np.append(first, len(h)))
-        last = np.append(first[1:], len(h)) - 1
-        several = (owner[first] != owner[last]).astype("<u2") << 15 if len(h) else np.zeros(0, "<u2")
+        count, several = np.zeros(0, np.int64), np.zeros(0, "<u2")
+        if len(h):
+            count = np.add.reduceat(batch.cells.repeats()[order], first)
+            several = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)).astype("<u2") << 15
         packed = several | np.minimum(count, 0x7FFF).astype("<u2")
         rows = split_rows((h[first] >> U(20)).astype(np.int64) % n_buckets, [h[first], packed])
         return as_table([(k, number, *blobs(*v)) for k, v in rows], SENT)
@@ -213,61 +211,68 @@ class Units:
         h, hot = np.frombuffer(b"".join(take("a", SHARED)), "<u8"), np.frombuffer(b"".join(take("b", SHARED)), np.uint8)
         order = np.argsort(h)
         h, hot, c = h[order], hot[order], batch.cells
-        at = np.minimum(np.searchsorted(h, c.hash), max(0, len(h) - 1))
-        known = np.flatnonzero(h[at] == c.hash) if len(h) and len(c.hash) else np.zeros(0, np.int64)
-        very = hot[at[known]] > 0 if len(known) else np.zeros(0, bool)
-        apart = very | c.tied[known]
-        self.batch, self.whole, self.single, self.very = batch, known[~apart], known[apart], very[apart]
+        low = U((1 << (8 * len(h)).bit_length()) - 1)
+        seen = np.zeros(int(low) + 1, bool)  # most cells of other hashes are told by the low bits
+        seen[h & low] = True
+        known = np.flatnonzero(seen[c.hash & low])
+        at = np.minimum(np.searchsorted(h, c.hash[known]), max(0, len(h) - 1))
+        same = h[at] == c.hash[known] if len(h) else np.zeros(0, bool)
+        known, very = known[same], hot[at[same]] > 0
+        self.batch, self.whole, self.single = batch, known[~very], known[very]
         self.bytes = np.append(c.bytes, np.zeros(STRIDE, np.uint8))
         held, self.number, n = [], [], 0
-        for cell, start, count, very in self.steps():
-            found, number = self.merge(cell, start, count, very)
+        for cell, start, count, single in self.steps():
+            found, number = self.merge(cell, start, count, single)
             held.append(found)
             self.number.append(number + n)
             n += len(found[0])
-        names = (np.int64, np.int64, np.int64, np.int64, U, U)
+        names = (np.int64, np.uint8, np.int64, np.uint8, U, U)
         self.start, self.count, self.owner, self.lead, self.group, own = (np.concatenate([x[i] for x in held] or [np.zeros(0, t)]) for i, t in enumerate(names))
-        order = np.lexsort((np.arange(n), self.owner, own, self.group))
+        order = np.lexsort((self.start, self.key(self.group, own, self.count, self.lead)))  # later starts have no lesser owner
         self.chosen = np.empty(n, np.int64)
         self.chosen[order] = order[self.heads(order)] if n else order
 
     def steps(self):
-        """Cell, start, number of starts, and whether its anchor has very many places, of at most about STEP units at a time."""
-        c = self.batch.cells
-        for a in range(0, len(self.whole), STEP):
-            cell = self.whole[a : a + STEP]
-            yield cell, c.first[cell], c.count[cell], None
-        ends, a = np.cumsum(c.count[self.single]), 0
-        while a < len(self.single):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, "right")))
-            cells, n = self.single[a:b], c.count[self.single[a:b]]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(cells, n), np.repeat(c.first[cells], n) + step, np.ones(len(step), np.int64), np.repeat(self.very[a:b], n)
-            a = b
+        """Cell, start, number of starts, and whether they are single starts, of at most about STEP units at a time."""
+        c, repeats = self.batch.cells, self.batch.cells.repeats()
+        for rows, single in ((self.whole, False), (self.single, True)):
+            n = c.count[rows] if single else repeats[rows]
+            ends = np.cumsum(n)
+            for lo in range(0, int(n.sum()), STEP):
+                number = np.arange(lo, min(lo + STEP, int(ends[-1])))
+                row = np.searchsorted(ends, number, "right")
+                cell = rows[row]
+                size = 1 if single else c.lead[cell].astype(np.int64) + 1
+                done = (number - (ends - n)[row]) * size
+                yield cell, c.first[cell] + done, np.minimum(c.count[cell] - done, size).astype(np.uint8), single
 
     def text(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The units' bytes, padded."""
         out = np.lib.stride_tricks.sliding_window_view(self.bytes, STRIDE)[start]
-        out[np.arange(STRIDE) >= (count + LENGTH - 1)[:, None]] = 0
+        out *= PAD[count]
         return out
 
-    def merge(self, cell: np.ndarray, start: np.ndarray, count: np.ndarray, very: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Representatives of some units, and for each unit the number of its own."""
+    @staticmethod
+    def key(group: np.ndarray, own: np.ndarray, count: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """One number of what equal units have in common."""
+        key = group * U(0x9E3779B97F4A7C15) ^ own  # group is own for single starts
+        key ^= (count.astype(U) << U(8)) | lead
+        return key
+
+    def merge(self, cell: np.ndarray, start: np.ndarray, count: np.ndarray, single: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """Representatives of some units, and for each unit the number of its own. Single starts are grouped by their own bytes."""
         c, text = self.batch.cells, self.text(start, count)
-        own = (count + LENGTH - 1).astype(U)
+        own = (count + np.uint8(LENGTH - 1)).astype(U)
         for word in text.view("<u8").T:
             own = (own ^ word) * U(0x9E3779B97F4A7C15)
             own ^= own >> U(29)
-        by_own = np.zeros(len(cell), bool)
-        if very is not None:  # grouped by their own bytes: starts of hot anchors, or with two places for their anchor
-            by_own = very.copy()
-            maybe = np.flatnonzero(~very)
-            by_own[maybe] = c.two_places(start[maybe], c.anchor[cell[maybe]])
-        lead, group, owner = np.where(by_own, 0, c.anchor[cell] - start), np.where(by_own, own, c.hash[cell]), self.batch.owner[cell]
-        order = np.lexsort((np.arange(len(own)), owner, own, group))
+        lead, group, owner = np.zeros(len(cell), np.uint8) if single else c.lead[cell], own if single else c.hash[cell], self.batch.owner[cell]
+        key = self.key(group, own, count, lead)
+        order = np.argsort(key, kind="stable")  # starts ascend, so the first of a run has the least doc_id
         new = np.ones(len(order), bool)
-        a, b = order[1:], order[:-1]
-        new[1:] = (group[a] != group[b]) | (count[a] != count[b]) | (lead[a] != lead[b]) | (text[a] != text[b]).any(1)
+        maybe = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        a, b = order[maybe + 1], order[maybe]
+        new[maybe + 1] = (group[a] != group[b]) | (count[a] != count[b]) | (lead[a] != lead[b]) | (text[a] != text[b]).any(1)
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         first = order[new]
@@ -294,7 +299,7 @@ def send_units(n_buckets: int):
         pick, rows = pick[np.argsort(bucket, kind="stable")], []
         for lo in range(0, len(pick), STEP):
             p = pick[lo : lo + STEP]
-            arrays = [u.group[p], u.owner[p], p.astype("<i4"), u.lead[p].astype(np.uint8), u.count[p].astype(np.uint8), u.text(u.start[p], u.count[p])]
+            arrays = [u.group[p], u.owner[p], p.astype("<i4"), u.lead[p], u.count[p], u.text(u.start[p], u.count[p])]
             parts = split_rows((u.group[p] >> U(20)).astype(np.int64) % n_buckets, arrays)
             rows += [(k, number, *blobs(*v[:5]), pa.compress(v[5].tobytes(), "zstd", asbytes=True)) for k, v in parts]
         return as_table(rows, UNITS)
@@ -334,7 +339,8 @@ def owned_elsewhere(group: np.ndarray, owner: np.ndarray, lead: np.ndarray, coun
     cover_rank[unit, place] = ranks(words_at(x, base[unit] + place, LENGTH - PERIOD))[1]
     unit = np.repeat(np.arange(len(group)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    tie = cover_rank[unit, place + AHEAD[(place - lead[unit]) % PERIOD]]
+    ahead = lead[unit] - place  # of the anchor; ranks of suffixes at other places from it do not compare, and equal strings have it alike
+    tie = cover_rank[unit, place + AHEAD[-ahead % PERIOD]] << 5 | ahead
     at = base[unit] + place
     keys = [group[unit], *words_at(x, at, PERIOD), tie, *words_at(x, at + LENGTH - PERIOD, PERIOD)]
     _, which = ranks(keys)
@@ -392,8 +398,8 @@ def settle(docs: pa.Table, back: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return as_table([], RESULT)
     batch = Batch(docs.select(["doc_id", "text"]))
-    n = len(batch.cells.bytes)
-    edges = np.zeros(n + 1, np.int32)
+    ends, sizes, raw = batch.cells.ends, batch.cells.sizes, batch.cells.bytes
+    cut = np.zeros(len(raw), bool)  # starts of strings that go
     if back.num_rows:
         u = Units(batch, back)
         lost = np.zeros(len(u.start), U)
@@ -403,24 +409,27 @@ def settle(docs: pa.Table, back: pa.Table) -> pa.Table:
         for (cell, start, count, _), number in zip(u.steps(), u.number, strict=True):
             own = u.chosen[number]
             gone = np.where(batch.owner[cell] > u.owner[own], (U(1) << count.astype(U)) - U(1), lost[own])
-            for k in range(int(count.max())):
-                at = start[(gone >> U(k)) & U(1) > 0] + k
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + LENGTH, -1)
-    covered = np.cumsum(edges[:-1], dtype=np.int32) > 0
-    ends = batch.cells.ends
-    kept, first, last, offsets = [], [], [], [0]
-    for a, b in zip((ends - batch.cells.sizes).tolist(), ends.tolist(), strict=True):
-        cut = covered[a:b]
-        turns = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0))
-        first.append(turns[::2])
-        last.append(turns[1::2])
-        offsets.append(offsets[-1] + len(turns) // 2)
-        kept.append(batch.cells.bytes[a:b][~cut].tobytes() if len(turns) else batch.cells.bytes[a:b].tobytes())
-    spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (first, last)], ["start", "end"])
-    removed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
-    columns = [pa.array(batch.ids, pa.int64()), pa.array(batch.cells.sizes), pa.array(kept, pa.binary()), removed]
-    return pa.Table.from_arrays(columns, names=RESULT.names)
+            some = np.flatnonzero(gone)
+            bits = np.flatnonzero(np.unpackbits(gone[some].astype("<u4").view(np.uint8), bitorder="little"))
+            cut[start[some[bits >> 5]] + (bits & 31)] = True
+    at, begin = np.flatnonzero(cut), ends - sizes
+    new = np.append(True, np.diff(at) > LENGTH)[: len(at)]
+    doc = np.searchsorted(at, begin)
+    new[doc[doc < len(at)]] = True  # spans of two documents may touch
+    first = at[new]
+    last = at[np.append(new[1:], True)[: len(at)]] + LENGTH
+    of = np.searchsorted(ends, first, "right")
+    edges = np.zeros(len(raw) + 1, np.int8)
+    edges[first] += 1
+    edges[last] -= 1
+    left = raw[np.cumsum(edges[:-1], dtype=np.int8) == 0]
+    left_sizes = sizes.copy()
+    np.subtract.at(left_sizes, of, last - first)
+    offsets = np.append(0, np.cumsum(left_sizes)).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(left)])
+    spans = pa.StructArray.from_arrays([pa.array(first - begin[of]), pa.array(last - begin[of])], ["start", "end"])
+    removed = pa.ListArray.from_arrays(pa.array(np.append(0, np.searchsorted(first, ends)).astype(np.int32)), spans)
+    return pa.Table.from_arrays([pa.array(batch.ids, pa.int64()), pa.array(sizes), kept, removed], names=RESULT.names)
 
 
 def in_batches(docs: DataFrame, where: str, batch_bytes: int) -> tuple[DataFrame, int]:

@@ -381,6 +381,48 @@ def test_suffix_dedup(spark, monkeypatch, batch_bytes, hot, step):
             assert bytes(r.kept) == b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(raw)], strict=True))
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Strings whose first and last bytes and a stretch at different places agree are not one string."""
+    rng = random.Random(5)
+    words = ["of ", "a ", "du ", "de ", "x", "ab", "abcab", "Q", "of a ", "abcdefghijklmnopqrstuvwxy", "abcdefghijklmnopqrstuvwxyz0"]
+    pairs = [(rng.randint(1, 300), "".join(rng.choice(words) * rng.randint(1, 40) for _ in range(rng.randint(0, 7)))) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    assert rows(suffix_dedup.digests(suffix_dedup.suffix_dedup(df, 20_000))) == brute_dedup(pairs)
+
+
+@pytest.mark.parametrize("block", [40, 1 << 15])
+def test_cells_have_the_first_least_hash(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["ab", "x", "of ", "Qed"]) * rng.randint(1, 60) for _ in range(rng.randint(0, 4))).encode() for _ in range(50)]
+    skip = np.arange(len(texts)) % 7 == 3
+    cells = suffix_dedup.Cells(texts, skip)
+    got = {}
+    for first, count, lead, doc, own in zip(*(x.tolist() for x in (cells.first, cells.count, cells.lead, cells.doc, cells.hash)), strict=True):
+        start = first - int(cells.ends[doc] - cells.sizes[doc])
+        got |= {(doc, start + k): (lead - k % (lead + 1), own) for k in range(count)}
+    want = {}
+    for doc, text in enumerate(texts):
+        h = suffix_dedup.gram_hashes(np.frombuffer(text, np.uint8)).tolist() if len(text) >= 50 else []
+        for k in range(0 if skip[doc] else len(text) - 49):
+            lead = min(range(suffix_dedup.SPAN), key=lambda d: h[k + d] >> 32)
+            want[doc, k] = lead, h[k + lead]
+    assert got == want
+
+
+def test_cells_are_found_in_the_cache():
+    """Arrays of many megabytes, written and read again for each step of the hash, cost most of op9's CPU time."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 4 << 20, np.uint8).tobytes()
+    texts = [text[a : a + 2048] for a in range(0, len(text), 2048)]
+    tracemalloc.start()
+    suffix_dedup.Cells(texts, np.zeros(len(texts), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 * len(text)  # the cells themselves, which are one for 14 bytes
+
+
 def test_suffix_dedup_edges(spark, edge_docs):
     assert rows(suffix_dedup.digests(suffix_dedup.suffix_dedup(edge_docs))) == brute_dedup(rows(edge_docs, "doc_id", "text"))
     assert suffix_dedup.suffix_dedup(edge_docs.limit(0)).count() == 0
